@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,13 +21,17 @@ def filled(c: ColumnLike, default: float | int = 0) -> Column:
     return F.coalesce(_col(c), F.lit(default))
 
 
-def weighted_score(weights: Mapping[ColumnLike, float], ndigits: int | None = 2) -> Column:
+def weighted_score(
+    weights: Mapping[str, float] | Iterable[tuple[ColumnLike, float]], ndigits: int | None = 2
+) -> Column:
     """Linear score: sum of weight * measure, nulls count as 0, rounded.
 
-    ``weights`` maps a column (or column name) to its weight; the same
-    operator scores skater lines, goalie lines or any measure table.
+    ``weights`` maps a column name to its weight, or lists (column, weight)
+    pairs; the same operator scores skater lines, goalie lines or any
+    measure table.
     """
-    terms = [filled(c).cast("double") * F.lit(float(w)) for c, w in weights.items()]
+    pairs = weights.items() if isinstance(weights, Mapping) else weights
+    terms = [filled(c).cast("double") * F.lit(float(w)) for c, w in pairs]
     if not terms:
         raise ValueError("weighted_score needs at least one weight")
     total = terms[0]
@@ -56,7 +60,7 @@ def skater_points(
         blocked_shots=blocked_shots,
         hits=hits,
     )
-    return weighted_score({_col(cols[k]): w for k, w in weights.items()})
+    return weighted_score([(cols[k], w) for k, w in weights.items()])
 
 
 def win_flag(decision: ColumnLike = "decision") -> Column:
@@ -89,7 +93,7 @@ def goalie_points(
         "shutouts": shutout_flag(goals_against, saves),
         "ot_losses": ot_loss_flag(decision),
     }
-    return weighted_score({parts[k]: w for k, w in weights.items()})
+    return weighted_score([(parts[k], w) for k, w in weights.items()])
 
 
 def ratio_or_null(num: ColumnLike, den: ColumnLike) -> Column:

@@ -16,7 +16,8 @@ ORDERS_AS_OF = "2001-08-02"
 
 
 def r4(c):
-    return F.round(F.col(c), 4).alias(c)
+    # "+ 0.0" turns a rounded -0.0 into 0.0 so both engines print one zero.
+    return (F.round(F.col(c), 4) + F.lit(0.0)).alias(c)
 
 
 # --------------------------------------------------------------- hot list
@@ -68,3 +69,216 @@ def hot_list(spark, d):
 )
 def hot_list_free_agents(spark, d):
     return _hot(spark, d, True)
+
+
+# ----------------------------------------------------- opponent difficulty
+def _tier_sql(rank):
+    return f"CASE WHEN {rank} <= 10 THEN 'Easy' WHEN {rank} >= 23 THEN 'Hard' ELSE 'Average' END"
+
+
+_DIFF_SQL = """
+d AS (SELECT season, opponent_abbrev, avg(total_fpts) AS a FROM {src} GROUP BY season, opponent_abbrev),
+r AS (
+  SELECT season, opponent_abbrev, a,
+         CAST(floor(rank() OVER (PARTITION BY season ORDER BY a DESC)
+                    + (count(*) OVER (PARTITION BY season, a) - 1) / 2.0) AS INTEGER) AS rank
+  FROM d
+)
+SELECT season, opponent_abbrev, round(a, 4) + 0.0 AS avg_fpts_allowed, rank, """ + _tier_sql("rank") + """ AS difficulty
+FROM r"""
+
+
+def _difficulty(fact):
+    out = A.ranked_difficulty(fact, by=["season"])
+    return out.select("season", "opponent_abbrev", r4("avg_fpts_allowed"), "rank", "difficulty")
+
+
+@register("opponent_difficulty", S.with_ctes(S.SKATER_LINES_SQL) + "," + _DIFF_SQL.format(src="skater_lines"))
+def opponent_difficulty(spark, d):
+    return _difficulty(S.skater_lines(spark, d))
+
+
+@register("opponent_difficulty_goalie", S.with_ctes(S.GOALIE_LINES_SQL) + "," + _DIFF_SQL.format(src="goalie_lines"))
+def opponent_difficulty_goalie(spark, d):
+    return _difficulty(S.goalie_lines(spark, d))
+
+
+# ------------------------------------------------------------- baselines
+@register(
+    "baseline",
+    S.with_ctes(S.SKATER_LINES_SQL, S.PLAYERS_SQL)
+    + f"""
+SELECT f.player_id, p.player_name, count(f.game_id) AS games_played,
+       round(avg(f.total_fpts), 4) AS avg_fpts, round(avg(f.goals), 4) AS avg_g, round(avg(f.assists), 4) AS avg_a,
+       round(avg(f.shots), 4) AS avg_sog, round(avg(f.toi_seconds) / 60.0, 4) AS avg_toi_min
+FROM skater_lines f JOIN players p ON f.player_id = p.player_id
+WHERE f.season = '{ORDERS_SEASON}' AND NOT p.is_goalie
+GROUP BY f.player_id, p.player_name""",
+)
+def baseline(spark, d):
+    skaters = S.players(spark, d).where(~F.col("is_goalie"))
+    out = A.skater_baseline(S.skater_lines(spark, d), skaters, ORDERS_SEASON)
+    return out.select(
+        "player_id", "player_name", "games_played",
+        *[r4(c) for c in ("avg_fpts", "avg_g", "avg_a", "avg_sog", "avg_toi_min")],
+    )
+
+
+@register(
+    "goalie_baseline",
+    S.with_ctes(S.GOALIE_LINES_SQL, S.PLAYERS_SQL)
+    + f"""
+SELECT f.player_id, p.player_name, count(f.game_id) AS games_played,
+       round(avg(f.total_fpts), 4) + 0.0 AS avg_fpts, round(avg(f.saves), 4) AS avg_saves,
+       round(avg(f.save_pct), 4) AS avg_save_pct, CAST(sum(f.wins) AS BIGINT) AS total_wins,
+       CAST(sum(f.shutouts) AS BIGINT) AS total_shutouts
+FROM goalie_lines f JOIN players p ON f.player_id = p.player_id
+WHERE f.season = '{ORDERS_SEASON}' AND p.is_goalie
+GROUP BY f.player_id, p.player_name""",
+)
+def goalie_baseline(spark, d):
+    goalies = S.players(spark, d).where(F.col("is_goalie"))
+    out = A.goalie_baseline(S.goalie_lines(spark, d), goalies, ORDERS_SEASON)
+    return out.select(
+        "player_id", "player_name", "games_played",
+        *[r4(c) for c in ("avg_fpts", "avg_saves", "avg_save_pct")],
+        "total_wins", "total_shutouts",
+    )
+
+
+@register(
+    "peripheral_floor",
+    S.with_ctes(S.SKATER_LINES_SQL)
+    + f"""
+SELECT player_id, round(avg(hits), 4) AS avg_hits, round(avg(blocked_shots), 4) AS avg_blocks,
+       round(avg(hits) * 0.1 + avg(blocked_shots) * 0.5, 4) AS avg_peripheral_fpts
+FROM skater_lines WHERE season = '{ORDERS_SEASON}' GROUP BY player_id""",
+)
+def peripheral_floor(spark, d):
+    out = A.peripheral_floor(S.skater_lines(spark, d), ORDERS_SEASON)
+    return out.select("player_id", r4("avg_hits"), r4("avg_blocks"), r4("avg_peripheral_fpts"))
+
+
+# ----------------------------------------------------------- recent form
+@register(
+    "recent_form",
+    S.with_ctes(S.EVENT_LINES_SQL)
+    + f"""
+SELECT player_id, count(game_id) AS games_last_14_days, round(avg(total_fpts), 4) AS avg_fpts_last_14_days
+FROM event_lines
+WHERE game_date >= DATE '{EVENTS_AS_OF}' - INTERVAL 14 DAY AND season = '{EVENTS_SEASON}'
+GROUP BY player_id""",
+)
+def recent_form(spark, d):
+    out = A.recent_form(S.event_lines(spark, d), EVENTS_AS_OF, season=EVENTS_SEASON)
+    return out.select("player_id", "games_last_14_days", r4("avg_fpts_last_14_days"))
+
+
+@register(
+    "recent_form_goalie",
+    S.with_ctes(S.GOALIE_LINES_SQL)
+    + f"""
+SELECT player_id, count(game_id) AS games_last_14_days, round(avg(total_fpts), 4) + 0.0 AS avg_fpts_last_14_days,
+       round(avg(save_pct), 4) + 0.0 AS save_pct_last_14_days
+FROM goalie_lines
+WHERE game_date >= DATE '{ORDERS_AS_OF}' - INTERVAL 14 DAY AND season = '2001'
+GROUP BY player_id""",
+)
+def recent_form_goalie(spark, d):
+    out = A.recent_form(
+        S.goalie_lines(spark, d), ORDERS_AS_OF, season="2001", extra_avgs={"save_pct": "save_pct_last_14_days"}
+    )
+    return out.select(
+        "player_id", "games_last_14_days", r4("avg_fpts_last_14_days"), r4("save_pct_last_14_days")
+    )
+
+
+# ---------------------------------------------------- history vs opponent
+@register(
+    "history_vs_opponent",
+    S.with_ctes(S.SKATER_LINES_SQL)
+    + """
+SELECT player_id, opponent_abbrev, count(game_id) AS games_against, round(avg(total_fpts), 4) AS avg_fpts_against
+FROM skater_lines GROUP BY player_id, opponent_abbrev""",
+)
+def history_vs_opponent(spark, d):
+    out = A.history_vs_opponent(S.skater_lines(spark, d))
+    return out.select("player_id", "opponent_abbrev", "games_against", r4("avg_fpts_against"))
+
+
+@register(
+    "history_vs_opponent_goalie",
+    S.with_ctes(S.GOALIE_LINES_SQL)
+    + """
+SELECT player_id, opponent_abbrev, count(game_id) AS games_against, round(avg(total_fpts), 4) + 0.0 AS avg_fpts_against,
+       round(avg(save_pct), 4) + 0.0 AS avg_save_pct_against
+FROM goalie_lines GROUP BY player_id, opponent_abbrev""",
+)
+def history_vs_opponent_goalie(spark, d):
+    out = A.history_vs_opponent(S.goalie_lines(spark, d), extra_avgs={"save_pct": "avg_save_pct_against"})
+    return out.select(
+        "player_id", "opponent_abbrev", "games_against", r4("avg_fpts_against"), r4("avg_save_pct_against")
+    )
+
+
+# ---------------------------------------------------------- player report
+REPORT_AS_OF = "1998-12-31"
+
+_REPORT_PART_SQL = """
+{kind}_hist AS (
+  SELECT player_id, opponent_abbrev, count(game_id) AS g, avg(total_fpts) AS a FROM {src} GROUP BY player_id, opponent_abbrev
+),
+{kind}_part AS (
+  SELECT p.player_id, p.player_name, p.is_goalie,
+         b.games_played, round(b.avg_fpts, 4) + 0.0 AS avg_fpts,
+         rf.games_last_14_days, round(rf.avg_fpts_last_14_days, 4) + 0.0 AS avg_fpts_last_14_days,
+         h.n_opponents, h.best_opponent, round(h.best_avg_against, 4) + 0.0 AS best_avg_against
+  FROM players p
+  LEFT JOIN (SELECT player_id, count(game_id) AS games_played, avg(total_fpts) AS avg_fpts
+             FROM {src} WHERE season = '{season}' GROUP BY player_id) b ON b.player_id = p.player_id
+  LEFT JOIN (SELECT player_id, count(game_id) AS games_last_14_days, avg(total_fpts) AS avg_fpts_last_14_days
+             FROM {src} WHERE season = '{season}' AND game_date >= DATE '{as_of}' - INTERVAL 14 DAY
+             GROUP BY player_id) rf ON rf.player_id = p.player_id
+  LEFT JOIN (SELECT player_id, count(*) AS n_opponents,
+                    first(opponent_abbrev ORDER BY a DESC, opponent_abbrev DESC) AS best_opponent,
+                    max(a) AS best_avg_against
+             FROM {kind}_hist GROUP BY player_id) h ON h.player_id = p.player_id
+  WHERE {goalie_pred}
+)"""
+
+
+@register(
+    "player_report",
+    S.with_ctes(S.SKATER_LINES_SQL, S.GOALIE_LINES_SQL, S.PLAYERS_SQL)
+    + ","
+    + _REPORT_PART_SQL.format(kind="sk", src="skater_lines", season=ORDERS_SEASON, as_of=REPORT_AS_OF, goalie_pred="NOT p.is_goalie")
+    + ","
+    + _REPORT_PART_SQL.format(kind="gk", src="goalie_lines", season=ORDERS_SEASON, as_of=REPORT_AS_OF, goalie_pred="p.is_goalie")
+    + "\nSELECT * FROM sk_part UNION ALL SELECT * FROM gk_part",
+)
+def player_report(spark, d):
+    players = S.players(spark, d).select("player_id", "player_name", "is_goalie")
+
+    def part(fact, who):
+        base = fact.where(F.col("season") == ORDERS_SEASON).groupBy("player_id").agg(
+            F.count("game_id").alias("games_played"), F.avg("total_fpts").alias("avg_fpts")
+        )
+        recent = A.recent_form(fact, REPORT_AS_OF, season=ORDERS_SEASON)
+        hist = A.history_vs_opponent(fact)
+        rep = A.player_report(who, base, recent, hist)
+        return rep.select(
+            "player_id",
+            "player_name",
+            "is_goalie",
+            "games_played",
+            r4("avg_fpts"),
+            "games_last_14_days",
+            r4("avg_fpts_last_14_days"),
+            F.size("history").cast("bigint").alias("n_opponents"),
+            F.col("history")[0]["opponent_abbrev"].alias("best_opponent"),
+            (F.round(F.col("history")[0]["avg_fpts_against"], 4) + F.lit(0.0)).alias("best_avg_against"),
+        )
+
+    sk = part(S.skater_lines(spark, d), players.where(~F.col("is_goalie")))
+    gk = part(S.goalie_lines(spark, d), players.where(F.col("is_goalie")))
+    return sk.unionByName(gk)
