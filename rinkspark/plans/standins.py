@@ -159,6 +159,8 @@ def skater_lines(spark: SparkSession, d: str) -> DataFrame:
         F.to_date("o_orderdate").alias("game_date"),
         F.year("o_orderdate").cast("string").alias("season"),
         "opponent_abbrev",
+        F.when(F.col("l_linestatus") == "F", F.lit("C")).otherwise(F.lit("D")).alias("position"),
+        F.col("l_linenumber").alias("jersey_number"),
         F.col("l_linenumber").alias("goals"),
         F.col("l_quantity").cast("int").alias("assists"),
         F.round(F.col("l_discount") * 100).alias("pp_points"),
@@ -178,6 +180,7 @@ skater_base AS (
   SELECT l.l_orderkey AS game_id, l.l_linenumber AS line_no, o.o_custkey AS player_id,
          CAST(o.o_orderdate AS DATE) AS game_date, CAST(year(o.o_orderdate) AS VARCHAR) AS season,
          n.n_name AS opponent_abbrev,
+         CASE WHEN l.l_linestatus = 'F' THEN 'C' ELSE 'D' END AS position, l.l_linenumber AS jersey_number,
          l.l_linenumber AS goals, CAST(trunc(l.l_quantity) AS INTEGER) AS assists,
          round(l.l_discount * 100) AS pp_points, round(l.l_tax * 100) AS sh_points,
          CAST(day(l.l_shipdate) AS INTEGER) AS shots,
