@@ -406,7 +406,7 @@ def search_players(
     are wildcards."""
     name = F.lower(F.col(name_col))
     t = F.lower(F.lit(term))
-    cond = name.like(F.concat(F.lit("%"), t, F.lit("%"))) if wildcards else name.contains(t)
+    cond = F.like(name, F.concat(F.lit("%"), t, F.lit("%"))) if wildcards else name.contains(t)
     out = players.where(cond)
     return free_agents(out) if free_agents_only else out
 

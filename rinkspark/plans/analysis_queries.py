@@ -282,3 +282,148 @@ def player_report(spark, d):
     sk = part(S.skater_lines(spark, d), players.where(~F.col("is_goalie")))
     gk = part(S.goalie_lines(spark, d), players.where(F.col("is_goalie")))
     return sk.unionByName(gk)
+
+
+# ------------------------------------------------------- matchup outlook
+OUTLOOK_WEEK = "1998-W24"
+
+
+@register(
+    "matchup_outlook",
+    S.with_ctes(S.SKATER_LINES_SQL, S.GOALIE_LINES_SQL, S.PLAYERS_SQL)
+    + f""",
+g AS (SELECT * FROM games WHERE game_type = 2),
+tg AS (
+  SELECT game_id, start_time_utc, game_date, home_abbrev AS team, 'vs ' || away_abbrev AS label FROM g
+  UNION ALL
+  SELECT game_id, start_time_utc, game_date, away_abbrev AS team, '@ ' || home_abbrev AS label FROM g
+),
+sched AS (
+  SELECT team, strftime(game_date, '%G-W%V') AS week, CAST(count(*) AS INTEGER) AS game_count,
+         string_agg(label, ', ' ORDER BY start_time_utc, game_id) AS opponents
+  FROM tg GROUP BY team, strftime(game_date, '%G-W%V')
+),
+diff_raw AS (
+  SELECT FALSE AS is_goalie, opponent_abbrev, avg(total_fpts) AS a FROM skater_lines WHERE season = '{ORDERS_SEASON}' GROUP BY opponent_abbrev
+  UNION ALL
+  SELECT TRUE AS is_goalie, opponent_abbrev, avg(total_fpts) AS a FROM goalie_lines WHERE season = '{ORDERS_SEASON}' GROUP BY opponent_abbrev
+),
+diff AS (
+  SELECT is_goalie, opponent_abbrev, a,
+         CAST(floor(rank() OVER (PARTITION BY is_goalie ORDER BY a DESC)
+                    + (count(*) OVER (PARTITION BY is_goalie, a) - 1) / 2.0) AS INTEGER) AS rank
+  FROM diff_raw
+),
+x AS (
+  SELECT p.player_id, p.team_abbrev, p.is_goalie, s.week, s.game_count,
+         UNNEST(generate_series(0, len(string_split(s.opponents, ', ')) - 1)) AS slot, s.opponents
+  FROM players p JOIN sched s ON s.team = p.team_abbrev AND s.week = '{OUTLOOK_WEEK}'
+),
+y AS (SELECT *, string_split(opponents, ', ')[slot + 1] AS matchup FROM x)
+SELECT y.player_id, y.team_abbrev, y.is_goalie, y.week, y.game_count, CAST(y.slot AS INTEGER) AS slot, y.matchup,
+       string_split(y.matchup, ' ')[-1] AS opponent_abbrev, round(d.a, 4) + 0.0 AS avg_fpts_allowed, d.rank,
+       CASE WHEN d.rank IS NULL THEN 'No difficulty data' ELSE {_tier_sql('d.rank')} END AS difficulty
+FROM y LEFT JOIN diff d ON d.is_goalie = y.is_goalie AND d.opponent_abbrev = string_split(y.matchup, ' ')[-1]""",
+)
+def matchup_outlook(spark, d):
+    from rinkspark.operators.calendar import weekly_schedule
+    from rinkspark.plans.calendar_queries import regular_games
+
+    sk = A.opponent_difficulty(S.skater_lines(spark, d), ORDERS_SEASON).withColumn("is_goalie", F.lit(False))
+    gk = A.opponent_difficulty(S.goalie_lines(spark, d), ORDERS_SEASON).withColumn("is_goalie", F.lit(True))
+    diff = A.average_rank(sk.unionByName(gk), "avg_fpts_allowed", partition_by=["is_goalie"])
+    sched = weekly_schedule(regular_games(spark, d))
+    players = S.players(spark, d).select("player_id", "team_abbrev", "is_goalie")
+    out = A.matchup_outlook(players, sched, diff, OUTLOOK_WEEK)
+    return out.select(
+        "player_id", "team_abbrev", "is_goalie", "week", "game_count", "slot", "matchup", "opponent_abbrev",
+        r4("avg_fpts_allowed"), "rank", "difficulty",
+    )
+
+
+# ---------------------------------------------------------------- lookups
+LOOKUP_PLAYER = 7
+LOOKUP_TEAM = 3
+LOOKUP_DATE = "1998-06-10"
+
+
+@register(
+    "lookups",
+    S.with_ctes(S.PLAYERS_SQL, S.FANTASY_TEAMS_SQL, S.SKATER_LINES_SQL, S.GOALIE_LINES_SQL)
+    + f"""
+SELECT 'player_by_id' AS kind, player_id AS id, player_name AS label, CAST(NULL AS DOUBLE) AS value FROM players WHERE player_id = {LOOKUP_PLAYER}
+UNION ALL SELECT 'free_agent', player_id, player_name, NULL FROM players WHERE fantasy_team_id IS NULL
+UNION ALL SELECT 'team_by_name', team_id, team_name, NULL FROM fantasy_teams WHERE team_name = 'NATION_{LOOKUP_TEAM}'
+UNION ALL SELECT 'roster', player_id, player_name, NULL FROM players WHERE fantasy_team_id = {LOOKUP_TEAM}
+UNION ALL SELECT 'skater_log', game_id, CAST(game_date AS VARCHAR), total_fpts FROM skater_lines WHERE player_id = {LOOKUP_PLAYER}
+UNION ALL SELECT 'goalie_log', game_id, CAST(game_date AS VARCHAR), total_fpts FROM goalie_lines WHERE player_id = {LOOKUP_PLAYER}
+UNION ALL SELECT 'date_skater', game_id, CAST(player_id AS VARCHAR), total_fpts FROM skater_lines WHERE game_date = DATE '{LOOKUP_DATE}'
+UNION ALL SELECT 'date_goalie', game_id, CAST(player_id AS VARCHAR), total_fpts FROM goalie_lines WHERE game_date = DATE '{LOOKUP_DATE}'
+UNION ALL SELECT 'teams_by_name', team_id, team_name, NULL FROM fantasy_teams""",
+)
+def lookups(spark, d):
+    players = S.players(spark, d)
+    teams = S.fantasy_teams(spark, d)
+    sk = S.skater_lines(spark, d)
+    gk = S.goalie_lines(spark, d)
+
+    def shape(df, kind, id_col, label, value=None):
+        return df.select(
+            F.lit(kind).alias("kind"),
+            F.col(id_col).cast("bigint").alias("id"),
+            F.col(label).cast("string").alias("label"),
+            (F.col(value) if value else F.lit(None)).cast("double").alias("value"),
+        )
+
+    on_date = A.stats_on_date(sk, gk, LOOKUP_DATE)
+    parts = [
+        shape(A.player_by_id(players, LOOKUP_PLAYER), "player_by_id", "player_id", "player_name"),
+        shape(A.free_agents(players), "free_agent", "player_id", "player_name"),
+        shape(A.team_by_name(teams, f"NATION_{LOOKUP_TEAM}"), "team_by_name", "team_id", "team_name"),
+        shape(A.roster_of(players, LOOKUP_TEAM), "roster", "player_id", "player_name"),
+        shape(A.game_log(sk, LOOKUP_PLAYER), "skater_log", "game_id", "game_date", "total_fpts"),
+        shape(A.game_log(gk, LOOKUP_PLAYER), "goalie_log", "game_id", "game_date", "total_fpts"),
+        on_date.select(
+            F.concat(F.lit("date_"), F.col("kind")).alias("kind"),
+            F.col("game_id").cast("bigint").alias("id"),
+            F.col("player_id").cast("string").alias("label"),
+            F.col("total_fpts").cast("double").alias("value"),
+        ),
+        shape(A.teams_by_name(teams), "teams_by_name", "team_id", "team_name"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+# ------------------------------------------------------------ name search
+SEARCH_TERM = "Red"
+
+
+@register(
+    "name_search",
+    f"""
+SELECT p_partkey, p_name, 'contains' AS mode FROM part WHERE contains(lower(p_name), lower('{SEARCH_TERM}'))
+UNION ALL
+SELECT p_partkey, p_name, 'like' AS mode FROM part WHERE lower(p_name) LIKE '%' || lower('r_d') || '%'""",
+)
+def name_search(spark, d):
+    parts = S.table(spark, d, "part")
+    a = A.search_players(parts, SEARCH_TERM, name_col="p_name").select("p_partkey", "p_name", F.lit("contains").alias("mode"))
+    b = A.search_players(parts, "r_d", name_col="p_name", wildcards=True).select(
+        "p_partkey", "p_name", F.lit("like").alias("mode")
+    )
+    return a.unionByName(b)
+
+
+@register(
+    "name_search_batch",
+    """
+WITH terms AS (SELECT DISTINCT string_split(p_name, ' ')[-1] AS term FROM part)
+SELECT t.term, p.p_partkey FROM part p JOIN terms t ON contains(lower(p.p_name), lower(t.term))""",
+)
+def name_search_batch(spark, d):
+    parts = S.table(spark, d, "part")
+    terms = parts.select(F.element_at(F.split("p_name", " "), -1).alias("term")).distinct()
+    return A.search_many(parts, terms, name_col="p_name").select("term", "p_partkey")
