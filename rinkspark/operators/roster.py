@@ -8,10 +8,12 @@ A move table is applied to the player snapshot in one plan:
     trade  ``send`` team_id -> other,   teams differ, both sides non-empty,
            ``receive`` other -> team_id every player is on its sending team
 
-A player named by several moves of one batch goes to the earliest
-(move_ts, move_id) among the moves whose own checks pass; the others are
-rejected as ``conflict``. A trade is all or nothing: one failing player
-rejects the whole trade (``partner_rejected`` for its other players).
+A move whose own checks fail for any of its players is rejected as a whole
+(a trade is all or nothing) and claims no player. A player named by several
+of the remaining moves goes to the earliest (move_ts, move_id); the others
+are rejected as ``conflict`` (a trade losing one player loses all). Unlike
+applying moves one by one, a trade that loses a conflict still blocks later
+moves on its other players; the batch stays one parallel plan.
 
 Checks are aggregates joined back on their key (``min`` per player, ``min``
 per move), so a player or a move named very often is combined map-side.
@@ -93,15 +95,18 @@ def apply_roster_moves(players: DataFrame, moves: DataFrame) -> tuple[DataFrame,
         .when(~known, F.lit(1))
         .when(~team_ok, F.lit(2)),
     )
-    # Earliest claim per player among rows that pass their own checks.
+    # A move with any failing row is rejected outright and claims nobody.
+    own = r.groupBy("move_id").agg(F.min("row_reason").alias("_own"))
+    r = r.join(own, "move_id", "inner")
+    # Earliest claim per player among the moves that pass their own checks.
     claims = (
-        r.where(F.col("row_reason").isNull())
+        r.where(F.col("_own").isNull())
         .groupBy("player_id")
         .agg(F.min(F.struct("move_ts", "move_id")).alias("_first"))
     )
     r = r.join(claims, "player_id", "left").withColumn(
         "row_reason",
-        F.when(F.col("row_reason").isNotNull(), F.col("row_reason")).when(
+        F.when(F.col("_own").isNotNull(), F.col("row_reason")).when(
             (F.col("_first.move_ts") != F.col("move_ts")) | (F.col("_first.move_id") != F.col("move_id")), F.lit(3)
         ),
     )

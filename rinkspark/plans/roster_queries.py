@@ -72,15 +72,17 @@ r0 AS (
               WHEN pl.fantasy_team_id IS DISTINCT FROM r.from_team THEN 2 END AS reason0
   FROM rows_ r LEFT JOIN players pl ON pl.player_id = r.player_id
 ),
+own AS (SELECT move_id, min(reason0) AS own_reason FROM r0 GROUP BY move_id),
+r0o AS (SELECT r0.*, own.own_reason FROM r0 JOIN own ON own.move_id = r0.move_id),
 firsts AS (
   SELECT player_id, move_ts AS f_ts, move_id AS f_id FROM (
     SELECT player_id, move_ts, move_id, row_number() OVER (PARTITION BY player_id ORDER BY move_ts, move_id) AS rn
-    FROM r0 WHERE reason0 IS NULL) WHERE rn = 1
+    FROM r0o WHERE own_reason IS NULL) WHERE rn = 1
 ),
 r1 AS (
-  SELECT r0.*, CASE WHEN reason0 IS NOT NULL THEN reason0
-                    WHEN f.f_ts <> r0.move_ts OR f.f_id <> r0.move_id THEN 3 END AS reason
-  FROM r0 LEFT JOIN firsts f ON f.player_id = r0.player_id
+  SELECT r0o.*, CASE WHEN own_reason IS NOT NULL THEN reason0
+                     WHEN f.f_ts <> r0o.move_ts OR f.f_id <> r0o.move_id THEN 3 END AS reason
+  FROM r0o LEFT JOIN firsts f ON f.player_id = r0o.player_id
 ),
 per_move AS (SELECT move_id, min(reason) AS worst FROM r1 GROUP BY move_id),
 decisions AS (

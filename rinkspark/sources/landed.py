@@ -38,12 +38,21 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
 
 
 def split_corrupt(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(good rows without the corrupt column, quarantined raw lines)."""
+    """(good rows without the corrupt column, quarantined rows with their raw
+    text). The quarantine keeps the parsed columns too: Spark refuses a scan
+    of raw JSON that reads the corrupt-record column alone."""
     good = df.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    bad = df.where(F.col(CORRUPT).isNotNull()).select(CORRUPT)
+    bad = df.where(F.col(CORRUPT).isNotNull())
     return good, bad
 
 
+def write_quarantine(df: DataFrame, path: str) -> None:
+    """Write the rows that did not parse (raw text and whatever parsed) to a
+    quarantine table; count or inspect them from that table."""
+    _, bad = split_corrupt(df)
+    bad.write.mode("append").parquet(path)
+
+
 # ------------------------------------------------------------------- S1
 def schedule_games(schedule_docs: DataFrame) -> DataFrame:
     """S1 + T2: one row per game of the landed team schedules, flattened.
