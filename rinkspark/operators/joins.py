@@ -19,9 +19,23 @@ from pyspark.sql import functions as F
 DEFAULT_MAX_BROADCAST_ROWS = 100_000
 
 
+# Proven bounds, keyed by the plan's semantic hash and the files it reads
+# (a rewritten table has new file names, so a stale answer is not reused).
+_BOUNDS: dict[tuple, bool] = {}
+
+
 def has_at_most(df: DataFrame, max_rows: int) -> bool:
     """True when ``df`` has no more than ``max_rows`` rows."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    try:
+        key = (df.semanticHash(), tuple(sorted(df.inputFiles())), max_rows)
+    except Exception:  # noqa: BLE001 - plans without a stable hash are checked every time
+        key = None
+    if key is not None and key in _BOUNDS:
+        return _BOUNDS[key]
+    ok = df.limit(max_rows + 1).count() <= max_rows
+    if key is not None:
+        _BOUNDS[key] = ok
+    return ok
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:

@@ -85,7 +85,11 @@ def forest_predict(spark, d):
     ev = S.event_lines(spark, d).select("game_id", "player_id", "game_date", "opponent_abbrev", "total_fpts")
     frame = M.model_frame(ev)
     train, test = M.split_by_date(frame, FOREST_CUTOFF)
+    # The forest makes several passes over the training rows: keep them
+    # (recomputed from lineage if an executor is lost).
+    train = train.persist()
     model = M.train_forest(train)
+    train.unpersist()
     pred = model.transform(test)
     return pred.select("game_id", "player_id", "game_date", "total_fpts", F.round("prediction", 4).alias("prediction"))
 

@@ -131,12 +131,11 @@ box_lines AS (
 
 
 def headers(spark, d):
+    """Game headers of games with a box score, carrying the schedule's season."""
     g = S.games(spark, d)
-    return g.where(F.col("o_orderstatus") != "P").select("game_id", "home_abbrev", "away_abbrev")
-
-
-def seasons(spark, d):
-    return S.games(spark, d).select("game_id", F.col("season").cast("string").alias("season"))
+    return g.where(F.col("o_orderstatus") != "P").select(
+        "game_id", "home_abbrev", "away_abbrev", F.col("season").cast("string").alias("season")
+    )
 
 
 def team_names(spark, d):
@@ -189,7 +188,7 @@ SELECT game_id, player_id, game_date, season, team_abbrev, team_name, opponent_a
 FROM e WHERE raw_position <> 'G'""",
 )
 def enrich_lines(spark, d):
-    enriched = I.enrich(log_lines(spark, d), box_lines(spark, d), headers(spark, d), team_names(spark, d), seasons=seasons(spark, d))
+    enriched = I.enrich(log_lines(spark, d), box_lines(spark, d), headers(spark, d), team_names(spark, d))
     out = I.skater_fact(enriched)
     return out.select(*[r4(c) if c == "shooting_pct" else c for c in out.columns])
 
@@ -211,7 +210,7 @@ SELECT game_id, player_id, game_date, season, team_abbrev, team_name, opponent_a
 FROM e WHERE raw_position = 'G'""",
 )
 def enrich_goalie_lines(spark, d):
-    enriched = I.enrich(log_lines(spark, d), box_lines(spark, d), headers(spark, d), team_names(spark, d), seasons=seasons(spark, d))
+    enriched = I.enrich(log_lines(spark, d), box_lines(spark, d), headers(spark, d), team_names(spark, d))
     out = I.goalie_fact(enriched)
     return out.select(*[r4(c) if c in ("save_pct", "total_fpts") else c for c in out.columns])
 

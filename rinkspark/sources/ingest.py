@@ -82,7 +82,7 @@ def enrich(
     j = log.join(box, ["game_id", "player_id"], "left").join(headers, "game_id", "inner")
     if seasons is not None:
         j = j.join(seasons.select("game_id", "season"), "game_id", "left")
-    else:
+    elif "season" not in headers.columns:
         j = j.withColumn("season", F.lit(None).cast("string"))
     j = j.withColumn("opponent_abbrev", opponent())
     team_names = names.select(F.col("abbrev").alias("team_abbrev"), F.col("name").alias("team_name"))
