@@ -165,3 +165,17 @@ def build_facts(
 
     enriched = enrich(log, box_lines(box), box_headers(box), team_map(spark), seasons=seasons)
     return skater_fact(enriched), goalie_fact(enriched)
+
+
+def land_facts(skaters: DataFrame, goalies: DataFrame, root: str) -> dict[str, str]:
+    """Write both facts partitioned by season in one job each; a
+    re-landed season replaces only its own partition (dynamic overwrite),
+    so a prior-season job never touches the current season."""
+    from rinkspark.sources.store import overwrite_partitions
+
+    out = {}
+    for name, df in (("player_game_stats", skaters), ("goalie_game_stats", goalies)):
+        path = f"{root}/{name}"
+        overwrite_partitions(df, path, ["season"])
+        out[name] = path
+    return out

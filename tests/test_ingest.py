@@ -116,3 +116,21 @@ def test_weekly_csv(spark, tmp_dir):
         fh.write('BOS,2025-W46,2025-11-10,2025-11-16,2,"@ DAL, vs WPG"\n')
     r = L.read_weekly_csv(spark, p).first()
     assert (r.team, r.game_count, r.opponents, str(r.monday_date)) == ("BOS", 2, "@ DAL, vs WPG", "2025-11-10")
+
+
+def test_land_facts_by_season(spark, tmp_dir):
+    from rinkspark import schemas
+    from rinkspark.sources.store import conform
+
+    def fact(rows):
+        df = spark.createDataFrame(rows, "game_id long, player_id long, season string, total_fpts double")
+        return conform(df, schemas.PLAYER_GAME_STATS)
+
+    def gfact(rows):
+        df = spark.createDataFrame(rows, "game_id long, player_id long, season string, total_fpts double")
+        return conform(df, schemas.GOALIE_GAME_STATS)
+
+    I.land_facts(fact([(1, 1, "20242025", 1.0), (2, 1, "20252026", 2.0)]), gfact([(3, 2, "20252026", 4.0)]), tmp_dir)
+    I.land_facts(fact([(9, 1, "20252026", 9.0)]), gfact([(8, 2, "20252026", 8.0)]), tmp_dir)
+    got = sorted((r.game_id, str(r.season)) for r in spark.read.parquet(f"{tmp_dir}/player_game_stats").collect())
+    assert got == [(1, "20242025"), (9, "20252026")]
