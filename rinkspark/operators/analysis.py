@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from rinkspark import constants as K
 from rinkspark.functions.calendar import matchup_code, matchup_items
 from rinkspark.functions.scoring import label_or, seconds_to_minutes
-from rinkspark.operators.joins import join_small
 
 DateLike = dt.date | str | Column
 
@@ -128,7 +127,7 @@ def matchup_outlook(
     player's kind. Missing opponent -> ``No difficulty data``.
 
     ``difficulty`` has columns (``kind``, opponent_abbrev, ``value``, rank);
-    it is one row per team and kind, so it is broadcast behind a size check.
+    one row per team and kind.
     """
     w = F.lit(week) if isinstance(week, str) else week
     week_rows = schedule.where(F.col("week") == w).select(
@@ -147,7 +146,9 @@ def matchup_outlook(
         .withColumn("opponent_abbrev", matchup_code("matchup"))
     )
     diff = difficulty.select(kind, "opponent_abbrev", value, "rank")
-    joined = join_small(exploded, diff, [kind, "opponent_abbrev"], "left")
+    # Derived table (one row per team and kind): AQE broadcasts it at run
+    # time from its materialised size; no extra pass to count it.
+    joined = exploded.join(diff, [kind, "opponent_abbrev"], "left")
     return joined.withColumn(
         "difficulty",
         F.when(F.col("rank").isNull(), F.lit(K.NO_DIFFICULTY)).otherwise(difficulty_tier("rank")),

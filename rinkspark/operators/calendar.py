@@ -17,7 +17,6 @@ from rinkspark.functions.calendar import (
     week_key_of_date,
 )
 from rinkspark.operators.analysis import DateLike, _date
-from rinkspark.operators.joins import join_small
 
 
 def games_by_date(games: DataFrame, *, ts_col: str = "start_time_utc", out: str = "game_date") -> DataFrame:
@@ -123,7 +122,7 @@ def remaining_games(
     if teams is None:
         return per_team
     all_teams = teams.select(team_col).distinct()
-    out = join_small(all_teams, per_team, team_col, "left")
+    out = all_teams.join(per_team, team_col, "left")
     return out.select(
         team_col,
         F.coalesce("n_games", F.lit(0)).alias("n_games"),

@@ -23,7 +23,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rinkspark.operators.joins import join_small
 
 _SUM_TYPE = "decimal(38,6)"
 
@@ -116,14 +115,13 @@ def opponent_strength(
     opponent: str = "opponent_abbrev",
     date_col: str = "game_date",
     value: str = "total_fpts",
-    max_broadcast_rows: int = 1_000_000,
 ) -> DataFrame:
     """M3: for each line, the mean points the opponent allowed in games
     strictly before this date (null when there is no earlier game).
 
     Aggregated to one row per (opponent, day) first; the running totals are
-    a window over that small table, joined back (broadcast when proven
-    small)."""
+    a window over that small table, joined back (AQE broadcasts it at run
+    time when its materialised size is small)."""
     day = df.groupBy(opponent, date_col).agg(
         F.count(F.col(value)).alias("_n"), F.sum(F.col(value).cast(_SUM_TYPE)).alias("_s")
     )
@@ -133,7 +131,7 @@ def opponent_strength(
         date_col,
         (F.sum("_s").over(w) / F.sum("_n").over(w)).cast("double").alias("opp_strength"),
     )
-    return join_small(df, prior, [opponent, date_col], "left", max_broadcast_rows)
+    return df.join(prior, [opponent, date_col], "left")
 
 
 def home_away_split(

@@ -1,10 +1,17 @@
 """Join helpers: broadcast only behind a checked size bound.
 
-A side is broadcast only after a bounded count proves it has at most
-``max_rows`` rows (the count reads at most ``max_rows + 1`` rows, so the
-check itself is cheap at any scale). Beyond the bound the join is left to
-Catalyst + AQE, which pick a sort-merge or shuffled-hash join and still
-convert to a broadcast at run time when the shuffled side turns out small.
+Two kinds of check, by where the small side comes from:
+
+* a dimension read from storage (teams, name maps, search terms): a bounded
+  count proves it has at most ``max_rows`` rows (the count reads at most
+  ``max_rows + 1`` rows and is cached per plan and file set), then it is
+  broadcast - :func:`join_small`;
+* a side derived by an aggregation (difficulty tables, per-day totals): no
+  count, which would compute the aggregate twice. The join is planned as a
+  shuffle join and AQE converts it to a broadcast at run time when the
+  materialised shuffle output is under
+  ``spark.sql.adaptive.autoBroadcastJoinThreshold`` - a size check on the
+  actual bytes, with the shuffle join as the way beyond it.
 """
 
 from __future__ import annotations

@@ -260,7 +260,7 @@ def schedule_flatten(spark, d):
     both = g.where(F.col("season") <= 1998).unionByName(g.where(F.col("season") >= 1997))
     one = L.regular_season(L.unique_games(both, version_col=None))
     per_home = one.groupBy("home_abbrev").agg(F.count(F.lit(1)).alias("home_games"))
-    return S.join_small(one, per_home, "home_abbrev", "inner", S.NATION_ROWS_MAX).select(
+    return one.join(per_home, "home_abbrev", "inner").select(
         "game_id", "season", F.col("start_time_utc").cast("timestamp_ntz").alias("start_time_utc"),
         "home_abbrev", "away_abbrev", "home_games",
     )
