@@ -16,8 +16,13 @@ def parse_instant(text: ColumnLike) -> Column:
 
 
 def local_time(ts: ColumnLike, tz: str = K.LEAGUE_TIME_ZONE) -> Column:
-    """Wall-clock time in the league zone (session zone must be UTC)."""
-    return F.from_utc_timestamp(_col(ts).cast("timestamp"), tz)
+    """Wall-clock time (timestamp_ntz) in the league zone of a UTC instant.
+
+    A ``timestamp_ntz`` input is read as UTC wall time and converted with
+    ``convert_timezone``, independent of the session zone. A ``timestamp``
+    input is first rendered in the session zone, which must be UTC (the
+    library's sessions pin it)."""
+    return F.convert_timezone(F.lit("UTC"), F.lit(tz), _col(ts).cast("timestamp_ntz"))
 
 
 def league_date(ts: ColumnLike, tz: str = K.LEAGUE_TIME_ZONE) -> Column:

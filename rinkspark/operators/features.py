@@ -13,7 +13,8 @@ player with a third of all games into one task. Instead:
    one aggregation on (player, index) - a key with at most ``2 + len(ks)``
    rows - gathers them, and mean of previous k = (S(i-1) - S(i-1-k)) / n.
 
-Sums run in DECIMAL, so the differences of prefix sums are exact.
+Sums run in DECIMAL, so the differences of prefix sums are exact; the mean
+is that exact difference divided in double.
 """
 
 from __future__ import annotations
@@ -103,7 +104,9 @@ def rolling_features(
     for k in ks:
         n = F.least(F.lit(k), F.col("_i") - 1)
         diff = F.coalesce(F.col("_S_prev"), zero) - F.coalesce(F.col(f"_S_k{k}"), zero)
-        cols.append(F.when(F.col("_i") > 1, (diff / n).cast("double")).alias(f"avg_prev_{k}"))
+        # The difference is exact in DECIMAL; divide in double (a DECIMAL
+        # quotient would keep only the sum's scale).
+        cols.append(F.when(F.col("_i") > 1, diff.cast("double") / n).alias(f"avg_prev_{k}"))
     rest = F.datediff(F.col(date_col), F.col("_prev_date"))
     cols += [rest.alias("rest_days"), (rest == 1).alias("back_to_back"), F.col("_i").alias("game_number")]
     return j.select(*cols)
@@ -129,7 +132,7 @@ def opponent_strength(
     prior = day.select(
         opponent,
         date_col,
-        (F.sum("_s").over(w) / F.sum("_n").over(w)).cast("double").alias("opp_strength"),
+        (F.sum("_s").over(w).cast("double") / F.sum("_n").over(w)).alias("opp_strength"),
     )
     return df.join(prior, [opponent, date_col], "left")
 

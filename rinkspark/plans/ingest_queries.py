@@ -261,7 +261,7 @@ def schedule_flatten(spark, d):
     one = L.regular_season(L.unique_games(both, version_col=None))
     per_home = one.groupBy("home_abbrev").agg(F.count(F.lit(1)).alias("home_games"))
     return one.join(per_home, "home_abbrev", "inner").select(
-        "game_id", "season", F.col("start_time_utc").cast("timestamp_ntz").alias("start_time_utc"),
+        "game_id", "season", "start_time_utc",
         "home_abbrev", "away_abbrev", "home_games",
     )
 

@@ -108,9 +108,8 @@ fantasy_teams AS (
 def games(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
     c = table(spark, d, "customer").select("c_custkey", "c_nationkey")
-    start = (F.col("o_orderdate") + F.make_interval(hours=(F.col("o_orderkey") % 24).cast("int"))).cast(
-        "timestamp"
-    )
+    # UTC wall time, kept as timestamp_ntz (no session-zone dependence).
+    start = F.col("o_orderdate") + F.make_interval(hours=(F.col("o_orderkey") % 24).cast("int"))
     g = o.join(c, o.o_custkey == c.c_custkey, "inner").select(
         F.col("o_orderkey").alias("game_id"),
         F.col("o_custkey").alias("player_id"),
