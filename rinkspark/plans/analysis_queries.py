@@ -427,3 +427,29 @@ def name_search_batch(spark, d):
     parts = S.table(spark, d, "part")
     terms = parts.select(F.element_at(F.split("p_name", " "), -1).alias("term")).distinct()
     return A.search_many(parts, terms, name_col="p_name").select("term", "p_partkey")
+
+
+# ------------------------------------------------------- S5: SQL with args
+@register(
+    "hot_list_sql",
+    HOT_LIST_SQL.format(as_of=EVENTS_AS_OF, season=EVENTS_SEASON, where=""),
+)
+def hot_list_sql(spark, d):
+    import datetime as dt
+
+    from rinkspark.sources.sql import HOT_LIST_TEXT, run_sql
+
+    views = {
+        "fact": S.event_lines(spark, d),
+        "players": S.players(spark, d),
+        "fantasy_team": S.fantasy_teams(spark, d),
+    }
+    args = {
+        "as_of": dt.date.fromisoformat(EVENTS_AS_OF),
+        "days": 14,
+        "season": EVENTS_SEASON,
+        "min_games": 2,
+        "top": 100,
+    }
+    out = run_sql(spark, HOT_LIST_TEXT, views, args)
+    return out.select(*[r4(c) if c == "avg_fpts_last_14" else c for c in out.columns])

@@ -70,3 +70,27 @@ def remaining_games(spark, d):
     out = C.remaining_games(regular_games(spark, d), REMAINING_AS_OF, teams)
     monday, _ = C.week_frame(REMAINING_AS_OF)
     return out.select("team", "n_games", F.array_join("games", ", ").alias("games"), monday.alias("week_monday"))
+
+
+COUNTS_AS_OF = "1999-03-01"
+
+
+@register(
+    "past_future_counts",
+    S.with_ctes(S.GAMES_SQL)
+    + f"""
+SELECT game_type, count_if(game_date < DATE '{COUNTS_AS_OF}') AS n_past,
+       count_if(game_date >= DATE '{COUNTS_AS_OF}') AS n_future, count_if(game_date IS NULL) AS n_undated,
+       count_if(game_date = DATE '{COUNTS_AS_OF}' - INTERVAL 1 DAY) AS n_yesterday
+FROM games GROUP BY game_type""",
+)
+def past_future_counts(spark, d):
+    """C2/C3 per game type: past, future, undated and yesterday's games."""
+    g = S.games(spark, d)
+    a = F.lit(COUNTS_AS_OF).cast("date")
+    return g.groupBy("game_type").agg(
+        F.count_if(F.col("game_date") < a).alias("n_past"),
+        F.count_if(F.col("game_date") >= a).alias("n_future"),
+        F.count_if(F.col("game_date").isNull()).alias("n_undated"),
+        F.count_if(F.col("game_date") == F.date_sub(a, 1)).alias("n_yesterday"),
+    )

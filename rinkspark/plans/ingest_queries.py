@@ -328,3 +328,41 @@ def partial_upsert(spark, d):
     )
     out = ST.partial_upsert(old, new, "c_custkey", ["c_acctbal"])
     return out.select("c_custkey", "c_name", "c_nationkey", F.round("c_acctbal", 4).alias("c_acctbal"), "c_mktsegment")
+
+
+# ------------------------------------------------------ B12 quality count
+@register(
+    "enrich_quality",
+    ENRICH_SQL
+    + """
+SELECT count(*) AS n_lines,
+       count_if(j2.team_abbrev <> h.home_abbrev AND j2.team_abbrev <> h.away_abbrev) AS unmatched_team_lines
+FROM j j2 JOIN hdr h ON h.game_id = j2.game_id""",
+)
+def enrich_quality(spark, d):
+    """Lines whose team is neither side of their game (the opponent rule
+    falls back to the home side for them)."""
+    enriched = I.enrich(log_lines(spark, d), box_lines(spark, d), headers(spark, d), team_names(spark, d))
+    return enriched.agg(
+        F.count(F.lit(1)).alias("n_lines"),
+        F.count_if(
+            (F.col("team_abbrev") != F.col("home_abbrev")) & (F.col("team_abbrev") != F.col("away_abbrev"))
+        ).alias("unmatched_team_lines"),
+    )
+
+
+# -------------------------------------------------------- S11 contract
+@register(
+    "contract_check",
+    """
+WITH k AS (SELECT l_orderkey, l_linenumber, count(*) AS n, count_if(l_shipdate IS NULL) AS ns, count_if(l_partkey IS NULL) AS np
+           FROM lineitem GROUP BY l_orderkey, l_linenumber)
+SELECT coalesce(sum(CASE WHEN n > 1 THEN n - 1 END), 0)::BIGINT AS duplicate_keys,
+       coalesce(sum(CASE WHEN l_orderkey IS NULL OR l_linenumber IS NULL THEN n END), 0)::BIGINT AS null_keys,
+       coalesce(sum(ns), 0)::BIGINT AS null_l_shipdate, coalesce(sum(np), 0)::BIGINT AS null_l_partkey
+FROM k""",
+)
+def contract_check(spark, d):
+    """S11 as a quality job on the line table's (order, line number) key."""
+    li = S.table(spark, d, "lineitem")
+    return ST.contract_violations(li, ["l_orderkey", "l_linenumber"], ["l_shipdate", "l_partkey"])
