@@ -113,3 +113,69 @@ FROM players p LEFT JOIN moved m ON m.player_id = p.player_id""",
 def roster_after_moves(spark, d):
     after, _ = _apply(spark, d)
     return after
+
+
+# ----------------------------------------------------------- R1 and R5
+@register(
+    "roster_create_teams",
+    """
+WITH req AS (
+  SELECT CAST(r_regionkey AS BIGINT) AS move_id, TIMESTAMP '2024-01-01 00:00:00' AS move_ts,
+         CASE WHEN r_regionkey = 2 THEN '  ' ELSE 'Club ' || r_name END AS team_name, lower(r_name) AS owner_name
+  FROM region
+),
+ok AS (SELECT * FROM req WHERE length(trim(team_name)) > 0 AND length(trim(owner_name)) > 0),
+top AS (SELECT max(n_nationkey) AS m FROM nation)
+SELECT CAST(n_nationkey AS BIGINT) AS team_id, n_name AS team_name, CAST(NULL AS VARCHAR) AS owner_name FROM nation
+UNION ALL
+SELECT CAST((SELECT m FROM top) + row_number() OVER (ORDER BY move_ts, move_id) AS BIGINT), trim(team_name), trim(owner_name)
+FROM ok""",
+)
+def roster_create_teams(spark, d):
+    """New roster teams from a request list (one blank name is
+    rejected); ids continue after the highest existing id."""
+    teams = S.table(spark, d, "nation").select(
+        F.col("n_nationkey").cast("bigint").alias("team_id"),
+        F.col("n_name").alias("team_name"),
+        F.lit(None).cast("string").alias("owner_name"),
+    )
+    req = S.table(spark, d, "region").select(
+        F.col("r_regionkey").cast("bigint").alias("move_id"),
+        F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("move_ts"),
+        F.when(F.col("r_regionkey") == 2, F.lit("  ")).otherwise(F.concat(F.lit("Club "), "r_name")).alias("team_name"),
+        F.lower("r_name").alias("owner_name"),
+    )
+    out, _ = R.create_teams(teams, req)
+    return out
+
+
+@register(
+    "roster_reset",
+    S.with_ctes(S.PLAYERS_SQL, S.FANTASY_TEAMS_SQL)
+    + """
+SELECT 'n_players' AS metric, count(*) AS value FROM players
+UNION ALL SELECT 'n_rostered_before', count_if(fantasy_team_id IS NOT NULL) FROM players
+UNION ALL SELECT 'n_rostered', 0::BIGINT
+UNION ALL SELECT 'n_teams_before', count(*) FROM fantasy_teams
+UNION ALL SELECT 'n_teams', 0::BIGINT""",
+)
+def roster_reset(spark, d):
+    """Every player a free agent, no roster team left (one metric per row)."""
+    players = S.players(spark, d).select("player_id", "fantasy_team_id")
+    teams = S.fantasy_teams(spark, d)
+    after, teams_after = R.reset_rosters(players, teams)
+
+    def metric(name, df, expr):
+        return df.agg(expr.alias("value")).select(F.lit(name).alias("metric"), "value")
+
+    parts = [
+        metric("n_players", after, F.count(F.lit(1))),
+        metric("n_rostered_before", players, F.count_if(F.col("fantasy_team_id").isNotNull())),
+        metric("n_rostered", after, F.count_if(F.col("fantasy_team_id").isNotNull())),
+        metric("n_teams_before", teams, F.count(F.lit(1))),
+        metric("n_teams", teams_after, F.count(F.lit(1))),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
