@@ -418,19 +418,70 @@ def search_many(
     *,
     name_col: str = "player_name",
     term_col: str = "term",
-    max_terms: int = 10_000,
+    max_broadcast_terms: int = 10_000,
+    gram: int = 3,
 ) -> DataFrame:
-    """L8, batch form: every (term, player) pair where the lower-cased name
-    contains the lower-cased term. The term list is the build side of a
-    broadcast nested-loop join and is broadcast only when it is proven to
-    hold at most ``max_terms`` rows; longer lists are rejected rather than
-    turned into an unbounded cross product."""
+    """L8, batch form: every (distinct term, player) pair where the
+    lower-cased name contains the lower-cased term.
+
+    A term list proven to hold at most ``max_broadcast_terms`` rows is the
+    broadcast side of a nested-loop join (names x terms, JVM ``contains``).
+    A longer list takes an exact equi-join path instead - see
+    :func:`_search_by_grams` - so there is no cap on the number of terms."""
     from rinkspark.operators.joins import has_at_most
 
-    if not has_at_most(terms, max_terms):
-        raise ValueError(f"search_many takes at most {max_terms} terms")
-    t = F.broadcast(terms.select(F.col(term_col), F.lower(F.col(term_col)).alias("_lt")))
-    return players.join(t, F.lower(F.col(name_col)).contains(F.col("_lt")), "inner").drop("_lt")
+    # An empty term is not a search: it is dropped (it would match every name).
+    t = (
+        terms.select(F.col(term_col), F.lower(F.col(term_col)).alias("_lt"))
+        .where(F.length("_lt") > 0)
+        .dropDuplicates([term_col])
+    )
+    if has_at_most(t, max_broadcast_terms):
+        return players.join(F.broadcast(t), F.lower(F.col(name_col)).contains(F.col("_lt")), "inner").drop("_lt")
+    return _search_by_grams(players, t, name_col=name_col, term_col=term_col, gram=gram)
+
+
+def _grams(text: Column, n: int) -> Column:
+    """Distinct substrings of length ``n`` of ``text``."""
+    return F.array_distinct(
+        F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, n))
+    )
+
+
+def _search_by_grams(players: DataFrame, t: DataFrame, *, name_col: str, term_col: str, gram: int) -> DataFrame:
+    """Exact substring search as equi-joins, for term lists too long to
+    broadcast.
+
+    * A term of length m < ``gram`` matches exactly when it equals one of the
+      name's substrings of length m: join on (substring) equality.
+    * A longer term contains ``gram``-letter pieces; every name containing
+      the term contains its rarest piece. Piece frequencies over all names
+      pick that piece per term, the join on it yields candidates, and
+      ``contains`` keeps the true matches.
+    """
+    name = F.lower(F.col(name_col))
+    cols = players.columns
+    short = t.where(F.length("_lt") < gram)
+    long_ = t.where(F.length("_lt") >= gram)
+
+    # short terms: names exploded into their substrings of length 1..gram-1
+    subs = F.array_distinct(F.flatten(F.array(*[_grams(name, k) for k in range(1, gram)])))
+    name_subs = players.select(*cols, F.explode(subs).alias("_lt"))
+    short_hits = name_subs.join(short, "_lt", "inner")
+
+    # long terms: rarest piece, then candidates, then verification
+    name_grams = players.select(*cols, F.explode(_grams(name, gram)).alias("_g"))
+    freq = name_grams.groupBy("_g").agg(F.count(F.lit(1)).alias("_f"))
+    term_grams = long_.select(term_col, "_lt", F.explode(_grams(F.col("_lt"), gram)).alias("_g"))
+    rarest = (
+        term_grams.join(freq, "_g", "left")
+        .groupBy(term_col, "_lt")
+        .agg(F.min(F.struct(F.coalesce("_f", F.lit(0)).alias("f"), F.col("_g").alias("g"))).alias("_r"))
+        .select(term_col, "_lt", F.col("_r.g").alias("_g"))
+    )
+    long_hits = name_grams.join(rarest, "_g", "inner").where(F.lower(F.col(name_col)).contains(F.col("_lt")))
+    keep = [*cols, term_col]
+    return short_hits.select(*keep).unionByName(long_hits.select(*keep))
 
 
 def teams_by_name(teams: DataFrame) -> DataFrame:

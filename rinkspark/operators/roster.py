@@ -24,7 +24,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rinkspark.operators.joins import has_at_most
 
 # Reason codes, in the order a move reports them (first failing wins).
 REASONS = ("invalid_move", "unknown_player", "wrong_team", "conflict", "partner_rejected")
@@ -133,30 +132,32 @@ def apply_roster_moves(players: DataFrame, moves: DataFrame) -> tuple[DataFrame,
     return out.select(*cols), decisions
 
 
-def create_teams(
-    teams: DataFrame,
-    requests: DataFrame,
-    *,
-    max_requests: int = 100_000,
-) -> tuple[DataFrame, DataFrame]:
+def create_teams(teams: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Append teams whose name and owner are non-empty; ids continue
     after the current maximum in request order. Returns (teams, rejected).
 
-    Id assignment is a dense sequence, so it runs as one ordered window over
-    the request list; the list is size-checked first."""
-    if not has_at_most(requests, max_requests):
-        raise ValueError(f"create_teams takes at most {max_requests} requests per batch")
+    Ids are a dense sequence in (move_ts, move_id) order, numbered in two
+    levels so no single task sees every request: row numbers within each
+    request day, plus per-day offsets from a window over the day counts (one
+    row per day)."""
     from pyspark.sql import Window
 
     ok = (F.length(F.trim(F.coalesce("team_name", F.lit("")))) > 0) & (
         F.length(F.trim(F.coalesce("owner_name", F.lit("")))) > 0
     )
-    good = requests.where(ok)
+    good = requests.where(ok).withColumn("_day", F.to_date("move_ts"))
     bad = requests.where(~ok)
     top = teams.agg(F.coalesce(F.max("team_id"), F.lit(0)).alias("m")).first()["m"]  # one scalar
-    w = Window.orderBy("move_ts", "move_id")
-    new = good.select(
-        (F.lit(top) + F.row_number().over(w)).cast("bigint").alias("team_id"),
+    local = good.withColumn("_n", F.row_number().over(Window.partitionBy("_day").orderBy("move_ts", "move_id")))
+    per_day = good.groupBy("_day").agg(F.count(F.lit(1)).alias("_c"))
+    offsets = per_day.select(
+        "_day",
+        F.coalesce(
+            F.sum("_c").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+        ).alias("_off"),
+    )
+    new = local.join(offsets, "_day", "inner").select(
+        (F.lit(top) + F.col("_off") + F.col("_n")).cast("bigint").alias("team_id"),
         F.trim("team_name").alias("team_name"),
         F.trim("owner_name").alias("owner_name"),
     )

@@ -112,3 +112,13 @@ def test_lookups(spark):
     assert [r.game_id for r in A.game_log(f, 1).collect()] == [2, 1]
     both = A.stats_on_date(f, f.withColumn("saves", F.lit(3)), D(2025, 1, 3))
     assert sorted(r.kind for r in both.collect()) == ["goalie", "skater"]
+
+
+def test_search_many_gram_path_equals_broadcast_path(spark):
+    names = ["Red Bolt", "blue bolt", "Sébastien Aho", "ab", "x", "Bolton Red"]
+    players = spark.createDataFrame(list(enumerate(names)), "player_id long, player_name string")
+    terms = spark.createDataFrame([(t,) for t in ["bolt", "RED", "a", "ab", "séb", "zzz", "o", "bolton red", "ed"]], "term string")
+    small = sorted((r.term, r.player_id) for r in A.search_many(players, terms).collect())
+    exact = sorted((r.term, r.player_id) for r in A.search_many(players, terms, max_broadcast_terms=0).collect())
+    assert small == exact
+    assert ("bolton red", 5) in exact and ("a", 2) in exact
