@@ -158,9 +158,6 @@ def home_away_split(
 
 
 # ---------------------------------------------------------------- M5-M7
-FEATURES = ("avg_prev_3", "avg_prev_5", "rest_days", "b2b", "opp_strength", "kind_index")
-
-
 def model_frame(df: DataFrame, *, kind_col: str = "opponent_abbrev") -> DataFrame:
     """M1-M4 features with nulls filled (first games: -1), plus a kind index
     (string indexer, fitted inside the pipeline)."""

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 
 # Reason codes, in the order a move reports them (first failing wins).
-REASONS = ("invalid_move", "unknown_player", "wrong_team", "conflict", "partner_rejected")
+REASONS = ("invalid_move", "unknown_player", "wrong_team", "conflict")
 _ROWS_TYPE = "array<struct<player_id:bigint,from_team:bigint,to_team:bigint>>"
 
 

@@ -15,9 +15,7 @@ ORDERS_SEASON = "1998"
 ORDERS_AS_OF = "2001-08-02"
 
 
-def r4(c):
-    # "+ 0.0" turns a rounded -0.0 into 0.0 so both engines print one zero.
-    return (F.round(F.col(c), 4) + F.lit(0.0)).alias(c)
+from rinkspark.plans.rounding import r4, rnd4  # noqa: E402,F401
 
 
 # --------------------------------------------------------------- hot list
@@ -276,7 +274,7 @@ def player_report(spark, d):
             r4("avg_fpts_last_14_days"),
             F.size("history").cast("bigint").alias("n_opponents"),
             F.col("history")[0]["opponent_abbrev"].alias("best_opponent"),
-            (F.round(F.col("history")[0]["avg_fpts_against"], 4) + F.lit(0.0)).alias("best_avg_against"),
+            rnd4(F.col("history")[0]["avg_fpts_against"]).alias("best_avg_against"),
         )
 
     sk = part(S.skater_lines(spark, d), players.where(~F.col("is_goalie")))

@@ -14,8 +14,7 @@ PRIOR_SEASON = "1997"
 SPLIT_DATE = "1998-07-01"
 
 
-def r4(c):
-    return (F.round(F.col(c), 4) + F.lit(0.0)).alias(c)
+from rinkspark.plans.rounding import r4, rnd4  # noqa: E402,F401
 
 
 def goalie_players_lines(spark, d):

@@ -12,8 +12,7 @@ from rinkspark.plans.registry import register
 FOREST_CUTOFF = "2024-01-23"
 
 
-def r4(c):
-    return (F.round(F.col(c), 4) + F.lit(0.0)).alias(c)
+from rinkspark.plans.rounding import r4, rnd4  # noqa: E402,F401
 
 
 @register(

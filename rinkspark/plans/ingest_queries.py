@@ -23,8 +23,7 @@ from rinkspark.sources import landed as L
 from rinkspark.sources import store as ST
 
 
-def r4(c):
-    return (F.round(F.col(c), 4) + F.lit(0.0)).alias(c)
+from rinkspark.plans.rounding import r4, rnd4  # noqa: E402,F401
 
 
 _POSITION = (
@@ -327,7 +326,7 @@ def partial_upsert(spark, d):
         "c_custkey", (F.col("c_acctbal") + 100).alias("c_acctbal")
     )
     out = ST.partial_upsert(old, new, "c_custkey", ["c_acctbal"])
-    return out.select("c_custkey", "c_name", "c_nationkey", F.round("c_acctbal", 4).alias("c_acctbal"), "c_mktsegment")
+    return out.select("c_custkey", "c_name", "c_nationkey", r4("c_acctbal"), "c_mktsegment")
 
 
 # ------------------------------------------------------ B12 quality count

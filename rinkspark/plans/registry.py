@@ -19,7 +19,10 @@ def register(name: str, sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
             raise ValueError(f"query {name!r} registered twice")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = sql
+            # Same tie-proof 4-place rounding as the Spark side.
+            from rinkspark.plans.rounding import sql_round4
+
+            ORACLES[name] = sql_round4(sql)
         return fn
 
     return deco

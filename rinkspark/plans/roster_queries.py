@@ -87,7 +87,7 @@ r1 AS (
 per_move AS (SELECT move_id, min(reason) AS worst FROM r1 GROUP BY move_id),
 decisions AS (
   SELECT mv.move_id, mv.kind, pm.worst IS NULL AS accepted,
-         ['invalid_move', 'unknown_player', 'wrong_team', 'conflict', 'partner_rejected'][pm.worst + 1] AS reason
+         ['invalid_move', 'unknown_player', 'wrong_team', 'conflict'][pm.worst + 1] AS reason
   FROM mv LEFT JOIN per_move pm ON pm.move_id = mv.move_id
 )
 """

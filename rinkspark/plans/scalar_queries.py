@@ -10,8 +10,7 @@ from rinkspark.plans import standins as S
 from rinkspark.plans.registry import register
 
 
-def r4(c):
-    return F.round(F.col(c), 4).alias(c)
+from rinkspark.plans.rounding import r4, rnd4  # noqa: E402,F401
 
 
 # F3 + T12: skater points per line, summed per game -------------------------
@@ -100,7 +99,7 @@ FROM lineitem""",
 def ratio_or_null(spark, d):
     li = S.table(spark, d, "lineitem")
     ratio = RF.ratio_or_null(F.round(F.col("l_discount") * 100), F.round(F.col("l_tax") * 100))
-    return li.select("l_orderkey", "l_linenumber", "l_suppkey", F.round(ratio, 4).alias("ratio"))
+    return li.select("l_orderkey", "l_linenumber", "l_suppkey", rnd4(ratio).alias("ratio"))
 
 
 # Name key ------------------------------------------------------------

@@ -77,7 +77,6 @@ def enrich(
         "save_pct",
         "goals_against",
         "decision",
-        F.lit(True).alias("_in_box"),
     )
     j = log.join(box, ["game_id", "player_id"], "left").join(headers, "game_id", "inner")
     if seasons is not None:
