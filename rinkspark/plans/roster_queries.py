@@ -120,7 +120,7 @@ def roster_after_moves(spark, d):
     "roster_create_teams",
     """
 WITH req AS (
-  SELECT CAST(r_regionkey AS BIGINT) AS move_id, TIMESTAMP '2024-01-01 00:00:00' AS move_ts,
+  SELECT CAST(r_regionkey AS BIGINT) AS move_id, TIMESTAMP '2024-01-01 00:00:00' + to_hours(r_regionkey) AS move_ts,
          CASE WHEN r_regionkey = 2 THEN '  ' ELSE 'Club ' || r_name END AS team_name, lower(r_name) AS owner_name
   FROM region
 ),
@@ -141,7 +141,7 @@ def roster_create_teams(spark, d):
     )
     req = S.table(spark, d, "region").select(
         F.col("r_regionkey").cast("bigint").alias("move_id"),
-        F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("move_ts"),
+        (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_interval(hours=F.col("r_regionkey"))).alias("move_ts"),
         F.when(F.col("r_regionkey") == 2, F.lit("  ")).otherwise(F.concat(F.lit("Club "), "r_name")).alias("team_name"),
         F.lower("r_name").alias("owner_name"),
     )
