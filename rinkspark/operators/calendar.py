@@ -136,3 +136,10 @@ def week_frame(as_of: DateLike) -> tuple[Column, Column]:
 
     a = _date(as_of)
     return week_start(a), week_end(a)
+
+
+def league_teams(spark) -> DataFrame:
+    """C7's zero-fill list: every team code of the league (fixed values)."""
+    from rinkspark import constants as K
+
+    return spark.createDataFrame([(t,) for t in K.TEAM_CODES], "team string")
