@@ -98,3 +98,15 @@ def forest_metrics(spark, d):
     """M6 (rows-only check): MAE and R2 of the forecast on the test days."""
     pred = forest_predict(spark, d)
     return M.evaluate(pred)
+
+
+@register("forest_dimension")
+def forest_dimension(spark, d):
+    """M7 (rows-only check): each player's latest forecast written into the
+    player dimension's ``predicted_fpts`` (partial upsert: other columns and
+    players without a forecast untouched)."""
+    dim = S.players(spark, d).select(
+        "player_id", "player_name", "team_abbrev", "fantasy_team_id", F.lit(None).cast("double").alias("predicted_fpts")
+    )
+    pred = forest_predict(spark, d)
+    return M.predictions_to_dimension(dim, pred)

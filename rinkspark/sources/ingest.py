@@ -33,6 +33,18 @@ def team_map(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(sorted(K.TEAM_NAMES.items()), "abbrev string, name string")
 
 
+def team_code_map(spark: SparkSession) -> DataFrame:
+    """T10 reverse map: full team name -> code (32 rows)."""
+    return spark.createDataFrame(sorted((n, c) for c, n in K.TEAM_NAMES.items()), "name string, abbrev string")
+
+
+def with_team_code(df: DataFrame, names: DataFrame, *, name_col: str = "team_name", out: str = "team_abbrev") -> DataFrame:
+    """T10 reverse lookup: add the code of a full team name (null when the
+    name is unknown); the name table is broadcast behind its size check."""
+    m = names.select(F.col("name").alias(name_col), F.col("abbrev").alias(out))
+    return join_small(df, m, name_col, "left", 10_000)
+
+
 def opponent(team: str = "team_abbrev", home: str = "home_abbrev", away: str = "away_abbrev"):
     """The away side when the team is home, else the home side (also
     when the team is neither side: that case is counted by

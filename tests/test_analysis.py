@@ -122,3 +122,12 @@ def test_search_many_gram_path_equals_broadcast_path(spark):
     exact = sorted((r.term, r.player_id) for r in A.search_many(players, terms, max_broadcast_terms=0).collect())
     assert small == exact
     assert ("bolton red", 5) in exact and ("a", 2) in exact
+
+
+def test_team_week(spark):
+    sched = spark.createDataFrame(
+        [("BOS", "2025-W46", 2, "@ DAL, vs WPG"), ("BOS", "2025-W47", 1, "vs TOR"), ("TOR", "2025-W46", 1, "@ BOS")],
+        "team string, week string, game_count int, opponents string",
+    )
+    rows = A.team_week(sched, "BOS", "2025-W46").collect()
+    assert [(r.game_count, r.opponents) for r in rows] == [(2, "@ DAL, vs WPG")]

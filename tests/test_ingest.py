@@ -134,3 +134,10 @@ def test_land_facts_by_season(spark, tmp_dir):
     I.land_facts(fact([(9, 1, "20252026", 9.0)]), gfact([(8, 2, "20252026", 8.0)]), tmp_dir)
     got = sorted((r.game_id, str(r.season)) for r in spark.read.parquet(f"{tmp_dir}/player_game_stats").collect())
     assert got == [(1, "20242025"), (9, "20252026")]
+
+
+def test_team_maps_both_ways(spark):
+    df = spark.createDataFrame([("Montréal Canadiens",), ("Nowhere",)], "team_name string")
+    out = {r.team_name: r.team_abbrev for r in I.with_team_code(df, I.team_code_map(spark)).collect()}
+    assert out == {"Montréal Canadiens": "MTL", "Nowhere": None}
+    assert I.team_map(spark).count() == I.team_code_map(spark).count() == 32
