@@ -50,41 +50,91 @@ def _empty_register(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], "game_id bigint, status string, cached_at timestamp")
 
 
-def run_daily_update(spark: SparkSession, paths: Paths, as_of, *, season=None, landed_at=None) -> dict[str, str]:
-    """Process yesterday's games (relative to ``as_of``) that are not yet
-    landed as final; season totals in the dimension cover ``season`` (all
-    seasons when None). Returns the new snapshot path of each table."""
-    games = L.regular_season(L.unique_games(L.read_schedules(spark, paths.schedule), version_col=None))
-    games = games.withColumn("game_date", league_date("start_time_utc"))
-    batch = yesterday_games(games, as_of)
-
-    reg_root = f"{paths.store}/{REGISTER}"
-    register = _current(spark, reg_root, _empty_register(spark))
-    todo = L.games_to_process(batch.select("game_id", "game_state"), register)
-
-    box = L.read_boxscores(spark, paths.boxscores)
-    box = box.join(todo.select(F.col("game_id").alias("id")), "id", "left_semi")
-    log = L.read_player_logs(spark, paths.logs).join(todo.select("game_id"), "game_id", "left_semi")
+def schedule_games(spark: SparkSession, schedule_path: str) -> DataFrame:
+    """Regular-season games of the landed schedules, one row per game, with
+    their league-zone date."""
+    games = L.regular_season(L.unique_games(L.read_schedules(spark, schedule_path), version_col=None))
+    return games.withColumn("game_date", league_date("start_time_utc"))
+
+
+def apply_box_scores(
+    spark: SparkSession,
+    box: DataFrame,
+    logs: DataFrame,
+    games: DataFrame,
+    store: str,
+    *,
+    season=None,
+    landed_at=None,
+) -> dict[str, str]:
+    """Land the games of ``box`` (box-score documents): their log lines are
+    merged into facts (S8 upsert), the touched players' dimension rows are
+    refreshed (A6/A7, S9) and the games enter the register with the
+    schedule's state (S10). Shared by the daily job and the stream."""
+    batch_ids = box.select(F.col("id").alias("game_id")).where(F.col("game_id").isNotNull()).distinct()
+    log = logs.join(batch_ids, "game_id", "left_semi")
     seasons = games.select("game_id", F.col("season").cast("string").alias("season"))
     skaters, goalies = build_facts(spark, log, box, seasons=seasons)
 
     out: dict[str, str] = {}
-    new_facts = {}
     for name, fresh in (("player_game_stats", skaters), ("goalie_game_stats", goalies)):
-        root = f"{paths.store}/{name}"
+        root = f"{store}/{name}"
         old = _current(spark, root, empty_table(spark, name))
-        new_facts[name] = upsert(old, fresh, FACT_KEY)
-        out[name] = write_snapshot(new_facts[name], root)
+        out[name] = write_snapshot(upsert(old, fresh, FACT_KEY), root)
 
     # A6/A7 for the players this batch touched, from the new fact snapshots.
     touched = skaters.select("player_id").unionByName(goalies.select("player_id")).distinct()
     sk_all = spark.read.parquet(out["player_game_stats"]).join(touched, "player_id", "left_semi")
     gk_all = spark.read.parquet(out["goalie_game_stats"]).join(touched, "player_id", "left_semi")
-    dim_root = f"{paths.store}/pro_players"
+    dim_root = f"{store}/pro_players"
     dim = _current(spark, dim_root, empty_table(spark, "pro_players"))
     new_dim = conform(rebuild_dimension(dim, sk_all, gk_all, season), schemas.PRO_PLAYERS)
     out["pro_players"] = write_snapshot(new_dim, dim_root)
 
-    entries = L.register_entries(todo, landed_at)
+    reg_root = f"{store}/{REGISTER}"
+    register = _current(spark, reg_root, _empty_register(spark))
+    entries = L.register_entries(games.join(batch_ids, "game_id", "left_semi"), landed_at)
     out[REGISTER] = write_snapshot(upsert(register, entries, "game_id"), reg_root)
     return out
+
+
+def run_daily_update(spark: SparkSession, paths: Paths, as_of, *, season=None, landed_at=None) -> dict[str, str]:
+    """Process yesterday's games (relative to ``as_of``) that are not yet
+    landed as final; season totals in the dimension cover ``season`` (all
+    seasons when None). Returns the new snapshot path of each table."""
+    games = schedule_games(spark, paths.schedule)
+    batch = yesterday_games(games, as_of)
+    register = _current(spark, f"{paths.store}/{REGISTER}", _empty_register(spark))
+    todo = L.games_to_process(batch.select("game_id"), register)
+    box = L.read_boxscores(spark, paths.boxscores).join(todo.select(F.col("game_id").alias("id")), "id", "left_semi")
+    logs = L.read_player_logs(spark, paths.logs)
+    return apply_box_scores(spark, box, logs, games, paths.store, season=season, landed_at=landed_at)
+
+
+def stream_box_scores(
+    spark: SparkSession,
+    paths: Paths,
+    *,
+    season=None,
+    max_files_per_trigger: int = 100,
+    checkpoint: str | None = None,
+) -> None:
+    """X1-X3 over the landed formats: every new box-score file in the
+    landing folder is a micro-batch that runs :func:`apply_box_scores`
+    (``availableNow``: everything landed so far, then stop). The schedule and
+    the player logs are read as they are when each batch runs."""
+    ckpt = checkpoint or f"{paths.store}/_stream_checkpoint"
+    stream = (
+        spark.readStream.schema(schemas.BOXSCORE)
+        .option("maxFilesPerTrigger", max_files_per_trigger)
+        .json(paths.boxscores)
+    )
+
+    def per_batch(box: DataFrame, batch_id: int) -> None:
+        s = box.sparkSession
+        games = schedule_games(s, paths.schedule)
+        logs = L.read_player_logs(s, paths.logs)
+        apply_box_scores(s, box, logs, games, paths.store, season=season)
+
+    q = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
+    q.awaitTermination()

@@ -54,3 +54,28 @@ def test_daily_update_and_rerun(spark, tmp_dir):
     # The dimension equals a full rebuild from the facts.
     full = {r.player_id: r.season_games_played for r in D.season_snapshot(sk, gk, "20252026").collect()}
     assert {k: v.season_games_played for k, v in dim1.items()} == full
+
+
+def test_streamed_box_scores_equal_batch(spark, tmp_dir):
+    from rinkspark.sources.daily_update import stream_box_scores
+
+    write_lines(f"{tmp_dir}/sched/all.json", [{"games": [
+        game(100, 2, "2025-11-01T23:00:00Z", "BOS", "TOR", "OFF"),
+        game(101, 2, "2025-11-02T23:30:00Z", "MTL", "TOR", "OFF"),
+    ]}])
+    write_lines(f"{tmp_dir}/box/a.json", [_box(100, "BOS", "TOR")])
+    write_lines(f"{tmp_dir}/box/b.json", [_box(101, "MTL", "TOR", "O")])
+    write_lines(f"{tmp_dir}/logs/l.json", [
+        _log(1, "TOR", [(100, "2025-11-01"), (101, "2025-11-02")]),
+        _log(3, "TOR", [(100, "2025-11-01"), (101, "2025-11-02")]),
+    ])
+    paths = Paths(f"{tmp_dir}/sched", f"{tmp_dir}/box", f"{tmp_dir}/logs", f"{tmp_dir}/store")
+    stream_box_scores(spark, paths, season="20252026", max_files_per_trigger=1)
+    sk = read_current(spark, f"{paths.store}/player_game_stats")
+    gk = read_current(spark, f"{paths.store}/goalie_game_stats")
+    assert sorted((r.game_id, r.player_id) for r in sk.collect()) == [(100, 1), (101, 1)]
+    assert sorted((r.game_id, r.player_id) for r in gk.collect()) == [(100, 3), (101, 3)]
+    dim = {r.player_id: r for r in read_current(spark, f"{paths.store}/pro_players").collect()}
+    assert dim[1].season_games_played == 2 and (dim[3].season_wins, dim[3].season_ot_losses) == (1, 1)
+    reg = {r.game_id: r.status for r in read_current(spark, f"{paths.store}/register").collect()}
+    assert reg == {100: "final", 101: "final"}
