@@ -181,12 +181,16 @@ def build_facts(
 def land_facts(skaters: DataFrame, goalies: DataFrame, root: str) -> dict[str, str]:
     """Write both facts partitioned by season in one job each; a
     re-landed season replaces only its own partition (dynamic overwrite),
-    so a prior-season job never touches the current season."""
+    so a prior-season job never touches the current season.
+
+    Each task sorts its rows by player and date before writing (no extra
+    shuffle), so Parquet min/max statistics let a per-player lookup or
+    filter skip most row groups."""
     from rinkspark.sources.store import overwrite_partitions
 
     out = {}
     for name, df in (("player_game_stats", skaters), ("goalie_game_stats", goalies)):
         path = f"{root}/{name}"
-        overwrite_partitions(df, path, ["season"])
+        overwrite_partitions(df.sortWithinPartitions("season", "player_id", "game_date"), path, ["season"])
         out[name] = path
     return out
