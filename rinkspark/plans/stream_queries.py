@@ -5,6 +5,7 @@ must equal the batch totals."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rinkspark.plans import standins as S
 from rinkspark.plans.registry import register
@@ -23,7 +24,7 @@ def stream_totals(spark, d):
         F.col("event_id").alias("game_id"), F.col("user_id").alias("player_id"), "ts", F.col("value").alias("total_fpts")
     )
     landing = land_by_day(ev, f"{root}/landing", "ts")
-    schema = spark.read.parquet(landing).schema
-    run_incremental_totals(spark, landing, schema, root=root, max_files_per_trigger=8)
+    schema = T.StructType(ev.schema.fields + [T.StructField("landed_day", T.DateType())])
+    run_incremental_totals(spark, landing, schema, root=root, max_files_per_trigger=16)
     out = final_totals(spark, root)
     return out.select("player_id", "games", F.col("total_points").cast("double").alias("total_points"))
