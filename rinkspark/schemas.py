@@ -114,11 +114,11 @@ TEAM_SCHEDULE = _struct(
     ("opponents", _S),
 )
 FANTASY_TEAM = _struct(
-    ("team_id", _L), ("espn_team_id", _L), ("team_name", _S), ("owner_name", _S)
+    ("team_id", _L), ("external_team_id", _L), ("team_name", _S), ("owner_name", _S)
 )
 PRO_PLAYERS = _struct(
     ("player_id", _L),
-    ("espn_id", _L),
+    ("external_id", _L),
     ("player_name", _S),
     ("team_abbrev", _S),
     ("position", _S),
