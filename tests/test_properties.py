@@ -67,3 +67,17 @@ def test_upsert_laws(spark, old_rows, new_rows):
         cand = [(t, x) for kk, t, x in new_rows if kk == k]
         if cand:
             assert (ts, v) == max(cand)
+
+
+words = st.text(alphabet="abcé-. R", min_size=0, max_size=10)
+
+
+@SETTINGS
+@given(st.lists(words, min_size=1, max_size=12), st.lists(words, min_size=1, max_size=8))
+def test_search_paths_agree(spark, names, terms):
+    players = spark.createDataFrame(list(enumerate(names)), "player_id long, player_name string")
+    t = spark.createDataFrame([(x,) for x in terms], "term string")
+    small = sorted((r.term, r.player_id) for r in A.search_many(players, t).collect())
+    exact = sorted((r.term, r.player_id) for r in A.search_many(players, t, max_broadcast_terms=0).collect())
+    brute = sorted({(x, i) for x in terms if x for i, n in enumerate(names) if x.lower() in n.lower()})
+    assert small == exact == brute
