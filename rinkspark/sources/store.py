@@ -10,7 +10,6 @@ partitions (``spark.sql.sources.partitionOverwriteMode=dynamic``).
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -115,30 +114,46 @@ def partial_upsert(
 
 # ------------------------------------------------------------- snapshots
 def write_snapshot(df: DataFrame, root: str) -> str:
-    """Write ``df`` as the next snapshot under ``root`` and move the pointer.
+    """Write ``df`` as the next snapshot under ``root`` and record it.
 
-    The previous snapshot stays readable until the pointer moves, so an
-    upsert may read the current table and write the next one safely."""
+    The previous snapshot stays readable (an upsert may read the current
+    table and write the next one). Pointers are append-only: each snapshot
+    adds one line (sequence, path) under ``_CURRENT`` and readers take the
+    highest sequence, so no moment exists without a current snapshot."""
     spark = df.sparkSession
-    current = current_snapshot(spark, root)
-    n = 0 if current is None else int(os.path.basename(current).split("=")[1]) + 1
+    seq = _current_pointer(spark, root)
+    n = 0 if seq is None else seq[0] + 1
     path = f"{root}/snapshot={n}"
     df.write.mode("errorifexists").parquet(path)
-    _write_pointer(spark, root, path)
+    _write_pointer(spark, root, path, n)
     return path
 
 
-def current_snapshot(spark: SparkSession, root: str) -> str | None:
-    ptr = f"{root}/_CURRENT"
+def _current_pointer(spark: SparkSession, root: str) -> tuple[int, str] | None:
     try:
-        rows = spark.read.text(ptr).collect()  # one line, bounded
+        # One short line per snapshot ever written; the max is a global agg.
+        best = (
+            spark.read.schema("seq long, path string")
+            .option("sep", "\t")
+            .csv(f"{root}/_CURRENT")
+            .agg(F.max(F.struct("seq", "path")).alias("b"))
+            .first()
+        )
     except Exception:  # noqa: BLE001 - no pointer yet
         return None
-    return rows[0].value.strip() if rows else None
+    if best is None or best.b is None:
+        return None
+    return int(best.b.seq), best.b.path
+
+
+def current_snapshot(spark: SparkSession, root: str) -> str | None:
+    cur = _current_pointer(spark, root)
+    return None if cur is None else cur[1]
 
 
-def _write_pointer(spark: SparkSession, root: str, path: str) -> None:
-    spark.createDataFrame([(path,)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/_CURRENT")
+def _write_pointer(spark: SparkSession, root: str, path: str, seq: int) -> None:
+    rows = spark.createDataFrame([(seq, path)], "seq long, path string")
+    rows.coalesce(1).write.mode("append").option("sep", "\t").csv(f"{root}/_CURRENT")
 
 
 def read_current(spark: SparkSession, root: str) -> DataFrame:

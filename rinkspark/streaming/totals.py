@@ -6,7 +6,7 @@
         2. players the batch touches are re-totalled from the fact table,
            one row per key kept (newest delivery wins: late corrections)
         3. totals snapshot N = snapshot N-1 with those players replaced;
-           the pointer file names snapshot N
+           an appended pointer line names snapshot N
 
 Every step is keyed by the batch id, so replaying a batch after a failure
 gives the same tables; there is no running state to double-count. The
@@ -93,7 +93,7 @@ def run_incremental_totals(
             new = upsert(s.read.parquet(prev), fresh, player_key)
         out = f"{totals_root}/batch={batch_id}"
         new.write.mode("overwrite").parquet(out)
-        _write_pointer(s, totals_root, out)
+        _write_pointer(s, totals_root, out, batch_id)
 
     q = (
         stream.writeStream.foreachBatch(per_batch)
