@@ -143,3 +143,40 @@ def league_teams(spark) -> DataFrame:
     from rinkspark import constants as K
 
     return spark.createDataFrame([(t,) for t in K.TEAM_CODES], "team string")
+
+
+def weekly_schedule_table(games: DataFrame, **kw) -> DataFrame:
+    """C5 as the ``team_schedule`` table: the weekly rows with a surrogate
+    ``id`` numbered 1..N in (team, week) order.
+
+    Ids are dense without a global sort: row numbers within each team, plus
+    per-team offsets from a window over the per-team counts (one row per
+    team)."""
+    from pyspark.sql import Window
+
+    rows = weekly_schedule(games, **kw)
+    local = rows.withColumn("_n", F.row_number().over(Window.partitionBy("team").orderBy("week")))
+    per_team = rows.groupBy("team").agg(F.count(F.lit(1)).alias("_c"))
+    offsets = per_team.select(
+        "team",
+        F.coalesce(F.sum("_c").over(Window.orderBy("team").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(
+            "_off"
+        ),
+    )
+    out = local.join(offsets, "team", "inner")
+    return out.select(
+        (F.col("_off") + F.col("_n")).cast("bigint").alias("id"),
+        "team",
+        "week",
+        "monday_date",
+        "sunday_date",
+        "game_count",
+        "opponents",
+    )
+
+
+def reload_weekly_schedule(games: DataFrame, path: str) -> int:
+    """C5 + S7: truncate and reload the weekly table; returns its row count."""
+    from rinkspark.sources.store import overwrite
+
+    return overwrite(weekly_schedule_table(games).sortWithinPartitions("team", "week"), path)

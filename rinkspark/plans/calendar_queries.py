@@ -43,6 +43,31 @@ def week_schedule(spark, d):
     return C.weekly_schedule(regular_games(spark, d))
 
 
+_WEEK_SQL = (
+    S.with_ctes(S.GAMES_SQL, _TEAM_ROWS_SQL.format(extra=""))
+    + """,
+wk AS (SELECT *, strftime(game_date, '%G-W%V') AS week,
+              CASE WHEN is_home THEN 'vs ' ELSE '@ ' END || opponent AS label FROM tg),
+sched AS (
+  SELECT team, week,
+         CAST(date_trunc('week', min(game_date)) AS DATE) AS monday_date,
+         CAST(date_trunc('week', min(game_date)) AS DATE) + 6 AS sunday_date,
+         CAST(count(*) AS INTEGER) AS game_count,
+         string_agg(label, ', ' ORDER BY start_time_utc, game_id) AS opponents
+  FROM wk GROUP BY team, week
+)"""
+)
+
+
+@register(
+    "week_schedule_table",
+    _WEEK_SQL + "\nSELECT row_number() OVER (ORDER BY team, week) AS id, * FROM sched",
+)
+def week_schedule_table(spark, d):
+    """The weekly rows as the team_schedule table, ids in (team, week) order."""
+    return C.weekly_schedule_table(regular_games(spark, d))
+
+
 @register(
     "remaining_games",
     S.with_ctes(

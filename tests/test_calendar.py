@@ -54,3 +54,16 @@ def test_past_and_yesterday(spark):
     assert [r.game_id for r in C.yesterday_games(g, "2025-11-12").collect()] == [2]
     c = C.past_future_counts(g, "2025-11-12").first()
     assert (c.n_past, c.n_future, c.n_undated) == (1, 1, 0)
+
+
+def test_weekly_table_ids_and_reload(spark, tmp_dir):
+    g = games(
+        spark,
+        [(1, "2025-11-12T00:00:00", "BOS", "TOR"), (2, "2025-11-20T00:00:00", "BOS", "MTL"), (3, "2025-11-21T00:00:00", "TOR", "MTL")],
+    )
+    t = C.weekly_schedule_table(g)
+    rows = sorted((r.id, r.team, r.week) for r in t.collect())
+    assert [r[0] for r in rows] == list(range(1, len(rows) + 1))
+    assert [(r[1], r[2]) for r in rows] == sorted((r[1], r[2]) for r in rows)  # ids follow (team, week)
+    assert C.reload_weekly_schedule(g, f"{tmp_dir}/ts") == len(rows)
+    assert C.reload_weekly_schedule(g.where("game_id = 1"), f"{tmp_dir}/ts") == 2  # truncate and reload
