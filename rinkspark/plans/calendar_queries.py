@@ -119,3 +119,24 @@ def past_future_counts(spark, d):
         F.count_if(F.col("game_date").isNull()).alias("n_undated"),
         F.count_if(F.col("game_date") == F.date_sub(a, 1)).alias("n_yesterday"),
     )
+
+
+@register("weekly_csv_roundtrip", _WEEK_SQL + "\nSELECT team, week, monday_date, sunday_date, game_count, opponents FROM sched")
+def weekly_csv_roundtrip(spark, d):
+    """The weekly schedule written as the CSV the source tool exchanges
+    (Team, Week, Monday_Date, Sunday_Date, Game_Count, Opponents) under the
+    shared checkpoint folder, then read back with the declared CSV reader."""
+    from rinkspark.sources.landed import read_weekly_csv
+    from rinkspark.streaming.totals import work_root
+
+    path = f"{work_root(spark, 'weekly-csv')}/team_weekly_schedule"
+    rows = C.weekly_schedule(regular_games(spark, d)).select(
+        F.col("team").alias("Team"),
+        F.col("week").alias("Week"),
+        F.date_format("monday_date", "yyyy-MM-dd").alias("Monday_Date"),
+        F.date_format("sunday_date", "yyyy-MM-dd").alias("Sunday_Date"),
+        F.col("game_count").alias("Game_Count"),
+        F.col("opponents").alias("Opponents"),
+    )
+    rows.write.option("header", True).csv(path)
+    return read_weekly_csv(spark, path)
