@@ -81,3 +81,20 @@ def test_search_paths_agree(spark, names, terms):
     exact = sorted((r.term, r.player_id) for r in A.search_many(players, t, max_broadcast_terms=0).collect())
     brute = sorted({(x, i) for x in terms if x for i, n in enumerate(names) if x.lower() in n.lower()})
     assert small == exact == brute
+
+
+latin = st.text(alphabet=st.characters(min_codepoint=0x20, max_codepoint=0x24F, exclude_categories=("Cc", "Cs")), max_size=12)
+
+
+def _nfkd_stripped(s):
+    import unicodedata
+
+    return "".join(c for c in unicodedata.normalize("NFKD", s or "") if not unicodedata.combining(c))
+
+
+@SETTINGS
+@given(st.lists(latin, min_size=1, max_size=20))
+def test_strip_accents_matches_unicode_rule_on_latin(spark, texts):
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    got = [r[0] for r in df.select(RF.strip_accents("s")).collect()]
+    assert got == [_nfkd_stripped(t) for t in texts]
