@@ -418,16 +418,18 @@ def search_many(
     *,
     name_col: str = "player_name",
     term_col: str = "term",
-    max_broadcast_terms: int = 10_000,
+    max_broadcast_terms: int = 256,
     gram: int = 3,
 ) -> DataFrame:
     """L8, batch form: every (distinct term, player) pair where the
     lower-cased name contains the lower-cased term.
 
     A term list proven to hold at most ``max_broadcast_terms`` rows is the
-    broadcast side of a nested-loop join (names x terms, JVM ``contains``).
-    A longer list takes an exact equi-join path instead - see
-    :func:`_search_by_grams` - so there is no cap on the number of terms."""
+    broadcast side of a nested-loop join: names x terms JVM ``contains``
+    checks, cheap for a short list. A longer list takes an exact equi-join
+    path instead (:func:`_search_by_grams`), whose work grows with the names'
+    length rather than names x terms, so there is no cap on the number of
+    terms."""
     from rinkspark.operators.joins import has_at_most
 
     # An empty term is not a search: it is dropped (it would match every name).
