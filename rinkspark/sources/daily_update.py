@@ -8,14 +8,21 @@
         --A1..A5 for the touched players, S9--> next dimension snapshot
     register --S8 upsert with the schedule's state--> next register snapshot
 
-Every table is a snapshot folder with a pointer (``store.write_snapshot``):
-a run reads the current snapshots and writes new ones, so a failed run
-leaves the previous state readable and a re-run of the same day gives the
-same tables (games already final are skipped; others are upserted again).
+The facts are partitioned by (season, game_date): a run reads only the
+partitions its batch touches (a semi-join on the partition columns, so the
+scan is pruned), merges the batch into them (S8), stages the merged rows
+and replaces just those partitions (dynamic overwrite) - the work per day
+grows with the batch, not with the table. Readers re-read a fact after a
+run (its touched partitions were replaced in place). The dimension and the
+register are snapshot folders with append-only pointers
+(``store.write_snapshot``).
+A re-run of the same day gives the same tables (games already final are
+skipped; others are merged again, replacing their own rows).
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,9 +34,19 @@ from rinkspark.operators.calendar import yesterday_games
 from rinkspark.operators.dimension import rebuild_dimension
 from rinkspark.sources import landed as L
 from rinkspark.sources.ingest import build_facts
-from rinkspark.sources.store import conform, current_snapshot, empty_table, upsert, write_snapshot
+from rinkspark.sources.store import (
+    conform,
+    current_snapshot,
+    empty_table,
+    latest_per_key,
+    overwrite_partitions,
+    upsert,
+    write_snapshot,
+)
 
 FACT_KEY = ["game_id", "player_id"]
+FACT_PARTITIONS = ["season", "game_date"]
+FACT_SCHEMAS = {"player_game_stats": schemas.PLAYER_GAME_STATS, "goalie_game_stats": schemas.GOALIE_GAME_STATS}
 REGISTER = "register"
 
 
@@ -46,6 +63,38 @@ def _current(spark: SparkSession, root: str, empty: DataFrame) -> DataFrame:
     return spark.read.parquet(path) if path else empty
 
 
+def read_fact(spark: SparkSession, store: str, name: str) -> DataFrame | None:
+    """A fact table of the store with its declared schema (None if absent)."""
+    try:
+        return spark.read.schema(FACT_SCHEMAS[name]).parquet(f"{store}/{name}")
+    except Exception:  # noqa: BLE001 - not written yet
+        return None
+
+
+def merge_into_partitions(spark: SparkSession, fresh: DataFrame, store: str, name: str) -> None:
+    """S8 on a partitioned fact: merge ``fresh`` into the (season, game_date)
+    partitions it touches and replace only those partitions."""
+    root = f"{store}/{name}"
+    fresh = latest_per_key(conform(fresh, FACT_SCHEMAS[name]), FACT_KEY, [])
+    old = read_fact(spark, store, name)
+    if old is None:
+        merged = fresh
+    else:
+        touched = fresh.select(*[F.col(c).alias(f"_t_{c}") for c in FACT_PARTITIONS]).distinct()
+        # Null-safe: a null season or date is a partition too, and its old
+        # rows must be merged, not dropped, when that partition is replaced.
+        cond = None
+        for c in FACT_PARTITIONS:
+            e = old[c].eqNullSafe(touched[f"_t_{c}"])
+            cond = e if cond is None else cond & e
+        merged = upsert(old.join(touched, cond, "left_semi"), fresh, FACT_KEY)
+    # Stage first: a path cannot be overwritten while the same job reads it.
+    stage = f"{store}/_staging/{name}-{uuid.uuid4().hex[:12]}"
+    merged.write.parquet(stage)
+    staged = spark.read.schema(FACT_SCHEMAS[name]).parquet(stage)
+    overwrite_partitions(staged.sortWithinPartitions("player_id", "game_id"), root, FACT_PARTITIONS)
+
+
 def _empty_register(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], "game_id bigint, status string, cached_at timestamp")
 
@@ -78,14 +127,22 @@ def apply_box_scores(
 
     out: dict[str, str] = {}
     for name, fresh in (("player_game_stats", skaters), ("goalie_game_stats", goalies)):
-        root = f"{store}/{name}"
-        old = _current(spark, root, empty_table(spark, name))
-        out[name] = write_snapshot(upsert(old, fresh, FACT_KEY), root)
+        merge_into_partitions(spark, fresh, store, name)
+        out[name] = f"{store}/{name}"
 
-    # A6/A7 for the players this batch touched, from the new fact snapshots.
+    # A6/A7 for the players this batch touched: their rows of the season
+    # (partition-pruned when a season is given), from the updated facts.
     touched = skaters.select("player_id").unionByName(goalies.select("player_id")).distinct()
-    sk_all = spark.read.parquet(out["player_game_stats"]).join(touched, "player_id", "left_semi")
-    gk_all = spark.read.parquet(out["goalie_game_stats"]).join(touched, "player_id", "left_semi")
+
+    def history(name):
+        f = read_fact(spark, store, name)
+        if f is None:
+            return empty_table(spark, name)
+        if season is not None:
+            f = f.where(F.col("season") == F.lit(season))
+        return f.join(touched, "player_id", "left_semi")
+
+    sk_all, gk_all = history("player_game_stats"), history("goalie_game_stats")
     dim_root = f"{store}/pro_players"
     dim = _current(spark, dim_root, empty_table(spark, "pro_players"))
     new_dim = conform(rebuild_dimension(dim, sk_all, gk_all, season), schemas.PRO_PLAYERS)

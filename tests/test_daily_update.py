@@ -2,7 +2,7 @@
 and a re-run of the same day that changes nothing."""
 
 from rinkspark.operators import dimension as D
-from rinkspark.sources.daily_update import Paths, run_daily_update
+from rinkspark.sources.daily_update import Paths, read_fact, run_daily_update
 from rinkspark.sources.store import read_current
 from test_ingest import box_doc, game, write_lines
 
@@ -36,8 +36,8 @@ def test_daily_update_and_rerun(spark, tmp_dir):
     paths = Paths(f"{tmp_dir}/sched", f"{tmp_dir}/box", f"{tmp_dir}/logs", f"{tmp_dir}/store")
 
     run_daily_update(spark, paths, "2025-11-02", season="20252026")
-    sk = read_current(spark, f"{paths.store}/player_game_stats")
-    gk = read_current(spark, f"{paths.store}/goalie_game_stats")
+    sk = read_fact(spark, paths.store, "player_game_stats")
+    gk = read_fact(spark, paths.store, "goalie_game_stats")
     assert sorted((r.game_id, r.player_id) for r in sk.collect()) == [(100, 1), (101, 1)]  # game 99 is not yesterday
     assert sorted((r.game_id, r.player_id) for r in gk.collect()) == [(100, 3), (100, 5), (101, 3)]
     reg = {r.game_id: r.status for r in read_current(spark, f"{paths.store}/register").collect()}
@@ -49,9 +49,12 @@ def test_daily_update_and_rerun(spark, tmp_dir):
     run_daily_update(spark, paths, "2025-11-02", season="20252026")
     dim2 = {r.player_id: tuple(r) for r in read_current(spark, f"{paths.store}/pro_players").collect()}
     assert dim2 == {k: tuple(v) for k, v in dim1.items()}
-    assert read_current(spark, f"{paths.store}/player_game_stats").count() == 2
+    assert read_fact(spark, paths.store, "player_game_stats").count() == 2
 
-    # The dimension equals a full rebuild from the facts.
+    # The dimension equals a full rebuild from the facts (re-read: the run
+    # replaced the touched partitions in place).
+    sk = read_fact(spark, paths.store, "player_game_stats")
+    gk = read_fact(spark, paths.store, "goalie_game_stats")
     full = {r.player_id: r.season_games_played for r in D.season_snapshot(sk, gk, "20252026").collect()}
     assert {k: v.season_games_played for k, v in dim1.items()} == full
 
@@ -71,8 +74,8 @@ def test_streamed_box_scores_equal_batch(spark, tmp_dir):
     ])
     paths = Paths(f"{tmp_dir}/sched", f"{tmp_dir}/box", f"{tmp_dir}/logs", f"{tmp_dir}/store")
     stream_box_scores(spark, paths, season="20252026", max_files_per_trigger=1)
-    sk = read_current(spark, f"{paths.store}/player_game_stats")
-    gk = read_current(spark, f"{paths.store}/goalie_game_stats")
+    sk = read_fact(spark, paths.store, "player_game_stats")
+    gk = read_fact(spark, paths.store, "goalie_game_stats")
     assert sorted((r.game_id, r.player_id) for r in sk.collect()) == [(100, 1), (101, 1)]
     assert sorted((r.game_id, r.player_id) for r in gk.collect()) == [(100, 3), (101, 3)]
     dim = {r.player_id: r for r in read_current(spark, f"{paths.store}/pro_players").collect()}
