@@ -1,8 +1,9 @@
 """Model features and the point forecast (M1-M7).
 
-Rolling means over the previous k games (M1) and days of rest (M2) are
-computed without a window partitioned by player alone, which would put a
-player with a third of all games into one task. Instead:
+Rolling means over the previous k games (M1) and days of rest (M2) use one
+window per player when the largest player is small enough for one task.
+When a player is hot (a third of all games, say), that window would put
+all of them into one task, so the skew-safe plan is used instead:
 
 1. a running count and sum within (player, day) - a window whose partitions
    hold one player's games of one day;
@@ -64,6 +65,17 @@ def game_index(
     )
 
 
+# A window partition of up to this many rows is cheap for one task.
+MAX_WINDOW_GROUP_ROWS = 1_000_000
+
+
+def largest_group(df: DataFrame, key: str) -> int:
+    """Rows of the largest ``key`` group (a partial aggregation, then one
+    scalar to the driver)."""
+    n = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+    return int(n or 0)
+
+
 def rolling_features(
     df: DataFrame,
     ks: Sequence[int] = (3, 5),
@@ -72,10 +84,32 @@ def rolling_features(
     date_col: str = "game_date",
     order_col: str = "game_id",
     value: str = "total_fpts",
+    max_group_rows: int = MAX_WINDOW_GROUP_ROWS,
 ) -> DataFrame:
     """M1 + M2: mean of ``value`` over the previous k games for each k (the
     current game excluded; null for a first game), days since the previous
-    game (null for a first game) and a back-to-back flag."""
+    game (null for a first game), a back-to-back flag and the game number.
+
+    When no player has more than ``max_group_rows`` games, one window per
+    player is cheapest (one shuffle). Beyond that bound a hot player would
+    sit in one task, so the skew-safe prefix-sum plan is used instead; both
+    give the same columns and values."""
+    if largest_group(df, key) <= max_group_rows:
+        return _rolling_by_window(df, ks, key=key, date_col=date_col, order_col=order_col, value=value)
+    return _rolling_by_prefix_sums(df, ks, key=key, date_col=date_col, order_col=order_col, value=value)
+
+
+def _rolling_by_window(df, ks, *, key, date_col, order_col, value) -> DataFrame:
+    w = Window.partitionBy(key).orderBy(date_col, order_col)
+    cols = [F.col(c) for c in df.columns]
+    for k in ks:
+        cols.append(F.avg(value).over(w.rowsBetween(-k, -1)).alias(f"avg_prev_{k}"))
+    rest = F.datediff(F.col(date_col), F.lag(date_col).over(w))
+    cols += [rest.alias("rest_days"), (rest == 1).alias("back_to_back"), F.row_number().over(w).cast("bigint").alias("game_number")]
+    return df.select(*cols)
+
+
+def _rolling_by_prefix_sums(df, ks, *, key, date_col, order_col, value) -> DataFrame:
     idx = game_index(df, key=key, date_col=date_col, order_col=order_col, value=value)
     fwd = [("prev", 1)] + [(f"k{k}", 1 + k) for k in ks]
     sent = idx.select(
@@ -108,7 +142,7 @@ def rolling_features(
         # quotient would keep only the sum's scale).
         cols.append(F.when(F.col("_i") > 1, diff.cast("double") / n).alias(f"avg_prev_{k}"))
     rest = F.datediff(F.col(date_col), F.col("_prev_date"))
-    cols += [rest.alias("rest_days"), (rest == 1).alias("back_to_back"), F.col("_i").alias("game_number")]
+    cols += [rest.alias("rest_days"), (rest == 1).alias("back_to_back"), F.col("_i").cast("bigint").alias("game_number")]
     return j.select(*cols)
 
 
