@@ -32,6 +32,7 @@ from rinkspark import schemas
 from rinkspark.functions.calendar import league_date
 from rinkspark.operators.calendar import yesterday_games
 from rinkspark.operators.dimension import rebuild_dimension
+from rinkspark.operators.joins import has_at_most
 from rinkspark.sources import landed as L
 from rinkspark.sources.ingest import build_facts
 from rinkspark.sources.store import (
@@ -48,6 +49,8 @@ FACT_KEY = ["game_id", "player_id"]
 FACT_PARTITIONS = ["season", "game_date"]
 FACT_SCHEMAS = {"player_game_stats": schemas.PLAYER_GAME_STATS, "goalie_game_stats": schemas.GOALIE_GAME_STATS}
 REGISTER = "register"
+# Touched players up to this many are passed to the scan as a literal list.
+MAX_LITERAL_IDS = 10_000
 
 
 @dataclass(frozen=True)
@@ -133,6 +136,12 @@ def apply_box_scores(
     # A6/A7 for the players this batch touched: their rows of the season
     # (partition-pruned when a season is given), from the updated facts.
     touched = skaters.select("player_id").unionByName(goalies.select("player_id")).distinct()
+    # A day touches few players: when their number is proven small, a
+    # literal IN filter reaches the Parquet scan, and files sorted by player
+    # let min/max statistics skip most row groups. Otherwise a semi-join.
+    ids = None
+    if has_at_most(touched, MAX_LITERAL_IDS):
+        ids = [r.player_id for r in touched.collect()]  # bounded by the check
 
     def history(name):
         f = read_fact(spark, store, name)
@@ -140,6 +149,8 @@ def apply_box_scores(
             return empty_table(spark, name)
         if season is not None:
             f = f.where(F.col("season") == F.lit(season))
+        if ids is not None:
+            return f.where(F.col("player_id").isin(ids))
         return f.join(touched, "player_id", "left_semi")
 
     sk_all, gk_all = history("player_game_stats"), history("goalie_game_stats")
