@@ -22,7 +22,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rinkspark.operators.joins import has_at_most
 from rinkspark.session import ensure_checkpoint_dir
+
+# Touched players up to this many are passed to the scan as a literal list.
+MAX_LITERAL_IDS = 10_000
 from rinkspark.sources.store import _write_pointer, latest_per_key, read_current, upsert
 
 
@@ -78,13 +82,18 @@ def run_incremental_totals(
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         s = batch.sparkSession
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(
-            f"{fact_root}/batch_id={batch_id}"
-        )
+        # Sorted by player within each file: a per-player filter skips row groups.
+        batch.withColumn("batch_id", F.lit(batch_id)).sortWithinPartitions(player_key).write.mode(
+            "overwrite"
+        ).parquet(f"{fact_root}/batch_id={batch_id}")
         prev = None if batch_id == 0 else f"{totals_root}/batch={batch_id - 1}"
         touched = batch.select(player_key).distinct()
         fact = s.read.parquet(fact_root).where(F.col("batch_id") <= batch_id)
-        scope = fact.join(touched, player_key, "left_semi")
+        if has_at_most(touched, MAX_LITERAL_IDS):
+            ids = [r[0] for r in touched.collect()]  # bounded by the check
+            scope = fact.where(F.col(player_key).isin(ids))
+        else:
+            scope = fact.join(touched, player_key, "left_semi")
         scope = latest_per_key(scope, keys, order + ["batch_id"])
         fresh = totals_fn(scope, player_key, value)
         if prev is None:
