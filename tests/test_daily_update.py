@@ -82,3 +82,27 @@ def test_streamed_box_scores_equal_batch(spark, tmp_dir):
     assert dim[1].season_games_played == 2 and (dim[3].season_wins, dim[3].season_ot_losses) == (1, 1)
     reg = {r.game_id: r.status for r in read_current(spark, f"{paths.store}/register").collect()}
     assert reg == {100: "final", 101: "final"}
+
+
+def test_next_day_adds_partition_and_keeps_earlier_ones(spark, tmp_dir):
+    write_lines(f"{tmp_dir}/sched/all.json", [{"games": [
+        game(100, 2, "2025-11-01T23:00:00Z", "BOS", "TOR", "OFF"),
+        game(102, 2, "2025-11-02T23:00:00Z", "TOR", "MTL", "OFF"),
+    ]}])
+    write_lines(f"{tmp_dir}/box/b.json", [_box(100, "BOS", "TOR"), _box(102, "TOR", "MTL")])
+    write_lines(f"{tmp_dir}/logs/l.json", [
+        _log(1, "TOR", [(100, "2025-11-01"), (102, "2025-11-02")]),
+        _log(3, "TOR", [(100, "2025-11-01"), (102, "2025-11-02")]),
+    ])
+    paths = Paths(f"{tmp_dir}/sched", f"{tmp_dir}/box", f"{tmp_dir}/logs", f"{tmp_dir}/store")
+    run_daily_update(spark, paths, "2025-11-02", season="20252026")
+    day1 = sorted(tuple(r) for r in read_fact(spark, paths.store, "player_game_stats").collect())
+    run_daily_update(spark, paths, "2025-11-03", season="20252026")
+    sk = read_fact(spark, paths.store, "player_game_stats")
+    assert sorted((r.game_id, r.player_id) for r in sk.collect()) == [(100, 1), (102, 1)]
+    assert sorted(tuple(r) for r in sk.where("game_id = 100").collect()) == day1  # earlier day untouched
+    dim = {r.player_id: r for r in read_current(spark, f"{paths.store}/pro_players").collect()}
+    assert dim[1].season_games_played == 2 and dim[3].season_games_played == 2
+    gk = read_fact(spark, paths.store, "goalie_game_stats")
+    full = {r.player_id: r.season_games_played for r in D.season_snapshot(sk, gk, "20252026").collect()}
+    assert {k: v.season_games_played for k, v in dim.items()} == full
