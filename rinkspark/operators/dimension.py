@@ -135,6 +135,41 @@ def incremental_totals(
     return partial_upsert(totals, fresh, key, cols)
 
 
+def delta_totals(
+    totals: DataFrame,
+    fresh: DataFrame,
+    replaced: DataFrame,
+    *,
+    kind: str = "skater",
+    key: str = "player_id",
+) -> DataFrame:
+    """A7 without reading history: season totals moved by the batch.
+
+    ``fresh`` holds the batch's fact rows, ``replaced`` the stored rows they
+    overwrite (same (game, player) keys, read while merging). New totals =
+    old + totals(fresh) - totals(replaced), per player: O(batch) work. A
+    re-applied batch replaces exactly the rows it wrote, so the result does
+    not change (idempotent, like the recompute in
+    :func:`incremental_totals`)."""
+    agg = skater_season_totals if kind == "skater" else goalie_season_totals
+    plus = agg(fresh, key=key)
+    minus = agg(replaced, key=key)
+    cols = [c for c in plus.columns if c != key]
+    signed = plus.unionByName(minus.select(key, *[(-F.col(c)).alias(c) for c in cols]))
+    change = signed.groupBy(key).agg(*[F.sum(c).alias(c) for c in cols])
+    j = totals.alias("t").join(change.alias("d"), key, "full_outer")
+    out = [F.col(key)]
+    for c in totals.columns:
+        if c == key:
+            continue
+        if c in cols:
+            out.append((F.coalesce(F.col(f"t.{c}"), F.lit(0)) + F.coalesce(F.col(f"d.{c}"), F.lit(0))).cast(
+                totals.schema[c].dataType).alias(c))
+        else:
+            out.append(F.col(f"t.{c}"))
+    return j.select(*out)
+
+
 def prior_season_averages(
     dim: DataFrame,
     skaters: DataFrame,

@@ -76,3 +76,22 @@ def test_roster_counts_keep_empty_team(spark):
     out = [(r.team_name, r.n_players) for r in D.roster_counts(teams, players).collect()]
     assert out == [("A", 0), ("B", 2)]
     assert D.roster_count(players, 1).first().n_players == 2
+
+
+def test_delta_totals_equal_recompute_and_are_idempotent(spark):
+    sk, _ = _facts(spark)
+    season = sk.where("season = 'S'")
+    stored = season.where("game_id in (1, 3)")
+    totals0 = D.skater_season_totals(stored)
+    # batch: a correction of game 1 (goals 1 -> 3) and a new game 2
+    fresh = season.where("game_id in (1, 2)").withColumn(
+        "goals", F.when(F.col("game_id") == 1, F.lit(3)).otherwise(F.col("goals"))
+    )
+    replaced = stored.where("game_id = 1")  # the stored row the batch overwrites
+    once = D.delta_totals(totals0, fresh, replaced)
+    after = stored.where("game_id = 3").unionByName(fresh)  # the fact after the merge
+    full = D.skater_season_totals(after)
+    key = lambda df: sorted(tuple(r) for r in df.select(*full.columns).collect())
+    assert key(once) == key(full)
+    # re-applying the same batch: it now replaces exactly its own rows
+    assert key(D.delta_totals(once, fresh, fresh)) == key(full)
