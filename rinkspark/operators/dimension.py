@@ -150,7 +150,8 @@ def delta_totals(
     old + totals(fresh) - totals(replaced), per player: O(batch) work. A
     re-applied batch replaces exactly the rows it wrote, so the result does
     not change (idempotent, like the recompute in
-    :func:`incremental_totals`)."""
+    :func:`incremental_totals`). A measure stays null while it has no value;
+    one whose every value is later replaced by nulls reads 0, not null."""
     agg = skater_season_totals if kind == "skater" else goalie_season_totals
     plus = agg(fresh, key=key)
     minus = agg(replaced, key=key)
@@ -163,8 +164,12 @@ def delta_totals(
         if c == key:
             continue
         if c in cols:
-            out.append((F.coalesce(F.col(f"t.{c}"), F.lit(0)) + F.coalesce(F.col(f"d.{c}"), F.lit(0))).cast(
-                totals.schema[c].dataType).alias(c))
+            t, dc = F.col(f"t.{c}"), F.col(f"d.{c}")
+            # A sum over no values stays null, as in the recompute.
+            moved = F.when(t.isNull() & dc.isNull(), F.lit(None)).otherwise(
+                F.coalesce(t, F.lit(0)) + F.coalesce(dc, F.lit(0))
+            )
+            out.append(moved.cast(totals.schema[c].dataType).alias(c))
         else:
             out.append(F.col(f"t.{c}"))
     return j.select(*out)

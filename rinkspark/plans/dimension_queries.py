@@ -134,6 +134,21 @@ def incremental_totals(spark, d):
     return _skater_totals_out(twice)
 
 
+@register("delta_totals", S.with_ctes(S.SKATER_LINES_SQL) + _SKATER_TOTALS_SQL.format(season=SEASON))
+def delta_totals(spark, d):
+    """A7 by deltas: totals of the lines before the split date, moved by a
+    batch of every line from the split on plus a re-landed copy of the
+    month before it (whose stored rows it replaces). Must equal the full
+    season totals."""
+    lines = S.skater_lines(spark, d).where(F.col("season") == SEASON)
+    split = F.lit(SPLIT_DATE).cast("date")
+    stored = lines.where(F.col("game_date") < split)
+    relanded = stored.where(F.col("game_date") >= F.add_months(split, -1))
+    fresh = lines.where(F.col("game_date") >= split).unionByName(relanded)
+    out = D.delta_totals(D.skater_season_totals(stored), fresh, relanded)
+    return _skater_totals_out(out)
+
+
 # ------------------------------------------------------------------ A8
 @register(
     "prior_season_averages",
