@@ -98,3 +98,22 @@ def test_strip_accents_matches_unicode_rule_on_latin(spark, texts):
     df = spark.createDataFrame([(t,) for t in texts], "s string")
     got = [r[0] for r in df.select(RF.strip_accents("s")).collect()]
     assert got == [_nfkd_stripped(t) for t in texts]
+
+
+instants = st.datetimes(min_value=__import__("datetime").datetime(2019, 1, 1), max_value=__import__("datetime").datetime(2030, 12, 31))
+
+
+@SETTINGS
+@given(st.lists(instants, min_size=1, max_size=30))
+def test_week_key_matches_python_calendar(spark, moments):
+    import datetime as dt
+    from zoneinfo import ZoneInfo
+
+    df = spark.createDataFrame([(m,) for m in moments], "t timestamp_ntz")
+    got = [(r.d, r.k) for r in df.select(RF.league_date("t").alias("d"), RF.week_key("t").alias("k")).collect()]
+    want = []
+    for m in moments:
+        local = m.replace(tzinfo=dt.timezone.utc).astimezone(ZoneInfo("America/New_York"))
+        y, w, _ = local.isocalendar()
+        want.append((local.date(), f"{y}-W{w:02d}"))
+    assert got == want
