@@ -7,12 +7,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rinkspark.llm import quality_queries
+from rinkspark.llm import chat_queries, quality_queries, url_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filters": url_queries.op1_url_filters,
     "op9_quality_rules": quality_queries.op9_quality_rules,
+    "op10_chat_formatting": chat_queries.op10_chat_formatting,
 }
 
 ORACLES: dict[str, str] = {
     "op9_quality_rules": quality_queries.SQL,
+    "op10_chat_formatting": chat_queries.SQL,
 }
