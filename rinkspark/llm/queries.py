@@ -7,15 +7,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rinkspark.llm import chat_queries, quality_queries, url_queries
+from rinkspark.llm import chat_queries, decontamination_queries, quality_queries, url_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": url_queries.op1_url_filters,
+    "op2_decontamination": decontamination_queries.op2_decontamination,
     "op9_quality_rules": quality_queries.op9_quality_rules,
     "op10_chat_formatting": chat_queries.op10_chat_formatting,
 }
 
 ORACLES: dict[str, str] = {
+    "op2_decontamination": decontamination_queries.SQL,
     "op9_quality_rules": quality_queries.SQL,
     "op10_chat_formatting": chat_queries.SQL,
 }
