@@ -6,6 +6,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -13,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+import rinkspark
+
 #: Text bytes handed to one numpy pass; a single longer text is one pass.
 PASS_BYTES = 4 << 20
 
@@ -21,6 +24,26 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of the session, once
+    per application. Nothing is done if it came as a file that Spark ships."""
+    sc, home = spark.sparkContext, os.path.dirname(os.path.abspath(rinkspark.__file__))
+    if sc.applicationId in _SHIPPED or not os.path.isdir(home):
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="rinkspark-package-"), f"rinkspark-{uuid.uuid4().hex}.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for folder, _, files in os.walk(home):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    out.write(full, os.path.join("rinkspark", os.path.relpath(full, home)))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """A column name that ``df`` does not have, whatever the case."""
     taken = {c.lower() for c in df.columns}
@@ -89,6 +112,7 @@ def map_texts(
     passed through (all by default); ``added`` must not clash with them. A
     null text reaches the function as the empty text.
     """
+    ship_package(df.sparkSession)
     kept = list(df.columns if keep is None else keep)
     at = df.columns.index(text_col) if keep is None else len(kept)
     source = df if keep is None else df.select(*[ref(df, c) for c in kept], ref(df, text_col).alias(free_name(df, "_text")))
