@@ -7,12 +7,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rinkspark.llm import bpe_queries, chat_queries, decontamination_queries, quality_queries, token_queries, url_queries
+from rinkspark.llm import bpe_queries, chat_queries, decontamination_queries, html_queries, quality_queries, token_queries, url_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": url_queries.op1_url_filters,
     "op2_decontamination": decontamination_queries.op2_decontamination,
     "op5_token_store": token_queries.op5_token_store,
+    "op6_html_extraction": html_queries.op6_html_extraction,
     "op7_bpe_codec": bpe_queries.op7_bpe_codec,
     "op8_token_counts": token_queries.op8_token_counts,
     "op9_quality_rules": quality_queries.op9_quality_rules,
