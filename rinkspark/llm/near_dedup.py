@@ -24,7 +24,8 @@ Unlike set overlap this falls when text is moved, as edit similarity does.
 
 Defined results: a document without words is a class of its own, unless its
 text (not empty) occurs elsewhere exactly; null and empty texts and rows
-without an id are alone. Rows that repeat an id are one document. The class id
+without an id are alone. Rows that repeat an id are one document, compared by
+its greatest text. The class id
 is the least id of the class. Word comparison ignores the case of A-Z and
 punctuation. Other columns are ignored here, whatever their names.
 """
@@ -41,8 +42,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rinkspark.llm.common import map_texts, ref, ship_package, staged
+from rinkspark.llm.common import map_texts, ref, staged
 from rinkspark.llm.components import components
+from rinkspark.llm.leaders import compare_with_leaders
 from rinkspark.llm.text_arrays import mixed, span_hashes, utf8, words
 
 SHINGLE = 5
@@ -53,8 +55,6 @@ PICKED = 6
 #: A pair at 0.8 has both below the first or both above the second bound.
 SHORT_TO = 24
 LONG_FROM = 20
-#: Members that meet one copy of their leader.
-SALT_ROWS = 256
 
 _MULTIPLIERS = mixed(np.arange(1, FUNCTIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _STEP = np.uint64(0x100000001B3)
@@ -168,32 +168,17 @@ def _word_keys() -> Callable[[pa.Array], Sequence[pa.Array]]:
 
 
 def verified(pairs: DataFrame, payload: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) that are near duplicates. ``payload`` (id, words) holds
-    the word keys of every id in ``pairs``.
-
-    Pairs are dealt by (a, salt); each task sees a leader and then its members,
-    holding the leader's labels only.
-    """
-    ship_package(pairs.sparkSession)
-    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_ROWS).alias("salts"))
-    dealt = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"))
-    members = dealt.join(payload, dealt["b"] == payload["id"]).select("a", "salt", F.lit(1).alias("role"), "b", "words")
-    leaders = dealt.select("a", "salt").distinct().join(payload, F.col("a") == payload["id"]).select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("b"), "words")
-    rows = leaders.union(members).repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leader, labels = None, np.zeros(0, np.uint64)
-        for batch in batches:
-            found: list[tuple[int, int]] = []
-            for a, role, b, raw in zip(*(batch.column(c).to_pylist() for c in ("a", "role", "b", "words")), strict=True):
-                own = labelled(shingles(np.frombuffer(raw, np.uint64)))
-                if role == 0:
-                    leader, labels = a, own
-                elif leader == a and similarity(labels, own, least) > 0:
-                    found.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
-
-    return rows.mapInArrow(compare, "a bigint, b bigint")
+    """The pairs (a, b) that are near duplicates. ``payload`` (id, data) holds
+    the word keys of every id in ``pairs``."""
+
+    def labels(raw: bytes) -> np.ndarray:
+        return labelled(shingles(np.frombuffer(raw, np.uint64)))
+
+    def compare(a: int, held: np.ndarray, b: int, raw: bytes) -> Iterator[tuple]:
+        if similarity(held, labels(raw), least) > 0:
+            yield a, b
+
+    return compare_with_leaders(pairs, payload, labels, compare, "a bigint, b bigint")
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,7 +195,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     pairs = staged(shared.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
 
     involved = shared.select(F.col("node").alias("id")).distinct()
-    payload = staged(map_texts(ids.join(involved, "id").dropDuplicates(["id"]), "text", _word_keys, T.StructType([T.StructField("words", T.BinaryType())]), ["id"]), "word-keys")
+    texts = ids.join(involved, "id").groupBy("id").agg(F.max("text").alias("text"))
+    payload = staged(map_texts(texts, "text", _word_keys, T.StructType([T.StructField("data", T.BinaryType())]), ["id"]), "word-keys")
     links = staged(verified(pairs, payload), "links")
 
     # What is left: pairs of one bucket in different components.

@@ -7,11 +7,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rinkspark.llm import bpe_queries, chat_queries, decontamination_queries, html_queries, near_queries, quality_queries, token_queries, url_queries
+from rinkspark.llm import bpe_queries, chat_queries, decontamination_queries, html_queries, near_queries, quality_queries, substring_queries, token_queries, url_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": url_queries.op1_url_filters,
     "op2_decontamination": decontamination_queries.op2_decontamination,
+    "op3_substring_dedup": substring_queries.op3_substring_dedup,
     "op4_near_dedup": near_queries.op4_near_dedup,
     "op5_token_store": token_queries.op5_token_store,
     "op6_html_extraction": html_queries.op6_html_extraction,

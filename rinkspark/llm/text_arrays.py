@@ -58,8 +58,12 @@ def mixed(h: np.ndarray) -> np.ndarray:
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span of bytes, equal for equal bytes wherever
     they are: differences of one running sum, brought to a common power."""
-    inverse = pow(_MULTIPLIER, -1, 1 << 64)
-    n = len(data)
+    return run_hashes(data.astype(np.uint64) + np.uint64(1), starts, ends)
+
+
+def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The same for runs of unsigned 64-bit values."""
+    inverse, n = pow(_MULTIPLIER, -1, 1 << 64), len(values)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(_MULTIPLIER, n), out=sums[1:])
+    np.cumsum(values * _powers(_MULTIPLIER, n), out=sums[1:])
     return mixed((sums[ends] - sums[starts]) * _powers(inverse, n + 1)[starts] + (ends - starts).astype(np.uint64))
