@@ -9,9 +9,9 @@ wherever it stands and whatever is inserted before it.
 1. Chunks are grouped by digest; the first holder of a digest is the least
    document id (partial aggregate, so frequent chunks are combined map-side).
 2. Chunks whose first holder is another document are put in runs of adjacent
-   ones. A run together with its two neighbour chunks bounds the repeated
-   passage; where that is 50 words or more, document and first holder are
-   compared.
+   ones. A run, its two neighbour chunks and the words that their outer cuts
+   depend on bound the repeated passage; where that is 50 words or more,
+   document and first holder are compared.
 3. The comparison is exact: every run of 50 words of the document that the
    holder contains too is removed (spans joined, up to the next space).
 
@@ -62,12 +62,13 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def chunk_begins(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def chunk_begins(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First words of the chunks of a document, given by the lower-cased bytes
-    and the places of its words. The first word always begins a chunk."""
+    and the places of its words, and the first word that each cut depends on.
+    The first word always begins a chunk."""
     n = len(starts)
     if n == 0:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     sizes = ends - starts
     at = np.cumsum(sizes + 1) - sizes - 1  # places of the words, one space between
     joined = np.full(int(at[-1] + sizes[-1] + 1), 0x20, np.uint8)
@@ -95,7 +96,9 @@ def chunk_begins(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
                 if c - last > LONG_CHUNK:
                     long.append((last, c))
                 last = c
-    return np.flatnonzero(cut)
+    begins = np.flatnonzero(cut)
+    stop = at + sizes
+    return begins, np.searchsorted(stop, stop[np.maximum(begins - 1 - RADIUS, 0)] - 16, "right")
 
 
 def _chunker() -> Callable[[pa.Array], Sequence[pa.Array]]:
@@ -110,12 +113,12 @@ def _chunker() -> Callable[[pa.Array], Sequence[pa.Array]]:
             if b - a < MIN_WORDS:
                 sizes.append(0)
                 continue
-            begin = chunk_begins(low, starts[a:b], ends[a:b])
+            begin, seen = chunk_begins(low, starts[a:b], ends[a:b])
             end = np.append(begin[1:], b - a)
             parts[0].append(run_hashes(keys[a:b], begin, end).view(np.int64))
             parts[1].append(np.arange(len(begin)))
-            parts[2].append(np.append(0, begin[:-1]))
-            parts[3].append(np.append(end[1:], b - a))
+            parts[2].append(np.append(0, seen[:-1]))
+            parts[3].append(np.minimum(np.append(end[1:], b - a) + RADIUS, b - a))
             sizes.append(len(begin))
         columns = [pa.array(np.concatenate(p) if p else np.zeros(0, np.int64), f.type) for p, f in zip(parts, kind, strict=True)]
         return [pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.StructArray.from_arrays(columns, fields=list(kind)))]
@@ -125,7 +128,8 @@ def _chunker() -> Callable[[pa.Array], Sequence[pa.Array]]:
 
 def chunks(ids: DataFrame) -> DataFrame:
     """Rows (id, digest, idx, reach_begin, reach_end) of documents (id, text).
-    The reach is the chunk with its neighbours, in words."""
+    The reach, in words, is the chunk, its neighbours and what their outer
+    cuts depend on: a passage beyond it would have made a neighbour equal."""
     kind = T._parse_datatype_string("array<struct<digest:bigint,idx:int,reach_begin:int,reach_end:int>>")
     rows = map_texts(ids, "text", _chunker, T.StructType([T.StructField("chunks", kind)]), ["id"])
     return rows.select("id", F.inline("chunks"))
