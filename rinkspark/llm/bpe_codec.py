@@ -35,7 +35,7 @@ from rinkspark.llm.word_pieces import WORD_PATTERN, Memo, cutter, library_encode
 #: Words compiled into the lexicon.
 LEXICON_WORDS = 50_000
 #: Distinct words that a counting task holds before it hands on its counts.
-COUNT_WORDS = 300_000
+COUNT_WORDS = 150_000
 
 
 def word_counts(docs: DataFrame, text_col: str, tokenizer_json: str) -> DataFrame:
@@ -90,11 +90,6 @@ def lexicon_encoder(tok, lexicon: Lexicon) -> Callable[[list[str]], Sequence[Seq
     return encode
 
 
-def token_table(tok) -> list[str]:
-    size = max([tok.get_vocab_size(True), *(i + 1 for i in tok.get_vocab(True).values())])
-    return [tok.id_to_token(i) or "" for i in range(size)]
-
-
 def encoded(docs: DataFrame, tokenizer_json: str, text_col: str = "text") -> DataFrame:
     """``docs`` with ``ids``: the ids as little-endian 32-bit integers."""
     name = build_lexicon(docs, text_col, tokenizer_json)
@@ -118,26 +113,35 @@ def decoded(rows: DataFrame, tokenizer_json: str, ids_col: str = "ids") -> DataF
     """``rows`` with ``decoded``: the ids' text as the library's
     ``decode(ids, skip_special_tokens=False)``. Null ids give the empty text."""
     ship_package(rows.sparkSession)
-    added, shared = free_name(rows, "decoded"), rows.sparkSession.sparkContext.broadcast(tokenizer_json)
+    added, tok = free_name(rows, "decoded"), load(tokenizer_json)
+    # Without a decoder in the file, the table of tokens is all a worker needs.
+    shared = rows.sparkSession.sparkContext.broadcast(tokenizer_json if tok.decoder else token_table(tok))
     schema = T.StructType([*rows.schema.fields, T.StructField(added, T.StringType())])
     at = rows.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute  # noqa: F401
 
-        decode = decoder(load(shared.value))
+        decode = decoder(shared.value)
         for whole in batches:
             for batch in pieces(whole, at):
-                texts = [decode(np.frombuffer(b or b"", "<u4")) for b in batch.column(at).to_pylist()]
+                texts = [decode(np.frombuffer(b or b"", "<u4").tolist()) for b in batch.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], schema.names)
 
     return rows.mapInArrow(run, schema)
 
 
-def decoder(tok) -> Callable[[np.ndarray], str]:
-    """Ids -> text. A file without a decoder joins its tokens by spaces, done
-    here from a table; any other is decoded by the library."""
-    if tok.decoder is None:
-        token = token_table(tok).__getitem__
-        return lambda ids: " ".join(map(token, ids.tolist()))
-    return lambda ids: tok.decode(ids.tolist(), skip_special_tokens=False)
+def token_table(tok) -> list[str]:
+    """The token of each id; ids without one have the empty string."""
+    size = max(tok.get_vocab(True).values(), default=-1) + 1
+    return [tok.id_to_token(i) or "" for i in range(size)]
+
+
+def decoder(source: str | list[str]) -> Callable[[list[int]], str]:
+    """Ids -> text, from a tokenizer file or, for one that names no decoder
+    (its tokens are joined by spaces), from its token table."""
+    if isinstance(source, str):
+        tok = load(source)
+        return lambda ids: tok.decode(ids, skip_special_tokens=False)
+    token = source.__getitem__
+    return lambda ids: " ".join(map(token, ids))

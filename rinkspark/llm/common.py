@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 import rinkspark
 
 #: Text bytes handed to one numpy pass; a single longer text is one pass.
-PASS_BYTES = 4 << 20
+PASS_BYTES = 1 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

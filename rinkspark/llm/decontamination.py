@@ -1,6 +1,6 @@
 """Benchmark decontamination with suffix arrays over the training texts.
 
-Each Arrow piece of the documents (at most 4 MB of text, or one longer text)
+Each Arrow piece of the documents (at most 1 MB of text, or one longer text)
 is a shard. A task turns the shard's words into ranks of the benchmark's
 vocabulary and sorts a suffix array of the word positions at which a test
 window can begin (those whose first words form the beginning of some window;

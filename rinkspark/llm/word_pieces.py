@@ -38,7 +38,7 @@ WORD_PATTERN = re.compile(rf"[{_L}]+|'(?:[stmd]|re|ve|ll)|[{_N}]|[^\s{_L}{_N}]+"
 BYTE_PATTERN = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")
 
 #: Memoised pre-tokens of a worker; beyond it the memory is started anew.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 300_000
 
 
 def load(tokenizer_json: str):
