@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rinkspark.llm.common import map_texts, ref, staged
+from rinkspark.llm.common import free_name, map_texts, ref, staged
 from rinkspark.llm.components import components
 from rinkspark.llm.leaders import compare_with_leaders
 from rinkspark.llm.text_arrays import mixed, span_hashes, utf8, words
@@ -218,6 +218,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each class, the one with the least id; columns as they
     came. Rows without an id are kept."""
-    classes = near_classes(docs, id_col, text_col).filter("doc_id = class_id").select(F.col("doc_id").alias("_kept"))
-    kept = docs.join(classes, ref(docs, id_col).cast("long") == F.col("_kept"), "left_semi").dropDuplicates([id_col])
+    own = free_name(docs, "_kept")
+    classes = near_classes(docs, id_col, text_col).filter("doc_id = class_id").select(F.col("doc_id").alias(own))
+    kept = docs.join(classes, ref(docs, id_col).cast("long") == F.col(own), "left_semi").dropDuplicates([id_col])
     return kept.union(docs.filter(ref(docs, id_col).isNull()))

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rinkspark.llm.common import let, map_texts, ref, staged
+from rinkspark.llm.common import free_name, let, map_texts, ref, staged
 from rinkspark.llm.leaders import compare_with_leaders
 from rinkspark.llm.text_arrays import mixed, run_hashes, span_hashes, utf8, words
 
@@ -223,20 +223,23 @@ def without_spans(text: Column, spans: Column) -> Column:
     )
 
 
-def with_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with two more columns: ``_spans`` (array of structs begin,
-    end, holder; null without any) and ``_cut``, the text without them."""
+def with_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str, str]:
+    """``docs`` with two more columns, and their names: the spans (array of
+    structs begin, end, holder, n_words; null without any), and the text
+    without them."""
+    spans, cut, key, digest = (free_name(docs, c) for c in ("_spans", "_cut", "_id", "_hash"))
     found = repeats(docs, id_col, text_col)
-    per_doc = found.groupBy("id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("begin", "end", "holder", "n_words"))).alias("_spans"))
-    joined = docs.join(per_doc, (ref(docs, id_col).cast("long") == per_doc["id"]) & (F.xxhash64(ref(docs, text_col)) == per_doc["text_hash"]), "left")
-    return joined.select(*[ref(docs, c) for c in docs.columns], "_spans", F.when(F.col("_spans").isNull(), ref(docs, text_col)).otherwise(without_spans(ref(docs, text_col), F.col("_spans"))).alias("_cut"))
+    per_doc = found.groupBy(F.col("id").alias(key), F.col("text_hash").alias(digest)).agg(F.sort_array(F.collect_set(F.struct("begin", "end", "holder", "n_words"))).alias(spans))
+    text = ref(docs, text_col)
+    joined = docs.join(per_doc, (ref(docs, id_col).cast("long") == F.col(key)) & (F.xxhash64(text) == F.col(digest)), "left")
+    return joined.withColumn(cut, F.when(F.col(spans).isNull(), text).otherwise(without_spans(text, F.col(spans)))).drop(key, digest), spans, cut
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """``docs`` with the repeated passages taken out of the text; a column of
     text lengths, if named, follows the new text."""
-    out = with_repeats(docs, id_col, text_col)
-    new = {text_col: F.col("_cut")}
+    out, spans, cut = with_repeats(docs, id_col, text_col)
+    new = {text_col: F.col(cut)}
     if length_col:
-        new[length_col] = F.when(F.col("_spans").isNull(), ref(out, length_col)).otherwise(F.char_length("_cut")).cast(docs.schema[length_col].dataType)
+        new[length_col] = F.when(F.col(spans).isNull(), ref(out, length_col)).otherwise(F.char_length(cut)).cast(docs.schema[length_col].dataType)
     return out.select(*[new.get(c, ref(out, c)).alias(c) for c in docs.columns])
