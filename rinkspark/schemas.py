@@ -41,7 +41,9 @@ GAME = _struct(
     ("awayTeam", TEAM),
     ("homeTeam", TEAM),
 )
-SCHEDULE = _struct(("games", T.ArrayType(GAME)))
+# ``landed_at`` (optional, ISO time) is the landing time of the document; the
+# file's modification time stands in where it is missing.
+SCHEDULE = _struct(("games", T.ArrayType(GAME)), ("landed_at", _S))
 
 # --- landed box score -------------------------------------------------------
 LOCALISED = T.MapType(_S, _S)
@@ -78,6 +80,7 @@ BOXSCORE = _struct(
     ("awayTeam", SIDE),
     ("homeTeam", SIDE),
     ("playerByGameStats", _struct(("awayTeam", LINES), ("homeTeam", LINES))),
+    ("landed_at", _S),
 )
 
 # --- landed player log ------------------------------------------------------
@@ -91,7 +94,7 @@ LOG_ENTRY = _struct(
     ("shifts", _I),
     ("pim", _I),
 )
-PLAYER_LOG = _struct(("player_id", _L), ("gameLog", T.ArrayType(LOG_ENTRY)))
+PLAYER_LOG = _struct(("player_id", _L), ("gameLog", T.ArrayType(LOG_ENTRY)), ("landed_at", _S))
 
 # --- weekly schedule CSV ------------------------------------------------------
 WEEKLY_CSV = _struct(

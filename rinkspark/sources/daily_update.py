@@ -8,14 +8,17 @@
         --A1..A5 for the touched players, S9--> next dimension snapshot
     register --S8 upsert with the schedule's state--> next register snapshot
 
-The facts are partitioned by (season, game_date): a run reads only the
-partitions its batch touches (a semi-join on the partition columns, so the
-scan is pruned), merges the batch into them (S8), stages the merged rows
-and replaces just those partitions (dynamic overwrite) - the work per day
-grows with the batch, not with the table. Readers re-read a fact after a
-run (its touched partitions were replaced in place). The dimension and the
-register are snapshot folders with append-only pointers
-(``store.write_snapshot``).
+Landings: schedules, box scores and logs may be landed again; the last
+landing of each game, and of each (player, game) log entry, is used. Lines
+that do not parse are written to ``_quarantine`` of the store.
+
+The facts are partitioned by (season, game_date). A run finds the old rows of
+its keys wherever they are (a corrected date moves a row to another partition),
+merges the partitions concerned (S8), stages the merged rows and replaces just
+those partitions. Partitions are named as literals in the scan's filter while
+they are few. Readers re-read a fact after a run (partitions are replaced in
+place). The dimension and the register are snapshot folders with append-only
+pointers (``store.write_snapshot``).
 A re-run of the same day gives the same tables (games already final are
 skipped; others are merged again, replacing their own rows).
 """
@@ -27,6 +30,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rinkspark import schemas
 from rinkspark.functions.calendar import league_date
@@ -41,6 +45,7 @@ from rinkspark.sources.store import (
     empty_table,
     latest_per_key,
     overwrite_partitions,
+    path_exists,
     upsert,
     write_snapshot,
 )
@@ -51,6 +56,8 @@ FACT_SCHEMAS = {"player_game_stats": schemas.PLAYER_GAME_STATS, "goalie_game_sta
 REGISTER = "register"
 # Touched players up to this many are passed to the scan as a literal list.
 MAX_LITERAL_IDS = 10_000
+# Touched partitions up to this many are named in the scan's filter.
+MAX_LITERAL_PARTITIONS = 200
 
 
 @dataclass(frozen=True)
@@ -68,34 +75,63 @@ def _current(spark: SparkSession, root: str, empty: DataFrame) -> DataFrame:
 
 def read_fact(spark: SparkSession, store: str, name: str) -> DataFrame | None:
     """A fact table of the store with its declared schema (None if absent)."""
-    try:
-        return spark.read.schema(FACT_SCHEMAS[name]).parquet(f"{store}/{name}")
-    except Exception:  # noqa: BLE001 - not written yet
-        return None
+    path = f"{store}/{name}"
+    return spark.read.schema(FACT_SCHEMAS[name]).parquet(path) if path_exists(spark, path) else None
+
+
+def _stage(df: DataFrame, store: str, name: str) -> DataFrame:
+    """Write rows once below the store and read them back: they are used
+    several times, and a path cannot be overwritten while a job reads it."""
+    path = f"{store}/_staging/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _in_partitions(df: DataFrame, parts: DataFrame) -> DataFrame:
+    """Rows of ``df`` in the given (season, game_date) partitions; a null is a
+    value like any other. Few partitions become literal partition filters,
+    more a join on equality with the nulls replaced on both sides."""
+    if has_at_most(parts, MAX_LITERAL_PARTITIONS):
+        cond = F.lit(False)
+        for season, day in (tuple(r) for r in parts.select(*FACT_PARTITIONS).collect()):  # bounded by the check
+            s = F.col("season").isNull() if season is None else F.col("season") == F.lit(season)
+            d = F.col("game_date").isNull() if day is None else F.col("game_date") == F.lit(day)
+            cond = cond | (s & d)
+        return df.where(cond)
+    s, d = F.coalesce("season", F.lit("")), F.coalesce("game_date", F.lit("0001-01-01").cast("date"))
+    keyed = parts.select(s.alias("_s"), d.alias("_d")).distinct()
+    return df.withColumn("_s", s).withColumn("_d", d).join(keyed, ["_s", "_d"], "left_semi").drop("_s", "_d")
+
+
+def _partition_path(root: str, season, day) -> str:
+    null = "__HIVE_DEFAULT_PARTITION__"
+    return f"{root}/season={null if season is None else season}/game_date={null if day is None else day}"
 
 
 def merge_into_partitions(spark: SparkSession, fresh: DataFrame, store: str, name: str) -> None:
-    """S8 on a partitioned fact: merge ``fresh`` into the (season, game_date)
-    partitions it touches and replace only those partitions."""
+    """S8 on a partitioned fact: ``fresh`` replaces the rows of its keys in
+    whatever (season, game_date) partition they are; only the partitions of
+    the old and the new rows are rewritten."""
     root = f"{store}/{name}"
-    fresh = latest_per_key(conform(fresh, FACT_SCHEMAS[name]), FACT_KEY, [])
+    fresh = _stage(latest_per_key(conform(fresh, FACT_SCHEMAS[name]), FACT_KEY, []), store, f"{name}-fresh")
     old = read_fact(spark, store, name)
     if old is None:
-        merged = fresh
-    else:
-        touched = fresh.select(*[F.col(c).alias(f"_t_{c}") for c in FACT_PARTITIONS]).distinct()
-        # Null-safe: a null season or date is a partition too, and its old
-        # rows must be merged, not dropped, when that partition is replaced.
-        cond = None
-        for c in FACT_PARTITIONS:
-            e = old[c].eqNullSafe(touched[f"_t_{c}"])
-            cond = e if cond is None else cond & e
-        merged = upsert(old.join(touched, cond, "left_semi"), fresh, FACT_KEY)
-    # Stage first: a path cannot be overwritten while the same job reads it.
-    stage = f"{store}/_staging/{name}-{uuid.uuid4().hex[:12]}"
-    merged.write.parquet(stage)
-    staged = spark.read.schema(FACT_SCHEMAS[name]).parquet(stage)
-    overwrite_partitions(staged.sortWithinPartitions("player_id", "game_id"), root, FACT_PARTITIONS)
+        overwrite_partitions(fresh.sortWithinPartitions("player_id", "game_id"), root, FACT_PARTITIONS)
+        return
+    games = fresh.select("game_id").distinct()
+    found = old.select(*FACT_KEY, *FACT_PARTITIONS)
+    if has_at_most(games, MAX_LITERAL_IDS):
+        # File statistics of game_id rule out almost all files of other days.
+        found = found.where(F.col("game_id").isin([r.game_id for r in games.collect()]))  # bounded by the check
+    held = found.join(fresh.select(*FACT_KEY), FACT_KEY, "left_semi").select(*FACT_PARTITIONS)
+    touched = _stage(held.unionByName(fresh.select(*FACT_PARTITIONS)).distinct(), store, f"{name}-partitions")
+    merged = _stage(upsert(_in_partitions(old, touched), fresh, FACT_KEY), store, name)
+    overwrite_partitions(merged.sortWithinPartitions("player_id", "game_id"), root, FACT_PARTITIONS)
+    # Partitions that lost their last row to another one are emptied.
+    same = touched["season"].eqNullSafe(merged["season"]) & touched["game_date"].eqNullSafe(merged["game_date"])
+    for r in touched.join(merged.select(*FACT_PARTITIONS).distinct(), same, "left_anti").toLocalIterator():
+        empty = spark.createDataFrame([], T.StructType([f for f in FACT_SCHEMAS[name].fields if f.name not in FACT_PARTITIONS]))
+        empty.write.mode("overwrite").parquet(_partition_path(root, r.season, r.game_date))
 
 
 def _empty_register(spark: SparkSession) -> DataFrame:
@@ -105,7 +141,7 @@ def _empty_register(spark: SparkSession) -> DataFrame:
 def schedule_games(spark: SparkSession, schedule_path: str) -> DataFrame:
     """Regular-season games of the landed schedules, one row per game, with
     their league-zone date."""
-    games = L.regular_season(L.unique_games(L.read_schedules(spark, schedule_path), version_col=None))
+    games = L.regular_season(L.unique_games(L.read_schedules(spark, schedule_path)))
     return games.withColumn("game_date", league_date("start_time_utc"))
 
 
@@ -122,11 +158,16 @@ def apply_box_scores(
     """Land the games of ``box`` (box-score documents): their log lines are
     merged into facts (S8 upsert), the touched players' dimension rows are
     refreshed (A6/A7, S9) and the games enter the register with the
-    schedule's state (S10). Shared by the daily job and the stream."""
+    schedule's state (S10). Shared by the daily job and the stream. The season
+    totals cover ``season``, else the latest season of the batch's games."""
     batch_ids = box.select(F.col("id").alias("game_id")).where(F.col("game_id").isNotNull()).distinct()
-    log = logs.join(batch_ids, "game_id", "left_semi")
+    log = L.restrict_to_batch(logs, batch_ids, L.batch_players(L.box_lines(box)))
     seasons = games.select("game_id", F.col("season").cast("string").alias("season"))
+    if season is None:
+        season = seasons.join(batch_ids, "game_id", "left_semi").agg(F.max("season")).first()[0]
     skaters, goalies = build_facts(spark, log, box, seasons=seasons)
+    # Enriched once, used by the merge, the touched players and the dimension.
+    skaters, goalies = _stage(skaters, store, "skater-batch"), _stage(goalies, store, "goalie-batch")
 
     out: dict[str, str] = {}
     for name, fresh in (("player_game_stats", skaters), ("goalie_game_stats", goalies)):
@@ -157,6 +198,7 @@ def apply_box_scores(
     dim_root = f"{store}/pro_players"
     dim = _current(spark, dim_root, empty_table(spark, "pro_players"))
     new_dim = conform(rebuild_dimension(dim, sk_all, gk_all, season), schemas.PRO_PLAYERS)
+    new_dim = new_dim.withColumns({"is_active": F.coalesce("is_active", F.lit(True)), "player_name": F.coalesce("player_name", F.lit("Unknown"))})
     out["pro_players"] = write_snapshot(new_dim, dim_root)
 
     reg_root = f"{store}/{REGISTER}"
@@ -168,8 +210,11 @@ def apply_box_scores(
 
 def run_daily_update(spark: SparkSession, paths: Paths, as_of, *, season=None, landed_at=None) -> dict[str, str]:
     """Process yesterday's games (relative to ``as_of``) that are not yet
-    landed as final; season totals in the dimension cover ``season`` (all
-    seasons when None). Returns the new snapshot path of each table."""
+    landed as final; season totals in the dimension cover ``season`` (the
+    latest season of the batch when None). Returns the new snapshot path of
+    each table. Lines that do not parse go to ``_quarantine/<source>``."""
+    for name, path, schema in (("schedule", paths.schedule, schemas.SCHEDULE), ("boxscores", paths.boxscores, schemas.BOXSCORE), ("logs", paths.logs, schemas.PLAYER_LOG)):
+        L.write_quarantine(L.read_json(spark, path, schema), f"{paths.store}/_quarantine/{name}/as_of={as_of}")
     games = schedule_games(spark, paths.schedule)
     batch = yesterday_games(games, as_of)
     register = _current(spark, f"{paths.store}/{REGISTER}", _empty_register(spark))
@@ -197,12 +242,13 @@ def stream_box_scores(
         .option("maxFilesPerTrigger", max_files_per_trigger)
         .json(paths.boxscores)
     )
+    stream = L.with_landing_time(stream)
 
     def per_batch(box: DataFrame, batch_id: int) -> None:
         s = box.sparkSession
         games = schedule_games(s, paths.schedule)
         logs = L.read_player_logs(s, paths.logs)
-        apply_box_scores(s, box, logs, games, paths.store, season=season)
+        apply_box_scores(s, L.latest_landing(box, "id"), logs, games, paths.store, season=season)
 
     q = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
     q.awaitTermination()

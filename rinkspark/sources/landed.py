@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from rinkspark import constants as K
 from rinkspark import schemas
 from rinkspark.functions.calendar import parse_instant
+from rinkspark.sources.store import latest_per_key
 
 CORRUPT = "_corrupt_record"
 
@@ -28,13 +29,32 @@ def _with_corrupt(schema: T.StructType) -> T.StructType:
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Permissive JSON read with a declared schema; bad lines keep their
-    text in ``_corrupt_record`` (use :func:`split_corrupt`)."""
-    return (
+    text in ``_corrupt_record`` (use :func:`split_corrupt`). ``landed_at`` is
+    the document's own landing time, else the file's modification time."""
+    df = (
         spark.read.schema(_with_corrupt(schema))
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT)
         .json(path)
     )
+    return with_landing_time(df)
+
+
+def with_landing_time(df: DataFrame) -> DataFrame:
+    """``landed_at`` as a timestamp on a file scan (batch or stream)."""
+    if "landed_at" not in df.columns:
+        return df
+    return df.withColumn("landed_at", F.coalesce(F.try_to_timestamp("landed_at"), F.col("_metadata.file_modification_time")))
+
+
+def latest_landing(docs: DataFrame, key: str) -> DataFrame:
+    """The last landed document per key (of equal landing times the greatest
+    as JSON text); one aggregation, combined map-side."""
+    doc = F.struct(*[F.col(c) for c in docs.columns])
+    last = docs.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(
+        F.max_by(doc, F.struct(F.col("landed_at"), F.to_json(doc))).alias("_doc")
+    )
+    return last.select("_doc.*")
 
 
 def split_corrupt(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -48,9 +68,10 @@ def split_corrupt(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def write_quarantine(df: DataFrame, path: str) -> None:
     """Write the rows that did not parse (raw text and whatever parsed) to a
-    quarantine table; count or inspect them from that table."""
+    quarantine folder, replacing what an earlier run of the same batch wrote;
+    count or inspect them from that table."""
     _, bad = split_corrupt(df)
-    bad.write.mode("append").parquet(path)
+    bad.write.mode("overwrite").parquet(path)
 
 
 # ------------------------------------------------------------------- S1
@@ -103,8 +124,9 @@ def unique_games(games: DataFrame, *, version_col: str | None = "landed_at") ->
 
 # ------------------------------------------------------------------- S2
 def read_boxscores(spark: SparkSession, path: str) -> DataFrame:
+    """The last landed box score of each game."""
     docs, _ = split_corrupt(read_json(spark, path, schemas.BOXSCORE))
-    return docs
+    return latest_landing(docs, "id")
 
 
 def box_headers(box: DataFrame) -> DataFrame:
@@ -189,13 +211,15 @@ def batch_players(lines: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------- S3
 def read_player_logs(spark: SparkSession, path: str) -> DataFrame:
+    """Log entries, the last landed one per (player, game)."""
     docs, _ = split_corrupt(read_json(spark, path, schemas.PLAYER_LOG))
-    return log_entries(docs)
+    return latest_per_key(log_entries(docs), ["player_id", "game_id"], ["landed_at"]).drop("landed_at")
 
 
 def log_entries(logs: DataFrame) -> DataFrame:
     """S3: one row per (player, game) of the landed player logs."""
-    e = logs.select("player_id", F.explode("gameLog").alias("e"))
+    landed = ["landed_at"] if "landed_at" in logs.columns else []
+    e = logs.select("player_id", F.explode("gameLog").alias("e"), *landed)
     return e.select(
         "player_id",
         F.col("e.gameId").alias("game_id"),
@@ -206,6 +230,7 @@ def log_entries(logs: DataFrame) -> DataFrame:
         F.col("e.toi").alias("toi"),
         F.col("e.shifts").alias("shifts"),
         F.col("e.pim").alias("pim"),
+        *landed,
     )
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +24,19 @@ def _keys(key: str | Sequence[str]) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` exists on its store. Only Spark's own "path not
+    found" answers no; any other error (no permission, a store that is down)
+    is raised, so a table that cannot be read is never taken for missing."""
+    try:
+        spark.read.schema("x int").parquet(path)
+    except AnalysisException as ex:
+        if ex.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
+
+
 # ------------------------------------------------------------------ S6, S7
 def append(df: DataFrame, path: str, *, partition_by: Sequence[str] = ()) -> None:
     """Add rows to a table."""
@@ -33,25 +47,22 @@ def append(df: DataFrame, path: str, *, partition_by: Sequence[str] = ()) -> Non
 
 
 def overwrite(df: DataFrame, path: str, *, partition_by: Sequence[str] = ()) -> int:
-    """Truncate and reload; returns the number of rows written (counted
-    from the written table, not pulled through the driver)."""
+    """Truncate and reload; returns the number of rows cleared (0 for a
+    new table), counted from the table before it is replaced."""
+    spark = df.sparkSession
+    cleared = spark.read.parquet(path).count() if path_exists(spark, path) else 0
     w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
-    return df.sparkSession.read.parquet(path).count()
+    return cleared
 
 
 def overwrite_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
     """Replace only the partitions present in ``df`` (dynamic overwrite);
-    e.g. re-landing one season leaves every other season alone."""
-    spark = df.sparkSession
-    old = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", old)
+    e.g. re-landing one season leaves every other season alone. The mode is
+    an option of this write; the session's setting is not touched."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
 
 
 # ---------------------------------------------------------------- S8, S9
@@ -93,10 +104,12 @@ def partial_upsert(
     """Only ``columns`` change. Full outer join on the key; a key only
     in ``new`` becomes a new row whose other columns are null; a key only in
     ``old`` keeps its row. Columns in ``keep_when_null`` change only where
-    the new value is not null (the source row did not provide them)."""
+    the new value is not null (the source row did not provide them). A key
+    that ``new`` repeats is first reduced to its greatest row by ``columns``,
+    so every key stays unique."""
     keys = _keys(key)
     o = old.alias("o")
-    n = new.select(*keys, *columns).withColumn("_present", F.lit(True)).alias("n")
+    n = latest_per_key(new.select(*keys, *columns), keys, list(columns)).withColumn("_present", F.lit(True)).alias("n")
     j = o.join(n, keys, "full_outer")
     out_cols = []
     for c in old.columns:
@@ -130,17 +143,16 @@ def write_snapshot(df: DataFrame, root: str) -> str:
 
 
 def _current_pointer(spark: SparkSession, root: str) -> tuple[int, str] | None:
-    try:
-        # One short line per snapshot ever written; the max is a global agg.
-        best = (
-            spark.read.schema("seq long, path string")
-            .option("sep", "\t")
-            .csv(f"{root}/_CURRENT")
-            .agg(F.max(F.struct("seq", "path")).alias("b"))
-            .first()
-        )
-    except Exception:  # noqa: BLE001 - no pointer yet
+    if not path_exists(spark, f"{root}/_CURRENT"):
         return None
+    # One short line per snapshot ever written; the max is a global agg.
+    best = (
+        spark.read.schema("seq long, path string")
+        .option("sep", "\t")
+        .csv(f"{root}/_CURRENT")
+        .agg(F.max(F.struct("seq", "path")).alias("b"))
+        .first()
+    )
     if best is None or best.b is None:
         return None
     return int(best.b.seq), best.b.path
@@ -171,14 +183,13 @@ def empty_table(spark: SparkSession, name: str) -> DataFrame:
 
 
 def ensure_tables(spark: SparkSession, root: str) -> dict[str, str]:
-    """Create every declared table that does not exist yet."""
+    """Create every declared table that does not exist yet. A table
+    whose folder exists is left alone, readable or not."""
     out = {}
     for name in schemas.TABLES:
         path = f"{root}/{name}"
-        try:
-            spark.read.parquet(path).limit(0).collect()
-        except Exception:  # noqa: BLE001 - missing table
-            empty_table(spark, name).write.mode("overwrite").parquet(path)
+        if not path_exists(spark, path):
+            empty_table(spark, name).write.mode("errorifexists").parquet(path)
         out[name] = path
     return out
 

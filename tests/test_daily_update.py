@@ -106,3 +106,55 @@ def test_next_day_adds_partition_and_keeps_earlier_ones(spark, tmp_dir):
     gk = read_fact(spark, paths.store, "goalie_game_stats")
     full = {r.player_id: r.season_games_played for r in D.season_snapshot(sk, gk, "20252026").collect()}
     assert {k: v.season_games_played for k, v in dim.items()} == full
+
+
+def _landed(doc, at):
+    return {**doc, "landed_at": at}
+
+
+def test_corrections_moved_dates_and_stray_lines(spark, tmp_dir):
+    paths = Paths(f"{tmp_dir}/sched", f"{tmp_dir}/box", f"{tmp_dir}/logs", f"{tmp_dir}/store")
+    day = "2025-11-01T23:00:00Z"
+    early, late = "2025-11-02T01:00:00Z", "2025-11-02T09:00:00Z"
+    write_lines(f"{tmp_dir}/sched/a.json", [_landed({"games": [game(100, 2, day, "BOS", "TOR", "FUT")]}, early)], ["{broken"])
+    write_lines(f"{tmp_dir}/box/a.json", [_landed(_box(100, "BOS", "TOR"), early)], ["not json"])
+    logs = [_log(1, "TOR", [(100, "2025-11-01")]), _log(7, "TOR", [(100, "2025-11-01")])]  # 7 is in no box score
+    write_lines(f"{tmp_dir}/logs/a.json", [_landed(x, early) for x in logs])
+    run_daily_update(spark, paths, "2025-11-02")
+    sk = read_fact(spark, paths.store, "player_game_stats").collect()
+    assert [(r.game_id, r.player_id, r.goals, str(r.game_date)) for r in sk] == [(100, 1, 1, "2025-11-01")]
+    assert {r.status for r in read_current(spark, f"{paths.store}/register").collect()} == {"pending"}
+    dim = {r.player_id: r for r in read_current(spark, f"{paths.store}/pro_players").collect()}
+    assert 7 not in dim and dim[1].is_active and dim[1].season_games_played == 1
+    bad = spark.read.parquet(f"{paths.store}/_quarantine/boxscores/as_of=2025-11-02").collect()
+    assert [r["_corrupt_record"] for r in bad] == ["not json"]
+
+    # A lower score, a corrected date and the final state are landed later.
+    fixed = _box(100, "BOS", "TOR")
+    fixed["playerByGameStats"]["awayTeam"]["forwards"][0]["goals"] = 0
+    write_lines(f"{tmp_dir}/sched/b.json", [_landed({"games": [game(100, 2, day, "BOS", "TOR", "OFF")]}, late)])
+    write_lines(f"{tmp_dir}/box/b.json", [_landed(fixed, late)])
+    write_lines(f"{tmp_dir}/logs/b.json", [_landed(_log(1, "TOR", [(100, "2025-10-31")]), late)])
+    for _ in range(2):  # the second run finds the game final and changes nothing
+        run_daily_update(spark, paths, "2025-11-02")
+        sk = read_fact(spark, paths.store, "player_game_stats").collect()
+        assert [(r.game_id, r.player_id, r.goals, str(r.game_date)) for r in sk] == [(100, 1, 0, "2025-10-31")]
+        dim = {r.player_id: r for r in read_current(spark, f"{paths.store}/pro_players").collect()}
+        assert dim[1].season_games_played == 1
+    assert {r.status for r in read_current(spark, f"{paths.store}/register").collect()} == {"final"}
+
+
+def test_merge_reads_touched_partitions_only(spark, tmp_dir):
+    from rinkspark import schemas
+    from rinkspark.sources.daily_update import _in_partitions, merge_into_partitions
+    from rinkspark.sources.store import conform
+
+    rows = [(g, 1, "2025", f"2025-11-{1 + g:02d}") for g in range(20)] + [(50, 1, None, None)]
+    fact = conform(spark.createDataFrame(rows, "game_id long, player_id long, season string, game_date string"), schemas.PLAYER_GAME_STATS)
+    merge_into_partitions(spark, fact, tmp_dir, "player_game_stats")
+    again = conform(spark.createDataFrame([(50, 1, None, None), (3, 1, "2025", "2025-11-09")], "game_id long, player_id long, season string, game_date string"), schemas.PLAYER_GAME_STATS)
+    merge_into_partitions(spark, again, tmp_dir, "player_game_stats")
+    table = read_fact(spark, tmp_dir, "player_game_stats")
+    assert table.count() == 21 and {str(r.game_date) for r in table.where("game_id = 3").collect()} == {"2025-11-09"}
+    plan = _in_partitions(table, again.select("season", "game_date"))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "PartitionFilters: []" not in plan

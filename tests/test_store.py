@@ -1,5 +1,9 @@
 """Append, overwrite, upserts, snapshots and contracts."""
 
+import glob
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
 from rinkspark.sources import store as ST
@@ -22,6 +26,7 @@ def test_partial_upsert(spark):
 def test_append_overwrite_and_partitions(spark, tmp_dir):
     p = f"{tmp_dir}/t"
     df = spark.createDataFrame([(1, "2024"), (2, "2025")], "id long, season string")
+    assert ST.overwrite(df, p, partition_by=["season"]) == 0  # rows cleared
     assert ST.overwrite(df, p, partition_by=["season"]) == 2
     ST.append(df, p, partition_by=["season"])
     assert spark.read.parquet(p).count() == 4
@@ -56,3 +61,37 @@ def test_conform_fills_missing_columns(spark):
     out = ST.conform(df, schemas.PRO_PLAYERS)
     assert out.columns == [f.name for f in schemas.PRO_PLAYERS.fields]
     assert out.select(F.col("is_goalie")).first()[0] is None
+
+
+def test_damaged_table_is_never_replaced(spark, tmp_dir):
+    paths = ST.ensure_tables(spark, tmp_dir)
+    spark.createDataFrame([(1, "a")], "team_id long, team_name string").write.mode("overwrite").parquet(paths["fantasy_team"])
+    files = [f for f in glob.glob(f"{paths['fantasy_team']}/part-*.parquet")]
+    for f in files:
+        with open(f, "r+b") as fh:
+            fh.truncate(10)
+        if os.path.exists(crc := os.path.join(os.path.dirname(f), f".{os.path.basename(f)}.crc")):
+            os.remove(crc)
+    ST.ensure_tables(spark, tmp_dir)
+    assert sorted(glob.glob(f"{paths['fantasy_team']}/part-*.parquet")) == sorted(files)
+
+
+def test_unreadable_pointer_is_an_error(spark, tmp_dir):
+    root = f"{tmp_dir}/dim"
+    assert ST.current_snapshot(spark, root) is None
+    ST.write_snapshot(spark.createDataFrame([(1, "x")], "k long, v string"), root)
+    assert ST.path_exists(spark, root) and not ST.path_exists(spark, f"{root}/none")
+    with pytest.raises(Exception):
+        ST.path_exists(spark, "nostore://x/y")
+
+
+def test_partial_upsert_reduces_repeated_keys(spark):
+    old = spark.createDataFrame([(1, 1.0)], "k long, x double")
+    new = spark.createDataFrame([(1, 5.0), (1, 7.0), (2, 3.0), (2, 2.0)], "k long, x double")
+    assert sorted(tuple(r) for r in ST.partial_upsert(old, new, "k", ["x"]).collect()) == [(1, 7.0), (2, 3.0)]
+
+
+def test_partition_overwrite_leaves_the_session_setting(spark, tmp_dir):
+    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    ST.overwrite_partitions(spark.createDataFrame([(9, "2025")], "id long, season string"), f"{tmp_dir}/p", ["season"])
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode") == before
