@@ -103,12 +103,13 @@ def ratio_or_null(num: ColumnLike, den: ColumnLike) -> Column:
 
 def toi_to_seconds(toi: ColumnLike) -> Column:
     """``MM:SS`` -> seconds; anything else (null, one or three parts,
-    letters, decimals) -> 0."""
+    letters, decimals, more seconds than an int holds) -> 0."""
     parts = F.split(_col(toi), ":")
     m = _try_int(F.try_element_at(parts, F.lit(1)))
     s = _try_int(F.try_element_at(parts, F.lit(2)))
-    ok = (F.size(parts) == 2) & m.isNotNull() & s.isNotNull()
-    return F.when(ok, m * 60 + s).otherwise(F.lit(0)).cast("int")
+    total = m.cast("bigint") * 60 + s.cast("bigint")
+    ok = (F.size(parts) == 2) & total.between(-(2**31), 2**31 - 1)
+    return F.when(ok, total).otherwise(F.lit(0)).cast("int")
 
 
 def _try_int(c: Column) -> Column:

@@ -5,17 +5,16 @@ window per player when the largest player is small enough for one task.
 When a player is hot (a third of all games, say), that window would put
 all of them into one task, so the skew-safe plan is used instead:
 
-1. a running count and sum within (player, day) - a window whose partitions
-   hold one player's games of one day;
-2. per (player, day) totals, turned into per-player prefix offsets by a
-   window over that small aggregate (one row per player and day);
-3. each game's global index ``i`` and prefix sum ``S(i)`` = offset + local;
-4. each game forwards ``S(i)`` and its date to the games ``i+1``, ``i+1+k``;
-   one aggregation on (player, index) - a key with at most ``2 + len(ks)``
-   rows - gathers them, and mean of previous k = (S(i-1) - S(i-1-k)) / n.
-
-Sums run in DECIMAL, so the differences of prefix sums are exact; the mean
-is that exact difference divided in double.
+1. rows are range-partitioned by (player, date, game), which cuts a hot
+   player, and a hot day of one player, into ranges of about equal size;
+2. a window within (player, range) numbers the games, and a window over one
+   row per (player, range) adds the games of the ranges before: the index;
+3. each game forwards its value and date to the games ``i+1 .. i+k``; one
+   aggregation on (player, index) - a key with at most ``max(ks)`` rows -
+   averages what each game received.
+
+Both plans average the same values: nulls do not count, a null date sorts
+first, and no value is rounded.
 """
 
 from __future__ import annotations
@@ -25,8 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-_SUM_TYPE = "decimal(38,6)"
+from rinkspark.session import cut_lineage
 
 
 def game_index(
@@ -35,34 +33,20 @@ def game_index(
     key: str = "player_id",
     date_col: str = "game_date",
     order_col: str = "game_id",
-    value: str = "total_fpts",
 ) -> DataFrame:
-    """Adds ``_i`` (1-based position of the game in the player's history,
-    ordered by date then ``order_col``) and ``_S`` (sum of ``value`` over
-    games 1..i) without a per-player window."""
-    v = F.col(value).cast(_SUM_TYPE)
-    local_w = Window.partitionBy(key, date_col).orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
-    local = df.withColumn("_v", v).select(
-        "*",
-        F.count(F.lit(1)).over(local_w).alias("_ln"),
-        F.sum(F.coalesce("_v", F.lit(0).cast(_SUM_TYPE))).over(local_w).alias("_ls"),
-    )
-    per_day = df.groupBy(key, date_col).agg(
-        F.count(F.lit(1)).alias("_dn"), F.sum(F.coalesce(v, F.lit(0).cast(_SUM_TYPE))).alias("_ds")
-    )
-    before = Window.partitionBy(key).orderBy(date_col).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_day.select(
-        key,
-        date_col,
-        F.coalesce(F.sum("_dn").over(before), F.lit(0)).alias("_on"),
-        F.coalesce(F.sum("_ds").over(before), F.lit(0).cast(_SUM_TYPE)).alias("_os"),
-    )
-    out = local.join(offsets, [key, date_col], "inner")
-    return out.select(
-        *[c for c in df.columns],
-        (F.col("_on") + F.col("_ln")).alias("_i"),
-        (F.col("_os") + F.col("_ls")).cast(_SUM_TYPE).alias("_S"),
-    )
+    """Adds ``_i``, the 1-based position of the game in the player's history
+    (by date, nulls first, then ``order_col``), without a per-player window.
+
+    The ranges are fixed by a reliable checkpoint, so that a lost task sees
+    the same ones again."""
+    ranged = cut_lineage(df.repartitionByRange(key, date_col, order_col).withColumn("_range", F.spark_partition_id()))
+    inside = Window.partitionBy(key, "_range").orderBy(date_col, order_col)
+    local = ranged.withColumn("_n", F.row_number().over(inside))
+    sizes = ranged.groupBy(key, "_range").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(F.col(key).alias("_k"), F.col("_range").alias("_r"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
+    out = local.join(offsets, local[key].eqNullSafe(offsets["_k"]) & (local["_range"] == offsets["_r"]), "inner")
+    return out.select(*[local[c] for c in df.columns], (F.col("_off") + F.col("_n")).alias("_i"))
 
 
 # A window partition of up to this many rows is cheap for one task.
@@ -92,11 +76,11 @@ def rolling_features(
 
     When no player has more than ``max_group_rows`` games, one window per
     player is cheapest (one shuffle). Beyond that bound a hot player would
-    sit in one task, so the skew-safe prefix-sum plan is used instead; both
-    give the same columns and values."""
+    sit in one task, so the skew-safe plan by ranges is used instead; both give
+    the same columns and values."""
     if largest_group(df, key) <= max_group_rows:
         return _rolling_by_window(df, ks, key=key, date_col=date_col, order_col=order_col, value=value)
-    return _rolling_by_prefix_sums(df, ks, key=key, date_col=date_col, order_col=order_col, value=value)
+    return _rolling_by_ranges(df, ks, key=key, date_col=date_col, order_col=order_col, value=value)
 
 
 def _rolling_by_window(df, ks, *, key, date_col, order_col, value) -> DataFrame:
@@ -109,39 +93,18 @@ def _rolling_by_window(df, ks, *, key, date_col, order_col, value) -> DataFrame:
     return df.select(*cols)
 
 
-def _rolling_by_prefix_sums(df, ks, *, key, date_col, order_col, value) -> DataFrame:
-    idx = game_index(df, key=key, date_col=date_col, order_col=order_col, value=value)
-    fwd = [("prev", 1)] + [(f"k{k}", 1 + k) for k in ks]
-    sent = idx.select(
-        key,
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(tag).alias("tag"),
-                        (F.col("_i") + F.lit(step)).alias("_t"),
-                        F.col("_S").alias("S"),
-                        F.col(date_col).alias("d"),
-                    )
-                    for tag, step in fwd
-                ]
-            )
-        ).alias("m"),
-    ).select(key, F.col("m.tag").alias("tag"), F.col("m._t").alias("_i"), "m.S", "m.d")
-    got = sent.groupBy(key, "_i").agg(
-        *[F.max(F.when(F.col("tag") == tag, F.col("S"))).alias(f"_S_{tag}") for tag, _ in fwd],
-        F.max(F.when(F.col("tag") == "prev", F.col("d"))).alias("_prev_date"),
+def _rolling_by_ranges(df, ks, *, key, date_col, order_col, value) -> DataFrame:
+    idx = game_index(df, key=key, date_col=date_col, order_col=order_col)
+    steps = F.explode(F.sequence(F.lit(1), F.lit(max(ks))))
+    sent = idx.select(F.col(key).alias("_k"), F.col("_i").alias("_from"), F.col(value).alias("_v"), F.col(date_col).alias("_d"), steps.alias("_step"))
+    sent = sent.select("_k", (F.col("_from") + F.col("_step")).alias("_t"), "_step", "_v", "_d")
+    got = sent.groupBy("_k", "_t").agg(
+        *[F.avg(F.when(F.col("_step") <= k, F.col("_v"))).alias(f"avg_prev_{k}") for k in ks],
+        F.max(F.when(F.col("_step") == 1, F.col("_d"))).alias("_prev_date"),
     )
-    j = idx.join(got, [key, "_i"], "left")
-    zero = F.lit(0).cast(_SUM_TYPE)
-    cols = [F.col(c) for c in df.columns]
-    for k in ks:
-        n = F.least(F.lit(k), F.col("_i") - 1)
-        diff = F.coalesce(F.col("_S_prev"), zero) - F.coalesce(F.col(f"_S_k{k}"), zero)
-        # The difference is exact in DECIMAL; divide in double (a DECIMAL
-        # quotient would keep only the sum's scale).
-        cols.append(F.when(F.col("_i") > 1, diff.cast("double") / n).alias(f"avg_prev_{k}"))
+    j = idx.join(got, idx[key].eqNullSafe(got["_k"]) & (idx["_i"] == got["_t"]), "left")
     rest = F.datediff(F.col(date_col), F.col("_prev_date"))
+    cols = [idx[c] for c in df.columns] + [F.col(f"avg_prev_{k}") for k in ks]
     cols += [rest.alias("rest_days"), (rest == 1).alias("back_to_back"), F.col("_i").cast("bigint").alias("game_number")]
     return j.select(*cols)
 
@@ -160,13 +123,13 @@ def opponent_strength(
     a window over that small table, joined back (AQE broadcasts it at run
     time when its materialised size is small)."""
     day = df.groupBy(opponent, date_col).agg(
-        F.count(F.col(value)).alias("_n"), F.sum(F.col(value).cast(_SUM_TYPE)).alias("_s")
+        F.count(F.col(value)).alias("_n"), F.sum(F.col(value).cast("double")).alias("_s")
     )
     w = Window.partitionBy(opponent).orderBy(date_col).rowsBetween(Window.unboundedPreceding, -1)
     prior = day.select(
         opponent,
         date_col,
-        (F.sum("_s").over(w).cast("double") / F.sum("_n").over(w)).alias("opp_strength"),
+        (F.sum("_s").over(w) / F.sum("_n").over(w)).alias("opp_strength"),
     )
     return df.join(prior, [opponent, date_col], "left")
 

@@ -4,8 +4,7 @@ Two kinds of check, by where the small side comes from:
 
 * a dimension read from storage (teams, name maps, search terms): a bounded
   count proves it has at most ``max_rows`` rows (the count reads at most
-  ``max_rows + 1`` rows and is cached per plan and file set), then it is
-  broadcast - :func:`join_small`;
+  ``max_rows + 1`` rows), then it is broadcast - :func:`join_small`;
 * a side derived by an aggregation (difficulty tables, per-day totals): no
   count, which would compute the aggregate twice. The join is planned as a
   shuffle join and AQE converts it to a broadcast at run time when the
@@ -26,23 +25,10 @@ from pyspark.sql import functions as F
 DEFAULT_MAX_BROADCAST_ROWS = 100_000
 
 
-# Proven bounds, keyed by the plan's semantic hash and the files it reads
-# (a rewritten table has new file names, so a stale answer is not reused).
-_BOUNDS: dict[tuple, bool] = {}
-
-
 def has_at_most(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has no more than ``max_rows`` rows."""
-    try:
-        key = (df.semanticHash(), tuple(sorted(df.inputFiles())), max_rows)
-    except Exception:  # noqa: BLE001 - plans without a stable hash are checked every time
-        key = None
-    if key is not None and key in _BOUNDS:
-        return _BOUNDS[key]
-    ok = df.limit(max_rows + 1).count() <= max_rows
-    if key is not None:
-        _BOUNDS[key] = ok
-    return ok
+    """True when ``df`` has no more than ``max_rows`` rows (reads at most one
+    row more). Asked anew each time: a table may have grown since."""
+    return df.limit(max_rows + 1).count() <= max_rows
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:

@@ -8,12 +8,16 @@ A move table is applied to the player snapshot in one plan:
     trade  ``send`` team_id -> other,   teams differ, both sides non-empty,
            ``receive`` other -> team_id every player is on its sending team
 
+A move needs its teams (not null, and in the team table when one is given)
+and names a player once.
+
 A move whose own checks fail for any of its players is rejected as a whole
 (a trade is all or nothing) and claims no player. A player named by several
 of the remaining moves goes to the earliest (move_ts, move_id); the others
 are rejected as ``conflict`` (a trade losing one player loses all). Unlike
 applying moves one by one, a trade that loses a conflict still blocks later
-moves on its other players; the batch stays one parallel plan.
+moves on its other players; the batch stays one parallel plan. A move without
+a time comes after those with one.
 
 Checks are aggregates joined back on their key (``min`` per player, ``min``
 per move), so a player or a move named very often is combined map-side.
@@ -24,9 +28,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rinkspark.operators.joins import join_small
+from rinkspark.session import cut_lineage
 
-# Reason codes, in the order a move reports them (first failing wins).
-REASONS = ("invalid_move", "unknown_player", "wrong_team", "conflict")
+# Reason codes; a move reports the first of its failing rows, an unknown team
+# only if nothing else is wrong.
+REASONS = ("invalid_move", "unknown_player", "wrong_team", "conflict", "unknown_team")
+_INVALID, _UNKNOWN_PLAYER, _WRONG_TEAM, _CONFLICT, _UNKNOWN_TEAM = range(5)
 _ROWS_TYPE = "array<struct<player_id:bigint,from_team:bigint,to_team:bigint>>"
 
 
@@ -62,10 +70,13 @@ def move_rows(moves: DataFrame) -> DataFrame:
             F.col("kind") == "trade",
             (F.col("team_id") != F.col("other_team_id")) & (F.size(send) > 0) & (F.size(recv) > 0),
         )
-        .when(F.col("kind") == "add", F.size(recv) > 0)
-        .when(F.col("kind") == "drop", F.size(send) > 0)
+        .when(F.col("kind") == "add", F.col("team_id").isNotNull() & (F.size(recv) > 0))
+        .when(F.col("kind") == "drop", F.col("team_id").isNotNull() & (F.size(send) > 0))
         .otherwise(F.lit(False))
     )
+    # A player named twice would be moved twice.
+    named = F.when(F.col("kind") == "add", recv).when(F.col("kind") == "drop", send).otherwise(F.concat(send, recv))
+    structural = structural & (F.size(F.array_distinct(named)) == F.size(named))
     base = moves.select(
         "move_id",
         "move_ts",
@@ -77,23 +88,37 @@ def move_rows(moves: DataFrame) -> DataFrame:
     return base.select("move_id", "move_ts", "kind", "structural_ok", "r.player_id", "r.from_team", "r.to_team")
 
 
-def apply_roster_moves(players: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame]:
+def apply_roster_moves(players: DataFrame, moves: DataFrame, teams: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """R2-R4 as one batch. Returns (players after the batch, decisions).
 
     ``players``: player_id, fantasy_team_id (null = free agent), other
-    columns kept. ``decisions``: move_id, kind, accepted, reason.
+    columns kept. ``teams``: team_id; with it, a move that names another team
+    is rejected. ``decisions``: move_id, kind, accepted, reason.
+
+    The checked rows are written once (reliable checkpoint): the claims, the
+    decisions and the accepted rows are all taken from them.
     """
     rows = move_rows(moves)
+    if teams is not None:
+        for side in ("from_team", "to_team"):
+            known_team = teams.select(F.col("team_id").alias(side), F.lit(True).alias(f"_{side}_known")).distinct()
+            rows = join_small(rows, known_team, side, "left")
+        team_missing = (F.col("from_team").isNotNull() & F.col("_from_team_known").isNull()) | (F.col("to_team").isNotNull() & F.col("_to_team_known").isNull())
+        rows = rows.withColumn("team_missing", team_missing).drop("_from_team_known", "_to_team_known")
+    else:
+        rows = rows.withColumn("team_missing", F.lit(False))
     snap = players.select("player_id", F.col("fantasy_team_id").alias("current_team"), F.lit(True).alias("_known"))
     r = rows.join(snap, "player_id", "left")
     known = F.coalesce(F.col("_known"), F.lit(False))
     team_ok = F.col("current_team").eqNullSafe(F.col("from_team"))
     r = r.withColumn(
         "row_reason",
-        F.when(~F.col("structural_ok") | F.col("player_id").isNull(), F.lit(0))
-        .when(~known, F.lit(1))
-        .when(~team_ok, F.lit(2)),
+        F.when(~F.col("structural_ok") | F.col("player_id").isNull(), F.lit(_INVALID))
+        .when(~known, F.lit(_UNKNOWN_PLAYER))
+        .when(~team_ok, F.lit(_WRONG_TEAM))
+        .when(F.col("team_missing"), F.lit(_UNKNOWN_TEAM)),
     )
+    r = cut_lineage(r.drop("current_team", "_known", "team_missing"))
     # A move with any failing row is rejected outright and claims nobody.
     own = r.groupBy("move_id").agg(F.min("row_reason").alias("_own"))
     r = r.join(own, "move_id", "inner")
@@ -101,12 +126,12 @@ def apply_roster_moves(players: DataFrame, moves: DataFrame) -> tuple[DataFrame,
     claims = (
         r.where(F.col("_own").isNull())
         .groupBy("player_id")
-        .agg(F.min(F.struct("move_ts", "move_id")).alias("_first"))
+        .agg(F.min(F.struct(F.col("move_ts").isNull().alias("late"), "move_ts", "move_id")).alias("_first"))
     )
     r = r.join(claims, "player_id", "left").withColumn(
         "row_reason",
         F.when(F.col("_own").isNotNull(), F.col("row_reason")).when(
-            (F.col("_first.move_ts") != F.col("move_ts")) | (F.col("_first.move_id") != F.col("move_id")), F.lit(3)
+            F.col("_first.move_id") != F.col("move_id"), F.lit(_CONFLICT)
         ),
     )
     per_move = r.groupBy("move_id").agg(F.min("row_reason").alias("_worst"), F.count(F.lit(1)).alias("_rows"))
@@ -136,10 +161,10 @@ def create_teams(teams: DataFrame, requests: DataFrame) -> tuple[DataFrame, Data
     """Append teams whose name and owner are non-empty; ids continue
     after the current maximum in request order. Returns (teams, rejected).
 
-    Ids are a dense sequence in (move_ts, move_id) order, numbered in two
-    levels so no single task sees every request: row numbers within each
-    request day, plus per-day offsets from a window over the day counts (one
-    row per day)."""
+    Ids are a dense sequence in (move_ts, move_id) order (requests without a
+    time last), numbered in two levels so no single task sees every request:
+    row numbers within each request day, plus per-day offsets from a window
+    over the day counts (one row per day)."""
     from pyspark.sql import Window
 
     ok = (F.length(F.trim(F.coalesce("team_name", F.lit("")))) > 0) & (
@@ -151,12 +176,12 @@ def create_teams(teams: DataFrame, requests: DataFrame) -> tuple[DataFrame, Data
     local = good.withColumn("_n", F.row_number().over(Window.partitionBy("_day").orderBy("move_ts", "move_id")))
     per_day = good.groupBy("_day").agg(F.count(F.lit(1)).alias("_c"))
     offsets = per_day.select(
-        "_day",
+        F.col("_day").alias("_d"),
         F.coalesce(
-            F.sum("_c").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+            F.sum("_c").over(Window.orderBy(F.asc_nulls_last("_day")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
         ).alias("_off"),
     )
-    new = local.join(offsets, "_day", "inner").select(
+    new = local.join(offsets, F.col("_day").eqNullSafe(F.col("_d")), "inner").select(
         (F.lit(top) + F.col("_off") + F.col("_n")).cast("bigint").alias("team_id"),
         F.trim("team_name").alias("team_name"),
         F.trim("owner_name").alias("owner_name"),

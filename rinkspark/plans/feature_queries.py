@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 from rinkspark.operators import features as M
 from rinkspark.plans import standins as S
 from rinkspark.plans.ingest_queries import _lines
-from rinkspark.plans.registry import register
+from rinkspark.plans.registry import ORACLES, register
 
 FOREST_CUTOFF = "2024-01-23"
-_MODELS: dict = {}
 
 
 from rinkspark.plans.rounding import r4, rnd4  # noqa: E402,F401
@@ -49,6 +48,17 @@ def rolling_features(spark, d):
     )
 
 
+@register("rolling_features_large", ORACLES["rolling_features"])
+def rolling_features_large(spark, d):
+    """The same features by the plan for hot players, on every player."""
+    ev = S.event_lines(spark, d).select("game_id", "player_id", "game_date", "opponent_abbrev", "total_fpts")
+    out = M.opponent_strength(M.rolling_features(ev, max_group_rows=0))
+    return out.select(
+        "game_id", "player_id", "game_date", r4("avg_prev_3"), r4("avg_prev_5"), "rest_days", "back_to_back",
+        "game_number", r4("opp_strength"),
+    )
+
+
 @register(
     "home_away_split",
     S.with_ctes(S.GAMES_SQL)
@@ -78,6 +88,57 @@ def home_away_split(spark, d):
     return out.select("player_id", "home_games", "away_games", r4("avg_home"), r4("avg_away"))
 
 
+def forecast_lines(spark, d):
+    """Event lines with the mean of the previous three games as a forecast
+    (first games have none and are left out)."""
+    ev = S.event_lines(spark, d).select("game_id", "player_id", "game_date", "opponent_abbrev", "total_fpts")
+    return M.rolling_features(ev).where(F.col("avg_prev_3").isNotNull()).withColumn("prediction", F.col("avg_prev_3"))
+
+
+_FORECAST_SQL = (
+    S.with_ctes(S.EVENT_LINES_SQL, S.PLAYERS_SQL)
+    + """,
+f AS (
+  SELECT * FROM (
+    SELECT game_id, player_id, game_date, total_fpts,
+           avg(total_fpts) OVER (PARTITION BY player_id ORDER BY game_date, game_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS prediction
+    FROM event_lines)
+  WHERE prediction IS NOT NULL
+)
+"""
+)
+
+
+@register(
+    "forecast_metrics",
+    _FORECAST_SQL
+    + """SELECT round(avg(abs(prediction - total_fpts)), 4) AS mae,
+       round(1 - sum((prediction - total_fpts) * (prediction - total_fpts)) / (var_pop(total_fpts) * count(*)), 4) AS r2
+FROM f""",
+)
+def forecast_metrics(spark, d):
+    """M6 on a forecast that SQL can state."""
+    return M.evaluate(forecast_lines(spark, d)).select(r4("mae"), r4("r2"))
+
+
+@register(
+    "forecast_dimension",
+    _FORECAST_SQL
+    + """, last AS (
+  SELECT player_id, prediction FROM (
+    SELECT player_id, prediction, row_number() OVER (PARTITION BY player_id ORDER BY game_date DESC, game_id DESC) AS rn FROM f)
+  WHERE rn = 1
+)
+SELECT coalesce(p.player_id, l.player_id) AS player_id, p.player_name, round(l.prediction, 4) AS predicted_fpts
+FROM players p FULL JOIN last l ON l.player_id = p.player_id""",
+)
+def forecast_dimension(spark, d):
+    """M7 on the same forecast: the latest one per player, upserted."""
+    dim = S.players(spark, d).select("player_id", "player_name", F.lit(None).cast("double").alias("predicted_fpts"))
+    out = M.predictions_to_dimension(dim, forecast_lines(spark, d))
+    return out.select("player_id", "player_name", r4("predicted_fpts"))
+
+
 @register("forest_predict")
 def forest_predict(spark, d):
     """M5-M7 (rows-only check): forest trained on event lines before the
@@ -85,16 +146,11 @@ def forest_predict(spark, d):
     ev = S.event_lines(spark, d).select("game_id", "player_id", "game_date", "opponent_abbrev", "total_fpts")
     frame = M.model_frame(ev)
     train, test = M.split_by_date(frame, FOREST_CUTOFF)
-    # One fitted model per application and input files: the three forest
-    # queries share it instead of training three times.
-    key = (spark.sparkContext.applicationId, tuple(sorted(ev.inputFiles())), FOREST_CUTOFF)
-    model = _MODELS.get(key)
-    if model is None:
-        # The forest makes several passes over the training rows: keep them
-        # (recomputed from lineage if an executor is lost).
-        train = train.persist()
-        model = _MODELS[key] = M.train_forest(train)
-        train.unpersist()
+    # The forest makes several passes over the training rows: keep them
+    # (recomputed from lineage if an executor is lost).
+    train = train.persist()
+    model = M.train_forest(train)
+    train.unpersist()
     pred = model.transform(test)
     return pred.select("game_id", "player_id", "game_date", "total_fpts", F.round("prediction", 4).alias("prediction"))
 

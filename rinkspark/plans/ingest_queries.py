@@ -142,7 +142,7 @@ def team_names(spark, d):
     r = S.table(spark, d, "region")
     return (
         n.where(F.col("n_regionkey") < 4)
-        .join(F.broadcast(r), n.n_regionkey == r.r_regionkey)
+        .transform(lambda x: S.join_small(x, r, x.n_regionkey == r.r_regionkey))
         .select(F.col("n_name").alias("abbrev"), F.concat_ws(" ", "r_name", "n_name").alias("name"))
     )
 
@@ -342,12 +342,7 @@ def enrich_quality(spark, d):
     """Lines whose team is neither side of their game (the opponent rule
     falls back to the home side for them)."""
     enriched = I.enrich(log_lines(spark, d), box_lines(spark, d), headers(spark, d), team_names(spark, d))
-    return enriched.agg(
-        F.count(F.lit(1)).alias("n_lines"),
-        F.count_if(
-            (F.col("team_abbrev") != F.col("home_abbrev")) & (F.col("team_abbrev") != F.col("away_abbrev"))
-        ).alias("unmatched_team_lines"),
-    )
+    return I.unmatched_team_count(enriched)
 
 
 # -------------------------------------------------------- S11 contract

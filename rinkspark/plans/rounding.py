@@ -27,9 +27,18 @@ def r4(name: str) -> Column:
     return rnd4(F.col(name)).alias(name)
 
 
-_ROUND4 = re.compile(r", 4\)")
-
-
 def sql_round4(text: str) -> str:
-    """Apply the same bias to every ``round(x, 4)`` of an oracle text."""
-    return _ROUND4.sub(f" + {TIE_BIAS}, 4)", text)
+    """Apply the same bias to every ``round(x, 4)`` of an oracle text (found
+    by matching parentheses, so a type like DECIMAL(18, 4) is left alone; a
+    rounding that has the bias already is left alone too)."""
+    out, at = [], 0
+    for m in re.finditer(r"\bround\(", text, re.IGNORECASE):
+        depth, i = 1, m.end()
+        while depth and i < len(text):
+            depth += {"(": 1, ")": -1}.get(text[i], 0)
+            i += 1
+        bias = f" + {TIE_BIAS}"
+        if text[m.end() : i].endswith(", 4)") and not text[: i - 4].endswith(bias):
+            out.append(text[at : i - 4] + bias if i - 4 >= at else "")
+            at = i - 4
+    return "".join(out) + text[at:]

@@ -99,7 +99,7 @@ players AS (
 def fantasy_teams(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "nation")
     r = table(spark, d, "region")
-    nations = n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey, "inner").select(
+    nations = join_small(n, r, n.n_regionkey == r.r_regionkey, "inner").select(
         F.col("n_nationkey").cast("bigint").alias("team_id"),
         F.col("n_name").alias("team_name"),
         F.col("r_name").alias("owner_name"),

@@ -53,9 +53,10 @@ def opponent(team: str = "team_abbrev", home: str = "home_abbrev", away: str = "
 
 
 def unmatched_team_count(enriched: DataFrame) -> DataFrame:
-    """Data-quality count of lines whose team is neither side of the game."""
+    """Data-quality count: all lines, and those whose team is neither side of
+    the game."""
     bad = (F.col("team_abbrev") != F.col("home_abbrev")) & (F.col("team_abbrev") != F.col("away_abbrev"))
-    return enriched.agg(F.count_if(bad).alias("unmatched_team_lines"))
+    return enriched.agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(bad).alias("unmatched_team_lines"))
 
 
 def enrich(

@@ -102,3 +102,10 @@ def test_label_or(spark):
 
 def test_seconds_to_minutes(spark):
     assert one(spark, "s int", [(90,)], RF.seconds_to_minutes("s")) == [1.5]
+
+
+def test_toi_beyond_an_int_is_zero(spark):
+    from rinkspark.functions.scoring import toi_to_seconds
+
+    df = spark.createDataFrame([("99999999:00",), ("35791394:07",), ("35791394:08",)], "toi string")
+    assert [r[0] for r in df.select(toi_to_seconds("toi")).collect()] == [0, 2147483647, 0]

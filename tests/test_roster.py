@@ -56,3 +56,27 @@ def test_create_and_reset(spark):
     assert [r.move_id for r in bad.collect()] == [2]
     p2, t2 = R.reset_rosters(players(spark), teams)
     assert t2.count() == 0 and p2.where("fantasy_team_id is not null").count() == 0
+
+
+def test_repeated_players_and_missing_teams(spark):
+    after, dec = run(spark, [("trade", 10, 20, [1, 1], [3]), ("drop", None, None, [4], []), ("add", None, None, [], [4]), ("trade", 10, 20, [1], [1])])
+    assert all(d == (False, "invalid_move") for d in dec.values())
+    assert after == {1: 10, 2: 10, 3: 20, 4: None, 5: None}
+
+
+def test_team_table_and_moves_without_time(spark):
+    t = dt.datetime(2025, 11, 1)
+    rows = [(1, t, "add", 999, None, [], [4]), (2, None, "add", 10, None, [], [5]), (3, t, "add", 20, None, [], [5])]
+    teams = spark.createDataFrame([(10,), (20,)], "team_id long")
+    after, dec = R.apply_roster_moves(players(spark), spark.createDataFrame(rows, MOVES), teams)
+    got = {r.move_id: (r.accepted, r.reason) for r in dec.collect()}
+    assert got == {1: (False, "unknown_team"), 2: (False, "conflict"), 3: (True, None)}
+    assert {r.player_id: r.fantasy_team_id for r in after.collect()}[5] == 20
+
+
+def test_requests_without_a_time_come_last(spark):
+    t = dt.datetime(2025, 11, 1)
+    teams = spark.createDataFrame([(3, "A", "x")], "team_id long, team_name string, owner_name string")
+    req = spark.createDataFrame([(1, None, "Late", "o"), (2, t, "First", "o")], "move_id long, move_ts timestamp, team_name string, owner_name string")
+    out, bad = R.create_teams(teams, req)
+    assert sorted((r.team_id, r.team_name) for r in out.collect()) == [(3, "A"), (4, "First"), (5, "Late")] and bad.count() == 0
