@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rinkspark.llm.common import free_name, map_texts, pieces, ref, ship_package
+from rinkspark.llm.common import free_name, map_texts, pieces, ref, ship_package, staged
 from rinkspark.llm.lexicon import Lexicon, compile_words, save
 from rinkspark.llm.word_pieces import WORD_PATTERN, Memo, cutter, library_encoder, load
 
@@ -67,9 +67,21 @@ def word_counts(docs: DataFrame, text_col: str, tokenizer_json: str) -> DataFram
 
 
 def build_lexicon(docs: DataFrame, text_col: str, tokenizer_json: str, size: int = LEXICON_WORDS) -> str:
-    """Compile the ``size`` most frequent words, ship the file to the
-    executors and return its name there."""
-    top = [r[0] for r in word_counts(docs, text_col, tokenizer_json).orderBy(F.desc("n"), "word").limit(size).collect()]
+    """Compile the most frequent words, ``size`` at most, ship the file to the
+    executors and return its name there.
+
+    Words are taken down to the least count of which no more than ``size``
+    words remain, found from the numbers of words per eighth of a power of two
+    of the count: what reaches the driver is bounded, however many tasks."""
+    counts = staged(word_counts(docs, text_col, tokenizer_json), "word-counts")
+    grade = F.floor(F.log2("n") * 8)
+    taken, least = 0, None
+    for g, n in sorted(counts.groupBy(grade.alias("g")).count().collect(), reverse=True):
+        taken += n
+        if taken > size:
+            break
+        least = g
+    top = [] if least is None else sorted(r[0] for r in counts.filter(grade >= least).select("word").collect())
     ids = library_encoder(load(tokenizer_json))(top)
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     path = os.path.join(tempfile.mkdtemp(prefix="rinkspark-lexicon-"), name)

@@ -283,14 +283,14 @@ def player_report(spark, d):
 
 
 # ------------------------------------------------------- matchup outlook
-OUTLOOK_WEEK = "1998-W24"
+OUTLOOK_WEEK = "1998-W34"
 
 
 @register(
     "matchup_outlook",
-    S.with_ctes(S.SKATER_LINES_SQL, S.GOALIE_LINES_SQL, S.PLAYERS_SQL)
+    S.with_ctes(S.SKATER_LINES_SQL, S.GOALIE_LINES_SQL, S.PLAYERS_SQL, S.CLUB_GAMES_SQL)
     + f""",
-g AS (SELECT * FROM games WHERE game_type = 2),
+g AS (SELECT * FROM club_games WHERE game_type = 2),
 tg AS (
   SELECT game_id, start_time_utc, game_date, home_abbrev AS team, 'vs ' || away_abbrev AS label FROM g
   UNION ALL
@@ -302,9 +302,9 @@ sched AS (
   FROM tg GROUP BY team, strftime(game_date, '%G-W%V')
 ),
 diff_raw AS (
-  SELECT FALSE AS is_goalie, opponent_abbrev, avg(total_fpts) AS a FROM skater_lines WHERE season = '{ORDERS_SEASON}' GROUP BY opponent_abbrev
+  SELECT FALSE AS is_goalie, 'T' || CAST(player_id // 10 + 1 AS VARCHAR) AS opponent_abbrev, round(avg(total_fpts), 4) AS a FROM skater_lines WHERE season = '{ORDERS_SEASON}' GROUP BY 2
   UNION ALL
-  SELECT TRUE AS is_goalie, opponent_abbrev, avg(total_fpts) AS a FROM goalie_lines WHERE season = '{ORDERS_SEASON}' GROUP BY opponent_abbrev
+  SELECT TRUE AS is_goalie, 'T' || CAST(player_id // 10 + 1 AS VARCHAR) AS opponent_abbrev, round(avg(total_fpts), 4) AS a FROM goalie_lines WHERE season = '{ORDERS_SEASON}' GROUP BY 2
 ),
 diff AS (
   SELECT is_goalie, opponent_abbrev, a,
@@ -313,29 +313,33 @@ diff AS (
   FROM diff_raw
 ),
 x AS (
-  SELECT p.player_id, p.team_abbrev, p.is_goalie, s.week, s.game_count,
+  SELECT p.player_id, s.team AS team_abbrev, p.is_goalie, s.week, s.game_count,
          UNNEST(generate_series(0, len(string_split(s.opponents, ', ')) - 1)) AS slot, s.opponents
-  FROM players p JOIN sched s ON s.team = p.team_abbrev AND s.week = '{OUTLOOK_WEEK}'
+  FROM players p JOIN sched s ON s.team = 'T' || CAST(p.player_id // 10 AS VARCHAR) AND s.week = '{OUTLOOK_WEEK}'
 ),
 y AS (SELECT *, string_split(opponents, ', ')[slot + 1] AS matchup FROM x)
 SELECT y.player_id, y.team_abbrev, y.is_goalie, y.week, y.game_count, CAST(y.slot AS INTEGER) AS slot, y.matchup,
-       string_split(y.matchup, ' ')[-1] AS opponent_abbrev, round(d.a, 4) + 0.0 AS avg_fpts_allowed, d.rank,
+       string_split(y.matchup, ' ')[-1] AS opponent_abbrev, d.a + 0.0 AS avg_fpts_allowed, d.rank,
        CASE WHEN d.rank IS NULL THEN 'No difficulty data' ELSE {_tier_sql('d.rank')} END AS difficulty
 FROM y LEFT JOIN diff d ON d.is_goalie = y.is_goalie AND d.opponent_abbrev = string_split(y.matchup, ' ')[-1]""",
 )
 def matchup_outlook(spark, d):
+    """Q-6 over clubs: a club's week is a handful of games at any scale."""
     from rinkspark.operators.calendar import weekly_schedule
     from rinkspark.plans.calendar_queries import regular_games
 
-    sk = A.opponent_difficulty(S.skater_lines(spark, d), ORDERS_SEASON).withColumn("is_goalie", F.lit(False))
-    gk = A.opponent_difficulty(S.goalie_lines(spark, d), ORDERS_SEASON).withColumn("is_goalie", F.lit(True))
-    diff = A.average_rank(sk.unionByName(gk), "avg_fpts_allowed", partition_by=["is_goalie"])
-    sched = weekly_schedule(regular_games(spark, d))
-    players = S.players(spark, d).select("player_id", "team_abbrev", "is_goalie")
-    out = A.matchup_outlook(players, sched, diff, OUTLOOK_WEEK)
+    def difficulty(lines, goalie):
+        clubs = lines.withColumn("opponent_abbrev", S.club(F.col("player_id"), 1))
+        # Rounded before ranking: equal averages must tie in any engine.
+        return A.opponent_difficulty(clubs, ORDERS_SEASON).withColumn("avg_fpts_allowed", rnd4(F.col("avg_fpts_allowed"))).withColumn("is_goalie", F.lit(goalie))
+
+    both = difficulty(S.skater_lines(spark, d), False).unionByName(difficulty(S.goalie_lines(spark, d), True))
+    diff = A.average_rank(both, "avg_fpts_allowed", partition_by=["is_goalie"])
+    players = S.players(spark, d).select("player_id", S.club(F.col("player_id")).alias("team_abbrev"), "is_goalie")
+    out = A.matchup_outlook(players, weekly_schedule(regular_games(spark, d)), diff, OUTLOOK_WEEK)
     return out.select(
         "player_id", "team_abbrev", "is_goalie", "week", "game_count", "slot", "matchup", "opponent_abbrev",
-        r4("avg_fpts_allowed"), "rank", "difficulty",
+        "avg_fpts_allowed", "rank", "difficulty",
     )
 
 

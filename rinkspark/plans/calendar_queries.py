@@ -8,17 +8,18 @@ from rinkspark import constants as K
 from rinkspark.operators import calendar as C
 from rinkspark.plans import standins as S
 from rinkspark.plans.registry import register
+from rinkspark.sources import landed as L
 
 REMAINING_AS_OF = "1998-06-10"
 
 
 def regular_games(spark, d):
     """Regular-season games only."""
-    return S.games(spark, d).where(F.col("game_type") == K.REGULAR_SEASON_GAME_TYPE)
+    return L.regular_season(S.club_games(spark, d), K.REGULAR_SEASON_GAME_TYPE)
 
 
 _TEAM_ROWS_SQL = """
-g AS (SELECT * FROM games WHERE game_type = 2{extra}),
+g AS (SELECT * FROM club_games WHERE game_type = 2{extra}),
 tg AS (
   SELECT game_id, start_time_utc, game_date, home_abbrev AS team, away_abbrev AS opponent, TRUE AS is_home FROM g
   UNION ALL
@@ -28,7 +29,7 @@ tg AS (
 
 @register(
     "week_schedule",
-    S.with_ctes(S.GAMES_SQL, _TEAM_ROWS_SQL.format(extra=""))
+    S.with_ctes(S.CLUB_GAMES_SQL, _TEAM_ROWS_SQL.format(extra=""))
     + """,
 wk AS (SELECT *, strftime(game_date, '%G-W%V') AS week,
               CASE WHEN is_home THEN 'vs ' ELSE '@ ' END || opponent AS label FROM tg)
@@ -44,7 +45,7 @@ def week_schedule(spark, d):
 
 
 _WEEK_SQL = (
-    S.with_ctes(S.GAMES_SQL, _TEAM_ROWS_SQL.format(extra=""))
+    S.with_ctes(S.CLUB_GAMES_SQL, _TEAM_ROWS_SQL.format(extra=""))
     + """,
 wk AS (SELECT *, strftime(game_date, '%G-W%V') AS week,
               CASE WHEN is_home THEN 'vs ' ELSE '@ ' END || opponent AS label FROM tg),
@@ -71,7 +72,7 @@ def week_schedule_table(spark, d):
 @register(
     "remaining_games",
     S.with_ctes(
-        S.GAMES_SQL,
+        S.CLUB_GAMES_SQL,
         _TEAM_ROWS_SQL.format(
             extra=f" AND game_date >= DATE '{REMAINING_AS_OF}'"
             f" AND game_date <= CAST(date_trunc('week', DATE '{REMAINING_AS_OF}') AS DATE) + 6"
@@ -84,14 +85,14 @@ per AS (
                     ', ' ORDER BY game_date, start_time_utc, game_id) AS games
   FROM tg GROUP BY team
 )
-SELECT n.n_name AS team, coalesce(per.n_games, 0) AS n_games, coalesce(per.games, '') AS games,
+SELECT n.team, coalesce(per.n_games, 0) AS n_games, coalesce(per.games, '') AS games,
        CAST(date_trunc('week', DATE '"""
     + REMAINING_AS_OF
     + """') AS DATE) AS week_monday
-FROM nation n LEFT JOIN per ON per.team = n.n_name""",
+FROM (SELECT DISTINCT 'T' || CAST(c_custkey // 10 AS VARCHAR) AS team FROM customer) n LEFT JOIN per ON per.team = n.team""",
 )
 def remaining_games(spark, d):
-    teams = S.table(spark, d, "nation").select(F.col("n_name").alias("team"))
+    teams = S.table(spark, d, "customer").select(S.club(F.col("c_custkey")).alias("team"))
     out = C.remaining_games(regular_games(spark, d), REMAINING_AS_OF, teams)
     monday, _ = C.week_frame(REMAINING_AS_OF)
     return out.select("team", "n_games", F.array_join("games", ", ").alias("games"), monday.alias("week_monday"))
@@ -104,21 +105,36 @@ COUNTS_AS_OF = "1999-03-01"
     "past_future_counts",
     S.with_ctes(S.GAMES_SQL)
     + f"""
-SELECT game_type, count_if(game_date < DATE '{COUNTS_AS_OF}') AS n_past,
-       count_if(game_date >= DATE '{COUNTS_AS_OF}') AS n_future, count_if(game_date IS NULL) AS n_undated,
-       count_if(game_date = DATE '{COUNTS_AS_OF}' - INTERVAL 1 DAY) AS n_yesterday
-FROM games GROUP BY game_type""",
+SELECT count_if(game_date < DATE '{COUNTS_AS_OF}') AS n_past,
+       count_if(game_date >= DATE '{COUNTS_AS_OF}') AS n_future, count_if(game_date IS NULL) AS n_undated
+FROM games""",
 )
 def past_future_counts(spark, d):
-    """C2/C3 per game type: past, future, undated and yesterday's games."""
-    g = S.games(spark, d)
-    a = F.lit(COUNTS_AS_OF).cast("date")
-    return g.groupBy("game_type").agg(
-        F.count_if(F.col("game_date") < a).alias("n_past"),
-        F.count_if(F.col("game_date") >= a).alias("n_future"),
-        F.count_if(F.col("game_date").isNull()).alias("n_undated"),
-        F.count_if(F.col("game_date") == F.date_sub(a, 1)).alias("n_yesterday"),
-    )
+    """C2's counts: past, future and undated games."""
+    return C.past_future_counts(S.games(spark, d), COUNTS_AS_OF)
+
+
+@register(
+    "past_games",
+    S.with_ctes(S.GAMES_SQL)
+    + f"""
+SELECT game_id, game_date FROM games
+WHERE game_date < DATE '{COUNTS_AS_OF}' AND game_date >= DATE '{COUNTS_AS_OF}' - INTERVAL 7 DAY""",
+)
+def past_games(spark, d):
+    """The games of the week before a date (in date order; the order is
+    unit-tested)."""
+    g = S.games(spark, d).where(F.col("game_date") >= F.date_sub(F.lit(COUNTS_AS_OF).cast("date"), 7))
+    return C.past_games(g, COUNTS_AS_OF).select("game_id", "game_date")
+
+
+@register(
+    "yesterday_games",
+    S.with_ctes(S.GAMES_SQL) + f"SELECT game_id, game_type, game_date FROM games WHERE game_date = DATE '{COUNTS_AS_OF}' - INTERVAL 1 DAY",
+)
+def yesterday_games(spark, d):
+    """C3."""
+    return C.yesterday_games(S.games(spark, d), COUNTS_AS_OF).select("game_id", "game_type", "game_date")
 
 
 @register("weekly_csv_roundtrip", _WEEK_SQL + "\nSELECT team, week, monday_date, sunday_date, game_count, opponents FROM sched")

@@ -25,7 +25,7 @@ Mapping (all derived from the supplied tables, so work grows with them):
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rinkspark.functions.calendar import league_date
@@ -162,6 +162,41 @@ games AS (
 )"""
 
 
+# ------------------------------------------------------------- club games
+# Nations are 25 at any scale, so a nation's week grows with the data. Clubs
+# of ten customers grow in number instead, as leagues do: a club's week stays
+# a handful of games.
+CLUB_SIZE = 10
+
+
+def club(player: Column, shift: int = 0) -> Column:
+    """Code of a customer's club (or of the ``shift``-th club after it)."""
+    return F.concat(F.lit("T"), (F.floor(player / CLUB_SIZE) + shift).cast("string"))
+
+
+def club_games(spark: SparkSession, d: str) -> DataFrame:
+    """Games between neighbouring clubs: the orderer's club at home."""
+    start = F.col("o_orderdate") + F.make_interval(hours=(F.col("o_orderkey") % 24).cast("int"))
+    g = table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("game_id"),
+        F.when(F.col("o_orderstatus") == "F", 2).when(F.col("o_orderstatus") == "O", 3).otherwise(1).alias("game_type"),
+        start.alias("start_time_utc"),
+        club(F.col("o_custkey")).alias("home_abbrev"),
+        club(F.col("o_custkey"), 1).alias("away_abbrev"),
+    )
+    return g.withColumn("game_date", league_date("start_time_utc"))
+
+
+CLUB_GAMES_SQL = """
+club_games AS (
+  SELECT o_orderkey AS game_id, CASE o_orderstatus WHEN 'F' THEN 2 WHEN 'O' THEN 3 ELSE 1 END AS game_type,
+         o_orderdate + to_hours(CAST(o_orderkey % 24 AS INTEGER)) AS start_time_utc,
+         'T' || CAST(o_custkey // 10 AS VARCHAR) AS home_abbrev, 'T' || CAST(o_custkey // 10 + 1 AS VARCHAR) AS away_abbrev,
+         CAST(timezone('America/New_York', (o_orderdate + to_hours(CAST(o_orderkey % 24 AS INTEGER))) AT TIME ZONE 'UTC') AS DATE) AS game_date
+  FROM orders
+)"""
+
+
 # ----------------------------------------------------------- skater lines
 def skater_lines(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem")
