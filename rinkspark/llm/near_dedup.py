@@ -13,11 +13,16 @@ Unlike set overlap this falls when text is moved, as edit similarity does.
    get exact keys instead: at 0.8 they can differ at their ends only, by 5
    shingles in all, so their sequences trimmed by p at the front and q at the
    back (p + q <= 5) are compared by digest.
-3. Every node is compared with the least node of each of its buckets. Nodes
-   that are then still in different components of one bucket are all compared
-   with each other, so no candidate pair across components is left out, while
-   members of one component (copies of copies) are not expanded into pairs.
-4. A comparison is a banded alignment: shared labels within the band of
+3. Every node is compared with the leader of each of its buckets, the node
+   whose buckets hold the most nodes in all: among copies of one original that
+   is the original, or what is nearest to it.
+4. Nodes of a leader that are not in its component then (strays) are compared
+   with all nodes of that leader outside their own component, in blocks: a
+   block's labels are held as an inverted index, strays stream past it, and only
+   links are written. So no candidate pair across components is left out,
+   while members of one component (copies of copies) are not expanded into
+   pairs, and pairs that fail are never rows.
+5. A comparison is a banded alignment: shared labels within the band of
    offsets that 0.8 allows are chained in order (longest increasing chain).
    Members stream past their leader, which is held alone; a leader with many
    members is repeated for each salt, so no group has to fit a task.
@@ -42,10 +47,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rinkspark.llm.common import free_name, map_texts, ref, staged
+from rinkspark.llm.common import free_name, map_texts, ref, ship_package, staged
 from rinkspark.llm.components import components
 from rinkspark.llm.leaders import compare_with_leaders
-from rinkspark.llm.text_arrays import mixed, span_hashes, utf8, words
+from rinkspark.llm.text_arrays import mixed, ragged, span_hashes, utf8, words
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -55,6 +60,8 @@ PICKED = 6
 #: A pair at 0.8 has both below the first or both above the second bound.
 SHORT_TO = 24
 LONG_FROM = 20
+#: Documents whose labels a task holds while strays stream past.
+BLOCK_ROWS = 256
 
 _MULTIPLIERS = mixed(np.arange(1, FUNCTIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _STEP = np.uint64(0x100000001B3)
@@ -181,6 +188,68 @@ def verified(pairs: DataFrame, payload: DataFrame, least: float = SIMILARITY) ->
     return compare_with_leaders(pairs, payload, labels, compare, "a bigint, b bigint")
 
 
+class Block:
+    """Label sequences of some documents with an inverted index, to find those
+    that may be similar to a given one without comparing with each."""
+
+    def __init__(self, rows: Sequence[tuple[int, int, np.ndarray]]):
+        self.rows = rows  # id, component, labels
+        labels = np.concatenate([x for _, _, x in rows])
+        owner = np.repeat(np.arange(len(rows)), [len(x) for _, _, x in rows])
+        order = np.argsort(labels, kind="stable")
+        self.owner = owner[order]
+        self.labels, first = np.unique(labels[order], return_index=True)
+        self.begins = np.append(first, len(labels))
+        self.sizes = np.array([len(x) for _, _, x in rows])
+        self.components = np.array([c for _, c, _ in rows])
+
+    def similar(self, component: int, own: np.ndarray, least: float) -> Iterator[int]:
+        """Ids of similar rows of other components."""
+        at = np.searchsorted(self.labels, own)
+        at = at[at < len(self.labels)]
+        at = at[np.isin(self.labels[at], own)]
+        shared = np.bincount(ragged(self.owner, self.begins, np.unique(at)), minlength=len(self.rows))
+        enough = (shared >= least * (self.sizes + len(own) - shared) - 1e-9) & (self.components != component)
+        for k in np.flatnonzero(enough).tolist():
+            if similarity(self.rows[k][2], own, least) > 0:
+                yield self.rows[k][0]
+
+
+def across_components(pairs: DataFrame, inside: DataFrame, payload: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """Links (a, b) between nodes of one leader in different components.
+
+    A leader's nodes are dealt to blocks of about ``BLOCK_ROWS``; its strays
+    (nodes outside its own component) go to each of them."""
+    ship_package(pairs.sparkSession)
+    members = pairs.select("a", "b").union(pairs.select("a", F.col("a").alias("b"))).distinct()
+    placed = members.join(inside.withColumnRenamed("node", "b"), "b", "left").select("a", "b", F.coalesce("component", "b").alias("component"))
+    main = placed.filter("a = b").select("a", F.col("component").alias("main"))
+    placed = staged(placed.join(main, "a"), "placed")
+    mixed = placed.groupBy("a").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"), F.max((F.col("component") != F.col("main")).cast("int")).alias("strays")).filter("strays = 1").drop("strays")
+    open_rows = placed.join(mixed, "a")
+    held = open_rows.select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("role"), "b", "component")
+    stray = open_rows.filter("component <> main").select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "b", "component")
+    rows = held.union(stray).join(payload.withColumnRenamed("id", "b"), "b")
+    rows = rows.repartition("a", "block").sortWithinPartitions("a", "block", "role")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, waiting, block = None, [], None
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for a, part, role, b, component, raw in zip(*(batch.column(c).to_pylist() for c in ("a", "block", "role", "b", "component", "data")), strict=True):
+                if (a, part) != where:
+                    where, waiting, block = (a, part), [], None
+                own = labelled(shingles(np.frombuffer(raw, np.uint64)))
+                if role == 0:
+                    waiting.append((b, component, own))
+                elif waiting:
+                    block = block or Block(waiting)
+                    found.extend((b, other) for other in block.similar(component, own, least))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+    return rows.mapInArrow(run, "a bigint, b bigint")
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, class_id), one per distinct non-null id."""
     ids = docs.select(ref(docs, id_col).cast("long").alias("id"), ref(docs, text_col).alias("text")).filter("id IS NOT NULL")
@@ -190,24 +259,21 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # Documents of the same words: one node.
     nodes = sketch.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("node"), F.first("keys").alias("keys"))
     buckets = staged(nodes.select("node", F.explode("keys").alias("key")), "buckets")
-    full = buckets.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    shared = staged(buckets.join(full, "key"), "shared-buckets")
-    pairs = staged(shared.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    sizes = buckets.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = staged(buckets.join(sizes, "key"), "shared-buckets")
+    weight = shared.groupBy("node").agg(F.sum("n").alias("weight"))
+    lead = shared.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("l"))
+    lead = lead.select("key", (-F.col("l.minus")).alias("leader"))
+    pairs = staged(shared.join(lead, "key").filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
 
     involved = shared.select(F.col("node").alias("id")).distinct()
     texts = ids.join(involved, "id").groupBy("id").agg(F.max("text").alias("text"))
     payload = staged(map_texts(texts, "text", _word_keys, T.StructType([T.StructField("data", T.BinaryType())]), ["id"]), "word-keys")
     links = staged(verified(pairs, payload), "links")
 
-    # What is left: pairs of one bucket in different components.
-    inside = components(links, "a", "b")
-    placed = shared.join(inside, shared["node"] == inside["node"], "left").select("key", shared["node"], "leader", F.coalesce("component", shared["node"]).alias("component"))
-    placed = staged(placed, "placed")
-    lead = placed.filter("node = leader").select("key", F.col("component").alias("main"))
-    mixed_keys = staged(placed.join(lead, "key").filter("component <> main").select("key", F.col("node").alias("stray"), F.col("component").alias("stray_component")), "strays")
-    across = mixed_keys.join(placed, "key").filter("component <> stray_component")
-    rest = across.select(F.least("stray", "node").alias("a"), F.greatest("stray", "node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = verified(staged(rest, "rest"), payload)
+    # What is left: candidates of one leader in different components.
+    inside = staged(components(links, "a", "b"), "components")
+    more = across_components(pairs, inside, payload)
     classes = components(links.union(more), "a", "b")
 
     by_digest = nodes.select("digest", "node").join(classes, "node", "left").select("digest", F.coalesce("component", "node").alias("class"))
