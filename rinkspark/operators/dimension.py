@@ -9,14 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rinkspark import constants as K
 from rinkspark.sources.store import partial_upsert
 
-SKATER_MEASURES = ("goals", "assists", "pp_points", "sh_points", "shots", "blocked_shots", "hits")
-GOALIE_MEASURES = ("wins", "shutouts", "ot_losses", "saves", "goals_against")
 
 SKATER_TOTALS = {
     "goals": "season_goals",
@@ -50,19 +48,22 @@ def latest_info(
     key: str = "player_id",
     position_label: str | None = None,
     is_goalie: bool | None = None,
+    totals: dict[str, Column] | None = None,
 ) -> DataFrame:
     """A1/A2: per player, the row of the latest game (later date, then the
     higher game id, wins; remaining columns break any tie left).
 
     ``max(struct(order..., columns...))`` is a partial aggregate: one row per
     player leaves each map task, instead of a window sorting every game.
+    ``totals`` (name -> aggregate) are computed in the same pass.
     """
+    totals = totals or {}
     cols = [c for c in columns if c in fact.columns]
     present = [c for c in order_by if c in fact.columns]
     best = F.max(F.struct(*[F.col(c) for c in present], *[F.col(c) for c in cols])).alias("_best")
-    out = _season(fact, season).groupBy(key).agg(best)
+    out = _season(fact, season).groupBy(key).agg(best, *[c.alias(n) for n, c in totals.items()])
     sel = [F.col(key)] + [F.col(f"_best.{c}").alias(f"latest_{c}") for c in present]
-    sel += [F.col(f"_best.{c}").alias(c) for c in cols]
+    sel += [F.col(f"_best.{c}").alias(c) for c in cols] + [F.col(n) for n in totals]
     out = out.select(*sel)
     if position_label is not None:
         out = out.withColumn("position", F.lit(position_label))
@@ -79,27 +80,32 @@ def union_with_precedence(preferred: DataFrame, other: DataFrame, key: str | Seq
     return preferred.unionByName(rest, allowMissingColumns=True)
 
 
+def _totals(fact: DataFrame, names: dict[str, str]) -> dict[str, Column]:
+    """Games played, total points and the sums of the measures in ``fact``."""
+    out = {"season_games_played": F.count("game_id").cast("int"), "season_total_fpts": F.sum("total_fpts")}
+    return out | {name: F.sum(m) for m, name in names.items() if m in fact.columns}
+
+
+def _season_totals(fact: DataFrame, season, key: str, names: dict[str, str]) -> DataFrame:
+    return _season(fact, season).groupBy(key).agg(*[c.alias(n) for n, c in _totals(fact, names).items()])
+
+
 def skater_season_totals(fact: DataFrame, season=None, *, key: str = "player_id") -> DataFrame:
     """A4: games played, total points and the sums of the skater measures."""
-    aggs = [F.count("game_id").cast("int").alias("season_games_played"), F.sum("total_fpts").alias("season_total_fpts")]
-    aggs += [F.sum(m).alias(SKATER_TOTALS[m]) for m in SKATER_MEASURES if m in fact.columns]
-    return _season(fact, season).groupBy(key).agg(*aggs)
+    return _season_totals(fact, season, key, SKATER_TOTALS)
 
 
 def goalie_season_totals(fact: DataFrame, season=None, *, key: str = "player_id") -> DataFrame:
     """A5: games played, total points and the sums of the goalie measures."""
-    aggs = [F.count("game_id").cast("int").alias("season_games_played"), F.sum("total_fpts").alias("season_total_fpts")]
-    aggs += [F.sum(m).alias(GOALIE_TOTALS[m]) for m in GOALIE_MEASURES if m in fact.columns]
-    return _season(fact, season).groupBy(key).agg(*aggs)
+    return _season_totals(fact, season, key, GOALIE_TOTALS)
 
 
 def season_snapshot(skaters: DataFrame, goalies: DataFrame, season=None) -> DataFrame:
     """A1..A5 combined: one row per player of the season with the latest
-    info and the totals; a goalie row wins over a skater row."""
-    sk_info = latest_info(skaters, season, is_goalie=False)
-    gk_info = latest_info(goalies, season, position_label=K.GOALIE_LABEL, is_goalie=True)
-    sk = sk_info.join(skater_season_totals(skaters, season), "player_id", "inner")
-    gk = gk_info.join(goalie_season_totals(goalies, season), "player_id", "inner")
+    info and the totals, in one pass over each fact; a goalie row wins over a
+    skater row."""
+    sk = latest_info(skaters, season, is_goalie=False, totals=_totals(skaters, SKATER_TOTALS))
+    gk = latest_info(goalies, season, position_label=K.GOALIE_LABEL, is_goalie=True, totals=_totals(goalies, GOALIE_TOTALS))
     return union_with_precedence(gk, sk)
 
 
