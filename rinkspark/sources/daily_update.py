@@ -34,8 +34,8 @@ from pyspark.sql import types as T
 
 from rinkspark import schemas
 from rinkspark.functions.calendar import league_date
-from rinkspark.operators.calendar import yesterday_games
-from rinkspark.operators.dimension import rebuild_dimension
+from rinkspark.operators.calendar import past_games, yesterday_games
+from rinkspark.operators.dimension import prior_season_averages, rebuild_dimension
 from rinkspark.operators.joins import has_at_most
 from rinkspark.sources import landed as L
 from rinkspark.sources.ingest import build_facts
@@ -208,22 +208,51 @@ def apply_box_scores(
     return out
 
 
-def run_daily_update(spark: SparkSession, paths: Paths, as_of, *, season=None, landed_at=None) -> dict[str, str]:
-    """Process yesterday's games (relative to ``as_of``) that are not yet
-    landed as final; season totals in the dimension cover ``season`` (the
-    latest season of the batch when None). Returns the new snapshot path of
-    each table. Lines that do not parse go to ``_quarantine/<source>``."""
+def _run_batch(spark: SparkSession, paths: Paths, as_of, pick, season, landed_at) -> dict[str, str]:
+    """Process the games that ``pick(games)`` names and that are not landed as
+    final yet."""
     for name, path, schema in (("schedule", paths.schedule, schemas.SCHEDULE), ("boxscores", paths.boxscores, schemas.BOXSCORE), ("logs", paths.logs, schemas.PLAYER_LOG)):
         L.write_quarantine(L.read_json(spark, path, schema), f"{paths.store}/_quarantine/{name}/as_of={as_of}")
     games = schedule_games(spark, paths.schedule)
-    batch = yesterday_games(games, as_of)
     register = _current(spark, f"{paths.store}/{REGISTER}", _empty_register(spark))
-    todo = L.games_to_process(batch.select("game_id"), register)
+    todo = L.games_to_process(pick(games).select("game_id"), register)
     box = L.read_boxscores(spark, paths.boxscores).join(todo.select(F.col("game_id").alias("id")), "id", "left_semi")
     logs = L.read_player_logs(spark, paths.logs)
     return apply_box_scores(spark, box, logs, games, paths.store, season=season, landed_at=landed_at)
 
 
+def run_daily_update(spark: SparkSession, paths: Paths, as_of, *, season=None, landed_at=None) -> dict[str, str]:
+    """Process yesterday's games (relative to ``as_of``) that are not yet
+    landed as final; season totals in the dimension cover ``season`` (the
+    latest season of the batch when None). Returns the new snapshot path of
+    each table. Lines that do not parse go to ``_quarantine/<source>``."""
+    return _run_batch(spark, paths, as_of, lambda games: yesterday_games(games, as_of), season, landed_at)
+
+
+def run_season_seed(spark: SparkSession, paths: Paths, as_of, *, season=None, landed_at=None) -> dict[str, str]:
+    """Rebuild from the landed files: all games before ``as_of`` (C2) that are
+    not yet landed as final, of ``season`` if it is given. The tables are the
+    same as after the daily runs of those days."""
+
+    def past(games: DataFrame) -> DataFrame:
+        g = past_games(games, as_of)
+        return g if season is None else g.where(F.col("season").cast("string") == F.lit(str(season)))
+
+    return _run_batch(spark, paths, as_of, past, season, landed_at)
+
+
+def run_prior_season(spark: SparkSession, store: str, prior_season) -> str:
+    """Write the prior season's games and mean points of the players in the
+    dimension (A8) as its next snapshot; returns the snapshot's path."""
+    dim_root = f"{store}/pro_players"
+    dim = _current(spark, dim_root, empty_table(spark, "pro_players"))
+    facts = []
+    for name in FACT_SCHEMAS:
+        f = read_fact(spark, store, name)
+        facts.append(empty_table(spark, name) if f is None else f)
+    return write_snapshot(conform(prior_season_averages(dim, *facts, prior_season), schemas.PRO_PLAYERS), dim_root)
+
+
 def stream_box_scores(
     spark: SparkSession,
     paths: Paths,

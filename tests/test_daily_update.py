@@ -158,3 +158,34 @@ def test_merge_reads_touched_partitions_only(spark, tmp_dir):
     assert table.count() == 21 and {str(r.game_date) for r in table.where("game_id = 3").collect()} == {"2025-11-09"}
     plan = _in_partitions(table, again.select("season", "game_date"))._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "PartitionFilters: []" not in plan
+
+
+def test_season_seed_equals_daily_runs_and_prior_season(spark, tmp_dir):
+    from rinkspark.sources.daily_update import run_prior_season, run_season_seed
+
+    write_lines(f"{tmp_dir}/sched/all.json", [{"games": [
+        game(100, 2, "2025-11-01T23:00:00Z", "BOS", "TOR", "OFF"),
+        game(102, 2, "2025-11-02T23:00:00Z", "TOR", "MTL", "OFF"),
+        game(104, 2, "2025-11-04T23:00:00Z", "TOR", "MTL", "FUT"),
+    ]}])
+    write_lines(f"{tmp_dir}/box/b.json", [_box(100, "BOS", "TOR"), _box(102, "TOR", "MTL"), _box(104, "TOR", "MTL")])
+    write_lines(f"{tmp_dir}/logs/l.json", [_log(p, "TOR", [(100, "2025-11-01"), (102, "2025-11-02"), (104, "2025-11-04")]) for p in (1, 3)])
+    daily = Paths(f"{tmp_dir}/sched", f"{tmp_dir}/box", f"{tmp_dir}/logs", f"{tmp_dir}/daily")
+    seed = Paths(f"{tmp_dir}/sched", f"{tmp_dir}/box", f"{tmp_dir}/logs", f"{tmp_dir}/seed")
+    for day in ("2025-11-02", "2025-11-03"):
+        run_daily_update(spark, daily, day)
+    run_season_seed(spark, seed, "2025-11-03")
+
+    def rows(store, name):
+        return sorted(tuple(r) for r in read_fact(spark, store, name).collect())
+
+    for name in ("player_game_stats", "goalie_game_stats"):
+        assert rows(daily.store, name) == rows(seed.store, name) and rows(seed.store, name)
+
+    def dim(store):
+        return sorted(read_current(spark, f"{store}/pro_players").drop("updated_at").collect(), key=lambda r: r.player_id)
+
+    assert dim(daily.store) == dim(seed.store)
+    run_prior_season(spark, seed.store, "20252026")
+    after = {r.player_id: r for r in dim(seed.store)}
+    assert after[1].prior_season_games_played == 2 and after[1].season_games_played == 2
