@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 
 from rinkspark.llm.common import free_name, map_texts, pieces, ref, ship_package, staged
 from rinkspark.llm.lexicon import Lexicon, compile_words, save
+from rinkspark.llm.text_arrays import ragged
 from rinkspark.llm.word_pieces import WORD_PATTERN, Memo, cutter, library_encoder, load
 
 #: Words compiled into the lexicon.
@@ -82,7 +83,8 @@ def build_lexicon(docs: DataFrame, text_col: str, tokenizer_json: str, size: int
             break
         least = g
     top = [] if least is None else sorted(r[0] for r in counts.filter(grade >= least).select("word").collect())
-    ids = library_encoder(load(tokenizer_json))(top)
+    flat, sizes = library_encoder(load(tokenizer_json))(top)
+    ids = [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])] if top else []
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     path = os.path.join(tempfile.mkdtemp(prefix="rinkspark-lexicon-"), name)
     save(compile_words([w.encode() for w in top], ids), path)
@@ -90,14 +92,18 @@ def build_lexicon(docs: DataFrame, text_col: str, tokenizer_json: str, size: int
     return name
 
 
-def lexicon_encoder(tok, lexicon: Lexicon) -> Callable[[list[str]], Sequence[Sequence[int]]]:
+def lexicon_encoder(tok, lexicon: Lexicon) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
     """Ids of words from the transducer, the rest merged by the tokenizer."""
     library = library_encoder(tok)
 
-    def encode(words: list[str]) -> Sequence[Sequence[int]]:
-        ranks = lexicon.ranks([w.encode() for w in words])
-        unseen = iter(library([w for w, r in zip(words, ranks, strict=True) if r < 0]))
-        return [next(unseen) if r < 0 else lexicon.ids_of(r) for r in ranks.tolist()]
+    def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        rows = lexicon.ranks([w.encode() for w in words])
+        unseen = np.flatnonzero(rows < 0)
+        ids, sizes = library([words[i] for i in unseen.tolist()])
+        rows[unseen] = len(lexicon) + np.arange(len(unseen))
+        flat = np.concatenate([lexicon.ids, ids])
+        begins = np.concatenate([lexicon.id_begins, len(lexicon.ids) + np.cumsum(sizes)])
+        return ragged(flat, begins, rows), begins[rows + 1] - begins[rows]
 
     return encode
 

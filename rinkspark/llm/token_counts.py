@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from rinkspark.llm.common import free_name, map_texts, ref
 from rinkspark.llm.text_arrays import span_hashes
-from rinkspark.llm.word_pieces import BYTE_PATTERN, CACHE_WORDS, _Codes, cutter, library_encoder, load
+from rinkspark.llm.word_pieces import BYTE_PATTERN, CACHE_WORDS, WordCache, cutter, library_encoder, load
 
 SAMPLE_DOCS = 500
 TABLE_WORDS = 50_000
@@ -85,32 +85,29 @@ class LengthTable:
         return out
 
 
-class Lengths:
+class Lengths(WordCache):
     """Tier 2: the worker's cache over the table and the library."""
 
     def __init__(self, tok, table: LengthTable, limit: int = CACHE_WORDS):
-        self.tok, self.table, self.limit = tok, table, limit
-        self.cut, self.library = cutter(tok, BYTE_PATTERN, lower=False), library_encoder(tok)
-        self.codes, self.known = _Codes(), np.zeros(0, np.int64)
+        super().__init__(cutter(tok, BYTE_PATTERN, lower=False), limit)
+        self.tok, self.table, self.library = tok, table, library_encoder(tok)
+        self.known = np.zeros(0, np.int64)
 
-    def _learn(self) -> None:
-        fresh, self.codes.fresh = self.codes.fresh, []
-        found = self.table.lookup([w.encode() for w in fresh])
+    def learn(self, words: list[str]) -> None:
+        found = self.table.lookup([w.encode() for w in words])
         misses = np.flatnonzero(found < 0)
-        found[misses] = [len(x) for x in self.library([fresh[i] for i in misses])]
+        found[misses] = self.library([words[i] for i in misses.tolist()])[1]
         self.known = np.concatenate([self.known, found])
 
+    def keep(self, rows: np.ndarray) -> None:
+        self.known = self.known[rows]
+
     def count(self, texts: Sequence[str]) -> np.ndarray:
-        if len(self.codes) > self.limit:
-            self.codes, self.known = _Codes(), np.zeros(0, np.int64)
-        look, out, coded = self.codes.__getitem__, np.zeros(len(texts), np.int64), []
-        for i, text in enumerate(texts):
-            words = self.cut(text)
-            if words is None:
-                out[i] = len(self.tok.encode(text, add_special_tokens=False).ids)
-            coded.append(np.fromiter(map(look, words or ()), np.int64, len(words or ())))
-        self._learn()
-        return out + np.array([self.known[c].sum() for c in coded], np.int64)
+        codes, first, whole = self.numbered(texts)
+        out = np.diff(np.concatenate([[0], np.cumsum(self.known[codes])])[first])
+        for i in whole:
+            out[i] = len(self.tok.encode(texts[i], add_special_tokens=False).ids)
+        return out
 
 
 def build_table(docs: DataFrame, text_col: str, tokenizer_json: str, sample_docs: int = SAMPLE_DOCS, size: int = TABLE_WORDS) -> LengthTable:
@@ -124,7 +121,7 @@ def build_table(docs: DataFrame, text_col: str, tokenizer_json: str, sample_docs
     words = {w for w, _ in counts.most_common(size)}
     words.update(w for w in map(tok.decode, ([i] for i in range(tok.get_vocab_size(False)))) if w and cut(w) == [w])
     ordered = sorted(words)
-    return LengthTable.build([w.encode() for w in ordered], [len(x) for x in library_encoder(tok)(ordered)])
+    return LengthTable.build([w.encode() for w in ordered], library_encoder(tok)(ordered)[1])
 
 
 def with_token_counts(docs: DataFrame, tokenizer_json: str, text_col: str = "text") -> DataFrame:

@@ -18,6 +18,8 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 
+from rinkspark.llm.text_arrays import ragged
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Characters of texts that are cut here: white space, ASCII, Latin-1 and
@@ -37,8 +39,8 @@ WORD_PATTERN = re.compile(rf"[{_L}]+|'(?:[stmd]|re|ve|ll)|[{_N}]|[^\s{_L}{_N}]+"
 #: byte_bpe_50k.json.
 BYTE_PATTERN = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")
 
-#: Memoised pre-tokens of a worker; beyond it the memory is started anew.
-CACHE_WORDS = 300_000
+#: Memoised pre-tokens of a worker; beyond it the less used half is dropped.
+CACHE_WORDS = 250_000
 
 
 def load(tokenizer_json: str):
@@ -76,54 +78,104 @@ class _Codes(dict):
         return n
 
 
-class Memo:
-    """Ids of pre-tokens, kept as one flat table.
-
-    ``encode_words`` maps a list of distinct pre-tokens to their id lists.
-    """
+class WordCache:
+    """Numbers the pre-tokens of texts; what is known of each number is kept
+    by a subclass in arrays, for at most ``limit`` pre-tokens."""
 
-    def __init__(self, tok, cut: Callable[[str], list[str] | None], encode_words: Callable[[list[str]], Sequence[Sequence[int]]], limit: int = CACHE_WORDS):
-        self.tok, self.cut, self.encode_words, self.limit = tok, cut, encode_words, limit
-        self._clear()
+    def __init__(self, cut: Callable[[str], list[str] | None], limit: int = CACHE_WORDS):
+        self.cut, self.limit = cut, limit
+        self.codes, self.uses = _Codes(), np.zeros(0, np.int64)
 
-    def _clear(self) -> None:
-        self.codes = _Codes()
-        self.flat, self.begins = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+    def learn(self, words: list[str]) -> None:
+        """Append what is to be known of new words, in order."""
+        raise NotImplementedError
 
-    def _learn(self) -> None:
-        fresh, self.codes.fresh = self.codes.fresh, []
-        if fresh:
-            found = self.encode_words(fresh)
-            self.flat = np.concatenate([self.flat, *(np.asarray(x, np.uint32) for x in found)]) if len(found) < 64 else np.concatenate([self.flat, np.fromiter((i for x in found for i in x), np.uint32)])
-            self.begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum([len(x) for x in found])])
+    def keep(self, rows: np.ndarray) -> None:
+        """Go on with these rows only, renumbered in order."""
+        raise NotImplementedError
 
-    def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids end to end, and each text's first (with the end last)."""
+    def _shrink(self) -> None:
+        rows = np.sort(np.argsort(-self.uses, kind="stable")[: self.limit // 2])
+        words = list(self.codes)
+        self.codes = _Codes()
+        for r in rows.tolist():
+            self.codes[words[r]] = len(self.codes)
+        self.uses = self.uses[rows] // 2
+        self.keep(rows)
+
+    def numbered(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """Numbers of all pre-tokens end to end, the first of each text (with
+        the end last), and the texts that the library must take whole."""
         if len(self.codes) > self.limit:
-            self._clear()
-        look = self.codes.__getitem__
-        coded, whole = [], {}
+            self._shrink()
+        look, coded, whole = self.codes.__getitem__, [], []
         for i, text in enumerate(texts):
             words = self.cut(text)
             if words is None:
-                whole[i] = np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
+                whole.append(i)
                 words = []
             coded.append(np.fromiter(map(look, words), np.int64, len(words)))
-        self._learn()
-        out = []
-        for i, codes in enumerate(coded):
-            out.append(whole[i] if i in whole else ragged(self.flat, self.begins, codes))
-        begins = np.zeros(len(out) + 1, np.int64)
-        np.cumsum([len(x) for x in out], out=begins[1:])
-        return (np.concatenate(out) if out else np.zeros(0, np.uint32)), begins
+        fresh, self.codes.fresh = self.codes.fresh, []
+        if fresh:
+            self.learn(fresh)
+        codes = np.concatenate(coded) if coded else np.zeros(0, np.int64)
+        used = np.bincount(codes, minlength=len(self.codes))
+        used[: len(self.uses)] += self.uses
+        self.uses = used
+        return codes, np.cumsum([0] + [len(c) for c in coded]), whole
+
+
+class Memo(WordCache):
+    """Ids of texts. ``encode_words`` maps distinct pre-tokens to their ids
+    end to end and the number of ids of each."""
+
+    def __init__(self, tok, cut: Callable[[str], list[str] | None], encode_words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = CACHE_WORDS):
+        super().__init__(cut, limit)
+        self.tok, self.encode_words = tok, encode_words
+        self.flat, self.begins = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def learn(self, words: list[str]) -> None:
+        ids, sizes = self.encode_words(words)
+        self.flat = np.concatenate([self.flat, ids.astype(np.uint32)])
+        self.begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum(sizes)])
+
+    def keep(self, rows: np.ndarray) -> None:
+        sizes = self.begins[rows + 1] - self.begins[rows]
+        self.flat = ragged(self.flat, self.begins, rows)
+        self.begins = np.concatenate([[0], np.cumsum(sizes)])
+
+    def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids end to end, and each text's first (with the end last)."""
+        codes, first, whole = self.numbered(texts)
+        ids = ragged(self.flat, self.begins, codes)
+        ends = np.concatenate([[0], np.cumsum(self.begins[codes + 1] - self.begins[codes])])
+        begins = ends[first]
+        for i in whole:
+            own = np.array(self.tok.encode(texts[i], add_special_tokens=False).ids, np.uint32)
+            ids = np.concatenate([ids[: begins[i]], own, ids[begins[i] :]])
+            begins[i + 1 :] += len(own)
+        return ids, begins
+
+
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 bytes stand for themselves,
+    the others follow from code point 256 on, in order."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) if b in own else chr(256 + rest.index(b)) for b in range(256)}
+
+
+_LETTERS = _byte_letters()
+_AS_IS = re.compile(r"[!-~]+")
 
 
-def ragged(flat: np.ndarray, begins: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """The entries of the given rows of a ragged table, end to end."""
-    sizes = begins[rows + 1] - begins[rows]
-    ends = np.cumsum(sizes)
-    return flat[np.repeat(begins[rows] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+def library_encoder(tok) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
+    """Ids of pre-tokens, end to end, and the number of ids of each: the
+    merges of the library's own model, on the bytes' letters."""
+    merge = tok.model.tokenize
 
+    def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [[t.id for t in merge(w if _AS_IS.fullmatch(w) else w.encode().decode("latin-1").translate(_LETTERS))] for w in words]
+        return np.fromiter((i for x in found for i in x), np.uint32), np.array([len(x) for x in found], np.int64)
 
-def library_encoder(tok) -> Callable[[list[str]], list[list[int]]]:
-    return lambda words: [e.ids for e in tok.encode_batch_fast(words, add_special_tokens=False)]
+    return encode
