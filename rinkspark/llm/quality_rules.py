@@ -157,9 +157,11 @@ def judged(docs: DataFrame, text_col: str = "text", rules: list[Rule] | None = N
     """``docs`` with ``rejected_by``: the rule that rejects the row, or null.
     If several would, it is the first in cascade order."""
     rules = order_rules(docs, text_col, RULES if rules is None else rules, sample_rows)
-    words = free_name(docs, "_words")
-    df = docs.withColumn(words, words_of(ref(docs, text_col)))
-    return df.withColumn(free_name(docs, "rejected_by"), first_rejection(ref(df, text_col), F.col(words), rules)).drop(words)
+    # The words are bound once inside the expression: a filter on the verdict
+    # is moved to the scan and would otherwise split the text for every rule.
+    text = ref(docs, text_col)
+    verdict = let(words_of(text), lambda words: first_rejection(text, words, rules))
+    return docs.withColumn(free_name(docs, "rejected_by"), verdict)
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", rules: list[Rule] | None = None) -> DataFrame:
