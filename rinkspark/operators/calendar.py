@@ -176,7 +176,8 @@ def weekly_schedule_table(games: DataFrame, **kw) -> DataFrame:
 
 
 def reload_weekly_schedule(games: DataFrame, path: str) -> int:
-    """C5 + S7: truncate and reload the weekly table; returns its row count."""
+    """C5 + S7: truncate and reload the weekly table; returns the number of
+    rows cleared."""
     from rinkspark.sources.store import overwrite
 
     return overwrite(weekly_schedule_table(games).sortWithinPartitions("team", "week"), path)

@@ -65,5 +65,6 @@ def test_weekly_table_ids_and_reload(spark, tmp_dir):
     rows = sorted((r.id, r.team, r.week) for r in t.collect())
     assert [r[0] for r in rows] == list(range(1, len(rows) + 1))
     assert [(r[1], r[2]) for r in rows] == sorted((r[1], r[2]) for r in rows)  # ids follow (team, week)
+    assert C.reload_weekly_schedule(g, f"{tmp_dir}/ts") == 0  # rows cleared: a new table
     assert C.reload_weekly_schedule(g, f"{tmp_dir}/ts") == len(rows)
-    assert C.reload_weekly_schedule(g.where("game_id = 1"), f"{tmp_dir}/ts") == 2  # truncate and reload
+    assert C.reload_weekly_schedule(g.where("game_id = 1"), f"{tmp_dir}/ts") == len(rows)  # truncate and reload
