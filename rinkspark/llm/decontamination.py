@@ -18,9 +18,9 @@ but not none, is one window. Words are compared by 64-bit hash and length.
 
 Defined results: null and empty texts have no words and no hits; items without
 words match nothing; items with equal windows are all reported; repeated
-documents are judged each on their own; a repeated item_id is one item with
-several texts. Other columns pass through, added names get a trailing
-underscore on a clash.
+documents are judged each on their own; items without an id are ignored; a
+repeated item_id is one item with several texts. Other columns pass through,
+added names get a trailing underscore on a clash.
 """
 
 from __future__ import annotations
