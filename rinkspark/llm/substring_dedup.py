@@ -6,14 +6,15 @@ word whose hash is the least among its four neighbours on either side. The
 choice depends on nearby text only, so the chunks of a passage are the same
 wherever it stands and whatever is inserted before it.
 
-1. Chunks are grouped by digest; the first holder of a digest is the least
-   document id (partial aggregate, so frequent chunks are combined map-side).
-2. Chunks whose first holder is another document are put in runs of adjacent
-   ones. A run, its two neighbour chunks and the words that their outer cuts
-   depend on bound the repeated passage; where that is 50 words or more,
-   document and first holder are compared.
-3. The comparison is exact: every run of 50 words of the document that the
-   holder contains too is removed (spans joined, up to the next space).
+1. Chunks are grouped by digest; those that two documents hold are put in runs
+   of adjacent ones. A run, its two neighbour chunks and the words that their
+   outer cuts depend on bound the repeated passage; regions of 50 words or
+   more, of the first document as of the later ones, are looked into.
+2. Every run of 50 words inside such a region is hashed (64 bits). Its first
+   holder is the least document id (partial aggregate, so frequent passages
+   are combined map-side), whichever document its chunks occur in first.
+3. Every run of 50 words whose first holder is another document is removed
+   (spans joined, up to the next space).
 
 So a passage stays in its first document and goes from the later ones. Repeats
 within one document are left to it, as are passages under 50 words.
@@ -34,8 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rinkspark.llm.common import free_name, let, map_texts, ref, staged
-from rinkspark.llm.leaders import compare_with_leaders
+from rinkspark.llm.common import free_name, let, map_texts, pieces, ref, ship_package, staged
 from rinkspark.llm.text_arrays import mixed, run_hashes, span_hashes, utf8, words
 
 MIN_WORDS = 50
@@ -135,69 +135,79 @@ def chunks(ids: DataFrame) -> DataFrame:
     return rows.select("id", F.inline("chunks"))
 
 
-def _windows(keys: np.ndarray) -> np.ndarray:
-    at = np.arange(max(0, len(keys) - MIN_WORDS + 1))
-    return run_hashes(keys, at, at + MIN_WORDS)
-
-
-def _words_of(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    low, starts, ends, _ = words(*utf8(pa.array([text])))
-    return low, starts, ends, span_hashes(low, starts, ends)
-
-
-def _held(text: str) -> np.ndarray:
-    return np.unique(_windows(_words_of(text)[3]))
-
-
-def repeated_spans(held: np.ndarray, text: str) -> list[tuple[int, int, int]]:
-    """Spans (begin byte, end byte, words) of ``text`` whose 50-word runs are
-    all among ``held``. Bytes up to the neighbouring white space belong to a
-    span, and spaces behind it (line ends stay)."""
-    low, starts, ends, keys = _words_of(text)
-    own = _windows(keys)
-    if not len(own) or not len(held):
-        return []
-    hit = np.flatnonzero(held[np.minimum(np.searchsorted(held, own), len(held) - 1)] == own)
-    if not len(hit):
-        return []
-    raw, out = text.encode(), []
-    opens = np.flatnonzero(np.append(True, np.diff(hit) > MIN_WORDS))
-    for a, b in zip(hit[opens].tolist(), (hit[np.append(opens[1:], len(hit)) - 1] + MIN_WORDS).tolist(), strict=True):
-        begin, end = int(starts[a]), int(ends[b - 1])
-        lower, upper = int(ends[a - 1]) if a else 0, int(starts[b]) if b < len(starts) else len(raw)
-        while begin > lower and not raw[begin - 1 : begin].isspace():
-            begin -= 1
-        while end < upper and not raw[end : end + 1].isspace():
-            end += 1
-        while end < upper and raw[end : end + 1] in (b" ", b"\t"):
-            end += 1
-        out.append((begin, end, b - a))
-    return out
+def _windower(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (hash, id, pos) of the runs of 50 words inside the regions (word
+    begin, word end) of documents (id, data, regions)."""
+    import pyarrow.compute  # noqa: F401 - makes pa.compute available in the worker
+
+    for whole in batches:
+        for batch in pieces(whole, 1):
+            low, starts, ends, first = words(*utf8(batch.column(1)))
+            keys = span_hashes(low, starts, ends)
+            hashes, ids, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+            for i, (doc, regions) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                own = keys[first[i] : first[i + 1]]
+                inside = np.zeros(max(0, len(own) - MIN_WORDS + 1), bool)
+                for r in regions:
+                    inside[r["begin"] : max(0, r["end"] - MIN_WORDS + 1)] = True
+                at = np.flatnonzero(inside)
+                if len(at):
+                    hashes.append(run_hashes(own, at, at + MIN_WORDS))
+                    ids.append(np.full(len(at), doc, np.int64))
+                    places.append(at.astype(np.int32))
+            columns = [np.concatenate(hashes).view(np.int64), np.concatenate(ids), np.concatenate(places)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["hash", "id", "pos"])
+
+
+def byte_span(raw: bytes, starts: np.ndarray, ends: np.ndarray, a: int, b: int) -> tuple[int, int]:
+    """Bytes of the words a to b. Those up to the neighbouring white space
+    belong to the span, and spaces behind it (line ends stay)."""
+    begin, end = int(starts[a]), int(ends[b - 1])
+    lower, upper = int(ends[a - 1]) if a else 0, int(starts[b]) if b < len(starts) else len(raw)
+    while begin > lower and not raw[begin - 1 : begin].isspace():
+        begin -= 1
+    while end < upper and not raw[end : end + 1].isspace():
+        end += 1
+    while end < upper and raw[end : end + 1] in (b" ", b"\t"):
+        end += 1
+    return begin, end
+
+
+def _locator(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans in bytes of documents (id, data, text_hash, runs in words)."""
+    kinds = [("id", pa.int64()), ("holder", pa.int64()), ("begin", pa.int32()), ("end", pa.int32()), ("n_words", pa.int32()), ("text_hash", pa.int64())]
+    for batch in batches:
+        for i in range(batch.num_rows):
+            doc, text, text_hash, runs = (batch.column(c)[i].as_py() for c in range(4))
+            _, starts, ends, _ = words(*utf8(pa.array([text])))
+            raw = text.encode()
+            rows = [(doc, r["holder"], *byte_span(raw, starts, ends, r["a"], r["b"]), r["b"] - r["a"], text_hash) for r in runs]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows, strict=True), kinds, strict=True)], [n for n, _ in kinds])
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, holder, text_hash, begin, end, n_words): spans of documents
-    that an earlier document, the holder, contains."""
+    """Rows (id, holder, begin, end, n_words, text_hash): spans of documents
+    that earlier documents contain, of which the holder is the first."""
     ids = docs.select(ref(docs, id_col).cast("long").alias("id"), ref(docs, text_col).alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
+    ship_package(docs.sparkSession)
     rows = chunks(ids)
-    first = rows.groupBy("digest").agg(F.min("id").alias("holder"), F.max("id").alias("last")).filter("holder < last").drop("last")
-    held = rows.join(first, "digest").filter("id <> holder").select("id", "idx", "reach_begin", "reach_end", "holder").distinct()
+    shared = rows.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("digest")
     # Runs of adjacent chunks: the number less its rank is constant in a run.
-    run = held.withColumn("run", F.col("idx") - F.dense_rank().over(Window.partitionBy("id").orderBy("idx")))
-    within = Window.partitionBy("id", "run")
-    reach = F.max("reach_end").over(within) - F.min("reach_begin").over(within)
-    pairs = run.withColumn("reach", reach).filter(F.col("reach") >= MIN_WORDS).select(F.col("holder").alias("a"), F.col("id").alias("b")).distinct()
-    pairs = staged(pairs, "holder-pairs")
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    payload = staged(ids.join(involved, "id").groupBy("id").agg(F.max("text").alias("data")), "holder-texts")
-
-    def compare(a: int, held: np.ndarray, b: int, text: str) -> Iterator[tuple]:
-        for begin, end, n in repeated_spans(held, text):
-            yield b, a, begin, end, n
-
-    spans = compare_with_leaders(pairs, payload, _held, compare, "id bigint, holder bigint, begin int, end int, n_words int")
-    hashes = payload.select("id", F.xxhash64("data").alias("text_hash"))
-    return spans.join(hashes, "id")
+    run = rows.join(shared, "digest").withColumn("run", F.col("idx") - F.dense_rank().over(Window.partitionBy("id").orderBy("idx")))
+    reach = run.groupBy("id", "run").agg(F.min("reach_begin").alias("begin"), F.max("reach_end").alias("end")).filter(F.col("end") - F.col("begin") >= MIN_WORDS)
+    regions = reach.groupBy("id").agg(F.collect_list(F.struct("begin", "end")).alias("regions"))
+    texts = ids.join(regions, "id").groupBy("id").agg(F.max("text").alias("data"), F.first("regions").alias("regions"))
+    texts = staged(texts, "repeat-texts")
+
+    windows = texts.select("id", "data", "regions").mapInArrow(_windower, "hash bigint, id bigint, pos int")
+    first = windows.groupBy("hash").agg(F.min("id").alias("holder"), F.max("id").alias("last")).filter("holder < last").drop("last")
+    hits = windows.join(first, "hash").filter("holder < id").select("id", "holder", "pos")
+    order = Window.partitionBy("id", "holder").orderBy("pos")
+    hits = hits.withColumn("opens", F.coalesce(F.col("pos") - F.lag("pos").over(order) > MIN_WORDS, F.lit(True)).cast("int"))
+    spans = hits.withColumn("part", F.sum("opens").over(order)).groupBy("id", "holder", "part").agg(F.min("pos").alias("a"), (F.max("pos") + MIN_WORDS).alias("b"))
+    runs = spans.groupBy("id").agg(F.collect_list(F.struct("holder", "a", "b")).alias("runs"))
+    located = texts.join(runs, "id").select("id", "data", F.xxhash64("data").alias("text_hash"), "runs")
+    return located.mapInArrow(_locator, "id bigint, holder bigint, begin int, end int, n_words int, text_hash bigint")
 
 
 def without_spans(text: Column, spans: Column) -> Column:

@@ -181,6 +181,20 @@ def test_repeated_passages_equal_brute_force(spark):
                 assert r.text == rows[r.doc_id]
 
 
+def test_near_copy_before_two_full_holders(spark):
+    """The first holder of a passage's chunks has no run of 50 words of it."""
+    rows = []
+    for size in (50, 52, 55, 60) * 4:
+        p = prose(size).split()
+        near = [*p[:7], "edited", *p[8:]] if len(rows) % 2 else p[:48]
+        rows += [f"{prose(30)} {' '.join(near)} {prose(30)}", f"{prose(30)} {' '.join(p)} {prose(30)}", f"{prose(20)} {' '.join(p)} {prose(40)}"]
+    out = deduplicated(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+    hit = brute_removed(rows)
+    assert len(hit) >= 16
+    for r in out.collect():
+        assert words(r.text) == [w for k, w in enumerate(words(rows[r.doc_id])) if k not in hit.get(r.doc_id, ())], r.doc_id
+
+
 def test_spans_name_an_earlier_holder(spark):
     rows = substring_rows()
     out, spans, _ = with_repeats(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
