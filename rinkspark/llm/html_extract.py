@@ -6,7 +6,10 @@ the page's blocks in order, fused, and averaged per path; paths above a share
 of the page's mean are content paths. The article is the smallest container
 around almost all content blocks: everything in it that no markup declares to
 be something else (menu, header, footer, sidebar, notice, advert, form, script,
-style, reader comments) is kept, short blocks too.
+style, reader comments) is kept, short blocks too. Words of a class or id, and
+form elements, are believed only while the paths agree: one that declares most
+of the page's content away (all of an article in "widget" elements, a page in
+one form) is ignored on that page.
 
 Pages are worked on one by one inside tasks (no shuffle); memory is bounded by
 a few MB of pages or one longer page.
@@ -64,14 +67,18 @@ _P_SCOPE = frozenset("table td th caption object button body html".split())
 _SPACED = frozenset("br td th img input select button".split())
 
 #: Elements that are never part of the article.
-NOT_CONTENT_TAGS = frozenset("nav header footer aside form head menu button select option object svg canvas audio video dialog label input".split())
-NOT_CONTENT_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
+NOT_CONTENT_TAGS = frozenset("nav header footer aside head menu button select option object svg canvas audio video dialog label input".split())
+NOT_CONTENT_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar".split())
 #: Words of a class or id that declare an element to be something else.
 NOT_CONTENT_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices menu nav navbar navigation breadcrumb breadcrumbs "
     "sidebar aside footer header masthead comment comments commentlist disqus reply replies share sharing social related recommended recommendations newsletter subscribe signup login popup modal overlay widget "
     "toolbar pagination pager form".split()
 )
+#: Of these, names of text of its own kind, whatever its share of the page.
+OWN_TEXT_WORDS = frozenset("comment comments commentlist disqus reply replies cookie cookies consent gdpr sidebar aside footer".split())
+_FORM = "<form>"
+_HARD = frozenset(["!"])
 _LAYOUT = frozenset("has with no without".split())
 _WHOLE = frozenset("html body main article".split())
 _CONTAINERS = frozenset("article main section div td body html blockquote center".split())
@@ -80,6 +87,10 @@ _PUNCTUATION = re.compile(r"[.,;:!?…、。，！？；：¿¡]")
 
 #: Share of the page's mean fused ratio from which a path is content.
 THRESHOLD = 0.5
+#: Share of the page's text from which a word that declares it to be something
+#: else is not believed, and share left by all words below which none is.
+MOST = 0.5
+LEFT = 0.1
 #: Share of the content's text that the article's container must hold.
 COVER = 0.9
 #: Text a wider container may add, as a share of what it holds already.
@@ -98,31 +109,36 @@ def _attributes(raw: str) -> dict[str, str]:
     return out
 
 
-def _declared(name: str, raw: str) -> bool:
-    """Does the markup say that this element is not part of an article?"""
+def _declared(name: str, raw: str, ignored: frozenset[str] = frozenset()) -> frozenset[str]:
+    """What in the markup says that this element is not part of an article:
+    ``_HARD``, or words of its class or id (and ``_FORM``) that are not
+    ignored, or nothing."""
     if name in NOT_CONTENT_TAGS:
-        return True
-    if not raw or raw.isspace():
-        return False
-    attrs = _attributes(raw)
-    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attrs.get("style", ""), re.I):
-        return True
-    if attrs.get("role", "").lower() in NOT_CONTENT_ROLES:
-        return True
-    if name in _WHOLE and name != "article":
-        return False
-    for label in (attrs.get("class", "") + " " + attrs.get("id", "")).split():
-        words = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", label).lower())
-        if NOT_CONTENT_WORDS & set(words) and not _LAYOUT & set(words):
-            return True
-    return False
+        return _HARD
+    found = {_FORM} if name == "form" else set()
+    if raw and not raw.isspace():
+        attrs = _attributes(raw)
+        if "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attrs.get("style", ""), re.I):
+            return _HARD
+        role = attrs.get("role", "").lower()
+        if role in NOT_CONTENT_ROLES:
+            return _HARD
+        if role == "form":
+            found.add(_FORM)
+        if name not in _WHOLE or name == "article":
+            for label in (attrs.get("class", "") + " " + attrs.get("id", "")).split():
+                words = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", label).lower()))
+                if not _LAYOUT & words:
+                    found |= NOT_CONTENT_WORDS & words
+    return frozenset(found - ignored)
 
 
 class _Node:
-    __slots__ = ("name", "parent", "path", "out", "size", "headings")
+    __slots__ = ("name", "parent", "path", "out", "soft", "size", "headings")
 
-    def __init__(self, name: str, parent: _Node | None, out: bool):
+    def __init__(self, name: str, parent: _Node | None, out: bool, soft: frozenset[str] = frozenset()):
         self.name, self.parent, self.out = name, parent, out
+        self.soft = soft  # words of the outermost element that a word declares
         self.path = name if parent is None else f"{parent.path}/{name}"
         self.size = 0  # characters of kept blocks inside
         self.headings = 0  # of these, in headings
@@ -134,11 +150,12 @@ class _Node:
             node = node.parent
 
 
-def _blocks(html: str) -> list[tuple[_Node, str]]:
-    """Text blocks outside declared boilerplate, in page order, each with the
-    block element that holds it."""
+def _blocks(html: str, ignored: frozenset[str] = frozenset()) -> list[tuple[_Node, str, frozenset[str]]]:
+    """Text blocks in page order without those that are never part of an
+    article, each with the block element that holds it and the words that
+    declare it to be something else (none of ``ignored``)."""
     stack = [_Node("#", None, False)]
-    blocks: list[tuple[_Node, str]] = []
+    blocks: list[tuple[_Node, str, frozenset[str]]] = []
     text: list[str] = []
 
     def flush() -> None:
@@ -147,10 +164,10 @@ def _blocks(html: str) -> list[tuple[_Node, str]]:
             text.clear()
             if block:
                 node = next(n for n in reversed(stack) if n.name in BLOCK or n.name in ("#", "td", "th"))
-                blocks.append((node, block))
+                blocks.append((node, block, stack[-1].soft))
 
     def close_to(k: int) -> None:
-        if any(n.name in BLOCK for n in stack[k:]):
+        if any(n.name in BLOCK or n.soft and not n.parent.soft for n in stack[k:]):
             flush()
         del stack[k:]
 
@@ -199,15 +216,16 @@ def _blocks(html: str) -> list[tuple[_Node, str]]:
                 if stack[k].name in limit:
                     break
         out = stack[-1].out
-        if name in BLOCK or not out and _declared(name, attrs):
+        declared = frozenset() if out else _declared(name, attrs, ignored)
+        if name in BLOCK or declared:
             flush()
         elif name in _SPACED and not out:
             text.append(" ")
         if name in VOID or len(stack) >= MAX_DEPTH:
             continue
-        stack.append(_Node(name, stack[-1], out or _declared(name, attrs)))
+        stack.append(_Node(name, stack[-1], out or declared == _HARD, stack[-1].soft or declared))
     flush()
-    return [(n, b) for n, b in blocks if not n.out]
+    return [x for x in blocks if not x[0].out]
 
 
 def path_scores(paths: Sequence[str], texts: Sequence[str]) -> dict[str, float]:
@@ -231,16 +249,42 @@ def path_scores(paths: Sequence[str], texts: Sequence[str]) -> dict[str, float]:
     return score
 
 
+def _on_content_paths(blocks: Sequence[tuple[_Node, str]]) -> list[bool]:
+    paths, texts = [n.path for n, _ in blocks], [t for _, t in blocks]
+    score = path_scores(paths, texts)
+    mean = sum(score[p] * len(t) for p, t in zip(paths, texts, strict=True)) / sum(map(len, texts))
+    return [score[p] >= THRESHOLD * mean for p in paths]
+
+
+def _misnomers(blocks: Sequence[tuple[_Node, str, frozenset[str]]]) -> frozenset[str]:
+    """A word that declares most of the page's text, on content paths, to be
+    something else says nothing about this page; nor does any word if nearly
+    no text is left."""
+    if not any(words for _, _, words in blocks):
+        return frozenset()
+    total, left, share = 0, 0, defaultdict(int)
+    for (_, text, words), content in zip(blocks, _on_content_paths([(n, t) for n, t, _ in blocks]), strict=True):
+        total += len(text)
+        left += len(text) * (not words)
+        for w in words:
+            share[w] += len(text) * content
+    word = max(share, key=lambda w: (w not in OWN_TEXT_WORDS and share[w] >= MOST * total, share[w], w), default=None)
+    if word is not None and (left < LEFT * total or word not in OWN_TEXT_WORDS and share[word] >= MOST * total):
+        return frozenset([word])
+    return frozenset()
+
+
 def main_blocks(html: str) -> list[str]:
     """The article's blocks in page order."""
-    blocks = _blocks(html)
+    ignored: frozenset[str] = frozenset()
+    judged = _blocks(html)
+    while more := _misnomers(judged):
+        ignored |= more
+        judged = _blocks(html, ignored)
+    blocks = [(n, t) for n, t, words in judged if not words]
     if not blocks:
         return []
-    paths = [n.path for n, _ in blocks]
-    score = path_scores(paths, [t for _, t in blocks])
-    total = sum(len(t) for _, t in blocks)
-    mean = sum(score[p] * len(t) for p, (_, t) in zip(paths, blocks, strict=True)) / total
-    content = [(n, len(t)) for p, (n, t) in zip(paths, blocks, strict=True) if score[p] >= THRESHOLD * mean]
+    content = [(n, len(t)) for (n, t), c in zip(blocks, _on_content_paths(blocks), strict=True) if c]
     for node, text in blocks:
         heading = any(n.name in _HEADINGS for n in node.up())
         for n in node.up():

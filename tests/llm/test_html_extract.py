@@ -28,6 +28,18 @@ def test_article_among_boilerplate():
     assert main_blocks(page(BOILER + f'<div id="wrap" class="has-sidebar"><div class="post">{article}</div><div class="sidebar">{P1}</div></div>' + AFTER)) == want
 
 
+def test_words_that_declare_the_article_away():
+    parts = ["Title", P1, P2, P1 + " More, too.", "Short"]
+    widgets = "".join(f'<div class="elementor-element elementor-widget elementor-widget-text-editor"><p>{p}</p></div>' for p in parts)
+    social = '<div class="elementor-widget elementor-widget-social-icons"><p>Follow us, please.</p></div>'
+    assert main_blocks(page(f'<header>Site</header><div class="elementor">{widgets}{social}</div>' + AFTER)) == parts
+    plain = "".join(f"<p>{p}</p>" for p in parts)
+    assert main_blocks(page(f'<form id="aspnetForm" action="/"><div>{plain}</div><div class="cookie-notice">We use cookies, sorry.</div></form>')) == parts
+    assert main_blocks(page(f'<div class="social-share"><div class="page-header">{plain}</div></div>')) == parts
+    assert main_blocks(page(f'<div>{plain}</div><form><p>Name, please.</p></form><div class="widget"><p>{P2}</p></div><div class="comments">{plain * 3}</div>')) == parts
+    assert main_blocks(f'<p>{P1} <span class="share">Share</span> on.</p>') == [P1, "on."]
+
+
 def test_markup():
     html = page(
         "<article><p>a&amp;b &lt;i&gt;&nbsp; x<br>y <b>bo</b>ld<!-- no --><p>one\n\n two<ul><li>l1<li>l2</ul><table><tr><td>c1<td>c2<tr><td>c3</table>"
