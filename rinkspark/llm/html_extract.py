@@ -6,7 +6,8 @@ the page's blocks in order, fused, and averaged per path; paths above a share
 of the page's mean are content paths. The article is the smallest container
 around almost all content blocks: everything in it that no markup declares to
 be something else (menu, header, footer, sidebar, notice, advert, form, script,
-style, reader comments) is kept, short blocks too. Words of a class or id, and
+style, reader comments) is kept, short blocks too. Blocks on content paths
+outside it are kept as well, unless it is an article or main element. Words of a class or id, and
 form elements, are believed only while the paths agree: one that declares most
 of the page's content away (all of an article in "widget" elements, a page in
 one form) is ignored on that page.
@@ -284,7 +285,8 @@ def main_blocks(html: str) -> list[str]:
     blocks = [(n, t) for n, t, words in judged if not words]
     if not blocks:
         return []
-    content = [(n, len(t)) for (n, t), c in zip(blocks, _on_content_paths(blocks), strict=True) if c]
+    on_path = _on_content_paths(blocks)
+    content = [(n, len(t)) for (n, t), c in zip(blocks, on_path, strict=True) if c]
     for node, text in blocks:
         heading = any(n.name in _HEADINGS for n in node.up())
         for n in node.up():
@@ -299,7 +301,8 @@ def main_blocks(html: str) -> list[str]:
     need = COVER * sum(size for _, size in content)
     best = max((n for k, n in nodes.items() if held[k] >= need), key=lambda n: n.path.count("/"))
     whole = next((n for n in best.up() if n.name == "article"), None) or next((n for n in best.up() if n.name == "main"), None)
-    if whole is None:
+    marked = whole is not None
+    if not marked:
         whole = next(n for n in best.up() if n.name in _CONTAINERS or n.parent is None)
         while (up := whole.parent) is not None:
             added, titles = up.size - whole.size, up.headings - whole.headings
@@ -307,7 +310,7 @@ def main_blocks(html: str) -> list[str]:
                 whole = up
             else:
                 break
-    return [t for n, t in blocks if any(x is whole for x in n.up())]
+    return [t for (n, t), c in zip(blocks, on_path, strict=True) if c and not marked or any(x is whole for x in n.up())]
 
 
 def with_main_text(pages: DataFrame, html_col: str = "html", keep: Sequence[str] | None = None) -> DataFrame:

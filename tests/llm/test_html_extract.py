@@ -40,6 +40,14 @@ def test_words_that_declare_the_article_away():
     assert main_blocks(f'<p>{P1} <span class="share">Share</span> on.</p>') == [P1, "on."]
 
 
+def test_article_in_uneven_parts():
+    first = [f"{P1} Part {i}." for i in range(12)]
+    parts = ["".join(f"<p>{p}</p>" for p in first), f"<p>{P1}</p>"]
+    want = [*first, P1]
+    assert main_blocks(page(f"<div>{parts[0]}</div><div>{parts[1]}</div>")) == want
+    assert main_blocks(page(BOILER + f"<div><h1>Title</h1>{parts[0]}</div><div>{parts[1]}</div>" + AFTER)) == ["Title", *want]
+
+
 def test_markup():
     html = page(
         "<article><p>a&amp;b &lt;i&gt;&nbsp; x<br>y <b>bo</b>ld<!-- no --><p>one\n\n two<ul><li>l1<li>l2</ul><table><tr><td>c1<td>c2<tr><td>c3</table>"
