@@ -10,9 +10,9 @@ Unlike set overlap this falls when text is moved, as edit similarity does.
 2. Order MinHash: for each of 32 hash functions the 6 labels of least hash, in
    text order, are one key. A pair at 0.8 shares a given key with 0.8^6 and
    misses all 32 with less than 0.0001. Short documents (at most 24 shingles)
-   get exact keys instead: at 0.8 they can differ at their ends only, by 5
-   shingles in all, so their sequences trimmed by p at the front and q at the
-   back (p + q <= 5) are compared by digest.
+   get exact keys instead: at 0.8 they differ in 5 shingles at most, which
+   touch 5 groups of shingles at most if these are dealt by hash; the sequences
+   of the groups left are equal and are compared by digest.
 3. Every node is compared with the leader of each of its buckets, the node
    whose buckets hold the most nodes in all: among copies of one original that
    is the original, or what is nearest to it.
@@ -39,7 +39,9 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Callable, Iterator, Sequence
+from functools import cache
 from hashlib import blake2b
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -56,15 +58,18 @@ SHINGLE = 5
 SIMILARITY = 0.8
 FUNCTIONS = 32
 PICKED = 6
-#: Up to this many shingles, exact trimmed keys; from LONG_FROM on, sketches.
+#: Up to this many shingles, exact keys; from LONG_FROM on, sketches.
 #: A pair at 0.8 has both below the first or both above the second bound.
 SHORT_TO = 24
 LONG_FROM = 20
+#: Dealings of a short document's labels to groups, the last for all that is left.
+DEALINGS = 8
 #: Documents whose labels a task holds while strays stream past.
 BLOCK_ROWS = 256
 
 _MULTIPLIERS = mixed(np.arange(1, FUNCTIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _STEP = np.uint64(0x100000001B3)
+_SHIFTS = np.arange(DEALINGS, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
 
 
 def shingles(keys: np.ndarray) -> np.ndarray:
@@ -91,18 +96,46 @@ def labelled(h: np.ndarray) -> np.ndarray:
     return out
 
 
+@cache
+def _choices(groups: int, kept: int) -> np.ndarray:
+    """One row per choice of ``kept`` groups: which groups it holds."""
+    rows = list(combinations(range(groups), kept))
+    out = np.zeros((len(rows), groups), bool)
+    for row, chosen in zip(out, rows, strict=True):
+        row[list(chosen)] = True
+    return out
+
+
+def short_keys(labels: np.ndarray) -> np.ndarray:
+    """Keys of which two short sequences at 0.8 share one at least.
+
+    Sequences of n and m labels at 0.8 have d = (n + m) // 9 labels at most
+    outside their alignment. Of d + k groups of labels, dealt by hash, k are
+    untouched: equal in both, in the same order. So a key is the sequence of k
+    groups, for every choice of them and every d that n allows. Where a choice
+    holds no label, a next dealing does for it."""
+    n, out = len(labels), []
+    for d in sorted({(n + m) // 9 for m in range(-(-4 * n // 5), min(SHORT_TO, 5 * n // 4) + 1)}):
+        kept = 1 if d in (0, 3) else 2
+        choices = _choices(d + kept, kept)
+        for dealing in range(DEALINGS):
+            group = (mixed(labels + _SHIFTS[dealing]) >> np.uint64(33)) % np.uint64(d + kept)
+            inside = choices[:, group.astype(np.int64)]
+            key = np.arange(len(choices), dtype=np.uint64) + np.uint64(64 * (DEALINGS * d + dealing) + 1)
+            for at in range(n):
+                key = np.where(inside[:, at], mixed(key * _STEP + labels[at : at + 1]), key)
+            some = inside.any(axis=1)
+            out.append(mixed(key[some | (dealing == DEALINGS - 1)]))
+            if some.all():
+                break
+    return np.concatenate(out)
+
+
 def bucket_keys(labels: np.ndarray) -> np.ndarray:
     """Bucket keys of a document as signed 64-bit integers."""
     n, out = len(labels), []
     if 0 < n <= SHORT_TO:
-        # Prefix hashes of the sequence, one chain per number cut at the front.
-        for p in range(min(6, n)):
-            h, chain = np.ones(1, np.uint64), []
-            for k in range(p, n):
-                h = mixed(h * _STEP + labels[k : k + 1])
-                chain.append(h)
-            out += [chain[n - p - 1 - q] for q in range(6 - p) if n - p - q > 0]
-        out = [np.unique(np.concatenate(out))]
+        out.append(short_keys(labels))
     if n >= LONG_FROM:
         hashed = labels[:, None] * _MULTIPLIERS
         hashed ^= hashed >> np.uint64(32)

@@ -124,6 +124,33 @@ def test_banded_alignment_equals_dynamic_programming(a, edits):
         assert set(bucket_keys(la).tolist()) & set(bucket_keys(lb).tolist())
 
 
+SPAM = "buy cheap pills online now m0 m1 m2 m3 m4 m5 m6 buy cheap pills online now z0 z1 z2 z3 z4 z5"
+
+
+def test_short_texts_that_repeat_words(spark):
+    """Trimmed or edited where a run of words repeats: labels are renumbered."""
+    again = "a1 a2 a3 a4 a5 a6 no no no no no b1 b2 b3 b4 b5 b6"
+    rows = [SPAM, SPAM.split(" ", 1)[1], again, again.replace("no ", "", 1), again.replace("no ", "no no no ", 1), prose(20)]
+    want = classes(rows)
+    assert want[1] == 0 and want[3] == 2
+    assert {r.doc_id: r.class_id for r in near_classes(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()} == want
+
+
+def test_short_pairs_at_the_bound_share_a_key():
+    r, met = random.Random(5), 0
+    for _ in range(3000):
+        a = [r.randrange(r.choice((2, 4, 40))) for _ in range(r.randrange(1, 29))]
+        b = list(a)
+        for _ in range(r.randrange(1, 4)):
+            k = r.randrange(len(b) + 1)
+            b[k : k + r.randrange(2)] = r.choice(([], [r.randrange(5)], b[max(0, k - 5) : k]))
+        la, lb = (labelled(shingles(np.array(x, np.uint64) + np.uint64(1))) for x in (a, b))
+        if 0 < max(len(la), len(lb)) <= SHORT_TO and len(lb) and ordered(la.tolist(), lb.tolist()) >= 0.8:
+            met += 1
+            assert set(bucket_keys(la).tolist()) & set(bucket_keys(lb).tolist()), (a, b)
+    assert met > 300
+
+
 def test_sketches_meet_at_the_bound():
     met = 0
     for k in range(200):
