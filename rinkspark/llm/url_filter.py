@@ -6,8 +6,8 @@
    stays literal if it is frequent below its parent; every other one becomes a
    wildcard (its extension is kept). Literal siblings that are statistically
    alike are merged into one branch ``{a|b}``.
-3. A template whose smoothed share of labelled bad urls reaches a bound is
-   rejected. Labels are the rules' own verdicts, or a 0/1 column of the input.
+3. A template with labelled urls whose smoothed share of bad ones reaches a
+   bound is rejected. Labels are the rules' own verdicts, or a 0/1 column of the input.
 
 Work per row is narrow (id, host, path); html is never read. Statistics are
 plain aggregates (partial sums before each shuffle), so a host with a third of
@@ -127,14 +127,14 @@ def with_templates(rows: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
 def rejected_templates(rows: DataFrame) -> DataFrame:
     """(host, template, purity) of the templates to reject; purity is the bad
     share of labelled urls, smoothed towards the host's, and that towards the
-    share in the whole table."""
+    share in the whole table. A template without labels is not rejected."""
     stats = rows.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
     hosts = rows.groupBy("host").agg(F.sum("labelled").alias("host_labelled"), F.sum("bad").alias("host_bad"))
     labelled, bad = rows.agg(F.sum("labelled"), F.sum("bad")).first()
     share = (bad or 0) / labelled if labelled else 0.0
     host_share = (F.col("host_bad") + HOST_PRIOR * share) / (F.col("host_labelled") + HOST_PRIOR)
     purity = (F.col("bad") + TEMPLATE_PRIOR * host_share) / (F.col("labelled") + TEMPLATE_PRIOR)
-    return stats.join(hosts, "host").select("host", "template", purity.alias("purity")).filter(F.col("purity") >= REJECT)
+    return stats.join(hosts, "host").filter("labelled > 0").select("host", "template", purity.alias("purity")).filter(F.col("purity") >= REJECT)
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", bad_col: str | None = None) -> DataFrame:

@@ -115,6 +115,12 @@ def test_rules_decide_first_and_label_the_rest(spark):
     assert all(got[100 + i].verdict == "allow" and got[100 + i].rule == "com/fr/" for i in range(30))
 
 
+def test_templates_without_labels_are_not_rejected(spark):
+    rows = [(i, f"http://x.com/de/{i}") for i in range(60)] + [(100 + i, f"http://x.com/about/{i}") for i in range(30)]
+    got = {r.page_id: r.verdict for r in judge_urls(spark.createDataFrame(rows, "page_id long, url string"), RULES).collect()}
+    assert got == {i: "block" if i < 100 else "allow" for i in got} and len(got) == 90
+
+
 def test_deep_paths_end_in_a_tail(spark):
     df = spark.createDataFrame([(1, "h", ["a", "b", "c"], 0, 0)], "i long, host string, segs array<string>, labelled long, bad long")
     assert with_templates(df, max_depth=2).first()["template"] == "/*/*/**"
