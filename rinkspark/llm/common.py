@@ -8,8 +8,10 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - pa.compute, in the workers too
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -82,6 +84,32 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Buckets:
+    """Tables bucketed by one key, so that joins on it do not shuffle them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.names = spark, []
+
+    def write(self, df: DataFrame, name: str, key: str) -> DataFrame:
+        table = f"rinkspark_{name}_{uuid.uuid4().hex}"
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.bucketBy(n, key).option("path", work_dir(self.spark, name)).saveAsTable(table, format="parquet")
+        self.names.append(table)
+        return self.spark.table(table)
+
+
+@contextmanager
+def bucketed(spark: SparkSession) -> Iterator[Buckets]:
+    """Bucketed tables for the time of a ``with`` block: their names leave the
+    catalogue at its end (the files lie below the shared folder)."""
+    tables = Buckets(spark)
+    try:
+        yield tables
+    finally:
+        for name in tables.names:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def pieces(batch: pa.RecordBatch, text: int, limit: int = PASS_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose texts hold at most ``limit`` bytes
     (a single row may hold more)."""

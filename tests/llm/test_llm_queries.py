@@ -22,6 +22,7 @@ COLUMNS = {
     "op8": ["doc_id", "n_bytes", "n_tokens", "over_limit"],
     "op9": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
     "op10": ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
+    "op11": ["lang", "rank", "phrase", "a", "l", "r", "n", "score"],
     "op12": ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"],
 }
 
