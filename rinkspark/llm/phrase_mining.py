@@ -3,22 +3,28 @@
 Texts are lower-cased (A-Z), cut into pieces at ``. , ; : ! ?`` and line ends,
 and pieces into words at blanks. Everything is counted per language.
 
-1. A shard is about half a million words of one language in one partition: the
-   numbers of its words in text order, a 0 at every piece end. Shards are
-   written once, bucketed by shard, so nothing of them is shuffled later.
-2. A word that is rare in the whole language cannot be in a frequent phrase and
-   becomes a piece end, too. What is left is indexed: the Burrows-Wheeler
-   transforms of the shard and of its reverse (suffixes ordered by their first
-   eight words, which searches of up to eight words need).
-3. Phrases grow by one word a round. A phrase is a pair of intervals, in both
-   transforms; the symbols in its interval of the reversed transform are its
-   right extensions, and their counts give the intervals of the longer
-   phrases. Of those, only such whose last words are a frequent phrase as well
-   are counted (left extension: one step in the forward transform).
-4. The shards' counts are summed, by a 64-bit key first, then by the phrase for
-   what may reach ``min_count``; the frequent ones go back to their shards, by
-   a join on the shard. So a round moves each distinct phrase of a shard once,
-   and no table of phrases is broadcast unless it is proven small.
+1. A shard is about half a million words of one language in one partition. Its
+   word numbers in text order, a 0 at every piece end, are indexed: the
+   Burrows-Wheeler transforms of the shard and of its reverse (suffixes ordered
+   by their first eight words, which searches of up to eight words need).
+   Indexes are written once, bucketed by shard, and never shuffled.
+2. A phrase is a pair of intervals, in both transforms. The symbols in its
+   interval of the reversed transform are its right extensions, and their
+   counts give the intervals of the longer phrases. Words and pairs are counted
+   all; from three words on, phrases grow from frequent ones by one word a
+   round, and only such are counted whose last words are a frequent phrase as
+   well (left extension: one step in the forward transform).
+3. A shard sends the number of each of its phrases under a key of 32 bits and
+   more (the upper bits deal keys to parts, their number grows with the words),
+   packed in one row for each part. A part is summed in one task, a few
+   megabytes of keys, and tells every shard which of its keys may reach
+   ``min_count`` in all: none that does is left out.
+4. The shards spell the phrases of those keys, and sums by language and phrase
+   decide exactly. No table of phrases is broadcast unless it is proven small.
+
+A phrase sends one entry per shard that holds it, so on very large input
+``SHARD_WORDS`` is to be raised, to keep the entries of a common word in the
+millions.
 
 Scores, cuts and the test for longer phrases are joins of the frequent phrases.
 
@@ -30,6 +36,7 @@ decimals of 38 digits.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +45,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rinkspark.llm.common import bucketed, pieces, ref, ship_package, staged
-from rinkspark.llm.text_arrays import LOWER, utf8
+from rinkspark.llm.text_arrays import LOWER, mixed, span_hashes, utf8
 from rinkspark.operators.joins import join_small
 
 MAX_WORDS = 5
@@ -47,9 +54,12 @@ MIN_COUNT = 100
 #: words of all languages that a task holds back.
 SHARD_WORDS = 1 << 19
 HELD_WORDS = 1 << 21
+#: Words for which one more part of the keys is made.
+PART_WORDS = 1 << 21
 #: Rows in an Arrow batch of phrases.
 BATCH_ROWS = 1 << 16
 
+_STEP = np.uint64(0x100000001B3)
 _BYTES = np.arange(256)
 _ENDS = np.isin(_BYTES, [*b".,;:!?", *range(0x0A, 0x0E)])
 _INSIDE = ~_ENDS & ~np.isin(_BYTES, [0x20, 0x09])
@@ -81,15 +91,15 @@ def _wide(raw: bytes, top: int) -> np.ndarray:
     return np.frombuffer(raw, np.uint16 if top < 1 << 16 else np.uint32).astype(np.int64)
 
 
-def _shard_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shards (shard, lang, words, counts, seq) of rows (lang, text)."""
+def _index_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Indexes (shard, lang, n, words, bwt, reverse) of rows (lang, text)."""
     from pyspark import TaskContext
 
     number = TaskContext.get().partitionId() << 24
     held: dict[str, list[tuple[pa.Array, np.ndarray]]] = {}
     sizes: dict[str, int] = {}
 
-    def shard(lang: str) -> pa.RecordBatch:
+    def index(lang: str) -> pa.RecordBatch:
         nonlocal number
         parts = held.pop(lang)
         sizes.pop(lang)
@@ -98,16 +108,17 @@ def _shard_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opens = np.concatenate([o for _, o in parts])
         seq = np.zeros(len(ids) + int(opens.sum()) + 1, np.int64)
         seq[np.arange(len(ids)) + np.cumsum(opens)] = ids
-        counts = np.bincount(ids, minlength=len(coded.dictionary) + 1)[1:]
-        number += 1
+        top = len(coded.dictionary)
         columns = [
-            pa.array([number - 1], pa.int64()),
+            pa.array([number], pa.int64()),
             pa.array([lang]),
-            pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary),
-            pa.ListArray.from_arrays(pa.array([0, len(counts)], pa.int32()), pa.array(counts, pa.int64())),
-            pa.array([_narrow(seq, len(counts))], pa.binary()),
+            pa.array([len(ids)], pa.int64()),
+            pa.ListArray.from_arrays(pa.array([0, top], pa.int32()), coded.dictionary),
+            pa.array([_narrow(transform(seq), top)], pa.binary()),
+            pa.array([_narrow(transform(seq[::-1]), top)], pa.binary()),
         ]
-        return pa.RecordBatch.from_arrays(columns, ["shard", "lang", "words", "counts", "seq"])
+        number += 1
+        return pa.RecordBatch.from_arrays(columns, ["shard", "lang", "n", "words", "bwt", "reverse"])
 
     for whole in batches:
         for batch in pieces(whole, 1):
@@ -119,11 +130,11 @@ def _shard_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     held.setdefault(lang, []).append((words, opens))
                     sizes[lang] = sizes.get(lang, 0) + len(words)
                     if sizes[lang] >= SHARD_WORDS:
-                        yield shard(lang)
+                        yield index(lang)
             while sum(sizes.values()) >= HELD_WORDS:
-                yield shard(max(sizes, key=sizes.get))
+                yield index(max(sizes, key=sizes.get))
     for lang in sorted(held):
-        yield shard(lang)
+        yield index(lang)
 
 
 def transform(seq: np.ndarray) -> np.ndarray:
@@ -160,8 +171,8 @@ class FmIndex:
         return np.stack([lo, counts, lo], axis=1)[1:]
 
     def extended(self, nodes: np.ndarray) -> np.ndarray:
-        """The nodes of one more word on the right whose words but the first
-        are one of ``nodes``, too."""
+        """The nodes of one more word on the right, if their words but the
+        first are one of ``nodes``, too."""
         lo, size, rlo = nodes.T
         rows = _ranges(rlo, size)
         owner = np.repeat(np.arange(len(nodes)), size)
@@ -190,55 +201,122 @@ def _ranges(lo: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(lo - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
-def _indexer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Indexes (shard, lang, words, bwt, reverse) of shards with their frequent
-    words (struct id, word)."""
-    for batch in batches:
-        for n in range(batch.num_rows):
-            shard, lang, top, raw, frequent = (batch.column(c)[n].as_py() for c in ("shard", "lang", "top", "seq", "frequent"))
-            symbol = np.zeros(top + 1, np.int64)
-            symbol[[x["id"] for x in frequent]] = np.arange(1, len(frequent) + 1)
-            seq = symbol[_wide(raw, top)]
-            seq = seq[np.append(True, (seq[1:] > 0) | (seq[:-1] > 0))]  # one 0 between pieces
-            columns = [[shard], [lang], [[x["word"] for x in frequent]], [_narrow(transform(seq), len(frequent))], [_narrow(transform(seq[::-1]), len(frequent))]]
-            kinds = [pa.int64(), pa.string(), pa.list_(pa.string()), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["shard", "lang", "words", "bwt", "reverse"])
-
-
-def _grower(depth: int):
-    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Phrases (shard, lang, lo, size, rlo, phrase) of one word more."""
+class Shard:
+    """A row (shard, lang, words, bwt, reverse[, nodes]) opened."""
+
+    def __init__(self, batch: pa.RecordBatch, n: int, depth: int):
+        self.shard, self.lang, raw, back = (batch.column(c)[n].as_py() for c in ("shard", "lang", "bwt", "reverse"))
+        self.words = batch.column("words")[n].values
+        self.index = FmIndex(_wide(raw, len(self.words)), _wide(back, len(self.words)), len(self.words))
+        if depth == 1:
+            nodes = self.index.roots()
+            self.found = [(1, nodes), (2, self.index.extended(nodes))]
+        else:
+            held = batch.column("nodes")[n].values
+            nodes = np.stack([held.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("lo", "size", "rlo")], axis=1)
+            self.found = [(depth + 1, self.index.extended(nodes))]
+
+    def keys(self, size: int, nodes: np.ndarray) -> np.ndarray:
+        """64-bit keys of the phrases of ``nodes``, of ``size`` words."""
+        data, begins = utf8(self.words)
+        own = span_hashes(data, begins[:-1], begins[1:])
+        key = np.full(len(nodes), zlib.crc32(self.lang.encode()), np.uint64)
+        for symbol in self.index.spelled(nodes, size):
+            key = mixed(key * _STEP + own[symbol - 1])
+        return key
+
+
+def _sent(depth: int, bits: int):
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Packed counts (part, shard, once, keys, counts) of a shard's phrases:
+        keys that occur once, the others, and the counts of these."""
+        for batch in batches:
+            for n in range(batch.num_rows):
+                shard = Shard(batch, n, depth)
+                key = np.concatenate([shard.keys(size, nodes) for size, nodes in shard.found]) >> np.uint64(32 - bits)
+                count = np.concatenate([nodes[:, 1] for _, nodes in shard.found])
+                order = np.argsort(key)
+                key, count = key[order], count[order]
+                part = (key >> np.uint64(32)).astype(np.int64)
+                begin = np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)])
+                rows = []
+                for a, b in zip(begin.tolist(), np.append(begin, len(part))[1:].tolist(), strict=True):
+                    low, many = key[a:b].astype(np.uint32), count[a:b] > 1
+                    rows.append((int(part[a]), shard.shard, _planes(low[~many]), _planes(low[many]), _planes(count[a:b][many].astype(np.uint32))))
+                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+                columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["part", "shard", "once", "keys", "counts"])
+
+    return send
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """32-bit values byte by byte, all first bytes first: sorted ones pack well."""
+    return values.view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _values(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8).reshape(4, -1).T.copy().view(np.uint32).reshape(-1)
+
+
+def _summed(min_count: int):
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Keys (shard, part, keys) whose counts reach ``min_count`` over all
+        shards. Rows come ordered by part; one part is held at a time."""
+        held: list[tuple[int, np.ndarray, np.ndarray]] = []
+
+        def told(part: int) -> pa.RecordBatch:
+            key, count = np.concatenate([k for _, k, _ in held]), np.concatenate([c for _, _, c in held])
+            distinct, at = np.unique(key, return_inverse=True)
+            often = (np.bincount(at, count) >= min_count)[at] if len(distinct) else np.zeros(0, bool)
+            rows, begin = [], 0
+            for shard, keys, _ in held:
+                mine = keys[often[begin : begin + len(keys)]]
+                begin += len(keys)
+                if len(mine):
+                    rows.append((shard, mine.tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([part] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["shard", "part", "keys"])
+
+        last = None
+        for batch in batches:
+            for part, shard, once, keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != last and held:
+                    yield told(last)
+                    held = []
+                last, single, more = part, _values(once), _values(keys)
+                held.append((shard, np.concatenate([single, more]), np.concatenate([np.ones(len(single)), _values(counts)])))
+        if held:
+            yield told(last)
+
+    return add
+
+
+def _speller(depth: int, bits: int):
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Phrases (shard, lang, words, lo, size, rlo, phrase) of the keys that
+        came back (structs part, keys)."""
         import pyarrow.compute as pc
 
         for batch in batches:
             for n in range(batch.num_rows):
-                shard, lang, raw, back = (batch.column(c)[n].as_py() for c in ("shard", "lang", "bwt", "reverse"))
-                words = batch.column("words")[n].values
-                index = FmIndex(_wide(raw, len(words)), _wide(back, len(words)), len(words))
-                if depth == 1:
-                    nodes = index.roots()
-                else:
-                    held = batch.column("nodes")[n].values
-                    nodes = np.stack([held.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("lo", "size", "rlo")], axis=1)
-                longer = index.extended(nodes)
-                for at in range(0, len(longer), BATCH_ROWS):
-                    part = longer[at : at + BATCH_ROWS]
-                    spelled = [words.take(pa.array(s - 1)) for s in index.spelled(part, depth + 1)]
-                    columns = [pa.array(np.full(len(part), shard)), pa.array([lang] * len(part)), *(pa.array(part[:, k].astype(np.int32)) for k in range(3)), pc.binary_join_element_wise(*spelled, " ")]
-                    yield pa.RecordBatch.from_arrays(columns, ["shard", "lang", "lo", "size", "rlo", "phrase"])
-
-    return grow
-
-
-def _reaching(found: DataFrame, count: str, min_count: int, name: str) -> tuple[DataFrame, DataFrame]:
-    """The rows of ``found`` (lang, phrase, ...) whose phrase has ``min_count``
-    in all, and these phrases (lang, phrase, a). Sums by a 64-bit key leave out
-    almost all rows, and none that counts; sums by phrase decide."""
-    key = F.xxhash64("lang", "phrase")
-    often = staged(found.groupBy(key.alias("key")).agg(F.sum(count).alias("n")).filter(F.col("n") >= min_count).select("key"), f"{name}-keys")
-    left = staged(join_small(found.withColumn("key", key), often, "key", "left_semi").drop("key"), f"{name}-left")
-    phrases = staged(left.groupBy("lang", "phrase").agg(F.sum(count).alias("a")).filter(F.col("a") >= min_count), f"{name}-frequent")
-    return join_small(left, phrases.select("lang", "phrase"), ["lang", "phrase"], "left_semi"), phrases
+                shard = Shard(batch, n, depth)
+                back = batch.column("back")[n].as_py()
+                known = np.concatenate([np.frombuffer(x["keys"], np.uint32).astype(np.uint64) | np.uint64(x["part"] << 32) for x in back])
+                for size, nodes in shard.found:
+                    nodes = nodes[np.isin(shard.keys(size, nodes) >> np.uint64(32 - bits), known)]
+                    for at in range(0, len(nodes), BATCH_ROWS):
+                        part = nodes[at : at + BATCH_ROWS]
+                        spelled = [shard.words.take(pa.array(s - 1)) for s in shard.index.spelled(part, size)]
+                        columns = [
+                            pa.array(np.full(len(part), shard.shard)),
+                            pa.array([shard.lang] * len(part), pa.string()),
+                            pa.array(np.full(len(part), size, np.int32)),
+                            *(pa.array(part[:, k].astype(np.int32)) for k in range(3)),
+                            pc.binary_join_element_wise(*spelled, " "),
+                        ]
+                        yield pa.RecordBatch.from_arrays(columns, ["shard", "lang", "words", "lo", "size", "rlo", "phrase"])
+
+    return spell
 
 
 def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = MAX_WORDS, min_count: int = MIN_COUNT) -> tuple[DataFrame, DataFrame]:
@@ -246,28 +324,27 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     ``min_count`` times or more, and the number of words (lang, n)."""
     ship_package(docs.sparkSession)
     texts = docs.select(F.coalesce(ref(docs, lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(ref(docs, text_col), F.lit("")).alias("text"))
+    out = None
     with bucketed(docs.sparkSession) as tables:
-        shards = tables.write(texts.mapInArrow(_shard_rows, "shard bigint, lang string, words array<string>, counts array<bigint>, seq binary"), "shards", "shard")
-        words = shards.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w"))
-        words = words.select("shard", "lang", (F.col("place") + 1).alias("id"), F.col("w.words").alias("phrase"), F.col("w.counts").alias("size"))
-        totals = staged(shards.select("lang", F.aggregate("counts", F.lit(0).cast("bigint"), lambda x, y: x + y).alias("n")).groupBy("lang").agg(F.sum("n").alias("n")), "words")
-        rows, phrases = _reaching(words, "size", min_count, "words")
-        found = [phrases.withColumn("words", F.lit(1))]
-
-        kept = rows.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("id", F.col("phrase").alias("word")))).alias("frequent"))
-        joined = shards.select("shard", "lang", F.size("words").alias("top"), "seq").join(kept.hint("shuffle_hash"), "shard")
-        indexes = tables.write(joined.mapInArrow(_indexer, "shard bigint, lang string, words array<string>, bwt binary, reverse binary"), "indexes", "shard")
-        source = indexes
-        for depth in range(1, max_words):
-            grown = staged(source.mapInArrow(_grower(depth), "shard bigint, lang string, lo int, size int, rlo int, phrase string"), f"phrases-{depth + 1}")
-            rows, phrases = _reaching(grown, "size", min_count, f"phrases-{depth + 1}")
-            found.append(phrases.withColumn("words", F.lit(depth + 1)))
-            nodes = rows.groupBy("shard").agg(F.collect_list(F.struct("lo", "size", "rlo")).alias("nodes"))
-            source = indexes.join(nodes.hint("shuffle_hash"), "shard")
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out.select("lang", "words", "phrase", "a"), totals
+        indexes = tables.write(texts.mapInArrow(_index_rows, "shard bigint, lang string, n bigint, words array<string>, bwt binary, reverse binary"), "indexes", "shard")
+        totals = staged(indexes.groupBy("lang").agg(F.sum("n").alias("n")), "words")
+        n_words = totals.agg(F.sum("n")).first()[0] or 0
+        bits = min(32, max(0, (n_words // PART_WORDS).bit_length()))
+        opened = indexes.select("shard", "lang", "words", "bwt", "reverse")
+        source = opened
+        for depth in range(1, max(2, max_words)):
+            sent = source.mapInArrow(_sent(depth, bits), "part bigint, shard bigint, once binary, keys binary, counts binary")
+            told = sent.repartition("part").sortWithinPartitions("part").mapInArrow(_summed(min_count), "shard bigint, part bigint, keys binary")
+            back = staged(told, f"keys-{depth + 1}").groupBy("shard").agg(F.collect_list(F.struct("part", "keys")).alias("back"))
+            rows = source.join(back.hint("shuffle_hash"), "shard").mapInArrow(_speller(depth, bits), "shard bigint, lang string, words int, lo int, size int, rlo int, phrase string")
+            rows = staged(rows, f"spelled-{depth + 1}")
+            phrases = staged(rows.groupBy("lang", "words", "phrase").agg(F.sum("size").alias("a")).filter(F.col("a") >= min_count), f"phrases-{depth + 1}")
+            out = phrases if out is None else out.unionByName(phrases)
+            longest = phrases.filter(F.col("words") == depth + 1).select("lang", "phrase")
+            nodes = join_small(rows.filter(F.col("words") == depth + 1), longest, ["lang", "phrase"], "left_semi")
+            nodes = nodes.groupBy("shard").agg(F.collect_list(F.struct("lo", "size", "rlo")).alias("nodes"))
+            source = opened.join(staged(nodes, f"nodes-{depth + 1}").hint("shuffle_hash"), "shard")
+    return out.filter(F.col("words") <= max_words).select("lang", "words", "phrase", "a"), totals
 
 
 def _part(words: Column, begin: Column, n: Column) -> Column:

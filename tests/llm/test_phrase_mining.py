@@ -45,6 +45,7 @@ def rows(seed):
 @pytest.mark.parametrize(("max_words", "min_count", "top", "share"), [(5, 4, 2000, 100), (3, 3, 5, 60)])
 def test_equal_to_brute_force(spark, monkeypatch, shard_words, max_words, min_count, top, share):
     monkeypatch.setattr(M, "SHARD_WORDS", shard_words)
+    monkeypatch.setattr(M, "PART_WORDS", 200 * shard_words)
     data = rows(max_words)
     docs = spark.createDataFrame(data, "lang string, text string").selectExpr("'x' AS phrase", "lang", "text", "1 AS shard").repartition(3)
     got = sorted(tuple(r) for r in M.collocations(docs, max_words=max_words, min_count=min_count, top=top, share=share).collect())
