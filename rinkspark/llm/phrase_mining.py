@@ -3,7 +3,7 @@
 Texts are lower-cased (A-Z), cut into pieces at ``. , ; : ! ?`` and line ends,
 and pieces into words at blanks. Everything is counted per language.
 
-1. A shard is about half a million words of one language in one partition. Its
+1. A shard is about 400,000 words of one language in one partition. Its
    word numbers in text order, a 0 at every piece end, are indexed: the
    Burrows-Wheeler transforms of the shard and of its reverse (suffixes ordered
    by their first eight words, which searches of up to eight words need).
@@ -50,10 +50,11 @@ from rinkspark.operators.joins import join_small
 
 MAX_WORDS = 5
 MIN_COUNT = 100
-#: Words of one language that a shard holds before the next one is begun, and
-#: words of all languages that a task holds back.
-SHARD_WORDS = 1 << 19
-HELD_WORDS = 1 << 21
+#: Words of one language up to which a shard is filled (a megabyte of text, or
+#: one longer document, may be more), and words of all languages that a task
+#: holds back.
+SHARD_WORDS = 400_000
+HELD_WORDS = 1 << 20
 #: Words for which one more part of the keys is made.
 PART_WORDS = 1 << 21
 #: Rows in an Arrow batch of phrases.
@@ -88,7 +89,7 @@ def _narrow(values: np.ndarray, top: int) -> bytes:
 
 
 def _wide(raw: bytes, top: int) -> np.ndarray:
-    return np.frombuffer(raw, np.uint16 if top < 1 << 16 else np.uint32).astype(np.int64)
+    return np.frombuffer(raw, np.uint16 if top < 1 << 16 else np.uint32)
 
 
 def _index_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,10 +128,10 @@ def _index_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k, lang in enumerate(langs.dictionary.to_pylist()):
                 words, opens = tokens(batch.column(1).filter(pa.array(code == k)))
                 if len(words):
+                    if lang in held and sizes[lang] + len(words) > SHARD_WORDS:
+                        yield index(lang)
                     held.setdefault(lang, []).append((words, opens))
                     sizes[lang] = sizes.get(lang, 0) + len(words)
-                    if sizes[lang] >= SHARD_WORDS:
-                        yield index(lang)
             while sum(sizes.values()) >= HELD_WORDS:
                 yield index(max(sizes, key=sizes.get))
     for lang in sorted(held):
@@ -157,10 +158,10 @@ class FmIndex:
 
     def __init__(self, bwt: np.ndarray, reverse: np.ndarray, symbols: int):
         self.reverse = reverse
-        self.next_row = np.argsort(bwt, kind="stable")  # row of the suffix without its first symbol
-        self.first = np.repeat(np.arange(symbols + 1), np.bincount(bwt, minlength=symbols + 1))
-        self.reverse_step = np.empty(len(reverse), np.int64)  # last-to-first mapping of the reverse
-        self.reverse_step[np.argsort(reverse, kind="stable")] = np.arange(len(reverse))
+        self.next_row = np.argsort(bwt, kind="stable").astype(np.int32)  # row of the suffix without its first symbol
+        self.first = np.repeat(np.arange(symbols + 1, dtype=np.int32), np.bincount(bwt, minlength=symbols + 1))
+        self.reverse_step = np.empty(len(reverse), np.int32)  # last-to-first mapping of the reverse
+        self.reverse_step[np.argsort(reverse, kind="stable")] = np.arange(len(reverse), dtype=np.int32)
         self.symbols = symbols
 
     def roots(self) -> np.ndarray:
