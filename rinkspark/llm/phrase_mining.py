@@ -17,10 +17,10 @@ and pieces into words at blanks. Everything is counted per language.
 3. A shard sends the number of each of its phrases under a key of 32 bits and
    more (the upper bits deal keys to parts, their number grows with the words),
    packed in one row for each part. A part is summed in one task, a few
-   megabytes of keys, and tells every shard which of its keys may reach
-   ``min_count`` in all: none that does is left out.
-4. The shards spell the phrases of those keys, and sums by language and phrase
-   decide exactly. No table of phrases is broadcast unless it is proven small.
+   megabytes of keys, and answers every shard with a bitmap of the keys that
+   may reach ``min_count`` in all: none that does is left out.
+4. The shards spell the phrases of those keys, packed for the same parts, and
+   sums by language and phrase decide exactly. Nothing is broadcast.
 
 A phrase sends one entry per shard that holds it, so on very large input
 ``SHARD_WORDS`` is to be raised, to keep the entries of a common word in the
@@ -57,8 +57,6 @@ SHARD_WORDS = 400_000
 HELD_WORDS = 1 << 20
 #: Words for which one more part of the keys is made.
 PART_WORDS = 1 << 21
-#: Rows in an Arrow batch of phrases.
-BATCH_ROWS = 1 << 16
 
 _STEP = np.uint64(0x100000001B3)
 _BYTES = np.arange(256)
@@ -203,21 +201,26 @@ def _ranges(lo: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 class Shard:
-    """A row (shard, lang, words, bwt, reverse[, nodes]) opened."""
+    """A row (shard, lang, words, bwt, reverse, nodes) opened, with the nodes
+    that its round counts (``found``: sizes, nodes) and their keys, parts and
+    the order in which they are sent."""
 
-    def __init__(self, batch: pa.RecordBatch, n: int, depth: int):
+    def __init__(self, batch: pa.RecordBatch, n: int, depth: int, bits: int):
         self.shard, self.lang, raw, back = (batch.column(c)[n].as_py() for c in ("shard", "lang", "bwt", "reverse"))
         self.words = batch.column("words")[n].values
         self.index = FmIndex(_wide(raw, len(self.words)), _wide(back, len(self.words)), len(self.words))
         if depth == 1:
             nodes = self.index.roots()
-            self.found = [(1, nodes), (2, self.index.extended(nodes))]
+            found = [nodes, self.index.extended(nodes)]
         else:
-            held = batch.column("nodes")[n].values
-            nodes = np.stack([held.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("lo", "size", "rlo")], axis=1)
-            self.found = [(depth + 1, self.index.extended(nodes))]
-
-    def keys(self, size: int, nodes: np.ndarray) -> np.ndarray:
+            found = [self.index.extended(np.frombuffer(batch.column("nodes")[n].as_py(), np.int32).reshape(-1, 3).astype(np.int64))]
+        self.size = np.repeat(np.arange(len(found)) + (1 if depth == 1 else depth + 1), [len(x) for x in found])
+        self.nodes = np.concatenate(found)
+        self.key = np.concatenate([self._keys(size, self.nodes[self.size == size]) for size in np.unique(self.size)] or [np.zeros(0, np.uint64)]) >> np.uint64(32 - bits)
+        self.part = (self.key >> np.uint64(32)).astype(np.int64)
+        self.order = np.lexsort((self.key, self.nodes[:, 1] > 1, self.part))
+
+    def _keys(self, size: int, nodes: np.ndarray) -> np.ndarray:
         """64-bit keys of the phrases of ``nodes``, of ``size`` words."""
         data, begins = utf8(self.words)
         own = span_hashes(data, begins[:-1], begins[1:])
@@ -226,6 +229,26 @@ class Shard:
             key = mixed(key * _STEP + own[symbol - 1])
         return key
 
+    def frequent(self, back: list[dict]) -> np.ndarray:
+        """Which nodes the answers (part, bits) name."""
+        told = np.zeros(len(self.nodes), bool)
+        parts = self.part[self.order]
+        for x in back:
+            a, b = np.searchsorted(parts, [x["part"], x["part"] + 1]).tolist()
+            told[self.order[a:b]] = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=b - a).astype(bool)
+        return told
+
+
+def _runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Begin and end of each run of equal values."""
+    begin = np.flatnonzero(np.append(True, values[1:] != values[:-1])[: len(values)])
+    return zip(begin.tolist(), np.append(begin, len(values))[1:].tolist(), strict=True)
+
+
+def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
+
 
 def _sent(depth: int, bits: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,20 +256,13 @@ def _sent(depth: int, bits: int):
         keys that occur once, the others, and the counts of these."""
         for batch in batches:
             for n in range(batch.num_rows):
-                shard = Shard(batch, n, depth)
-                key = np.concatenate([shard.keys(size, nodes) for size, nodes in shard.found]) >> np.uint64(32 - bits)
-                count = np.concatenate([nodes[:, 1] for _, nodes in shard.found])
-                order = np.argsort(key)
-                key, count = key[order], count[order]
-                part = (key >> np.uint64(32)).astype(np.int64)
-                begin = np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)])
+                shard = Shard(batch, n, depth, bits)
+                key, part, count = shard.key[shard.order].astype(np.uint32), shard.part[shard.order], shard.nodes[shard.order, 1].astype(np.uint32)
                 rows = []
-                for a, b in zip(begin.tolist(), np.append(begin, len(part))[1:].tolist(), strict=True):
-                    low, many = key[a:b].astype(np.uint32), count[a:b] > 1
-                    rows.append((int(part[a]), shard.shard, _planes(low[~many]), _planes(low[many]), _planes(count[a:b][many].astype(np.uint32))))
-                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-                columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["part", "shard", "once", "keys", "counts"])
+                for a, b in _runs(part):
+                    m = a + int(np.searchsorted(count[a:b] > 1, True))
+                    rows.append((int(part[a]), shard.shard, _planes(key[a:m]), _planes(key[m:b]), _planes(count[m:b])))
+                yield _batch(rows, ["part", "shard", "once", "keys", "counts"], [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()])
 
     return send
 
@@ -262,21 +278,17 @@ def _values(raw: bytes) -> np.ndarray:
 
 def _summed(min_count: int):
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Keys (shard, part, keys) whose counts reach ``min_count`` over all
-        shards. Rows come ordered by part; one part is held at a time."""
+        """Answers (shard, part, bits): which of its keys reach ``min_count``
+        over all shards. Rows come ordered by part; one part is held at a time."""
         held: list[tuple[int, np.ndarray, np.ndarray]] = []
 
         def told(part: int) -> pa.RecordBatch:
             key, count = np.concatenate([k for _, k, _ in held]), np.concatenate([c for _, _, c in held])
-            distinct, at = np.unique(key, return_inverse=True)
-            often = (np.bincount(at, count) >= min_count)[at] if len(distinct) else np.zeros(0, bool)
-            rows, begin = [], 0
-            for shard, keys, _ in held:
-                mine = keys[often[begin : begin + len(keys)]]
-                begin += len(keys)
-                if len(mine):
-                    rows.append((shard, mine.tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([part] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["shard", "part", "keys"])
+            at = np.unique(key, return_inverse=True)[1]
+            often = (np.bincount(at, count) >= min_count)[at]
+            ends = np.cumsum([len(k) for _, k, _ in held]).tolist()
+            rows = [(shard, part, often[e - len(k) : e]) for (shard, k, _), e in zip(held, ends, strict=True)]
+            return _batch([(shard, p, np.packbits(x).tobytes()) for shard, p, x in rows if x.any()], ["shard", "part", "bits"], [pa.int64(), pa.int64(), pa.binary()])
 
         last = None
         for batch in batches:
@@ -292,34 +304,78 @@ def _summed(min_count: int):
     return add
 
 
-def _speller(depth: int, bits: int):
+def _kept(depth: int, bits: int):
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The longest nodes (shard, nodes) that the answers name."""
+        for batch in batches:
+            rows = []
+            for n in range(batch.num_rows):
+                shard = Shard(batch, n, depth, bits)
+                nodes = shard.nodes[shard.frequent(batch.column("back")[n].as_py()) & (shard.size == depth + 1)]
+                if len(nodes):
+                    rows.append((shard.shard, nodes.astype(np.int32).tobytes()))
+            yield _batch(rows, ["shard", "nodes"], [pa.int64(), pa.binary()])
+
+    return keep
+
+
+def _spelled(depth: int, bits: int):
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Phrases (shard, lang, words, lo, size, rlo, phrase) of the keys that
-        came back (structs part, keys)."""
+        """Phrases (part, lang, words, phrases, counts) of the nodes that the
+        answers name, packed by part and number of words."""
         import pyarrow.compute as pc
 
         for batch in batches:
             for n in range(batch.num_rows):
-                shard = Shard(batch, n, depth)
-                back = batch.column("back")[n].as_py()
-                known = np.concatenate([np.frombuffer(x["keys"], np.uint32).astype(np.uint64) | np.uint64(x["part"] << 32) for x in back])
-                for size, nodes in shard.found:
-                    nodes = nodes[np.isin(shard.keys(size, nodes) >> np.uint64(32 - bits), known)]
-                    for at in range(0, len(nodes), BATCH_ROWS):
-                        part = nodes[at : at + BATCH_ROWS]
-                        spelled = [shard.words.take(pa.array(s - 1)) for s in shard.index.spelled(part, size)]
-                        columns = [
-                            pa.array(np.full(len(part), shard.shard)),
-                            pa.array([shard.lang] * len(part), pa.string()),
-                            pa.array(np.full(len(part), size, np.int32)),
-                            *(pa.array(part[:, k].astype(np.int32)) for k in range(3)),
-                            pc.binary_join_element_wise(*spelled, " "),
-                        ]
-                        yield pa.RecordBatch.from_arrays(columns, ["shard", "lang", "words", "lo", "size", "rlo", "phrase"])
+                shard = Shard(batch, n, depth, bits)
+                told = shard.frequent(batch.column("back")[n].as_py())
+                for size in np.unique(shard.size[told]).tolist():
+                    mine = np.flatnonzero(told & (shard.size == size))
+                    mine = mine[np.lexsort((shard.nodes[mine, 0], shard.part[mine]))]
+                    nodes, part = shard.nodes[mine], shard.part[mine]
+                    phrases = pc.binary_join_element_wise(*[shard.words.take(pa.array(s - 1)) for s in shard.index.spelled(nodes, size)], " ")
+                    begins = [a for a, _ in _runs(part)]
+                    offsets = pa.array([*begins, len(part)], pa.int32())
+                    columns = [
+                        pa.array(part[begins]),
+                        pa.array([shard.lang] * len(begins), pa.string()),
+                        pa.array([size] * len(begins), pa.int32()),
+                        pa.ListArray.from_arrays(offsets, phrases),
+                        pa.ListArray.from_arrays(offsets, pa.array(nodes[:, 1].astype(np.int32))),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, ["part", "lang", "words", "phrases", "counts"])
 
     return spell
 
 
+def _decided(min_count: int):
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Phrases (lang, words, phrase, a) that reach ``min_count`` over all
+        shards. Rows come ordered by part; one part is held at a time."""
+        held: dict[tuple[str, int], list[tuple[pa.Array, np.ndarray]]] = {}
+
+        def frequent() -> Iterator[pa.RecordBatch]:
+            for (lang, size), found in held.items():
+                coded = pa.concat_arrays([p for p, _ in found]).dictionary_encode()
+                total = np.bincount(coded.indices.to_numpy(), np.concatenate([c for _, c in found])).astype(np.int64)
+                often = np.flatnonzero(total >= min_count)
+                columns = [pa.array([lang] * len(often), pa.string()), pa.array(np.full(len(often), size, np.int32)), coded.dictionary.take(pa.array(often)), pa.array(total[often])]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "words", "phrase", "a"])
+
+        last = None
+        for batch in batches:
+            parts, langs, sizes = (batch.column(c).to_pylist() for c in ("part", "lang", "words"))
+            for n, part in enumerate(parts):
+                if part != last:
+                    yield from frequent()
+                    held = {}
+                last = part
+                held.setdefault((langs[n], sizes[n]), []).append((batch.column("phrases")[n].values, batch.column("counts")[n].values.to_numpy()))
+        yield from frequent()
+
+    return decide
+
+
 def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = MAX_WORDS, min_count: int = MIN_COUNT) -> tuple[DataFrame, DataFrame]:
     """Phrases (lang, words, phrase, a) of 1 to ``max_words`` words that occur
     ``min_count`` times or more, and the number of words (lang, n)."""
@@ -335,16 +391,16 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
         source = opened
         for depth in range(1, max(2, max_words)):
             sent = source.mapInArrow(_sent(depth, bits), "part bigint, shard bigint, once binary, keys binary, counts binary")
-            told = sent.repartition("part").sortWithinPartitions("part").mapInArrow(_summed(min_count), "shard bigint, part bigint, keys binary")
-            back = staged(told, f"keys-{depth + 1}").groupBy("shard").agg(F.collect_list(F.struct("part", "keys")).alias("back"))
-            rows = source.join(back.hint("shuffle_hash"), "shard").mapInArrow(_speller(depth, bits), "shard bigint, lang string, words int, lo int, size int, rlo int, phrase string")
-            rows = staged(rows, f"spelled-{depth + 1}")
-            phrases = staged(rows.groupBy("lang", "words", "phrase").agg(F.sum("size").alias("a")).filter(F.col("a") >= min_count), f"phrases-{depth + 1}")
+            told = sent.repartition("part").sortWithinPartitions("part").mapInArrow(_summed(min_count), "shard bigint, part bigint, bits binary")
+            back = staged(told, f"answers-{depth + 1}").groupBy("shard").agg(F.collect_list(F.struct("part", "bits")).alias("back"))
+            answered = source.join(back.hint("shuffle_hash"), "shard")
+            phrases = answered.mapInArrow(_spelled(depth, bits), "part bigint, lang string, words int, phrases array<string>, counts array<int>")
+            phrases = phrases.repartition("part").sortWithinPartitions("part").mapInArrow(_decided(min_count), "lang string, words int, phrase string, a bigint")
+            phrases = staged(phrases, f"phrases-{depth + 1}")
             out = phrases if out is None else out.unionByName(phrases)
-            longest = phrases.filter(F.col("words") == depth + 1).select("lang", "phrase")
-            nodes = join_small(rows.filter(F.col("words") == depth + 1), longest, ["lang", "phrase"], "left_semi")
-            nodes = nodes.groupBy("shard").agg(F.collect_list(F.struct("lo", "size", "rlo")).alias("nodes"))
-            source = opened.join(staged(nodes, f"nodes-{depth + 1}").hint("shuffle_hash"), "shard")
+            if depth + 1 < max_words:
+                nodes = tables.write(answered.mapInArrow(_kept(depth, bits), "shard bigint, nodes binary"), f"nodes_{depth + 1}", "shard")
+                source = opened.join(nodes.hint("shuffle_hash"), "shard")
     return out.filter(F.col("words") <= max_words).select("lang", "words", "phrase", "a"), totals
 
 
