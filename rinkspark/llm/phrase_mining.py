@@ -176,12 +176,13 @@ class FmIndex:
         rows = _ranges(rlo, size)
         owner = np.repeat(np.arange(len(nodes)), size)
         key = owner * (self.symbols + 1) + self.reverse[rows]
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         key = key[order]
         begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
         count = np.diff(np.append(begin, len(key)))
         owner, symbol = np.divmod(key[begin], self.symbols + 1)
-        out = np.stack([lo[owner] + begin - (np.cumsum(size) - size)[owner], count, self.reverse_step[rows[order[begin]]]], axis=1)
+        back = np.minimum.reduceat(self.reverse_step[rows[order]], begin) if len(begin) else begin
+        out = np.stack([lo[owner] + begin - (np.cumsum(size) - size)[owner], count, back], axis=1)
         known = np.zeros(len(self.reverse), bool)
         known[_ranges(lo, size)] = True
         return out[(symbol > 0) & known[self.next_row[out[:, 0]]]]
@@ -218,7 +219,8 @@ class Shard:
         self.nodes = np.concatenate(found)
         self.key = np.concatenate([self._keys(size, self.nodes[self.size == size]) for size in np.unique(self.size)] or [np.zeros(0, np.uint64)]) >> np.uint64(32 - bits)
         self.part = (self.key >> np.uint64(32)).astype(np.int64)
-        self.order = np.lexsort((self.key, self.nodes[:, 1] > 1, self.part))
+        many = (self.nodes[:, 1] > 1).astype(np.uint64)
+        self.order = np.argsort((self.key >> np.uint64(32) << np.uint64(33)) | (many << np.uint64(32)) | (self.key & np.uint64(0xFFFFFFFF)))
 
     def _keys(self, size: int, nodes: np.ndarray) -> np.ndarray:
         """64-bit keys of the phrases of ``nodes``, of ``size`` words."""
@@ -322,28 +324,36 @@ def _kept(depth: int, bits: int):
 def _spelled(depth: int, bits: int):
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Phrases (part, lang, words, phrases, counts) of the nodes that the
-        answers name, packed by part and number of words."""
+        answers name, summed over the shards of a batch and packed by part."""
         import pyarrow.compute as pc
 
         for batch in batches:
+            found: dict[tuple[str, int], list[tuple[pa.Array, np.ndarray, np.ndarray]]] = {}
             for n in range(batch.num_rows):
                 shard = Shard(batch, n, depth, bits)
                 told = shard.frequent(batch.column("back")[n].as_py())
                 for size in np.unique(shard.size[told]).tolist():
                     mine = np.flatnonzero(told & (shard.size == size))
-                    mine = mine[np.lexsort((shard.nodes[mine, 0], shard.part[mine]))]
-                    nodes, part = shard.nodes[mine], shard.part[mine]
-                    phrases = pc.binary_join_element_wise(*[shard.words.take(pa.array(s - 1)) for s in shard.index.spelled(nodes, size)], " ")
-                    begins = [a for a, _ in _runs(part)]
-                    offsets = pa.array([*begins, len(part)], pa.int32())
-                    columns = [
-                        pa.array(part[begins]),
-                        pa.array([shard.lang] * len(begins), pa.string()),
-                        pa.array([size] * len(begins), pa.int32()),
-                        pa.ListArray.from_arrays(offsets, phrases),
-                        pa.ListArray.from_arrays(offsets, pa.array(nodes[:, 1].astype(np.int32))),
-                    ]
-                    yield pa.RecordBatch.from_arrays(columns, ["part", "lang", "words", "phrases", "counts"])
+                    phrases = pc.binary_join_element_wise(*[shard.words.take(pa.array(s - 1)) for s in shard.index.spelled(shard.nodes[mine], size)], " ")
+                    found.setdefault((shard.lang, size), []).append((phrases, shard.nodes[mine, 1], shard.part[mine]))
+            for (lang, size), rows in found.items():
+                coded = pa.concat_arrays([p for p, _, _ in rows]).dictionary_encode()
+                at = coded.indices.to_numpy()
+                total = np.bincount(at, np.concatenate([c for _, c, _ in rows])).astype(np.int64)
+                part = np.empty(len(total), np.int64)
+                part[at] = np.concatenate([p for _, _, p in rows])
+                order = np.argsort(part, kind="stable")
+                part = part[order]
+                begins = [a for a, _ in _runs(part)]
+                offsets = pa.array([*begins, len(part)], pa.int32())
+                columns = [
+                    pa.array(part[begins]),
+                    pa.array([lang] * len(begins), pa.string()),
+                    pa.array([size] * len(begins), pa.int32()),
+                    pa.ListArray.from_arrays(offsets, coded.dictionary.take(pa.array(order))),
+                    pa.ListArray.from_arrays(offsets, pa.array(total[order])),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["part", "lang", "words", "phrases", "counts"])
 
     return spell
 
@@ -386,7 +396,7 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
         indexes = tables.write(texts.mapInArrow(_index_rows, "shard bigint, lang string, n bigint, words array<string>, bwt binary, reverse binary"), "indexes", "shard")
         totals = staged(indexes.groupBy("lang").agg(F.sum("n").alias("n")), "words")
         n_words = totals.agg(F.sum("n")).first()[0] or 0
-        bits = min(32, max(0, (n_words // PART_WORDS).bit_length()))
+        bits = min(30, (n_words // PART_WORDS).bit_length())
         opened = indexes.select("shard", "lang", "words", "bwt", "reverse")
         source = opened
         for depth in range(1, max(2, max_words)):
@@ -394,7 +404,7 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
             told = sent.repartition("part").sortWithinPartitions("part").mapInArrow(_summed(min_count), "shard bigint, part bigint, bits binary")
             back = staged(told, f"answers-{depth + 1}").groupBy("shard").agg(F.collect_list(F.struct("part", "bits")).alias("back"))
             answered = source.join(back.hint("shuffle_hash"), "shard")
-            phrases = answered.mapInArrow(_spelled(depth, bits), "part bigint, lang string, words int, phrases array<string>, counts array<int>")
+            phrases = answered.mapInArrow(_spelled(depth, bits), "part bigint, lang string, words int, phrases array<string>, counts array<bigint>")
             phrases = phrases.repartition("part").sortWithinPartitions("part").mapInArrow(_decided(min_count), "lang string, words int, phrase string, a bigint")
             phrases = staged(phrases, f"phrases-{depth + 1}")
             out = phrases if out is None else out.unionByName(phrases)
