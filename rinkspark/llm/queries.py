@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rinkspark.llm import bpe_queries, chat_queries, decontamination_queries, html_queries, near_queries, phrase_queries, quality_queries, runs_queries, substring_queries, token_queries, url_queries
+from rinkspark.llm import bpe_queries, chat_queries, decontamination_queries, html_queries, near_queries, phrase_queries, private_queries, quality_queries, runs_queries, substring_queries, token_queries, url_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": url_queries.op1_url_filters,
@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat_formatting": chat_queries.op10_chat_formatting,
     "op11_phrase_mining": phrase_queries.op11_phrase_mining,
     "op12_periodic_runs": runs_queries.op12_periodic_runs,
+    "op13_private_data": private_queries.op13_private_data,
 }
 
 ORACLES: dict[str, str] = {
