@@ -45,6 +45,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rinkspark.llm.common import bucketed, pieces, ref, ship_package, staged
+from rinkspark.llm.packing import batch_of, planes, runs, unplaned
 from rinkspark.llm.text_arrays import LOWER, mixed, span_hashes, utf8
 from rinkspark.operators.joins import join_small
 
@@ -241,17 +242,6 @@ class Shard:
         return told
 
 
-def _runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Begin and end of each run of equal values."""
-    begin = np.flatnonzero(np.append(True, values[1:] != values[:-1])[: len(values)])
-    return zip(begin.tolist(), np.append(begin, len(values))[1:].tolist(), strict=True)
-
-
-def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
-    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
-
-
 def _sent(depth: int, bits: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Packed counts (part, shard, once, keys, counts) of a shard's phrases:
@@ -261,23 +251,14 @@ def _sent(depth: int, bits: int):
                 shard = Shard(batch, n, depth, bits)
                 key, part, count = shard.key[shard.order].astype(np.uint32), shard.part[shard.order], shard.nodes[shard.order, 1].astype(np.uint32)
                 rows = []
-                for a, b in _runs(part):
+                for a, b in runs(part):
                     m = a + int(np.searchsorted(count[a:b] > 1, True))
-                    rows.append((int(part[a]), shard.shard, _planes(key[a:m]), _planes(key[m:b]), _planes(count[m:b])))
-                yield _batch(rows, ["part", "shard", "once", "keys", "counts"], [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()])
+                    rows.append((int(part[a]), shard.shard, planes(key[a:m]), planes(key[m:b]), planes(count[m:b])))
+                yield batch_of(rows, ["part", "shard", "once", "keys", "counts"], [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()])
 
     return send
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """32-bit values byte by byte, all first bytes first: sorted ones pack well."""
-    return values.view(np.uint8).reshape(-1, 4).T.tobytes()
-
-
-def _values(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, np.uint8).reshape(4, -1).T.copy().view(np.uint32).reshape(-1)
-
-
 def _summed(min_count: int):
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Answers (shard, part, bits): which of its keys reach ``min_count``
@@ -290,7 +271,7 @@ def _summed(min_count: int):
             often = (np.bincount(at, count) >= min_count)[at]
             ends = np.cumsum([len(k) for _, k, _ in held]).tolist()
             rows = [(shard, part, often[e - len(k) : e]) for (shard, k, _), e in zip(held, ends, strict=True)]
-            return _batch([(shard, p, np.packbits(x).tobytes()) for shard, p, x in rows if x.any()], ["shard", "part", "bits"], [pa.int64(), pa.int64(), pa.binary()])
+            return batch_of([(shard, p, np.packbits(x).tobytes()) for shard, p, x in rows if x.any()], ["shard", "part", "bits"], [pa.int64(), pa.int64(), pa.binary()])
 
         last = None
         for batch in batches:
@@ -298,8 +279,8 @@ def _summed(min_count: int):
                 if part != last and held:
                     yield told(last)
                     held = []
-                last, single, more = part, _values(once), _values(keys)
-                held.append((shard, np.concatenate([single, more]), np.concatenate([np.ones(len(single)), _values(counts)])))
+                last, single, more = part, unplaned(once), unplaned(keys)
+                held.append((shard, np.concatenate([single, more]), np.concatenate([np.ones(len(single)), unplaned(counts)])))
         if held:
             yield told(last)
 
@@ -316,7 +297,7 @@ def _kept(depth: int, bits: int):
                 nodes = shard.nodes[shard.frequent(batch.column("back")[n].as_py()) & (shard.size == depth + 1)]
                 if len(nodes):
                     rows.append((shard.shard, nodes.astype(np.int32).tobytes()))
-            yield _batch(rows, ["shard", "nodes"], [pa.int64(), pa.binary()])
+            yield batch_of(rows, ["shard", "nodes"], [pa.int64(), pa.binary()])
 
     return keep
 
@@ -344,7 +325,7 @@ def _spelled(depth: int, bits: int):
                 part[at] = np.concatenate([p for _, _, p in rows])
                 order = np.argsort(part, kind="stable")
                 part = part[order]
-                begins = [a for a, _ in _runs(part)]
+                begins = [a for a, _ in runs(part)]
                 offsets = pa.array([*begins, len(part)], pa.int32())
                 columns = [
                     pa.array(part[begins]),

@@ -6,13 +6,19 @@ word whose hash is the least among its four neighbours on either side. The
 choice depends on nearby text only, so the chunks of a passage are the same
 wherever it stands and whatever is inserted before it.
 
-1. Chunks are grouped by digest; those that two documents hold are put in runs
-   of adjacent ones. A run, its two neighbour chunks and the words that their
-   outer cuts depend on bound the repeated passage; regions of 50 words or
-   more, of the first document as of the later ones, are looked into.
-2. Every run of 50 words inside such a region is hashed (64 bits). Its first
-   holder is the least document id (partial aggregate, so frequent passages
-   are combined map-side), whichever document its chunks occur in first.
+Documents are packed in shards of some megabytes, written once and bucketed by
+shard; texts are never shuffled. What shards have to tell each other goes out
+packed, dealt by hash to parts, and comes back to them by shard.
+
+1. A shard sends the digests of its chunks and is told which of them other
+   shards have. Chunks that two documents hold are put in runs of adjacent
+   ones. A run, its two neighbour chunks and the words that their outer cuts
+   depend on bound the repeated passage; regions of 50 words or more, of the
+   first document as of the later ones, are looked into.
+2. Every run of 50 words inside such a region is hashed (64 bits). A shard
+   sends each hash with its least document id, once, and is told the least id
+   of all shards where that is another one. So a passage that a third of the
+   documents hold is one entry per shard.
 3. Every run of 50 words whose first holder is another document is removed
    (spans joined, up to the next space).
 
@@ -21,8 +27,8 @@ within one document are left to it, as are passages under 50 words.
 
 Defined results: null and empty texts and texts under 50 words stay as they
 are; rows without an id are neither changed nor compared. Rows that repeat an
-id are one document, represented by its greatest text; rows with another text
-stay as they are. Other columns pass through.
+id are one document: none of them is repeated by another one, and each loses
+what documents of lesser ids hold. Other columns pass through.
 """
 
 from __future__ import annotations
@@ -31,11 +37,12 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rinkspark.llm.common import free_name, let, map_texts, pieces, ref, ship_package, staged
+from rinkspark.llm.common import bucketed, free_name, ref, staged
+from rinkspark.llm.packing import batch_of, in_shards, planes, runs, unplaned
 from rinkspark.llm.text_arrays import mixed, run_hashes, span_hashes, utf8, words
 
 MIN_WORDS = 50
@@ -45,6 +52,8 @@ RADIUS = 4
 #: hash that is far enough from the last cut, and so are parts still as long.
 LONG_CHUNK = 32
 PERIODIC = 24
+#: Text bytes for which one more part of the hashes is made.
+PART_BYTES = 1 << 25
 
 #: Gear table: one pseudo-random 32-bit value per byte.
 _GEAR = (mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
@@ -101,62 +110,221 @@ def chunk_begins(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple
     return begins, np.searchsorted(stop, stop[np.maximum(begins - 1 - RADIUS, 0)] - 16, "right")
 
 
-def _chunker() -> Callable[[pa.Array], Sequence[pa.Array]]:
-    kind = pa.struct([("digest", pa.int64()), ("idx", pa.int32()), ("reach_begin", pa.int32()), ("reach_end", pa.int32())])
-
-    def chunk(texts: pa.Array) -> Sequence[pa.Array]:
-        low, starts, ends, first = words(*utf8(texts))
-        keys = span_hashes(low, starts, ends)
-        parts, sizes = [[], [], [], []], [0]
-        for i in range(len(texts)):
-            a, b = int(first[i]), int(first[i + 1])
-            if b - a < MIN_WORDS:
-                sizes.append(0)
-                continue
-            begin, seen = chunk_begins(low, starts[a:b], ends[a:b])
+class Shard:
+    """A shard's texts as words: (shard, rows, ...) opened."""
+
+    def __init__(self, batch: pa.RecordBatch, n: int, id_col: str):
+        rows = batch.column("rows")[n].values
+        names = [f.name for f in rows.type]
+        self.shard, self.rows = batch.column("shard")[n].as_py(), rows
+        ids = rows.field(names.index(id_col)).cast(pa.int64())
+        self.known = ids.is_valid().to_numpy(zero_copy_only=False)
+        self.ids = ids.fill_null(0).to_numpy()
+        self.texts = rows.field(len(names) - 1).cast(pa.string())
+        data, self.begins = utf8(pa.compute.fill_null(self.texts, ""))
+        self.low, self.starts, self.ends, self.first = words(data, self.begins)
+        self.keys = span_hashes(self.low, self.starts, self.ends)
+
+    def chunks(self) -> tuple[np.ndarray, ...]:
+        """Of all chunks: document (row of the shard), 64-bit digest, number in
+        the document, and reach in words. The reach is the chunk, its
+        neighbours and what their outer cuts depend on: a passage beyond it
+        would have made a neighbour equal."""
+        parts: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], *([np.zeros(0, np.int64)] for _ in range(3))]
+        for i in np.flatnonzero(self.known & (np.diff(self.first) >= MIN_WORDS)).tolist():
+            a, b = int(self.first[i]), int(self.first[i + 1])
+            begin, seen = chunk_begins(self.low, self.starts[a:b], self.ends[a:b])
             end = np.append(begin[1:], b - a)
-            parts[0].append(run_hashes(keys[a:b], begin, end).view(np.int64))
-            parts[1].append(np.arange(len(begin)))
-            parts[2].append(np.append(0, seen[:-1]))
-            parts[3].append(np.minimum(np.append(end[1:], b - a) + RADIUS, b - a))
-            sizes.append(len(begin))
-        columns = [pa.array(np.concatenate(p) if p else np.zeros(0, np.int64), f.type) for p, f in zip(parts, kind, strict=True)]
-        return [pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.StructArray.from_arrays(columns, fields=list(kind)))]
-
-    return chunk
-
-
-def chunks(ids: DataFrame) -> DataFrame:
-    """Rows (id, digest, idx, reach_begin, reach_end) of documents (id, text).
-    The reach, in words, is the chunk, its neighbours and what their outer
-    cuts depend on: a passage beyond it would have made a neighbour equal."""
-    kind = T._parse_datatype_string("array<struct<digest:bigint,idx:int,reach_begin:int,reach_end:int>>")
-    rows = map_texts(ids, "text", _chunker, T.StructType([T.StructField("chunks", kind)]), ["id"])
-    return rows.select("id", F.inline("chunks"))
-
-
-def _windower(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (hash, id, pos) of the runs of 50 words inside the regions (word
-    begin, word end) of documents (id, data, regions)."""
-    import pyarrow.compute  # noqa: F401 - makes pa.compute available in the worker
-
-    for whole in batches:
-        for batch in pieces(whole, 1):
-            low, starts, ends, first = words(*utf8(batch.column(1)))
-            keys = span_hashes(low, starts, ends)
-            hashes, ids, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
-            for i, (doc, regions) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                own = keys[first[i] : first[i + 1]]
-                inside = np.zeros(max(0, len(own) - MIN_WORDS + 1), bool)
-                for r in regions:
-                    inside[r["begin"] : max(0, r["end"] - MIN_WORDS + 1)] = True
-                at = np.flatnonzero(inside)
-                if len(at):
-                    hashes.append(run_hashes(own, at, at + MIN_WORDS))
-                    ids.append(np.full(len(at), doc, np.int64))
-                    places.append(at.astype(np.int32))
-            columns = [np.concatenate(hashes).view(np.int64), np.concatenate(ids), np.concatenate(places)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["hash", "id", "pos"])
+            found = (np.full(len(begin), i), run_hashes(self.keys[a:b], begin, end), np.arange(len(begin)), np.append(0, seen[:-1]), np.minimum(np.append(end[1:], b - a) + RADIUS, b - a))
+            for p, x in zip(parts, found, strict=True):
+                p.append(x)
+        return tuple(np.concatenate(p) for p in parts)
+
+    def windows(self, regions: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the runs of 50 words inside the regions (document, begin, end):
+        document, place and 64-bit hash."""
+        docs, places, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for a, b in runs(regions[:, 0]):
+            i = int(regions[a, 0])
+            own = self.keys[self.first[i] : self.first[i + 1]]
+            inside = np.zeros(max(0, len(own) - MIN_WORDS + 1), bool)
+            for _, begin, end in regions[a:b].tolist():
+                inside[begin : max(0, end - MIN_WORDS + 1)] = True
+            at = np.flatnonzero(inside)
+            docs.append(np.full(len(at), i))
+            places.append(at)
+            hashes.append(run_hashes(own, at, at + MIN_WORDS))
+        return np.concatenate(docs), np.concatenate(places), np.concatenate(hashes)
+
+
+def _least(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and the least and greatest id of each."""
+    order = np.lexsort((ids, keys))
+    keys, ids = keys[order], ids[order]
+    begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return keys[begin], ids[begin], ids[np.append(begin, len(keys))[1:] - 1]
+
+
+def _part(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys >> np.uint64(1) >> np.uint64(63 - bits)).astype(np.int64)
+
+
+def _digests(id_col: str, bits: int):
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Distinct chunk digests (part, shard, keys) of a shard."""
+        for batch in batches:
+            for n in range(batch.num_rows):
+                shard = Shard(batch, n, id_col)
+                keys = np.unique(shard.chunks()[1])
+                part = _part(keys, bits)
+                yield batch_of([(int(part[a]), shard.shard, planes(keys[a:b])) for a, b in runs(part)], ["part", "shard", "keys"], [pa.int64(), pa.int64(), pa.binary()])
+
+    return send
+
+
+def _by_part(answer: Callable[[list[tuple]], Iterator[tuple]], names: list[str], kinds: list[pa.DataType]):
+    """Rows ordered by part, one part held at a time: ``answer`` gets its rows
+    without the part and returns rows (shard, ...)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for batch in batches:
+            for part, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != last and held:
+                    yield batch_of([(shard, last, *rest) for shard, *rest in answer(held)], names, kinds)
+                    held = []
+                last = part
+                held.append(tuple(row))
+        if held:
+            yield batch_of([(shard, last, *rest) for shard, *rest in answer(held)], names, kinds)
+
+    return run
+
+
+def _shared_keys(rows: list[tuple]) -> Iterator[tuple]:
+    """Which digests of each shard another shard has: (shard, bits)."""
+    keys = [unplaned(raw, np.uint64) for _, raw in rows]
+    _, at, count = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+    often, end = count[at] > 1, 0
+    for (shard, _), k in zip(rows, keys, strict=True):
+        end += len(k)
+        if often[end - len(k) : end].any():
+            yield shard, np.packbits(often[end - len(k) : end]).tobytes()
+
+
+def _first_holders(rows: list[tuple]) -> Iterator[tuple]:
+    """For each shard, its hashes whose least id is another shard's (shard,
+    bits), and that id (holders)."""
+    keys, ids = [unplaned(k, np.uint64) for _, k, _ in rows], [unplaned(i, np.uint64).view(np.int64) for _, _, i in rows]
+    every = np.concatenate(keys)
+    distinct, least, _ = _least(every, np.concatenate(ids))
+    end, holder = 0, least[np.searchsorted(distinct, every)]
+    for (shard, _, _), own in zip(rows, ids, strict=True):
+        end += len(own)
+        first = holder[end - len(own) : end]
+        other = first != own
+        if other.any():
+            yield shard, np.packbits(other).tobytes(), planes(first[other].view(np.uint64))
+
+
+def _told(part: np.ndarray, back: list[dict]) -> tuple[np.ndarray, list[tuple[dict, int, int]]]:
+    """Which keys (given by their sorted parts) the answers name, and where
+    those of each answer begin."""
+    out, at = np.zeros(len(part), bool), []
+    for x in back:
+        a, b = np.searchsorted(part, [x["part"], x["part"] + 1]).tolist()
+        out[a:b] = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=b - a).astype(bool)
+        at.append((x, a, b))
+    return out, at
+
+
+def _regions(id_col: str, bits: int):
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Regions (shard, regions) in which a passage of 50 words may repeat."""
+        for batch in batches:
+            rows = []
+            for n in range(batch.num_rows):
+                shard = Shard(batch, n, id_col)
+                doc, digest, idx, begin, end = shard.chunks()
+                keys, least, most = _least(digest, shard.ids[doc])
+                told, _ = _told(_part(keys, bits), batch.column("back")[n].as_py() or [])
+                at = np.flatnonzero((told | (least < most))[np.searchsorted(keys, digest)])
+                opens = np.append(True, (np.diff(doc[at]) != 0) | (np.diff(idx[at]) != 1))[: len(at)]
+                spans = [(doc[at[a]], begin[at[a:b]].min(), end[at[a:b]].max()) for a, b in runs(np.cumsum(opens))]
+                spans = [s for s in spans if s[2] - s[1] >= MIN_WORDS]
+                if spans:
+                    rows.append((shard.shard, np.array(spans, np.int32).tobytes()))
+            yield batch_of(rows, ["shard", "regions"], [pa.int64(), pa.binary()])
+
+    return find
+
+
+def _opened(batch: pa.RecordBatch, n: int) -> np.ndarray:
+    raw = batch.column("regions")[n].as_py()
+    return np.frombuffer(raw or b"", np.int32).reshape(-1, 3).astype(np.int64)
+
+
+def _window_hashes(id_col: str, bits: int):
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Distinct window hashes of a shard with their least id (part, shard,
+        keys, ids)."""
+        for batch in batches:
+            for n in range(batch.num_rows):
+                shard = Shard(batch, n, id_col)
+                doc, _, hashes = shard.windows(_opened(batch, n))
+                keys, least, _ = _least(hashes, shard.ids[doc])
+                part = _part(keys, bits)
+                rows = [(int(part[a]), shard.shard, planes(keys[a:b]), planes(least[a:b].view(np.uint64))) for a, b in runs(part)]
+                yield batch_of(rows, ["part", "shard", "keys", "ids"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()])
+
+    return send
+
+
+def _cut(raw: bytes, spans: list[tuple[int, int]]) -> str:
+    """The text without the byte spans."""
+    out, at = [], 0
+    for begin, end in sorted(spans):
+        out.append(raw[at : max(at, begin)])
+        at = max(at, end)
+    return b"".join([*out, raw[at:]]).decode()
+
+
+def _cleaner(id_col: str, bits: int, span_name: str, cut_name: str):
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of shards with their repeated spans and the text left."""
+        kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("holder", pa.int64()), ("n_words", pa.int32())]))
+        for batch in batches:
+            for n in range(batch.num_rows):
+                shard = Shard(batch, n, id_col)
+                doc, place, hashes = shard.windows(_opened(batch, n))
+                keys, holder, _ = _least(hashes, shard.ids[doc])
+                told, answers = _told(_part(keys, bits), batch.column("back")[n].as_py() or [])
+                for x, a, b in answers:
+                    holder[np.arange(a, b)[told[a:b]]] = unplaned(x["holders"], np.uint64).view(np.int64)
+                own = holder[np.searchsorted(keys, hashes)]
+                hit = own < shard.ids[doc]
+                found: list[list[dict] | None] = [None] * len(shard.ids)
+                cut = shard.texts.to_pylist()
+                doc, place, own = doc[hit], place[hit], own[hit]
+                order = np.lexsort((place, own, doc))
+                doc, place, own = doc[order], place[order], own[order]
+                opens = np.append(True, (np.diff(doc) != 0) | (np.diff(own) != 0) | (np.diff(place) > MIN_WORDS))[: len(doc)]
+                for a, b in runs(np.cumsum(opens)):
+                    i, first = int(doc[a]), int(place[a])
+                    raw, last = shard.texts[int(doc[a])].as_py().encode(), int(place[b - 1]) + MIN_WORDS
+                    base = int(shard.begins[i])
+                    at = slice(int(shard.first[i]), int(shard.first[i + 1]))
+                    begin, end = byte_span(raw, shard.starts[at] - base, shard.ends[at] - base, first, last)
+                    found[i] = [*(found[i] or []), {"begin": begin, "end": end, "holder": int(own[a]), "n_words": last - first}]
+                for i, spans in enumerate(found):
+                    if spans:
+                        found[i] = sorted(spans, key=lambda s: tuple(s.values()))
+                        cut[i] = _cut(cut[i].encode(), [(s["begin"], s["end"]) for s in spans])
+                columns = [shard.rows.field(k) for k in range(shard.rows.type.num_fields)]
+                names = [f.name for f in shard.rows.type]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(found, kind), pa.array(cut, pa.string())], [*names, span_name, cut_name])
+
+    return clean
 
 
 def byte_span(raw: bytes, starts: np.ndarray, ends: np.ndarray, a: int, b: int) -> tuple[int, int]:
@@ -173,76 +341,33 @@ def byte_span(raw: bytes, starts: np.ndarray, ends: np.ndarray, a: int, b: int)
     return begin, end
 
 
-def _locator(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans in bytes of documents (id, data, text_hash, runs in words)."""
-    kinds = [("id", pa.int64()), ("holder", pa.int64()), ("begin", pa.int32()), ("end", pa.int32()), ("n_words", pa.int32()), ("text_hash", pa.int64())]
-    for batch in batches:
-        for i in range(batch.num_rows):
-            doc, text, text_hash, runs = (batch.column(c)[i].as_py() for c in range(4))
-            _, starts, ends, _ = words(*utf8(pa.array([text])))
-            raw = text.encode()
-            rows = [(doc, r["holder"], *byte_span(raw, starts, ends, r["a"], r["b"]), r["b"] - r["a"], text_hash) for r in runs]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows, strict=True), kinds, strict=True)], [n for n, _ in kinds])
-
-
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, holder, begin, end, n_words, text_hash): spans of documents
-    that earlier documents contain, of which the holder is the first."""
-    ids = docs.select(ref(docs, id_col).cast("long").alias("id"), ref(docs, text_col).alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
-    ship_package(docs.sparkSession)
-    rows = chunks(ids)
-    shared = rows.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("digest")
-    # Runs of adjacent chunks: the number less its rank is constant in a run.
-    run = rows.join(shared, "digest").withColumn("run", F.col("idx") - F.dense_rank().over(Window.partitionBy("id").orderBy("idx")))
-    reach = run.groupBy("id", "run").agg(F.min("reach_begin").alias("begin"), F.max("reach_end").alias("end")).filter(F.col("end") - F.col("begin") >= MIN_WORDS)
-    regions = reach.groupBy("id").agg(F.collect_list(F.struct("begin", "end")).alias("regions"))
-    texts = ids.join(regions, "id").groupBy("id").agg(F.max("text").alias("data"), F.first("regions").alias("regions"))
-    texts = staged(texts, "repeat-texts")
-
-    windows = texts.select("id", "data", "regions").mapInArrow(_windower, "hash bigint, id bigint, pos int")
-    first = windows.groupBy("hash").agg(F.min("id").alias("holder"), F.max("id").alias("last")).filter("holder < last").drop("last")
-    hits = windows.join(first, "hash").filter("holder < id").select("id", "holder", "pos")
-    order = Window.partitionBy("id", "holder").orderBy("pos")
-    hits = hits.withColumn("opens", F.coalesce(F.col("pos") - F.lag("pos").over(order) > MIN_WORDS, F.lit(True)).cast("int"))
-    spans = hits.withColumn("part", F.sum("opens").over(order)).groupBy("id", "holder", "part").agg(F.min("pos").alias("a"), (F.max("pos") + MIN_WORDS).alias("b"))
-    runs = spans.groupBy("id").agg(F.collect_list(F.struct("holder", "a", "b")).alias("runs"))
-    located = texts.join(runs, "id").select("id", "data", F.xxhash64("data").alias("text_hash"), "runs")
-    return located.mapInArrow(_locator, "id bigint, holder bigint, begin int, end int, n_words int, text_hash bigint")
-
-
-def without_spans(text: Column, spans: Column) -> Column:
-    """The text without the byte spans (array of structs begin, end)."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("kept"))
-    kept = F.aggregate(
-        F.sort_array(spans),
-        start,
-        lambda s, x: F.struct(
-            F.greatest(s["at"], x["end"]).alias("at"),
-            F.when(x["begin"] > s["at"], F.concat(s["kept"], F.array(F.struct(s["at"].alias("a"), x["begin"].alias("b"))))).otherwise(s["kept"]).alias("kept"),
-        ),
-    )
-    return let(
-        text.cast("binary"),
-        lambda raw: let(
-            kept,
-            lambda k: F.concat(
-                F.array_join(F.transform(k["kept"], lambda s: F.substring(raw, s["a"] + 1, s["b"] - s["a"]).cast("string")), ""),
-                F.substring(raw, k["at"] + 1, F.octet_length(raw)).cast("string"),
-            ),
-        ),
-    )
-
-
 def with_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str, str]:
     """``docs`` with two more columns, and their names: the spans (array of
-    structs begin, end, holder, n_words; null without any), and the text
-    without them."""
-    spans, cut, key, digest = (free_name(docs, c) for c in ("_spans", "_cut", "_id", "_hash"))
-    found = repeats(docs, id_col, text_col)
-    per_doc = found.groupBy(F.col("id").alias(key), F.col("text_hash").alias(digest)).agg(F.sort_array(F.collect_set(F.struct("begin", "end", "holder", "n_words"))).alias(spans))
-    text = ref(docs, text_col)
-    joined = docs.join(per_doc, (ref(docs, id_col).cast("long") == F.col(key)) & (F.xxhash64(text) == F.col(digest)), "left")
-    return joined.withColumn(cut, F.when(F.col(spans).isNull(), text).otherwise(without_spans(text, F.col(spans)))).drop(key, digest), spans, cut
+    structs begin, end, holder, n_words, in bytes; null without any), and the
+    text without them."""
+    spark = docs.sparkSession
+    spans, cut = (free_name(docs, c) for c in ("_spans", "_cut"))
+    packed, text = in_shards(docs, text_col)
+    with bucketed(spark) as tables:
+        shards = tables.write(packed, "shards", "shard")
+        size = shards.agg(F.sum("size")).first()[0] or 0
+        bits = min(30, int(size // PART_BYTES).bit_length())
+        rows = shards.select("shard", "rows")
+
+        def answered(sent: DataFrame, answer: Callable, more: Sequence[str], name: str) -> DataFrame:
+            kinds = [pa.int64(), pa.int64(), *[pa.binary()] * len(more)]
+            back = sent.repartition("part").sortWithinPartitions("part")
+            back = back.mapInArrow(_by_part(answer, ["shard", "part", *more], kinds), "shard bigint, part bigint, " + ", ".join(f"{c} binary" for c in more))
+            return staged(back, name).groupBy("shard").agg(F.collect_list(F.struct("part", *more)).alias("back")).hint("shuffle_hash")
+
+        shared = answered(rows.mapInArrow(_digests(id_col, bits), "part bigint, shard bigint, keys binary"), _shared_keys, ["bits"], "shared-chunks")
+        regions = tables.write(rows.join(shared, "shard", "left").mapInArrow(_regions(id_col, bits), "shard bigint, regions binary"), "regions", "shard").hint("shuffle_hash")
+        sent = rows.join(regions, "shard").mapInArrow(_window_hashes(id_col, bits), "part bigint, shard bigint, keys binary, ids binary")
+        holders = answered(sent, _first_holders, ["bits", "holders"], "first-holders")
+        kind = "array<struct<begin:int,end:int,holder:bigint,n_words:int>>"
+        schema = T.StructType([*shards.schema["rows"].dataType.elementType.fields, T.StructField(spans, T._parse_datatype_string(kind)), T.StructField(cut, T.StringType())])
+        out = rows.join(regions, "shard", "left").join(holders, "shard", "left").mapInArrow(_cleaner(id_col, bits, spans, cut), schema)
+        return out.select(*[ref(out, text).alias(c) if c == text_col else ref(out, c) for c in docs.columns], spans, cut), spans, cut
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
