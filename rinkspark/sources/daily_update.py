@@ -12,13 +12,13 @@ Landings: schedules, box scores and logs may be landed again; the last
 landing of each game, and of each (player, game) log entry, is used. Lines
 that do not parse are written to ``_quarantine`` of the store.
 
-The facts are partitioned by (season, game_date). A run finds the old rows of
-its keys wherever they are (a corrected date moves a row to another partition),
-merges the partitions concerned (S8), stages the merged rows and replaces just
-those partitions. Partitions are named as literals in the scan's filter while
-they are few. Readers re-read a fact after a run (partitions are replaced in
-place). The dimension and the register are snapshot folders with append-only
-pointers (``store.write_snapshot``).
+The facts are partitioned by (season, game_date) and merged in atomic commits
+(``manifest.PartitionedTable``): a key index finds the old rows of a batch
+wherever they are (a corrected date moves a row to another partition), and only
+the partitions concerned are read and written. Every fact row keeps the landing
+time of its box score, so an older landing that is processed later replaces
+nothing, in a batch run as in the stream. The dimension and the register are
+snapshot folders with append-only pointers (``store.write_snapshot``).
 A re-run of the same day gives the same tables (games already final are
 skipped; others are merged again, replacing their own rows).
 """
@@ -30,7 +30,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from rinkspark import schemas
 from rinkspark.functions.calendar import league_date
@@ -39,13 +38,11 @@ from rinkspark.operators.dimension import prior_season_averages, rebuild_dimensi
 from rinkspark.operators.joins import has_at_most
 from rinkspark.sources import landed as L
 from rinkspark.sources.ingest import build_facts
+from rinkspark.sources.manifest import PartitionedTable
 from rinkspark.sources.store import (
     conform,
     current_snapshot,
     empty_table,
-    latest_per_key,
-    overwrite_partitions,
-    path_exists,
     upsert,
     write_snapshot,
 )
@@ -56,8 +53,6 @@ FACT_SCHEMAS = {"player_game_stats": schemas.PLAYER_GAME_STATS, "goalie_game_sta
 REGISTER = "register"
 # Touched players up to this many are passed to the scan as a literal list.
 MAX_LITERAL_IDS = 10_000
-# Touched partitions up to this many are named in the scan's filter.
-MAX_LITERAL_PARTITIONS = 200
 
 
 @dataclass(frozen=True)
@@ -73,10 +68,23 @@ def _current(spark: SparkSession, root: str, empty: DataFrame) -> DataFrame:
     return spark.read.parquet(path) if path else empty
 
 
+def fact_table(spark: SparkSession, store: str, name: str) -> PartitionedTable:
+    return PartitionedTable(
+        spark,
+        f"{store}/{name}",
+        FACT_SCHEMAS[name],
+        key=FACT_KEY,
+        partition_by=FACT_PARTITIONS,
+        index_on="game_id",
+        sort_by=["player_id", "game_id"],
+        version="landed_at",
+    )
+
+
 def read_fact(spark: SparkSession, store: str, name: str) -> DataFrame | None:
     """A fact table of the store with its declared schema (None if absent)."""
-    path = f"{store}/{name}"
-    return spark.read.schema(FACT_SCHEMAS[name]).parquet(path) if path_exists(spark, path) else None
+    table = fact_table(spark, store, name)
+    return table.read() if table.exists() else None
 
 
 def _stage(df: DataFrame, store: str, name: str) -> DataFrame:
@@ -87,51 +95,10 @@ def _stage(df: DataFrame, store: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _in_partitions(df: DataFrame, parts: DataFrame) -> DataFrame:
-    """Rows of ``df`` in the given (season, game_date) partitions; a null is a
-    value like any other. Few partitions become literal partition filters,
-    more a join on equality with the nulls replaced on both sides."""
-    if has_at_most(parts, MAX_LITERAL_PARTITIONS):
-        cond = F.lit(False)
-        for season, day in (tuple(r) for r in parts.select(*FACT_PARTITIONS).collect()):  # bounded by the check
-            s = F.col("season").isNull() if season is None else F.col("season") == F.lit(season)
-            d = F.col("game_date").isNull() if day is None else F.col("game_date") == F.lit(day)
-            cond = cond | (s & d)
-        return df.where(cond)
-    s, d = F.coalesce("season", F.lit("")), F.coalesce("game_date", F.lit("0001-01-01").cast("date"))
-    keyed = parts.select(s.alias("_s"), d.alias("_d")).distinct()
-    return df.withColumn("_s", s).withColumn("_d", d).join(keyed, ["_s", "_d"], "left_semi").drop("_s", "_d")
-
-
-def _partition_path(root: str, season, day) -> str:
-    null = "__HIVE_DEFAULT_PARTITION__"
-    return f"{root}/season={null if season is None else season}/game_date={null if day is None else day}"
-
-
 def merge_into_partitions(spark: SparkSession, fresh: DataFrame, store: str, name: str) -> None:
     """S8 on a partitioned fact: ``fresh`` replaces the rows of its keys in
-    whatever (season, game_date) partition they are; only the partitions of
-    the old and the new rows are rewritten."""
-    root = f"{store}/{name}"
-    fresh = _stage(latest_per_key(conform(fresh, FACT_SCHEMAS[name]), FACT_KEY, []), store, f"{name}-fresh")
-    old = read_fact(spark, store, name)
-    if old is None:
-        overwrite_partitions(fresh.sortWithinPartitions("player_id", "game_id"), root, FACT_PARTITIONS)
-        return
-    games = fresh.select("game_id").distinct()
-    found = old.select(*FACT_KEY, *FACT_PARTITIONS)
-    if has_at_most(games, MAX_LITERAL_IDS):
-        # File statistics of game_id rule out almost all files of other days.
-        found = found.where(F.col("game_id").isin([r.game_id for r in games.collect()]))  # bounded by the check
-    held = found.join(fresh.select(*FACT_KEY), FACT_KEY, "left_semi").select(*FACT_PARTITIONS)
-    touched = _stage(held.unionByName(fresh.select(*FACT_PARTITIONS)).distinct(), store, f"{name}-partitions")
-    merged = _stage(upsert(_in_partitions(old, touched), fresh, FACT_KEY), store, name)
-    overwrite_partitions(merged.sortWithinPartitions("player_id", "game_id"), root, FACT_PARTITIONS)
-    # Partitions that lost their last row to another one are emptied.
-    same = touched["season"].eqNullSafe(merged["season"]) & touched["game_date"].eqNullSafe(merged["game_date"])
-    for r in touched.join(merged.select(*FACT_PARTITIONS).distinct(), same, "left_anti").toLocalIterator():
-        empty = spark.createDataFrame([], T.StructType([f for f in FACT_SCHEMAS[name].fields if f.name not in FACT_PARTITIONS]))
-        empty.write.mode("overwrite").parquet(_partition_path(root, r.season, r.game_date))
+    whatever (season, game_date) partition they are, in one commit."""
+    fact_table(spark, store, name).merge(fresh)
 
 
 def _empty_register(spark: SparkSession) -> DataFrame:
@@ -166,6 +133,9 @@ def apply_box_scores(
     if season is None:
         season = seasons.join(batch_ids, "game_id", "left_semi").agg(F.max("season")).first()[0]
     skaters, goalies = build_facts(spark, log, box, seasons=seasons)
+    if "landed_at" in box.columns:
+        landed = box.select(F.col("id").alias("game_id"), "landed_at")  # one row per game
+        skaters, goalies = skaters.join(landed, "game_id", "left"), goalies.join(landed, "game_id", "left")
     # Enriched once, used by the merge, the touched players and the dimension.
     skaters, goalies = _stage(skaters, store, "skater-batch"), _stage(goalies, store, "goalie-batch")
 
@@ -264,10 +234,13 @@ def stream_box_scores(
     """X1-X3 over the landed formats: every new box-score file in the
     landing folder is a micro-batch that runs :func:`apply_box_scores`
     (``availableNow``: everything landed so far, then stop). The schedule and
-    the player logs are read as they are when each batch runs."""
+    the player logs are read as they are when each batch runs. Lines that do
+    not parse go to ``_quarantine/boxscores/batch=<n>`` of the store."""
     ckpt = checkpoint or f"{paths.store}/_stream_checkpoint"
     stream = (
-        spark.readStream.schema(schemas.BOXSCORE)
+        spark.readStream.schema(L._with_corrupt(schemas.BOXSCORE))
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", L.CORRUPT)
         .option("maxFilesPerTrigger", max_files_per_trigger)
         .json(paths.boxscores)
     )
@@ -275,6 +248,10 @@ def stream_box_scores(
 
     def per_batch(box: DataFrame, batch_id: int) -> None:
         s = box.sparkSession
+        # Written once: the batch is used for the quarantine and the facts.
+        box = _stage(box, paths.store, f"box-batch-{batch_id}")
+        L.write_quarantine(box, f"{paths.store}/_quarantine/boxscores/batch={batch_id}")
+        box, _ = L.split_corrupt(box)
         games = schedule_games(s, paths.schedule)
         logs = L.read_player_logs(s, paths.logs)
         apply_box_scores(s, L.latest_landing(box, "id"), logs, games, paths.store, season=season)

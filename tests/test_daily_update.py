@@ -146,18 +146,38 @@ def test_corrections_moved_dates_and_stray_lines(spark, tmp_dir):
 
 def test_merge_reads_touched_partitions_only(spark, tmp_dir):
     from rinkspark import schemas
-    from rinkspark.sources.daily_update import _in_partitions, merge_into_partitions
+    from rinkspark.sources.daily_update import fact_table, merge_into_partitions
     from rinkspark.sources.store import conform
 
     rows = [(g, 1, "2025", f"2025-11-{1 + g:02d}") for g in range(20)] + [(50, 1, None, None)]
     fact = conform(spark.createDataFrame(rows, "game_id long, player_id long, season string, game_date string"), schemas.PLAYER_GAME_STATS)
     merge_into_partitions(spark, fact, tmp_dir, "player_game_stats")
     again = conform(spark.createDataFrame([(50, 1, None, None), (3, 1, "2025", "2025-11-09")], "game_id long, player_id long, season string, game_date string"), schemas.PLAYER_GAME_STATS)
+    table = fact_table(spark, tmp_dir, "player_game_stats")
+    touched = table.partitions_of(again.select("game_id")).unionByName(again.select("season", "game_date")).distinct()
+    files = table.read(touched).inputFiles()
+    assert len(files) == 3 and all(any(d in f for d in ("2025-11-04", "2025-11-09", "__HIVE_DEFAULT")) for f in files)
     merge_into_partitions(spark, again, tmp_dir, "player_game_stats")
     table = read_fact(spark, tmp_dir, "player_game_stats")
     assert table.count() == 21 and {str(r.game_date) for r in table.where("game_id = 3").collect()} == {"2025-11-09"}
-    plan = _in_partitions(table, again.select("season", "game_date"))._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [" in plan and "PartitionFilters: []" not in plan
+
+
+def test_stream_keeps_broken_lines_and_newer_landings(spark, tmp_dir):
+    """An older landing in a later micro-batch replaces nothing; a line that
+    does not parse is in the quarantine of its batch."""
+    from rinkspark.sources.daily_update import stream_box_scores
+
+    write_lines(f"{tmp_dir}/sched/all.json", [{"games": [game(100, 2, "2025-11-01T23:00:00Z", "BOS", "TOR", "OFF")]}])
+    write_lines(f"{tmp_dir}/logs/l.json", [_log(1, "TOR", [(100, "2025-11-01")])])
+    old, new = _box(100, "BOS", "TOR"), _box(100, "BOS", "TOR")
+    new["playerByGameStats"]["awayTeam"]["forwards"][0]["goals"] = 4
+    paths = Paths(f"{tmp_dir}/sched", f"{tmp_dir}/box", f"{tmp_dir}/logs", f"{tmp_dir}/store")
+    for name, doc, at, broken in (("a", new, "2025-11-02T09:00:00Z", ["{broken"]), ("b", old, "2025-11-02T01:00:00Z", [])):
+        write_lines(f"{tmp_dir}/box/{name}.json", [_landed(doc, at)], broken)
+        stream_box_scores(spark, paths, season="20252026")
+        assert [(r.game_id, r.player_id, r.goals) for r in read_fact(spark, paths.store, "player_game_stats").collect()] == [(100, 1, 4)]
+    bad = spark.read.parquet(f"{paths.store}/_quarantine/boxscores").collect()
+    assert [(r["_corrupt_record"], r["batch"]) for r in bad] == [("{broken", 0)]
 
 
 def test_season_seed_equals_daily_runs_and_prior_season(spark, tmp_dir):
