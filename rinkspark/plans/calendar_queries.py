@@ -118,14 +118,11 @@ def past_future_counts(spark, d):
     "past_games",
     S.with_ctes(S.GAMES_SQL)
     + f"""
-SELECT game_id, game_date FROM games
-WHERE game_date < DATE '{COUNTS_AS_OF}' AND game_date >= DATE '{COUNTS_AS_OF}' - INTERVAL 7 DAY""",
+SELECT game_id, game_date FROM games WHERE game_date < DATE '{COUNTS_AS_OF}'""",
 )
 def past_games(spark, d):
-    """The games of the week before a date (in date order; the order is
-    unit-tested)."""
-    g = S.games(spark, d).where(F.col("game_date") >= F.date_sub(F.lit(COUNTS_AS_OF).cast("date"), 7))
-    return C.past_games(g, COUNTS_AS_OF).select("game_id", "game_date")
+    """All games before a date (in date order; the order is unit-tested)."""
+    return C.past_games(S.games(spark, d), COUNTS_AS_OF).select("game_id", "game_date")
 
 
 @register(

@@ -130,27 +130,27 @@ def player_logs(spark, d):
     return out.select("game_id", "player_id", "team_abbrev", "log_game_date", "pp_points", "sh_points", "toi", "shifts")
 
 
-MERGE_FROM, MERGE_TO = "1997-06-01", "1997-06-30"
-
-
 @register(
     "daily_merge",
     Q.ENRICH_SQL
-    + f"""
+    + """
 SELECT game_id, player_id, season,
        CASE WHEN game_id % 3 = 0 THEN game_date + 1 ELSE game_date END AS game_date,
        CASE WHEN game_id % 3 = 0 THEN goals + 1 ELSE goals END AS goals
-FROM j WHERE raw_position <> 'G' AND game_date BETWEEN DATE '{MERGE_FROM}' AND DATE '{MERGE_TO}'""",
+FROM j WHERE raw_position <> 'G'""",
 )
 def daily_merge(spark, d):
-    """S8 on the partitioned fact: a month of skater lines is landed, then a
-    third of the games again with another score and date. A moved line leaves
-    its old partition."""
+    """S8 on the partitioned fact: all skater lines are landed, then a third of
+    the games again with another score and date. A moved line leaves its old
+    partition."""
     enriched = I.enrich(Q.log_lines(spark, d), Q.box_lines(spark, d), Q.headers(spark, d), Q.team_names(spark, d))
-    facts = I.skater_fact(enriched).where(F.col("game_date").between(MERGE_FROM, MERGE_TO))
     store = work_root(spark, "daily-merge")
-    U.merge_into_partitions(spark, facts, store, "player_game_stats")
+    facts = U._stage(I.skater_fact(enriched), store, "facts")
+
+    def land(rows, at):
+        U.merge_into_partitions(spark, rows.withColumn("landed_at", F.lit(at).cast("timestamp")), store, "player_game_stats")
+
+    land(facts, "2024-01-02 00:00:00")
     again = facts.where(F.col("game_id") % 3 == 0)
-    again = again.withColumn("game_date", F.date_add("game_date", 1)).withColumn("goals", F.col("goals") + 1)
-    U.merge_into_partitions(spark, again, store, "player_game_stats")
+    land(again.withColumn("game_date", F.date_add("game_date", 1)).withColumn("goals", F.col("goals") + 1), "2024-01-03 00:00:00")
     return U.read_fact(spark, store, "player_game_stats").select("game_id", "player_id", "season", "game_date", "goals")

@@ -26,13 +26,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rinkspark.operators.joins import has_at_most
-from rinkspark.sources.store import _write_pointer, _current_pointer, conform, latest_per_key
+from rinkspark.sources.store import _current_pointer, _write_pointer, conform, latest_per_key
 
 NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
 #: Characters that Spark writes as %XX in partition folder names.
@@ -103,9 +103,10 @@ class PartitionedTable:
         """The rows of the live partitions (or buckets) that ``live`` names."""
         columns, schema = (self.parts, self.schema) if kind == "data" else (["bucket"], self.index_schema)
         base = f"{self.root}/{kind}"
-        if has_at_most(live, self.max_listed):
+        listed = live.select("commit", "written", *columns).limit(self.max_listed + 1).collect()
+        if len(listed) <= self.max_listed:
             by_commit: dict[str, list] = {}
-            for r in live.select("commit", "written", *columns).collect():  # bounded by the check
+            for r in listed:
                 by_commit.setdefault(r["commit"], []).append(r)
             paths = []
             for commit, rows in sorted(by_commit.items()):
@@ -119,22 +120,28 @@ class PartitionedTable:
         rows = self.spark.read.schema(T.StructType([*schema.fields, T.StructField("commit", T.StringType())])).parquet(base)
         return rows.join(live, same(rows, live, ["commit", *columns]), "left_semi").select(*schema.names)
 
-    def _all(self, partitions: DataFrame | None = None) -> DataFrame:
-        live = self.manifest().filter("kind = 'data'")
+    def _all(self, live: DataFrame, partitions: DataFrame | None = None) -> DataFrame:
+        live = live.filter("kind = 'data'")
         if partitions is not None:
             live = live.join(partitions, same(live, partitions, self.parts), "left_semi")
         return self._open("data", live)
 
     def read(self, partitions: DataFrame | None = None) -> DataFrame:
         """The current rows; of the given partitions only, if any are given."""
-        return self._all(partitions).select(*self.columns)
+        return self._all(self.manifest(), partitions).select(*self.columns)
 
     def partitions_of(self, values: DataFrame) -> DataFrame:
         """Partitions that hold rows of the given values of ``index_on``; reads
         the index buckets of these values only."""
-        buckets = values.select(self._bucket(F.col(self.index_on)).alias("bucket")).distinct()
-        live = self.manifest().filter("kind = 'index'")
-        index = self._open("index", live.join(buckets, "bucket", "left_semi"))
+        return self._in(self._index(self.manifest(), values), values)
+
+    def _buckets(self, values: DataFrame) -> DataFrame:
+        return values.select(self._bucket(F.col(self.index_on)).alias("bucket")).distinct()
+
+    def _index(self, live: DataFrame, values: DataFrame) -> DataFrame:
+        return self._open("index", live.filter("kind = 'index'").join(self._buckets(values), "bucket", "left_semi"))
+
+    def _in(self, index: DataFrame, values: DataFrame) -> DataFrame:
         return index.join(values, self.index_on, "left_semi").select(*self.parts).distinct()
 
     # ------------------------------------------------------------ writing
@@ -150,9 +157,11 @@ class PartitionedTable:
         order = [self.version] if self.version else []
         fresh = self._staged(latest_per_key(conform(batch, self.schema), self.key, order), "fresh")
         values = self._staged(fresh.select(self.index_on).distinct(), "values")
-        touched = self._staged(self.partitions_of(values).unionByName(fresh.select(*self.parts)).distinct(), "touched")
+        live = self.manifest()
+        old_index = self._index(live, values)
+        touched = self._staged(self._in(old_index, values).unionByName(fresh.select(*self.parts)).distinct(), "touched")
 
-        both = self._all(touched).withColumn(_FRESH, F.lit(0)).unionByName(fresh.withColumn(_FRESH, F.lit(1)))
+        both = self._all(live, touched).withColumn(_FRESH, F.lit(0)).unionByName(fresh.withColumn(_FRESH, F.lit(1)))
         merged = latest_per_key(both, self.key, [*order, _FRESH]).drop(_FRESH)
         current = _current_pointer(self.spark, self.root)
         n = 0 if current is None else current[0] + 1
@@ -161,28 +170,27 @@ class PartitionedTable:
         # Rows of a partition meet in few files; a large one is split (rebalance).
         merged.hint("rebalance", *self.parts).sortWithinPartitions(*self.parts, *self.sort_by).write.partitionBy(*self.parts).parquet(data)
 
-        written = self.spark.read.schema(self.schema).parquet(data)
-        buckets = values.select(self._bucket(F.col(self.index_on)).alias("bucket")).distinct()
-        live = self.manifest()
-        old_index = self._open("index", live.filter("kind = 'index'").join(buckets, "bucket", "left_semi"))
-        pairs = written.select(self.index_on, *self.parts).distinct().join(values, self.index_on, "left_semi")
+        # One narrow pass over what was written: for the index and the manifest.
+        written = self._staged(self.spark.read.schema(self.schema).parquet(data).select(self.index_on, *self.parts).distinct(), "written")
+        pairs = written.join(values, self.index_on, "left_semi")
         pairs = pairs.withColumn("bucket", self._bucket(F.col(self.index_on)))
         index = old_index.join(values, self.index_on, "left_anti").unionByName(pairs)
         index.hint("rebalance", "bucket").sortWithinPartitions("bucket", self.index_on).write.partitionBy("bucket").parquet(f"{self.root}/index/commit={commit}")
 
-        self._commit(n, commit, live, touched, buckets)
+        self._commit(n, commit, live, {"data": (written.select(*self.parts), touched), "index": (index.select("bucket"), self._buckets(values))})
         return commit
 
-    def _commit(self, n: int, commit: str, live: DataFrame, touched: DataFrame, buckets: DataFrame) -> None:
-        def named(kind: str, columns: list[str], schema: T.StructType) -> DataFrame:
-            rows = self._staged(self.spark.read.schema(schema).parquet(f"{self.root}/{kind}/commit={commit}").select(*columns).distinct(), kind)
-            rows = rows.withColumns({"kind": F.lit(kind), "commit": F.lit(commit), "written": F.lit(rows.count())})
-            return conform(rows, self.manifest_schema)
-
-        kept_data, kept_index = live.filter("kind = 'data'"), live.filter("kind = 'index'")
-        kept_data = kept_data.join(touched, same(kept_data, touched, self.parts), "left_anti")
-        kept = kept_data.unionByName(kept_index.join(buckets, "bucket", "left_anti").select(*kept_data.columns))
-        new = named("data", self.parts, self.schema).unionByName(named("index", ["bucket"], self.index_schema))
+    def _commit(self, n: int, commit: str, live: DataFrame, written: dict[str, tuple[DataFrame, DataFrame]]) -> None:
+        """``written``: for data and index, the partitions that the commit wrote
+        and those that it replaces."""
+        rows = []
+        for kind, (new, replaced) in written.items():
+            kept = live.filter(F.col("kind") == kind)
+            rows.append(kept.join(replaced, same(kept, replaced, replaced.columns), "left_anti"))
+            # One group: the partitions of a commit, names only.
+            count = F.count("*").over(Window.partitionBy(F.lit(kind)))
+            named = new.distinct().withColumns({"kind": F.lit(kind), "commit": F.lit(commit), "written": count})
+            rows.append(conform(named, self.manifest_schema))
         path = f"{self.root}/manifest/commit={commit}"
-        kept.unionByName(new).coalesce(1).write.parquet(path)  # one row per live partition
+        reduce(DataFrame.unionByName, rows).coalesce(1).write.parquet(path)  # one row per live partition
         _write_pointer(self.spark, self.root, path, n)
