@@ -1,6 +1,7 @@
 """Roster moves as a batch against a snapshot.
 
-A move table is applied to the player snapshot in one plan:
+A move table is applied to the player snapshot as if its moves were made one
+by one, by (move_ts, move_id); moves without a time come last:
 
     kind   players                      valid when
     add    ``receive`` -> team_id       player is a free agent
@@ -8,19 +9,21 @@ A move table is applied to the player snapshot in one plan:
     trade  ``send`` team_id -> other,   teams differ, both sides non-empty,
            ``receive`` other -> team_id every player is on its sending team
 
-A move needs its teams (not null, and in the team table when one is given)
-and names a player once.
-
-A move whose own checks fail for any of its players is rejected as a whole
-(a trade is all or nothing) and claims no player. A player named by several
-of the remaining moves goes to the earliest (move_ts, move_id); the others
-are rejected as ``conflict`` (a trade losing one player loses all). Unlike
-applying moves one by one, a trade that loses a conflict still blocks later
-moves on its other players; the batch stays one parallel plan. A move without
-a time comes after those with one.
-
-Checks are aggregates joined back on their key (``min`` per player, ``min``
-per move), so a player or a move named very often is combined map-side.
+A move needs its teams (not null, and in the team table when one is given),
+names a player once, and has an id of its own: moves with a null id or with one
+that another move has are rejected. A move is all or nothing, and one that is
+rejected changes nothing for those after it.
+
+The batch runs in rounds of aggregates, not move by move. As long as a player
+stays on a team, moves that need it elsewhere fail, so each player has one next
+move: the earliest open one that needs its present team. Open moves before that
+one fail; a move that is the next one of all its players is accepted; players
+move on. The earliest open move is always decided, and a round decides one step
+of every player, so there are as many rounds as the longest chain of moves that
+depend on each other. Next moves are ``min`` per player and decisions ``min`` /
+``max`` per move, combined map-side, so a player or a move named very often is
+one row per task. A round's open rows and teams are written once (reliable
+checkpoint).
 """
 
 from __future__ import annotations
@@ -88,17 +91,38 @@ def move_rows(moves: DataFrame) -> DataFrame:
     return base.select("move_id", "move_ts", "kind", "structural_ok", "r.player_id", "r.from_team", "r.to_team")
 
 
+def _next_round(open_rows: DataFrame, teams_now: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One round: (decided moves: move_id, accepted; rows still open; the
+    players' teams after it)."""
+    placed = open_rows.join(teams_now, "player_id")
+    fits = F.col("from_team").eqNullSafe(F.col("team_now"))
+    nxt = placed.groupBy("player_id").agg(F.min(F.when(fits, F.col("at"))).alias("next_at"))
+    seen = open_rows.join(nxt, "player_id").withColumns(
+        {"fails": F.col("next_at").isNull() | (F.col("at") < F.col("next_at")), "ready": F.col("at") == F.col("next_at")}
+    )
+    per_move = seen.groupBy("move_id").agg(F.max("fails").alias("fails"), F.min(F.coalesce("ready", F.lit(False))).alias("ready"))
+    judged = cut_lineage(open_rows.join(per_move, "move_id"))
+    decided = judged.where("fails OR ready").select("move_id", F.col("ready").alias("accepted")).distinct()
+    moved = judged.where("ready").select("player_id", F.col("to_team").alias("_to"), F.lit(True).alias("_moved"))
+    teams_next = teams_now.join(moved, "player_id", "left").select("player_id", F.when(F.col("_moved"), F.col("_to")).otherwise(F.col("team_now")).alias("team_now"))
+    return decided, judged.where("NOT fails AND NOT ready").drop("fails", "ready"), cut_lineage(teams_next)
+
+
 def apply_roster_moves(players: DataFrame, moves: DataFrame, teams: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """R2-R4 as one batch. Returns (players after the batch, decisions).
 
     ``players``: player_id, fantasy_team_id (null = free agent), other
     columns kept. ``teams``: team_id; with it, a move that names another team
-    is rejected. ``decisions``: move_id, kind, accepted, reason.
-
-    The checked rows are written once (reliable checkpoint): the claims, the
-    decisions and the accepted rows are all taken from them.
+    is rejected. ``decisions``: move_id, kind, accepted, reason, one row per
+    move. A rejected move's reason is the first that holds: it is malformed,
+    a player is unknown, a player was not on the team before the batch, an
+    earlier move of the batch took a player, a team is unknown.
     """
-    rows = move_rows(moves)
+    ids = moves.groupBy("move_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("move_id").isNotNull() & (F.col("_n") == 1)).select("move_id")
+    named = cut_lineage(moves.join(ids, "move_id", "left_semi"))
+    nameless = moves.where("move_id IS NULL").unionByName(moves.join(ids, "move_id", "left_anti").where("move_id IS NOT NULL"))
+
+    rows = move_rows(named)
     if teams is not None:
         for side in ("from_team", "to_team"):
             known_team = teams.select(F.col("team_id").alias(side), F.lit(True).alias(f"_{side}_known")).distinct()
@@ -107,54 +131,42 @@ def apply_roster_moves(players: DataFrame, moves: DataFrame, teams: DataFrame |
         rows = rows.withColumn("team_missing", team_missing).drop("_from_team_known", "_to_team_known")
     else:
         rows = rows.withColumn("team_missing", F.lit(False))
-    snap = players.select("player_id", F.col("fantasy_team_id").alias("current_team"), F.lit(True).alias("_known"))
-    r = rows.join(snap, "player_id", "left")
-    known = F.coalesce(F.col("_known"), F.lit(False))
-    team_ok = F.col("current_team").eqNullSafe(F.col("from_team"))
-    r = r.withColumn(
-        "row_reason",
-        F.when(~F.col("structural_ok") | F.col("player_id").isNull(), F.lit(_INVALID))
-        .when(~known, F.lit(_UNKNOWN_PLAYER))
-        .when(~team_ok, F.lit(_WRONG_TEAM))
-        .when(F.col("team_missing"), F.lit(_UNKNOWN_TEAM)),
+    snap = players.select("player_id", F.col("fantasy_team_id").cast("bigint").alias("team_before"), F.lit(True).alias("_known"))
+    rows = rows.join(snap, "player_id", "left").withColumns(
+        {
+            "static": F.when(~F.col("structural_ok") | F.col("player_id").isNull(), F.lit(_INVALID))
+            .when(F.col("_known").isNull(), F.lit(_UNKNOWN_PLAYER))
+            .when(F.col("team_missing"), F.lit(_UNKNOWN_TEAM)),
+            "elsewhere": ~F.col("team_before").eqNullSafe(F.col("from_team")),
+        }
     )
-    r = cut_lineage(r.drop("current_team", "_known", "team_missing"))
-    # A move with any failing row is rejected outright and claims nobody.
-    own = r.groupBy("move_id").agg(F.min("row_reason").alias("_own"))
-    r = r.join(own, "move_id", "inner")
-    # Earliest claim per player among the moves that pass their own checks.
-    claims = (
-        r.where(F.col("_own").isNull())
-        .groupBy("player_id")
-        .agg(F.min(F.struct(F.col("move_ts").isNull().alias("late"), "move_ts", "move_id")).alias("_first"))
+    rows = cut_lineage(rows.drop("team_missing", "_known", "structural_ok"))
+    own = rows.groupBy("move_id").agg(F.min("static").alias("static"), F.max("elsewhere").alias("elsewhere"))
+    passing = own.where("static IS NULL").select("move_id")
+
+    at = F.struct(F.col("move_ts").isNull().alias("late"), "move_ts", "move_id").alias("at")
+    open_rows = rows.join(passing, "move_id", "left_semi").select("move_id", at, "player_id", "from_team", "to_team")
+    teams_now = rows.join(passing, "move_id", "left_semi").select("player_id", F.col("team_before").alias("team_now")).distinct()
+    open_rows, teams_now = cut_lineage(open_rows), cut_lineage(teams_now)
+    decided = None
+    while not open_rows.isEmpty():
+        done, open_rows, teams_now = _next_round(open_rows, teams_now)
+        decided = done if decided is None else decided.unionByName(done)
+    if decided is None:
+        decided = passing.withColumn("accepted", F.lit(False))  # no rows
+
+    reasons = F.array(*[F.lit(x) for x in REASONS])
+    late = F.when(F.col("elsewhere"), F.lit(_WRONG_TEAM)).otherwise(F.lit(_CONFLICT))
+    code = F.when(F.col("static") == _UNKNOWN_TEAM, F.when(F.col("elsewhere"), F.lit(_WRONG_TEAM)).otherwise(F.lit(_UNKNOWN_TEAM))).otherwise(F.coalesce("static", late))
+    verdict = own.join(decided, "move_id", "left").select("move_id", F.coalesce("accepted", F.lit(False)).alias("accepted"), code.alias("_code"))
+    decisions = named.select("move_id", "kind").join(verdict, "move_id").select(
+        "move_id", "kind", "accepted", F.when(~F.col("accepted"), F.get(reasons, F.col("_code"))).alias("reason")
     )
-    r = r.join(claims, "player_id", "left").withColumn(
-        "row_reason",
-        F.when(F.col("_own").isNotNull(), F.col("row_reason")).when(
-            F.col("_first.move_id") != F.col("move_id"), F.lit(_CONFLICT)
-        ),
-    )
-    per_move = r.groupBy("move_id").agg(F.min("row_reason").alias("_worst"), F.count(F.lit(1)).alias("_rows"))
-    decided = moves.select("move_id", "kind").join(per_move, "move_id", "left")
-    decisions = decided.select(
-        "move_id",
-        "kind",
-        F.col("_worst").isNull().alias("accepted"),
-        F.when(
-            F.col("_worst").isNotNull(), F.element_at(F.array(*[F.lit(x) for x in REASONS]), F.col("_worst") + 1)
-        ).alias("reason"),
-    )
-    accepted_rows = r.join(decisions.where("accepted").select("move_id"), "move_id", "left_semi").select(
-        "player_id", F.col("to_team").alias("_to"), F.lit(True).alias("_moved")
-    )
-    out = players.join(accepted_rows, "player_id", "left")
-    cols = [
-        F.when(F.col("_moved"), F.col("_to")).otherwise(F.col("fantasy_team_id")).alias("fantasy_team_id")
-        if c == "fantasy_team_id"
-        else F.col(c)
-        for c in players.columns
-    ]
-    return out.select(*cols), decisions
+    decisions = decisions.unionByName(nameless.select("move_id", "kind", F.lit(False).alias("accepted"), F.lit(REASONS[_INVALID]).alias("reason")))
+
+    out = players.join(teams_now.withColumn("_moved", F.lit(True)), "player_id", "left")
+    after = F.when(F.col("_moved"), F.col("team_now")).otherwise(F.col("fantasy_team_id")).alias("fantasy_team_id")
+    return out.select(*[after if c == "fantasy_team_id" else F.col(c) for c in players.columns]), decisions
 
 
 def create_teams(teams: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:

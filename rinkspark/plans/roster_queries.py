@@ -3,7 +3,9 @@
 Moves: ``signup`` = add the user to the team after their nation's,
 ``click`` = drop the user from their nation's team, ``purchase`` = trade
 the user for the next customer id with that customer's team. Other event
-types are not moves. Move time = event time, move id = event id.
+types are not moves. Move time = event time, move id = event id; some ids are
+missing or those of another move, and some moves name a team that does not
+exist (25). The oracle makes the moves one by one.
 """
 
 from __future__ import annotations
@@ -28,10 +30,10 @@ def moves(spark, d):
     )
     none = F.array().cast("array<bigint>")
     return m.select(
-        F.col("event_id").alias("move_id"),
+        F.when(F.col("event_id") % 101 == 9, F.col("event_id") - 1).when(F.col("event_id") % 101 != 7, F.col("event_id")).alias("move_id"),
         F.col("ts").alias("move_ts"),
         kind.alias("kind"),
-        F.when(kind == "add", (F.col("c_nationkey") + 1) % 25).otherwise(F.col("c_nationkey")).cast("bigint").alias("team_id"),
+        F.when(kind == "add", (F.col("c_nationkey") + 1) % 26).otherwise(F.col("c_nationkey")).cast("bigint").alias("team_id"),
         F.when(kind == "trade", F.col("partner_nation")).cast("bigint").alias("other_team_id"),
         F.when(kind == "add", none).otherwise(F.array(F.col("user_id"))).alias("send"),
         F.when(kind == "add", F.array(F.col("user_id")))
@@ -43,52 +45,61 @@ def moves(spark, d):
 
 def _apply(spark, d):
     players = S.players(spark, d).select("player_id", "fantasy_team_id")
-    return R.apply_roster_moves(players, moves(spark, d))
+    teams = S.table(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("team_id"))
+    return R.apply_roster_moves(players, moves(spark, d), teams)
 
 
 _MOVES_SQL = (
-    S.with_ctes(S.PLAYERS_SQL)
+    S.with_ctes(S.PLAYERS_SQL).replace("WITH", "WITH RECURSIVE", 1)
     + """,
 mv AS (
-  SELECT e.event_id AS move_id, e.ts AS move_ts,
+  SELECT CASE WHEN e.event_id % 101 = 9 THEN e.event_id - 1 WHEN e.event_id % 101 <> 7 THEN e.event_id END AS move_id, e.ts AS move_ts,
          CASE e.event_type WHEN 'signup' THEN 'add' WHEN 'click' THEN 'drop' ELSE 'trade' END AS kind,
-         CAST(CASE WHEN e.event_type = 'signup' THEN (c.c_nationkey + 1) % 25 ELSE c.c_nationkey END AS BIGINT) AS team_id,
+         CAST(CASE WHEN e.event_type = 'signup' THEN (c.c_nationkey + 1) % 26 ELSE c.c_nationkey END AS BIGINT) AS team_id,
          CAST(CASE WHEN e.event_type = 'purchase' THEN pc.c_nationkey END AS BIGINT) AS other_team_id,
          e.user_id AS p, e.user_id + 1 AS partner
   FROM events e JOIN customer c ON c.c_custkey = e.user_id
   LEFT JOIN customer pc ON pc.c_custkey = e.user_id + 1
   WHERE e.event_type IN ('signup', 'click', 'purchase')
 ),
+named AS (SELECT * FROM mv WHERE move_id IN (SELECT move_id FROM mv WHERE move_id IS NOT NULL GROUP BY move_id HAVING count(*) = 1)),
 rows_ AS (
-  SELECT move_id, move_ts, kind, TRUE AS structural_ok, p AS player_id, CAST(NULL AS BIGINT) AS from_team, team_id AS to_team FROM mv WHERE kind = 'add'
-  UNION ALL SELECT move_id, move_ts, kind, TRUE, p, team_id, CAST(NULL AS BIGINT) FROM mv WHERE kind = 'drop'
-  UNION ALL SELECT move_id, move_ts, kind, coalesce(team_id <> other_team_id, FALSE), p, team_id, other_team_id FROM mv WHERE kind = 'trade'
-  UNION ALL SELECT move_id, move_ts, kind, coalesce(team_id <> other_team_id, FALSE), partner, other_team_id, team_id FROM mv WHERE kind = 'trade'
+  SELECT move_id, TRUE AS ok, p AS player_id, CAST(NULL AS BIGINT) AS from_team, team_id AS to_team FROM named WHERE kind = 'add'
+  UNION ALL SELECT move_id, TRUE, p, team_id, CAST(NULL AS BIGINT) FROM named WHERE kind = 'drop'
+  UNION ALL SELECT move_id, coalesce(team_id <> other_team_id, FALSE), p, team_id, other_team_id FROM named WHERE kind = 'trade'
+  UNION ALL SELECT move_id, coalesce(team_id <> other_team_id, FALSE), partner, other_team_id, team_id FROM named WHERE kind = 'trade'
 ),
-r0 AS (
-  SELECT r.*, pl.fantasy_team_id AS current_team, pl.player_id IS NOT NULL AS known,
-         CASE WHEN NOT r.structural_ok OR r.player_id IS NULL THEN 0
-              WHEN pl.player_id IS NULL THEN 1
-              WHEN pl.fantasy_team_id IS DISTINCT FROM r.from_team THEN 2 END AS reason0
+checked AS (
+  SELECT r.*, pl.fantasy_team_id AS team_before, pl.fantasy_team_id IS DISTINCT FROM r.from_team AS elsewhere,
+         CASE WHEN NOT r.ok OR r.player_id IS NULL THEN 0 WHEN pl.player_id IS NULL THEN 1
+              WHEN coalesce(r.from_team, 0) > 24 OR coalesce(r.to_team, 0) > 24 THEN 4 END AS static
   FROM rows_ r LEFT JOIN players pl ON pl.player_id = r.player_id
 ),
-own AS (SELECT move_id, min(reason0) AS own_reason FROM r0 GROUP BY move_id),
-r0o AS (SELECT r0.*, own.own_reason FROM r0 JOIN own ON own.move_id = r0.move_id),
-firsts AS (
-  SELECT player_id, move_ts AS f_ts, move_id AS f_id FROM (
-    SELECT player_id, move_ts, move_id, row_number() OVER (PARTITION BY player_id ORDER BY move_ts, move_id) AS rn
-    FROM r0o WHERE own_reason IS NULL) WHERE rn = 1
+own AS (SELECT move_id, min(static) AS static, bool_or(elsewhere) AS elsewhere FROM checked GROUP BY move_id),
+seats AS (SELECT player_id, fantasy_team_id, row_number() OVER (ORDER BY player_id) AS seat FROM players),
+steps AS (
+  SELECT row_number() OVER (ORDER BY n.move_ts NULLS LAST, n.move_id) AS step, n.move_id,
+         list(s.seat ORDER BY s.seat) AS pl, list(coalesce(c.from_team, -1) ORDER BY s.seat) AS fr, list(coalesce(c.to_team, -1) ORDER BY s.seat) AS tos
+  FROM named n JOIN own o ON o.move_id = n.move_id AND o.static IS NULL JOIN checked c ON c.move_id = n.move_id JOIN seats s ON s.player_id = c.player_id
+  GROUP BY n.move_ts, n.move_id
 ),
-r1 AS (
-  SELECT r0o.*, CASE WHEN own_reason IS NOT NULL THEN reason0
-                     WHEN f.f_ts <> r0o.move_ts OR f.f_id <> r0o.move_id THEN 3 END AS reason
-  FROM r0o LEFT JOIN firsts f ON f.player_id = r0o.player_id
+run AS (
+  SELECT CAST(0 AS BIGINT) AS step, (SELECT list(coalesce(fantasy_team_id, -1) ORDER BY seat) FROM seats) AS st, FALSE AS accepted
+  UNION ALL
+  SELECT x.step, CASE WHEN x.ok THEN [CASE WHEN list_contains(x.pl, j) THEN x.tos[list_position(x.pl, j)] ELSE x.st[j] END FOR j IN range(1, len(x.st) + 1)] ELSE x.st END, x.ok
+  FROM (
+    SELECT s.step, r.st, s.pl, s.tos, [r.st[k] FOR k IN s.pl] = s.fr AS ok
+    FROM run r JOIN steps s ON s.step = r.step + 1
+  ) x
 ),
-per_move AS (SELECT move_id, min(reason) AS worst FROM r1 GROUP BY move_id),
 decisions AS (
-  SELECT mv.move_id, mv.kind, pm.worst IS NULL AS accepted,
-         ['invalid_move', 'unknown_player', 'wrong_team', 'conflict'][pm.worst + 1] AS reason
-  FROM mv LEFT JOIN per_move pm ON pm.move_id = mv.move_id
+  SELECT n.move_id, n.kind, coalesce(r.accepted, FALSE) AS accepted,
+         CASE WHEN NOT coalesce(r.accepted, FALSE) THEN
+           CASE WHEN o.static = 0 THEN 'invalid_move' WHEN o.static = 1 THEN 'unknown_player'
+                WHEN o.elsewhere THEN 'wrong_team' WHEN o.static = 4 THEN 'unknown_team' ELSE 'conflict' END END AS reason
+  FROM named n JOIN own o ON o.move_id = n.move_id LEFT JOIN steps s ON s.move_id = n.move_id LEFT JOIN run r ON r.step = s.step
+  UNION ALL
+  SELECT move_id, kind, FALSE, 'invalid_move' FROM mv WHERE move_id IS NULL OR move_id NOT IN (SELECT move_id FROM named)
 )
 """
 )
@@ -103,12 +114,9 @@ def roster_moves(spark, d):
 @register(
     "roster_after_moves",
     _MOVES_SQL
-    + """,
-moved AS (
-  SELECT r1.player_id, r1.to_team FROM r1 JOIN decisions d ON d.move_id = r1.move_id WHERE d.accepted
-)
-SELECT p.player_id, CASE WHEN m.player_id IS NOT NULL THEN m.to_team ELSE p.fantasy_team_id END AS fantasy_team_id
-FROM players p LEFT JOIN moved m ON m.player_id = p.player_id""",
+    + """
+SELECT s.player_id, nullif(CAST(last.st[s.seat] AS BIGINT), -1) AS fantasy_team_id
+FROM seats s, (SELECT st FROM run ORDER BY step DESC LIMIT 1) last""",
 )
 def roster_after_moves(spark, d):
     after, _ = _apply(spark, d)
