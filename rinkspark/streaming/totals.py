@@ -5,12 +5,20 @@
            (overwrite: a replayed batch rewrites the same partition)
         2. players the batch touches are re-totalled from the fact table,
            one row per key kept (newest delivery wins: late corrections)
-        3. totals snapshot N = snapshot N-1 with those players replaced;
-           an appended pointer line names snapshot N
+        3. their totals are written as delta N; an appended pointer line names
+           the base and the deltas that make up the totals after batch N
+
+A batch writes the totals of the players it touches only. Every ``COMPACT``
+batches base and deltas are merged into a new base, so readers merge a bounded
+number of folders and the rewriting is a fraction of a batch on average.
 
 Every step is keyed by the batch id, so replaying a batch after a failure
 gives the same tables; there is no running state to double-count. The
 working folders live under the cluster's shared checkpoint directory.
+
+:func:`run_corrections` keeps the rows themselves current instead: a streaming
+aggregation in update mode whose state store holds the greatest landing of each
+key, with a watermark on event time.
 """
 
 from __future__ import annotations
@@ -25,9 +33,30 @@ from pyspark.sql import types as T
 from rinkspark.operators.joins import has_at_most
 from rinkspark.session import ensure_checkpoint_dir
 
+from rinkspark.sources.store import _write_pointer, latest_per_key, path_exists
+
 # Touched players up to this many are passed to the scan as a literal list.
 MAX_LITERAL_IDS = 10_000
-from rinkspark.sources.store import _write_pointer, latest_per_key, read_current, upsert
+# Deltas beside the base after which both are merged into a new base.
+COMPACT = 16
+
+
+def _folders(spark: SparkSession, totals_root: str, below: int | None = None) -> list[str]:
+    """Folders that make up the totals: after the last batch, or before batch
+    ``below`` (a replay does not build on its own result)."""
+    if not path_exists(spark, f"{totals_root}/_CURRENT"):
+        return []
+    lines = spark.read.schema("seq long, path string").option("sep", "\t").csv(f"{totals_root}/_CURRENT")
+    if below is not None:
+        lines = lines.where(F.col("seq") < below)
+    best = lines.agg(F.max(F.struct("seq", "path")).alias("b")).first()["b"]
+    return best.path.split(";") if best else []
+
+
+def _merged(spark: SparkSession, totals_root: str, folders: Sequence[str], key: str) -> DataFrame:
+    """One row per key: that of the last batch that wrote the key."""
+    rows = spark.read.parquet(*[f"{totals_root}/{f}" for f in folders])
+    return latest_per_key(rows, key, ["_batch"])
 
 
 def work_root(spark: SparkSession, name: str) -> str:
@@ -45,7 +74,7 @@ def land_by_day(df: DataFrame, root: str, ts_col: str) -> str:
 def default_totals(fact: DataFrame, key: str, value: str) -> DataFrame:
     return fact.groupBy(key).agg(
         F.count(F.lit(1)).alias("games"),
-        F.sum(F.col(value).cast("decimal(18,2)")).alias("total_points"),
+        F.sum(F.col(value).cast("decimal(28,6)")).alias("total_points"),
     )
 
 
@@ -86,7 +115,6 @@ def run_incremental_totals(
         batch.withColumn("batch_id", F.lit(batch_id)).sortWithinPartitions(player_key).write.mode(
             "overwrite"
         ).parquet(f"{fact_root}/batch_id={batch_id}")
-        prev = None if batch_id == 0 else f"{totals_root}/batch={batch_id - 1}"
         touched = batch.select(player_key).distinct()
         fact = s.read.parquet(fact_root).where(F.col("batch_id") <= batch_id)
         if has_at_most(touched, MAX_LITERAL_IDS):
@@ -96,13 +124,14 @@ def run_incremental_totals(
             scope = fact.join(touched, player_key, "left_semi")
         scope = latest_per_key(scope, keys, order + ["batch_id"])
         fresh = totals_fn(scope, player_key, value)
-        if prev is None:
-            new = fresh
-        else:
-            new = upsert(s.read.parquet(prev), fresh, player_key)
-        out = f"{totals_root}/batch={batch_id}"
-        new.write.mode("overwrite").parquet(out)
-        _write_pointer(s, totals_root, out, batch_id)
+        before = _folders(s, totals_root, below=batch_id)
+        fresh.withColumn("_batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{totals_root}/delta-{batch_id}")
+        folders = [*before, f"delta-{batch_id}"]
+        if len(folders) > COMPACT:
+            base = f"base-{batch_id}"
+            _merged(s, totals_root, folders, player_key).write.mode("overwrite").parquet(f"{totals_root}/{base}")
+            folders = [base]
+        _write_pointer(s, totals_root, ";".join(folders), batch_id)
 
     q = (
         stream.writeStream.foreachBatch(per_batch)
@@ -114,5 +143,55 @@ def run_incremental_totals(
     return root
 
 
-def final_totals(spark: SparkSession, root: str) -> DataFrame:
-    return read_current(spark, f"{root}/totals")
+def final_totals(spark: SparkSession, root: str, key: str = "player_id") -> DataFrame:
+    """The totals after the last batch."""
+    folders = _folders(spark, f"{root}/totals")
+    if not folders:
+        raise FileNotFoundError(f"no totals under {root}")
+    return _merged(spark, f"{root}/totals", folders, key).drop("_batch")
+
+
+def run_corrections(
+    spark: SparkSession,
+    source: str,
+    schema: T.StructType,
+    root: str,
+    *,
+    keys: Sequence[str] = ("game_id", "player_id"),
+    event_time: str = "ts",
+    version_col: str = "landed_at",
+    delay: str = "7 days",
+    max_files_per_trigger: int = 8,
+) -> str:
+    """X1 and X3 with state: what has landed in ``source`` since the last call
+    is streamed through an aggregation (update mode) that holds, per key and
+    event time, the row of the greatest ``version_col``. Repeats and older
+    landings change nothing, in whichever micro-batch they come; a row whose
+    event time is ``delay`` behind the latest one seen is too late and is
+    dropped, and its state is freed. Every batch writes the rows it changed as
+    one folder, replaced if the batch is replayed."""
+    rest = [c for c in schema.names if c not in keys and c not in (version_col, event_time)]
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(source)
+    newest = F.max(F.struct(F.col(version_col), *[F.col(c) for c in rest])).alias("_b")
+    held = rows.withWatermark(event_time, delay).groupBy(*keys, event_time).agg(newest)
+    changed = held.select(*keys, event_time, *[F.col(f"_b.{c}").alias(c) for c in [version_col, *rest]])
+
+    def per_batch(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("_batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{root}/changed/part={batch_id}")
+
+    q = (
+        changed.writeStream.outputMode("update")
+        .foreachBatch(per_batch)
+        .option("checkpointLocation", f"{root}/_checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    q.awaitTermination()
+    return root
+
+
+def corrected(spark: SparkSession, root: str, schema: T.StructType, *, keys: Sequence[str] = ("game_id", "player_id"), event_time: str = "ts") -> DataFrame:
+    """The current rows of :func:`run_corrections`: per key and event time the
+    row that the last batch wrote."""
+    kind = T.StructType([*schema.fields, T.StructField("_batch", T.LongType())])
+    return latest_per_key(spark.read.schema(kind).parquet(f"{root}/changed"), [*keys, event_time], ["_batch"]).drop("_batch").select(*schema.names)
