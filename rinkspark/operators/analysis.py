@@ -297,6 +297,65 @@ def player_report(
     return out.join(recent, "player_id", "left").join(hist, "player_id", "left")
 
 
+def full_report(
+    players: DataFrame,
+    skaters: DataFrame,
+    goalies: DataFrame,
+    schedule: DataFrame,
+    week: str,
+    as_of: DateLike,
+    season,
+    *,
+    difficulty: DataFrame | None = None,
+) -> DataFrame:
+    """Q-14 whole: one row per player of ``players`` (player_id, player_name,
+    team_abbrev, is_goalie) with every part of the report as a nested column:
+
+    - ``week``: the week's games in order, each with its opponent's average,
+      rank and tier for the player's kind (null: no schedule for the team);
+    - ``skater_baseline`` and ``floor``, or ``goalie_baseline`` (Q-7, Q-8,
+      Q-11), null for the other kind and without games;
+    - ``recent``: form of the last days (null without a game);
+    - ``history``: every opponent over all seasons, best average first.
+
+    ``difficulty`` (is_goalie, opponent_abbrev, avg_fpts_allowed, rank) is
+    computed from the facts of ``season`` if it is not given. Parts are
+    aggregates per player joined on the player; the arrays are bounded by the
+    games of a week and by the teams.
+    """
+    if difficulty is None:
+        both = opponent_difficulty(skaters, season).withColumn("is_goalie", F.lit(False))
+        both = both.unionByName(opponent_difficulty(goalies, season).withColumn("is_goalie", F.lit(True)))
+        difficulty = average_rank(both, "avg_fpts_allowed", partition_by=["is_goalie"])
+    who = players.select("player_id", "player_name", "team_abbrev", "is_goalie")
+    game = F.struct("slot", "matchup", "opponent_abbrev", "avg_fpts_allowed", "rank", "difficulty")
+    outlook = matchup_outlook(who, schedule, difficulty, week)
+    outlook = outlook.groupBy("player_id").agg(F.sort_array(F.collect_list(game)).alias("week"))
+
+    def nested(df: DataFrame, name: str) -> DataFrame:
+        parts = [c for c in df.columns if c not in ("player_id", "player_name")]
+        return df.select("player_id", F.struct(*parts).alias(name))
+
+    def kind(fact: DataFrame, goalie: bool, parts: list[DataFrame], save_pct: Column) -> DataFrame:
+        mine = who.where(F.col("is_goalie") == F.lit(goalie))
+        extra = ({"save_pct": "avg_save_pct_last_14_days"}, {"save_pct": "avg_save_pct_against"}) if goalie else (None, None)
+        recent = recent_form(fact, as_of, season=season, extra_avgs=extra[0])
+        hist = history_vs_opponent(fact, extra_avgs=extra[1])
+        if not goalie:
+            recent = recent.withColumn("avg_save_pct_last_14_days", save_pct)
+            hist = hist.withColumn("avg_save_pct_against", save_pct)
+        row = F.struct("avg_fpts_against", "opponent_abbrev", "games_against", "avg_save_pct_against")
+        hist = hist.groupBy("player_id").agg(F.sort_array(F.collect_list(row), asc=False).alias("history"))
+        for part in [*parts, nested(recent, "recent"), hist]:
+            mine = mine.join(part, "player_id", "left")
+        return mine
+
+    null = F.lit(None).cast("double")
+    sk = kind(skaters, False, [nested(skater_baseline(skaters, who, season), "skater_baseline"), nested(peripheral_floor(skaters, season), "floor")], null)
+    gk = kind(goalies, True, [nested(goalie_baseline(goalies, who, season), "goalie_baseline")], null)
+    return sk.unionByName(gk, allowMissingColumns=True).join(outlook, "player_id", "left")
+
+
 # --------------------------------------------------------------------------
 # Q-15: hot list
 # --------------------------------------------------------------------------

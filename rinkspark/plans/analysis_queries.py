@@ -286,8 +286,7 @@ def player_report(spark, d):
 OUTLOOK_WEEK = "1998-W34"
 
 
-@register(
-    "matchup_outlook",
+_OUTLOOK_CTES = (
     S.with_ctes(S.SKATER_LINES_SQL, S.GOALIE_LINES_SQL, S.PLAYERS_SQL, S.CLUB_GAMES_SQL)
     + f""",
 g AS (SELECT * FROM club_games WHERE game_type = 2),
@@ -318,6 +317,14 @@ x AS (
   FROM players p JOIN sched s ON s.team = 'T' || CAST(p.player_id // 10 AS VARCHAR) AND s.week = '{OUTLOOK_WEEK}'
 ),
 y AS (SELECT *, string_split(opponents, ', ')[slot + 1] AS matchup FROM x)
+"""
+)
+
+
+@register(
+    "matchup_outlook",
+    _OUTLOOK_CTES
+    + f"""
 SELECT y.player_id, y.team_abbrev, y.is_goalie, y.week, y.game_count, CAST(y.slot AS INTEGER) AS slot, y.matchup,
        string_split(y.matchup, ' ')[-1] AS opponent_abbrev, d.a + 0.0 AS avg_fpts_allowed, d.rank,
        CASE WHEN d.rank IS NULL THEN 'No difficulty data' ELSE {_tier_sql('d.rank')} END AS difficulty
@@ -328,18 +335,97 @@ def matchup_outlook(spark, d):
     from rinkspark.operators.calendar import weekly_schedule
     from rinkspark.plans.calendar_queries import regular_games
 
+    players = S.players(spark, d).select("player_id", S.club(F.col("player_id")).alias("team_abbrev"), "is_goalie")
+    out = A.matchup_outlook(players, weekly_schedule(regular_games(spark, d)), _club_difficulty(spark, d), OUTLOOK_WEEK)
+    return out.select(
+        "player_id", "team_abbrev", "is_goalie", "week", "game_count", "slot", "matchup", "opponent_abbrev",
+        "avg_fpts_allowed", "rank", "difficulty",
+    )
+
+
+def _club_difficulty(spark, d):
     def difficulty(lines, goalie):
         clubs = lines.withColumn("opponent_abbrev", S.club(F.col("player_id"), 1))
         # Rounded before ranking: equal averages must tie in any engine.
         return A.opponent_difficulty(clubs, ORDERS_SEASON).withColumn("avg_fpts_allowed", rnd4(F.col("avg_fpts_allowed"))).withColumn("is_goalie", F.lit(goalie))
 
     both = difficulty(S.skater_lines(spark, d), False).unionByName(difficulty(S.goalie_lines(spark, d), True))
-    diff = A.average_rank(both, "avg_fpts_allowed", partition_by=["is_goalie"])
-    players = S.players(spark, d).select("player_id", S.club(F.col("player_id")).alias("team_abbrev"), "is_goalie")
-    out = A.matchup_outlook(players, weekly_schedule(regular_games(spark, d)), diff, OUTLOOK_WEEK)
+    return A.average_rank(both, "avg_fpts_allowed", partition_by=["is_goalie"])
+
+
+@register(
+    "player_report_full",
+    _OUTLOOK_CTES
+    + f""",
+m AS (
+  SELECT y.player_id, string_agg(y.matchup || ' ' || coalesce(CAST(d.rank AS VARCHAR), '-') || ' '
+           || CASE WHEN d.rank IS NULL THEN 'No difficulty data' ELSE {_tier_sql('d.rank')} END, ', ' ORDER BY y.slot) AS week
+  FROM y LEFT JOIN diff d ON d.is_goalie = y.is_goalie AND d.opponent_abbrev = string_split(y.matchup, ' ')[-1]
+  GROUP BY y.player_id
+),
+sb AS (
+  SELECT player_id, count(game_id) AS games, avg(total_fpts) AS f, avg(goals) AS g, avg(shots) AS sog, avg(toi_seconds) / 60.0 AS toi,
+         avg(hits) * 0.1 + avg(blocked_shots) * 0.5 AS floor_points
+  FROM skater_lines WHERE season = '{ORDERS_SEASON}' GROUP BY player_id
+),
+gb AS (
+  SELECT player_id, count(game_id) AS games, avg(total_fpts) AS f, avg(saves) AS saves, CAST(sum(wins) AS BIGINT) AS wins
+  FROM goalie_lines WHERE season = '{ORDERS_SEASON}' GROUP BY player_id
+),
+rc AS (
+  SELECT FALSE AS is_goalie, player_id, count(game_id) AS games, avg(total_fpts) AS f, CAST(NULL AS DOUBLE) AS pct
+  FROM skater_lines WHERE season = '{ORDERS_SEASON}' AND game_date >= DATE '{REPORT_AS_OF}' - INTERVAL 14 DAY GROUP BY player_id
+  UNION ALL
+  SELECT TRUE, player_id, count(game_id), avg(total_fpts), avg(save_pct)
+  FROM goalie_lines WHERE season = '{ORDERS_SEASON}' AND game_date >= DATE '{REPORT_AS_OF}' - INTERVAL 14 DAY GROUP BY player_id
+),
+hs AS (
+  SELECT is_goalie, player_id, count(*) AS n, first(opponent_abbrev ORDER BY a DESC, opponent_abbrev DESC) AS best, CAST(sum(c) AS BIGINT) AS games
+  FROM (SELECT FALSE AS is_goalie, player_id, opponent_abbrev, avg(total_fpts) AS a, count(game_id) AS c FROM skater_lines GROUP BY ALL
+        UNION ALL SELECT TRUE, player_id, opponent_abbrev, avg(total_fpts), count(game_id) FROM goalie_lines GROUP BY ALL)
+  GROUP BY is_goalie, player_id
+)
+SELECT p.player_id, p.player_name, p.is_goalie, m.week,
+       coalesce(sb.games, gb.games) AS games_played, round(coalesce(sb.f, gb.f), 4) + 0.0 AS avg_fpts, round(sb.g, 4) AS avg_g,
+       round(sb.sog, 4) AS avg_sog, round(sb.toi, 4) AS avg_toi_min, round(sb.floor_points, 4) AS floor_points,
+       round(gb.saves, 4) AS avg_saves, gb.wins AS total_wins,
+       rc.games AS recent_games, round(rc.f, 4) + 0.0 AS recent_fpts, round(rc.pct, 4) AS recent_save_pct,
+       hs.n AS n_opponents, hs.games AS history_games
+FROM players p LEFT JOIN m ON m.player_id = p.player_id
+LEFT JOIN sb ON sb.player_id = p.player_id AND NOT p.is_goalie LEFT JOIN gb ON gb.player_id = p.player_id AND p.is_goalie
+LEFT JOIN rc ON rc.player_id = p.player_id AND rc.is_goalie = p.is_goalie
+LEFT JOIN hs ON hs.player_id = p.player_id AND hs.is_goalie = p.is_goalie""",
+)
+def player_report_full(spark, d):
+    """Q-14 with all its parts (Q-1..Q-14) for every player."""
+    from rinkspark.operators.calendar import weekly_schedule
+    from rinkspark.plans.calendar_queries import regular_games
+
+    players = S.players(spark, d).select("player_id", "player_name", S.club(F.col("player_id")).alias("team_abbrev"), "is_goalie")
+    out = A.full_report(
+        players, S.skater_lines(spark, d), S.goalie_lines(spark, d), weekly_schedule(regular_games(spark, d)), OUTLOOK_WEEK, REPORT_AS_OF, ORDERS_SEASON,
+        difficulty=_club_difficulty(spark, d),
+    )
+    game = lambda g: F.concat_ws(" ", g["matchup"], F.coalesce(g["rank"].cast("string"), F.lit("-")), g["difficulty"])
+    sb, gb, recent = (F.col(c) for c in ("skater_baseline", "goalie_baseline", "recent"))
     return out.select(
-        "player_id", "team_abbrev", "is_goalie", "week", "game_count", "slot", "matchup", "opponent_abbrev",
-        "avg_fpts_allowed", "rank", "difficulty",
+        "player_id",
+        "player_name",
+        "is_goalie",
+        F.array_join(F.transform("week", game), ", ").alias("week"),
+        F.coalesce(sb["games_played"], gb["games_played"]).alias("games_played"),
+        rnd4(F.coalesce(sb["avg_fpts"], gb["avg_fpts"])).alias("avg_fpts"),
+        rnd4(sb["avg_g"]).alias("avg_g"),
+        rnd4(sb["avg_sog"]).alias("avg_sog"),
+        rnd4(sb["avg_toi_min"]).alias("avg_toi_min"),
+        rnd4(F.col("floor")["avg_peripheral_fpts"]).alias("floor_points"),
+        rnd4(gb["avg_saves"]).alias("avg_saves"),
+        gb["total_wins"].cast("bigint").alias("total_wins"),
+        recent["games_last_14_days"].alias("recent_games"),
+        rnd4(recent["avg_fpts_last_14_days"]).alias("recent_fpts"),
+        rnd4(recent["avg_save_pct_last_14_days"]).alias("recent_save_pct"),
+        F.when(F.col("history").isNotNull(), F.size("history")).cast("bigint").alias("n_opponents"),
+        F.aggregate("history", F.lit(0).cast("bigint"), lambda x, h: x + h["games_against"]).alias("history_games"),
     )
 
 

@@ -59,18 +59,9 @@ def schedule_games(spark, d):
     return games.select("game_id", "season", F.col("start_time_utc").cast("timestamp_ntz").alias("start_time_utc"), "game_state", "home_abbrev", "away_abbrev")
 
 
-@register(
-    "boxscore_lines",
-    S.with_ctes(Q.BOX_SQL)
-    + """
-SELECT game_id, player_id, CASE box_position WHEN 'G' THEN 'goalies' WHEN 'D' THEN 'defense' ELSE 'forwards' END AS "group",
-       box_name, box_position, goals, assists, shots, hits, saves, goals_against, decision
-FROM box_lines""",
-)
-def boxscore_lines(spark, d):
-    """One box score per order with its player arrays, landed twice
-    (a first landing without goals loses)."""
-    lines = Q.box_lines(spark, d)
+def _box_docs(rows, landed_at):
+    """Box-score documents of lines: players of even ids are the away side's;
+    arrays are in the order of the player ids."""
     line = F.struct(
         F.col("player_id").alias("playerId"),
         F.struct(F.col("box_name").alias("default")).alias("name"),
@@ -86,19 +77,60 @@ def boxscore_lines(spark, d):
         "decision",
         F.col("jersey_number").alias("sweaterNumber"),
     )
+    p = F.col("box_position")
+    groups = {"forwards": ~p.isin("G", "D"), "defense": p == "D", "goalies": p == "G"}
 
-    def docs(rows, landed_at):
-        def group(cond):
-            return F.collect_list(F.when(cond, line))  # a game's lines: seven at most
+    def side(rest):
+        mine = F.col("player_id") % 2 == rest
+        return F.struct(*[F.array_sort(F.collect_list(F.when(mine & cond, line))).alias(g) for g, cond in groups.items()])  # seven lines at most
 
-        p = F.col("box_position")
-        side = F.struct(group(~p.isin("G", "D")).alias("forwards"), group(p == "D").alias("defense"), group(p == "G").alias("goalies"))
-        out = rows.groupBy(F.col("game_id").alias("id")).agg(F.struct(side.alias("homeTeam")).alias("playerByGameStats"))
-        return out.withColumn("landed_at", F.lit(landed_at))
+    out = rows.groupBy(F.col("game_id").alias("id")).agg(F.struct(side(0).alias("awayTeam"), side(1).alias("homeTeam")).alias("playerByGameStats"))
+    return out.withColumn("landed_at", F.lit(landed_at))
 
-    path = _land(spark, "boxscores", docs(lines.withColumn("goals", F.lit(0)), EARLY), docs(lines, LATE))
+
+@register(
+    "boxscore_lines",
+    S.with_ctes(Q.BOX_SQL)
+    + """,
+sided AS (
+  SELECT *, CASE WHEN player_id % 2 = 0 THEN 'away' ELSE 'home' END AS side,
+         CASE box_position WHEN 'G' THEN 'goalies' WHEN 'D' THEN 'defense' ELSE 'forwards' END AS "group"
+  FROM box_lines
+)
+SELECT game_id, player_id, side, "group",
+       CAST(row_number() OVER (PARTITION BY game_id ORDER BY side, CASE "group" WHEN 'forwards' THEN 0 WHEN 'defense' THEN 1 ELSE 2 END, player_id) - 1 AS INTEGER) AS slot,
+       box_name, box_position, goals, assists, shots, hits, saves, goals_against, decision
+FROM sided""",
+)
+def boxscore_lines(spark, d):
+    """One box score per order with the player arrays of both sides,
+    landed twice (a first landing without goals loses)."""
+    lines = Q.box_lines(spark, d)
+    path = _land(spark, "boxscores", _box_docs(lines.withColumn("goals", F.lit(0)), EARLY), _box_docs(lines, LATE))
     out = L.box_lines(L.read_boxscores(spark, path))
-    return out.select("game_id", "player_id", "group", "box_name", "box_position", "goals", "assists", "shots", "hits", "saves", "goals_against", "decision")
+    return out.select("game_id", "player_id", "side", "group", "slot", "box_name", "box_position", "goals", "assists", "shots", "hits", "saves", "goals_against", "decision")
+
+
+@register(
+    "register_replay",
+    Q.ENRICH_SQL
+    + """
+SELECT game_id, player_id, game_date, season, team_abbrev, opponent_abbrev, player_name, raw_position AS position, goals, assists, shots, hits
+FROM e WHERE raw_position NOT IN ('G', 'N/A')""",
+)
+def register_replay(spark, d):
+    """S10 with payload: landed box scores and logs go into the register as
+    VARIANT, an earlier landing without goals first; the skater facts are then
+    rebuilt from the register alone."""
+    root = work_root(spark, "register")
+    log = Q.log_lines(spark, d)
+    for lines, at in ((Q.box_lines(spark, d).withColumn("goals", F.lit(0)), EARLY), (Q.box_lines(spark, d), LATE)):
+        path = _land(spark, f"register-{at[:10]}", _box_docs(lines, at))
+        L.register_payload(L.read_boxscores(spark, path), log).write.mode("append").parquet(f"{root}/register")
+    box, again = L.replay_payload(spark.read.parquet(f"{root}/register"), log.schema)
+    facts = I.skater_fact(I.enrich(again, L.box_lines(box), Q.headers(spark, d), Q.team_names(spark, d)))
+    facts = facts.where(F.col("position") != "N/A")  # the register holds games with a box score
+    return facts.select("game_id", "player_id", "game_date", "season", "team_abbrev", "opponent_abbrev", "player_name", "position", "goals", "assists", "shots", "hits")
 
 
 @register(

@@ -257,6 +257,31 @@ def register_entries(games: DataFrame, landed_at=None) -> DataFrame:
     return games.select("game_id", status.alias("status"), ts.alias("cached_at"))
 
 
+def register_payload(box: DataFrame, log: DataFrame) -> DataFrame:
+    """S10 with payload: rows (game_id, landed_at, payload) of box scores, one
+    per game, with the raw box score and the game's log lines as one VARIANT
+    (``$.box``, ``$.lines``). A game's lines are a roster's worth."""
+    body = [c for c in box.columns if c not in ("landed_at", CORRUPT)]
+    lines = log.groupBy(F.col("game_id").alias("id")).agg(F.collect_list(F.struct(*[F.col(c) for c in log.columns if c != "game_id"])).alias("lines"))
+    landed = F.col("landed_at") if "landed_at" in box.columns else F.lit(None).cast("timestamp")
+    rows = box.select("id", landed.alias("landed_at"), F.struct(*body).alias("box")).join(lines, "id", "left")
+    return rows.select(F.col("id").alias("game_id"), "landed_at", F.parse_json(F.to_json(F.struct("box", "lines"))).alias("payload"))
+
+
+def replay_payload(register: DataFrame, log_schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """Box scores and log lines from the register alone: what
+    :func:`register_payload` was given (``log_schema``: its log columns), of
+    the last landing per game."""
+    doc = T.StructType([f for f in schemas.BOXSCORE.fields if f.name != "landed_at"])
+    line = T.StructType([f for f in log_schema.fields if f.name != "game_id"])
+    last = register.groupBy("game_id").agg(F.max("landed_at").alias("last"))
+    kept = register.join(last, "game_id").where(F.col("landed_at").eqNullSafe(F.col("last"))).dropDuplicates(["game_id"])
+    part = lambda path, kind: F.from_json(F.to_json(F.variant_get("payload", path, "variant")), kind)
+    box = kept.select(part("$.box", doc).alias("b"), "landed_at").select("b.*", "landed_at")
+    lines = kept.select("game_id", F.explode(part("$.lines", T.ArrayType(line))).alias("l")).select("game_id", "l.*")
+    return box, lines.select(*log_schema.names)
+
+
 def games_to_process(requested: DataFrame, register: DataFrame) -> DataFrame:
     """Requested games that are not yet landed as final (anti-join)."""
     final = register.where(F.col("status") == "final").select("game_id")

@@ -141,3 +141,22 @@ def test_team_maps_both_ways(spark):
     out = {r.team_name: r.team_abbrev for r in I.with_team_code(df, I.team_code_map(spark)).collect()}
     assert out == {"Montréal Canadiens": "MTL", "Nowhere": None}
     assert I.team_map(spark).count() == I.team_code_map(spark).count() == 32
+
+
+def test_register_payload_replays_what_was_landed(spark, tmp_dir):
+    """Box scores and log lines come back from the VARIANT, of the last landing."""
+    docs = []
+    for gid, goals, at in ((1, 3, "2025-11-02T01:00:00Z"), (1, 2, "2025-11-03T01:00:00Z"), (2, 1, "2025-11-02T01:00:00Z")):
+        doc = {**box_doc(), "id": gid, "landed_at": at}
+        doc["playerByGameStats"]["awayTeam"]["forwards"][0]["goals"] = goals
+        docs.append(doc)
+    log = spark.createDataFrame([(1, 1, "10:00", None), (1, 3, "é", 4), (9, 1, "x", 1)], "game_id long, player_id long, toi string, shifts int")
+    root = f"{tmp_dir}/register"
+    for n, part in enumerate((docs[:1] + docs[2:], docs[1:2])):
+        write_lines(f"{tmp_dir}/box-{n}/b.json", part)
+        L.register_payload(L.read_boxscores(spark, f"{tmp_dir}/box-{n}"), log).write.mode("append").parquet(root)
+    box, lines = L.replay_payload(spark.read.parquet(root), log.schema)
+    want = L.read_boxscores(spark, f"{tmp_dir}/box-*")
+    assert sorted(L.box_lines(box).collect(), key=str) == sorted(L.box_lines(want).collect(), key=str)
+    assert sorted(L.box_headers(box).collect()) == sorted(L.box_headers(want).collect())
+    assert sorted(tuple(r) for r in lines.collect()) == [(1, 1, "10:00", None), (1, 3, "é", 4)]
