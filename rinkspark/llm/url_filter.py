@@ -3,9 +3,15 @@
 1. An explicit rule list decides first: a rule ``host/path`` fits its host and
    all subdomains if the url's path starts with the rule's; the longest wins.
 2. The rest is judged by a template tree. Per host, depth by depth, a segment
-   stays literal if it is frequent below its parent; every other one becomes a
-   wildcard (its extension is kept). Literal siblings that are statistically
-   alike are merged into one branch ``{a|b}``.
+   of ``MIN_URLS`` urls or more below its parent is literal, however large the
+   parent is; every other one becomes a wildcard (its extension is kept).
+   Literal siblings that are statistically alike are merged into one branch:
+   they are binned by bad share and by the share of urls that go deeper, and
+   neighbouring bins that two-proportion tests cannot tell apart are joined
+   (named ``{a|+2}``: the least segment and how many more). So a parent has as
+   many branches as bins at most, and no window holds more than its bins. The
+   tree ends where no parent has ``MIN_URLS`` urls left; what is below are
+   wildcards.
 3. A template with labelled urls whose smoothed share of bad ones reaches a
    bound is rejected. Labels are the rules' own verdicts, or a 0/1 column of the input.
 
@@ -29,11 +35,10 @@ from pyspark.sql import functions as F
 
 from rinkspark.llm.common import ref, staged
 
-#: A segment stays literal from this many urls and this share of its parent's.
+#: A segment is literal from this many urls below its parent.
 MIN_URLS = 8
-MIN_SHARE = 0.02
-#: Segments deeper than this are one wildcard tail.
-MAX_DEPTH = 8
+#: Bins of the bad share and of the share of deeper urls.
+BINS = 20
 #: Two siblings differ if a two-proportion test exceeds this many deviations.
 MERGE_Z = 1.96
 #: Weights of the host's and the whole table's bad share, in urls.
@@ -92,10 +97,12 @@ def _branches(rows: DataFrame, depth: int) -> DataFrame:
         F.sum("bad").alias("bad"),
         F.sum((F.size("segs") > depth + 1).cast("long")).alias("deeper"),
     ).filter(F.col("n") >= MIN_URLS)
-    parent = rows.filter(F.size("segs") > depth).groupBy("host", "template").agg(F.count("*").alias("all"))
-    literal = child.join(parent, ["host", "template"]).filter(F.col("n") >= MIN_SHARE * F.col("all"))
-    # At most 1 / MIN_SHARE siblings: their window and name list are bounded.
-    order = Window.partitionBy("host", "template").orderBy((F.col("labelled") > 0).cast("int"), F.col("bad") / F.greatest("labelled", F.lit(1)), F.col("deeper") / F.col("n"), "seg")
+    bad_bin = F.when(F.col("labelled") > 0, F.floor(BINS * F.col("bad") / F.col("labelled"))).otherwise(F.lit(-1))
+    child = staged(child.withColumns({"bad_bin": bad_bin.cast("int"), "deep_bin": F.floor(BINS * F.col("deeper") / F.col("n")).cast("int")}), "url-children")
+
+    keys = ["host", "template", "bad_bin", "deep_bin"]
+    bins = child.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "bad", "deeper")], F.min("seg").alias("least"), F.count("*").alias("segments"))
+    order = Window.partitionBy("host", "template").orderBy("bad_bin", "deep_bin")  # a few hundred bins at most
     before = {c: F.lag(c).over(order) for c in ("n", "labelled", "bad", "deeper")}
     parts = (
         before["n"].isNull()
@@ -103,25 +110,31 @@ def _branches(rows: DataFrame, depth: int) -> DataFrame:
         | _differs(F.col("bad"), F.col("labelled"), before["bad"], before["labelled"])
         | _differs(F.col("deeper"), F.col("n"), before["deeper"], before["n"])
     )
-    grouped = literal.withColumn("opens", parts.cast("int")).withColumn("group", F.sum("opens").over(order))
-    names = grouped.withColumn("names", F.sort_array(F.collect_set("seg").over(Window.partitionBy("host", "template", "group"))))
-    branch = F.when(F.size("names") == 1, F.col("seg")).otherwise(F.concat(F.lit("{"), F.array_join("names", "|"), F.lit("}")))
-    return names.select("host", "template", "seg", branch.alias("branch"))
+    grouped = bins.withColumn("opens", parts.cast("int")).withColumn("group", F.sum("opens").over(order))
+    group = Window.partitionBy("host", "template", "group")
+    grouped = grouped.withColumns({"name": F.min("least").over(group), "size": F.sum("segments").over(group)})
+    branch = F.when(F.col("size") == 1, F.col("name")).otherwise(F.concat(F.lit("{"), "name", F.lit("|+"), (F.col("size") - 1).cast("string"), F.lit("}")))
+    names = grouped.select(*keys, "group", branch.alias("branch"))
+    return child.join(_small(staged(names, "url-bins")), keys).select("host", "template", "seg", "branch")
 
 
-def with_templates(rows: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def with_templates(rows: DataFrame) -> DataFrame:
     """Add ``template`` to rows (host, segs, labelled, bad, ...)."""
-    deepest = rows.agg(F.max(F.size("segs"))).first()[0] or 0
-    out = rows.withColumn("template", F.lit(""))
-    for depth in range(min(deepest, max_depth)):
+    out, depth = rows.withColumn("template", F.lit("")), 0
+    while True:
+        parents = out.filter(F.size("segs") > depth).groupBy("host", "template").count()
+        if (parents.agg(F.max("count")).first()[0] or 0) < MIN_URLS:
+            break
         branches = staged(_branches(out, depth), "url-branches")
         seg = F.get("segs", F.lit(depth))
         out = out.withColumn("seg", F.coalesce(seg, F.lit(""))).join(_small(branches), ["host", "template", "seg"], "left")
         step = F.when(F.size("segs") > depth, F.concat(F.lit("/"), F.coalesce("branch", _wildcard(F.col("seg"))))).otherwise(F.lit(""))
         out = out.withColumn("template", F.concat("template", step)).drop("seg", "branch")
-    if deepest > max_depth:
-        out = out.withColumn("template", F.when(F.size("segs") > max_depth, F.concat("template", F.lit("/**"))).otherwise(F.col("template")))
-    return out
+        if depth % 2:
+            out = staged(out, "url-templates")
+        depth += 1
+    rest = F.transform(F.slice("segs", depth + 1, F.greatest(F.size("segs") - depth, F.lit(0))), lambda x: F.concat(F.lit("/"), _wildcard(x)))
+    return out.withColumn("template", F.concat("template", F.array_join(rest, "")))
 
 
 def rejected_templates(rows: DataFrame) -> DataFrame:

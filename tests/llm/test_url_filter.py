@@ -2,9 +2,10 @@
 
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
-from rinkspark.llm.url_filter import HOST_PRIOR, MERGE_Z, MIN_SHARE, MIN_URLS, REJECT, TEMPLATE_PRIOR, judge_urls, rule_struct, url_host, url_path, with_templates
+from rinkspark.llm.url_filter import BINS, HOST_PRIOR, MERGE_Z, MIN_URLS, REJECT, TEMPLATE_PRIOR, judge_urls, rule_struct, url_host, url_path
 from rinkspark.llm.url_queries import RULES
 
 
@@ -49,27 +50,28 @@ def brute(rows):
 
     tmpl = {i: "" for i, *_ in rows}
     for d in range(max((len(s) for _, _, s, _ in rows), default=0)):
-        children, parents = defaultdict(list), Counter()
+        children = defaultdict(list)
         for i, h, s, y in rows:
             if len(s) > d:
                 children[h, tmpl[i], s[d]].append((y, len(s) > d + 1))
-                parents[h, tmpl[i]] += 1
-        siblings = defaultdict(list)
+        siblings = defaultdict(lambda: defaultdict(lambda: [0, 0, 0, 0, []]))
         for (h, t, seg), got in children.items():
             n, lab, bad, deep = len(got), sum(y is not None for y, _ in got), sum(y or 0 for y, _ in got), sum(x for _, x in got)
-            if n >= MIN_URLS and n >= MIN_SHARE * parents[h, t]:
-                siblings[h, t].append((lab > 0, bad / max(lab, 1), deep / n, seg, n, lab, bad, deep))
+            if n >= MIN_URLS:
+                own = siblings[h, t][BINS * bad // lab if lab else -1, BINS * deep // n]
+                own[:4] = [own[0] + n, own[1] + lab, own[2] + bad, own[3] + deep]
+                own[4].append(seg)
         branch = {}
-        for key, group in siblings.items():
+        for key, bins in siblings.items():
             names, last = [], None
-            for x in sorted(group):
-                if last is None or x[0] != last[0] or differs(x[6], x[5], last[6], last[5]) or differs(x[7], x[4], last[7], last[4]):
+            for _, x in sorted(bins.items()):
+                if last is None or (x[1] > 0) != (last[1] > 0) or differs(x[2], x[1], last[2], last[1]) or differs(x[3], x[0], last[3], last[0]):
                     names.append([])
-                names[-1].append(x[3])
+                names[-1].extend(x[4])
                 last = x
             for g in names:
                 for seg in g:
-                    branch[(*key, seg)] = seg if len(g) == 1 else "{" + "|".join(sorted(g)) + "}"
+                    branch[(*key, seg)] = seg if len(g) == 1 else f"{{{min(g)}|+{len(g) - 1}}}"
         new = {}
         for i, h, s, _ in rows:
             if len(s) > d:
@@ -121,9 +123,26 @@ def test_templates_without_labels_are_not_rejected(spark):
     assert got == {i: "block" if i < 100 else "allow" for i in got} and len(got) == 90
 
 
-def test_deep_paths_end_in_a_tail(spark):
-    df = spark.createDataFrame([(1, "h", ["a", "b", "c"], 0, 0)], "i long, host string, segs array<string>, labelled long, bad long")
-    assert with_templates(df, max_depth=2).first()["template"] == "/*/*/**"
+@pytest.mark.parametrize("sections", [20, 60, 1000])
+def test_a_bad_branch_is_seen_on_a_host_of_any_size(spark, sections):
+    rows = [(k, f"http://h.com/s0/{k}", 1 if k < 40 else None) for k in range(60)]
+    rows += [(1000 + 40 * n + k, f"http://h.com/s{n}/{k}", 0 if k < 10 else None) for n in range(1, sections) for k in range(40)]
+    got = judge_urls(spark.createDataFrame(rows, "page_id long, url string, label int"), [], bad_col="label")
+    assert {(r.bad, r.verdict) for r in got.select((F.col("page_id") < 1000).alias("bad"), "verdict").distinct().collect()} == {(True, "block"), (False, "allow")}
+
+
+def test_many_siblings_and_deep_paths_equal_brute_force(spark):
+    rows = []
+    for k in range(900):  # 60 literal siblings of one parent, some bad, with different depths
+        seg = k % 60
+        rows.append((k, "h", [f"s{seg:02d}", *["x"] * (seg % 3), f"{k}.html"], (1 if seg < 7 else 0) if k % 2 else None))
+    for k in range(40):  # twelve levels, told apart at the tenth
+        rows.append((2000 + k, "h", [*"abcdefghi", "bad" if k % 2 else "good", "y", str(k)], k % 2))
+    rows += [(3000, "h", ["z"] * 3000, None), (3001, "", [], None), (3002, "é", ["ä.PDF", "b"], 1)]
+    df = spark.createDataFrame([(i, f"http://{h}/" + "/".join(s) if h else None, y) for i, h, s, y in rows], "page_id long, url string, label int")
+    got = {r.page_id: (r.template, r.verdict) for r in judge_urls(df, [], bad_col="label").collect()}
+    assert got == brute(rows)
+    assert got[2001][1] == "block" and got[2000][1] == "allow" and len({t for t, _ in got.values() if t.startswith("/{s")}) >= 2
 
 
 def test_empty_table(spark):
