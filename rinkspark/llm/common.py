@@ -84,6 +84,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Longest text, in bytes, that a sample takes to the driver.
+SAMPLE_TEXT_BYTES = 1 << 16
+
+
+def spread_sample(docs: DataFrame, text_col: str, rows: int) -> list[str]:
+    """Texts of ``rows`` rows from all over the table, the same ones each time
+    for the same partitions: those of the least random numbers, found task by
+    task. At most ``rows * SAMPLE_TEXT_BYTES`` bytes reach the driver, since
+    longer texts (and nulls) are not taken. It scans the text column once."""
+    texts = docs.select(ref(docs, text_col).alias("t")).filter(F.octet_length("t") <= SAMPLE_TEXT_BYTES)
+    return [t for t, _ in texts.withColumn("r", F.rand(11)).orderBy("r").limit(rows).collect()]
+
+
 class Buckets:
     """Tables bucketed by one key, so that joins on it do not shuffle them."""
 

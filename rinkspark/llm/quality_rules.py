@@ -1,10 +1,12 @@
 """Quality rules as a short-circuit cascade, in Spark expressions only.
 
 Every rule is a reject condition over a text and its word array. Cost and
-selectivity of the rules are estimated on a bounded sample; the rules are then
-tried in order of rejections per cost, and the first that fires ends the row's
-evaluation (a CASE expression evaluates its branches in order). The order
-changes the speed, never the verdict.
+selectivity of the rules are estimated on a bounded sample from all over the
+table; the rules are then tried in order of rejections per cost, and the first
+that fires ends the row's evaluation (a CASE expression evaluates its branches
+in order). The order changes the speed, never the verdict. A rule's cost is the
+work of its expression on the sample, in characters read, not a measured time:
+the same documents give the same order.
 
 Defined results: a null or empty text has no words, all counts are 0 and
 ``few_words`` rejects it. Repeated rows are judged alike, each on its own. Extra
@@ -13,14 +15,13 @@ columns are passed through; added names that clash get a trailing underscore.
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rinkspark.llm.common import free_name, let, ref
+from rinkspark.llm.common import free_name, let, ref, spread_sample
 
 SPACE = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\f\r"
@@ -87,23 +88,25 @@ def n_repeat_words(words: Column) -> Column:
 
 @dataclass(frozen=True)
 class Rule:
-    """``reject(text, words)`` is true for a text that the rule rejects."""
+    """``reject(text, words)`` is true for a text that the rule rejects;
+    ``work(text, words)`` is about the number of characters that takes."""
 
     name: str
     reject: Callable[[Column, Column], Column]
+    work: Callable[[Column, Column], Column] = lambda t, w: F.char_length(t)
 
 
 BASE_RULES = [
-    Rule("few_words", lambda t, w: n_words(w) < 50),
-    Rule("repeated_words", lambda t, w: n_repeat_words(w) * 100 > n_words(w) * 50),
+    Rule("few_words", lambda t, w: n_words(w) < 50, lambda t, w: F.lit(1)),
+    Rule("repeated_words", lambda t, w: n_repeat_words(w) * 100 > n_words(w) * 50, lambda t, w: F.size(w) * 40),
 ]
 #: More than 3 symbols for 10 words, 4 of 10 lines repeated, capitals in half
 #: of the characters, words shorter than 2 or longer than 20 on average.
 FURTHER_RULES = [
     Rule("symbols", lambda t, w: n_symbols(t) * 10 > n_words(w) * 3),
-    Rule("repeated_lines", lambda t, w: n_dup_lines(t) * 10 > F.size(worded_lines(t)) * 4),
-    Rule("capitals", lambda t, w: F.regexp_count(F.coalesce(t, F.lit("")), F.lit("[A-Z]")) * 2 > word_chars(w)),
-    Rule("word_length", lambda t, w: (word_chars(w) < n_words(w) * 2) | (word_chars(w) > n_words(w) * 20)),
+    Rule("repeated_lines", lambda t, w: n_dup_lines(t) * 10 > F.size(worded_lines(t)) * 4, lambda t, w: F.char_length(t) * 2),
+    Rule("capitals", lambda t, w: F.regexp_count(F.coalesce(t, F.lit("")), F.lit("[A-Z]")) * 2 > word_chars(w), lambda t, w: F.char_length(t) + F.size(w) * 2),
+    Rule("word_length", lambda t, w: (word_chars(w) < n_words(w) * 2) | (word_chars(w) > n_words(w) * 20), lambda t, w: F.size(w) * 4),
 ]
 RULES = BASE_RULES + FURTHER_RULES
 
@@ -111,32 +114,28 @@ RULES = BASE_RULES + FURTHER_RULES
 def order_rules(docs: DataFrame, text_col: str, rules: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """Rules by rejections per cost, greedily: after the first choice, the
     rejections of the next are counted among the rows that the ones before
-    let through.
+    let through; ties by name.
 
-    The sample is the first ``sample_rows`` rows that Spark finds, taken through
-    the driver (Spark reads no more partitions than they need). The counts
-    of each combination of verdicts come from one grouped query (at most
-    ``sample_rows`` rows); the cost of a rule is the time of its own query
-    over the sample above that of a query without a rule.
+    The sample's texts are taken through the driver, bounded in rows and bytes
+    (``spread_sample``). One grouped query gives the number of rows and the
+    work of every rule for each combination of verdicts.
     """
     if len(rules) < 2:
         return list(rules)
-    rows = docs.select(ref(docs, text_col).alias("t")).limit(sample_rows).collect()
+    rows = [(t,) for t in spread_sample(docs, text_col, sample_rows)]
     sample = docs.sparkSession.createDataFrame(rows, "t string").withColumn("w", words_of(F.col("t")))
-    verdicts = [r.reject(F.col("t"), F.col("w")).cast("int").alias(f"r{i}") for i, r in enumerate(rules)]
-    seen = [tuple(x) for x in sample.select(*verdicts).groupBy(*[f"r{i}" for i in range(len(rules))]).count().collect()]
-
-    def seconds(value: Column) -> float:
-        began = time.perf_counter()
-        sample.agg(F.max(value)).collect()
-        return time.perf_counter() - began
-
-    idle = seconds(F.size("w"))
-    cost = [max(1e-4, seconds(r.reject(F.col("t"), F.col("w"))) - idle) for r in rules]
-    left, order = list(range(len(rules))), []
+    t, w = F.col("t"), F.col("w")
+    verdicts = [r.reject(t, w).cast("int").alias(f"r{i}") for i, r in enumerate(rules)]
+    works = [r.work(t, w).cast("long").alias(f"c{i}") for i, r in enumerate(rules)]
+    names = [f"r{i}" for i in range(len(rules))]
+    sums = [F.sum(f"c{i}").alias(f"c{i}") for i in range(len(rules))]
+    seen = [tuple(x) for x in sample.select(*verdicts, *works).groupBy(*names).agg(F.count("*").alias("n"), *sums).collect()]
+    at = len(rules)
+    left, order = list(range(at)), []
     while left:
-        gain = {i: sum(x[-1] for x in seen if x[i]) for i in left}
-        best = max(left, key=lambda i: (gain[i] / cost[i], -cost[i]))
+        gain = {i: sum(x[at] for x in seen if x[i]) for i in left}
+        cost = {i: 1 + sum(x[at + 1 + i] for x in seen) for i in left}
+        best = min(left, key=lambda i: (-gain[i] / cost[i], cost[i], rules[i].name))
         order.append(rules[best])
         left.remove(best)
         seen = [x for x in seen if not x[best]]

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rinkspark.llm.common import free_name, map_texts, ref
+from rinkspark.llm.common import free_name, map_texts, ref, spread_sample
 from rinkspark.llm.text_arrays import span_hashes
 from rinkspark.llm.word_pieces import BYTE_PATTERN, CACHE_WORDS, WordCache, cutter, library_encoder, load
 
@@ -111,13 +111,14 @@ class Lengths(WordCache):
 
 
 def build_table(docs: DataFrame, text_col: str, tokenizer_json: str, sample_docs: int = SAMPLE_DOCS, size: int = TABLE_WORDS) -> LengthTable:
-    """The frequent pre-tokens of the first ``sample_docs`` rows Spark reads,
-    and the vocabulary's entries that are pre-tokens."""
-    sample = docs.select(ref(docs, text_col).alias("t")).limit(sample_docs).collect()
+    """The frequent pre-tokens of ``sample_docs`` rows from all over the table,
+    and the vocabulary's entries that are pre-tokens. (Counting the pre-tokens
+    of all rows would shuffle them; a word that the sample lacks is looked up
+    in tier 2.)"""
     tok = load(tokenizer_json)
     cut, counts = cutter(tok, BYTE_PATTERN, lower=False), Counter()
-    for (text,) in sample:
-        counts.update(cut(text or "") or ())
+    for text in spread_sample(docs, text_col, sample_docs):
+        counts.update(cut(text) or ())
     words = {w for w, _ in counts.most_common(size)}
     words.update(w for w in map(tok.decode, ([i] for i in range(tok.get_vocab_size(False)))) if w and cut(w) == [w])
     ordered = sorted(words)

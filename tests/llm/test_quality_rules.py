@@ -72,6 +72,13 @@ def test_cheap_and_selective_rules_come_first(spark):
     assert [r.name for r in order_rules(docs, "text", [never, often])] == ["often", "never"]
 
 
+def test_the_order_is_the_same_in_ten_runs(spark):
+    texts = [GOOD, "few", "# " * 90, "A" * 30 + " " + GOOD.upper(), "x y " * 60, None, "z" * (1 << 17)]
+    docs = spark.createDataFrame([(i, texts[i % 7]) for i in range(210)], "doc_id long, text string").repartition(6, "doc_id")
+    orders = {tuple(r.name for r in order_rules(docs, "text", RULES)) for _ in range(10)}
+    assert len(orders) == 1 and orders.pop()[0] == "few_words"
+
+
 def test_first_rejecting_rule_is_named(docs):
     rows = {r.doc_id: r["rejected_by_"] for r in judged(docs, rules=BASE_RULES).collect()}
     assert rows[0] == "few_words" and rows[4] is None and rows[6] == "repeated_words"
