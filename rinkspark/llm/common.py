@@ -89,12 +89,13 @@ SAMPLE_TEXT_BYTES = 1 << 16
 
 
 def spread_sample(docs: DataFrame, text_col: str, rows: int) -> list[str]:
-    """Texts of ``rows`` rows from all over the table, the same ones each time
-    for the same partitions: those of the least random numbers, found task by
-    task. At most ``rows * SAMPLE_TEXT_BYTES`` bytes reach the driver, since
-    longer texts (and nulls) are not taken. It scans the text column once."""
-    texts = docs.select(ref(docs, text_col).alias("t")).filter(F.octet_length("t") <= SAMPLE_TEXT_BYTES)
-    return [t for t, _ in texts.withColumn("r", F.rand(11)).orderBy("r").limit(rows).collect()]
+    """Texts of about ``rows`` rows from all over the table (all, if it has no
+    more), the same ones each time for the same partitions. At most twice as
+    many reach the driver, of ``SAMPLE_TEXT_BYTES`` bytes at most each: longer
+    texts and nulls are not taken. It scans the text column once."""
+    share = min(1.0, rows / max(1, docs.count()))
+    texts = docs.select(ref(docs, text_col).alias("t")).filter((F.octet_length("t") <= SAMPLE_TEXT_BYTES) & (F.rand(11) < share))
+    return [t for (t,) in texts.limit(2 * rows).collect()]
 
 
 class Buckets:

@@ -6,11 +6,14 @@ the page's blocks in order, fused, and averaged per path; paths above a share
 of the page's mean are content paths. The article is the smallest container
 around almost all content blocks: everything in it that no markup declares to
 be something else (menu, header, footer, sidebar, notice, advert, form, script,
-style, reader comments) is kept, short blocks too. Blocks on content paths
-outside it are kept as well, unless it is an article or main element. Words of a class or id, and
-form elements, are believed only while the paths agree: one that declares most
-of the page's content away (all of an article in "widget" elements, a page in
-one form) is ignored on that page.
+style, reader comments) is kept, short blocks too, and so are blocks on content
+paths outside it. Words of a class or id, and form elements, are believed only
+while the paths agree: one that declares most of the page's content away (all
+of an article in "widget" elements, a page in one form) is ignored on that
+page, and inside an article or main element labels that also name parts of
+articles ("section-header", "share-price", "form-row", but not "share") drop only
+blocks whose paths are below the threshold, and no headings. A header inside an article is
+its title.
 
 Pages are worked on one by one inside tasks (no shuffle); memory is bounded by
 a few MB of pages or one longer page.
@@ -68,7 +71,7 @@ _P_SCOPE = frozenset("table td th caption object button body html".split())
 _SPACED = frozenset("br td th img input select button".split())
 
 #: Elements that are never part of the article.
-NOT_CONTENT_TAGS = frozenset("nav header footer aside head menu button select option object svg canvas audio video dialog label input".split())
+NOT_CONTENT_TAGS = frozenset("nav header footer aside head menu button select option object svg canvas audio video dialog input".split())
 NOT_CONTENT_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar".split())
 #: Words of a class or id that declare an element to be something else.
 NOT_CONTENT_WORDS = frozenset(
@@ -78,7 +81,12 @@ NOT_CONTENT_WORDS = frozenset(
 )
 #: Of these, names of text of its own kind, whatever its share of the page.
 OWN_TEXT_WORDS = frozenset("comment comments commentlist disqus reply replies cookie cookies consent gdpr sidebar aside footer".split())
+#: Of the words, those that name parts of articles, too.
+PART_WORDS = frozenset("header banner notice notices share sharing social related widget form pager toolbar overlay reply replies".split())
+_ARTICLES = frozenset(["article", "main"])
 _FORM = "<form>"
+#: Beside the words of a label that holds no others ("share", "form-widget").
+_PURE = "<pure>"
 _HARD = frozenset(["!"])
 _LAYOUT = frozenset("has with no without".split())
 _WHOLE = frozenset("html body main article".split())
@@ -116,7 +124,7 @@ def _declared(name: str, raw: str, ignored: frozenset[str] = frozenset()) -> fro
     ignored, or nothing."""
     if name in NOT_CONTENT_TAGS:
         return _HARD
-    found = {_FORM} if name == "form" else set()
+    found, pure = {_FORM} if name == "form" else set(), False
     if raw and not raw.isspace():
         attrs = _attributes(raw)
         if "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attrs.get("style", ""), re.I):
@@ -131,16 +139,18 @@ def _declared(name: str, raw: str, ignored: frozenset[str] = frozenset()) -> fro
                 words = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", label).lower()))
                 if not _LAYOUT & words:
                     found |= NOT_CONTENT_WORDS & words
-    return frozenset(found - ignored)
+                    pure |= bool((NOT_CONTENT_WORDS & words) - ignored) and words <= NOT_CONTENT_WORDS
+    return frozenset(found - ignored | ({_PURE} if pure else set()))
 
 
 class _Node:
-    __slots__ = ("name", "parent", "path", "out", "soft", "size", "headings")
+    __slots__ = ("name", "parent", "path", "out", "soft", "size", "headings", "inside")
 
     def __init__(self, name: str, parent: _Node | None, out: bool, soft: frozenset[str] = frozenset()):
         self.name, self.parent, self.out = name, parent, out
         self.soft = soft  # words of the outermost element that a word declares
         self.path = name if parent is None else f"{parent.path}/{name}"
+        self.inside = parent is not None and (parent.inside or parent.name in _ARTICLES)  # of an article
         self.size = 0  # characters of kept blocks inside
         self.headings = 0  # of these, in headings
 
@@ -217,7 +227,8 @@ def _blocks(html: str, ignored: frozenset[str] = frozenset()) -> list[tuple[_Nod
                 if stack[k].name in limit:
                     break
         out = stack[-1].out
-        declared = frozenset() if out else _declared(name, attrs, ignored)
+        title = name == "header" and (stack[-1].inside or stack[-1].name in _ARTICLES)
+        declared = frozenset() if out or title else _declared(name, attrs, ignored)
         if name in BLOCK or declared:
             flush()
         elif name in _SPACED and not out:
@@ -267,7 +278,7 @@ def _misnomers(blocks: Sequence[tuple[_Node, str, frozenset[str]]]) -> frozenset
     for (_, text, words), content in zip(blocks, _on_content_paths([(n, t) for n, t, _ in blocks]), strict=True):
         total += len(text)
         left += len(text) * (not words)
-        for w in words:
+        for w in words - {_PURE}:
             share[w] += len(text) * content
     word = max(share, key=lambda w: (w not in OWN_TEXT_WORDS and share[w] >= MOST * total, share[w], w), default=None)
     if word is not None and (left < LEFT * total or word not in OWN_TEXT_WORDS and share[word] >= MOST * total):
@@ -275,6 +286,19 @@ def _misnomers(blocks: Sequence[tuple[_Node, str, frozenset[str]]]) -> frozenset
     return frozenset()
 
 
+def _judged_paths(blocks: Sequence[tuple[_Node, str, frozenset[str]]]) -> list[bool]:
+    """Whether a block is on a content path of all blocks, declared or not;
+    worked out only where a declared block asks for it."""
+    if not any(words and n.inside for n, _, words in blocks):
+        return [False] * len(blocks)
+    return _on_content_paths([(n, t) for n, t, _ in blocks])
+
+
+def _part_of_article(node: _Node, words: frozenset[str], content: bool) -> bool:
+    """Whether a declared block inside an article is a part of it all the same."""
+    return bool(words) and node.inside and words <= PART_WORDS and (content or any(n.name in _HEADINGS for n in node.up()))
+
+
 def main_blocks(html: str) -> list[str]:
     """The article's blocks in page order."""
     ignored: frozenset[str] = frozenset()
@@ -282,6 +306,7 @@ def main_blocks(html: str) -> list[str]:
     while more := _misnomers(judged):
         ignored |= more
         judged = _blocks(html, ignored)
+    judged = [(n, t, frozenset() if _part_of_article(n, words, c) else words) for (n, t, words), c in zip(judged, _judged_paths(judged), strict=True)]
     blocks = [(n, t) for n, t, words in judged if not words]
     if not blocks:
         return []
@@ -301,8 +326,7 @@ def main_blocks(html: str) -> list[str]:
     need = COVER * sum(size for _, size in content)
     best = max((n for k, n in nodes.items() if held[k] >= need), key=lambda n: n.path.count("/"))
     whole = next((n for n in best.up() if n.name == "article"), None) or next((n for n in best.up() if n.name == "main"), None)
-    marked = whole is not None
-    if not marked:
+    if whole is None:
         whole = next(n for n in best.up() if n.name in _CONTAINERS or n.parent is None)
         while (up := whole.parent) is not None:
             added, titles = up.size - whole.size, up.headings - whole.headings
@@ -310,7 +334,7 @@ def main_blocks(html: str) -> list[str]:
                 whole = up
             else:
                 break
-    return [t for (n, t), c in zip(blocks, on_path, strict=True) if c and not marked or any(x is whole for x in n.up())]
+    return [t for (n, t), c in zip(blocks, on_path, strict=True) if c or any(x is whole for x in n.up())]
 
 
 def with_main_text(pages: DataFrame, html_col: str = "html", keep: Sequence[str] | None = None) -> DataFrame:

@@ -1,5 +1,10 @@
 """HTML extraction: articles among boilerplate, markup rules, edge rows."""
 
+import math
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from rinkspark.llm.html_extract import main_blocks, path_scores, with_main_text
 from rinkspark.llm.html_queries import op6_html_extraction
 
@@ -48,6 +53,47 @@ def test_article_in_uneven_parts():
     assert main_blocks(page(BOILER + f"<div><h1>Title</h1>{parts[0]}</div><div>{parts[1]}</div>" + AFTER)) == ["Title", *want]
 
 
+def test_parts_of_articles_with_telling_names():
+    body = f"<p>{P1}</p><p>{P2}</p>"
+    heads = "".join(f'<h2 class="section-header">Part {i}</h2>{body}' for i in range(3))
+    assert main_blocks(page(BOILER + f"<article>{heads}</article>" + AFTER)) == [x for i in range(3) for x in (f"Part {i}", P1, P2)]
+    assert main_blocks(page(BOILER + f"<article><header><h1>Title</h1><p>By me</p></header>{body}</article>" + AFTER)) == ["Title", "By me", P1, P2]
+    for name in ("share-price", "form-row", "related-work"):
+        assert main_blocks(page(BOILER + f'<article>{body}<div class="{name}"><p>{P1}</p></div></article>' + AFTER)) == [P1, P2, P1]
+    assert main_blocks(page(f"<article>{body}<p><label>Labelled</label> text</p></article>")) == [P1, P2, "Labelled text"]
+    assert main_blocks(page(f'<article>{body}<div class="share">Share</div><div class="ad-box"><p>{P1}</p></div></article>')) == [P1, P2]
+
+
+def test_content_beside_the_article():
+    long = "".join(f"<p>{P1} {i}.</p>" for i in range(20))
+    want = [f"{P1} {i}." for i in range(20)]
+    assert main_blocks(page(BOILER + f"<article>{long}</article><article><p>{P1}</p></article>" + AFTER)) == [*want, P1]
+    assert main_blocks(page(BOILER + f"<article>{long}</article><section><p>{P1}</p></section>" + AFTER)) == [*want, P1]
+
+
+def plain_scores(paths, texts):
+    """The ratios once more: per path, text and punctuation per block, smoothed
+    over five blocks with exp(-d*d/2), fused as length * (1 + marks), averaged."""
+    ratio = {}
+    for p in paths:
+        own = [t for q, t in zip(paths, texts, strict=True) if q == p]
+        ratio[p] = (sum(map(len, own)) / len(own), sum(sum(c in ".,;:!?…、。，！？；：¿¡" for c in t) for t in own) / len(own))
+    fused = []
+    for i in range(len(paths)):
+        near = {j: math.exp(-((i - j) ** 2) / 2) for j in range(i - 2, i + 3) if 0 <= j < len(paths)}
+        a, b = (sum(w * ratio[paths[j]][k] for j, w in near.items()) / sum(near.values()) for k in (0, 1))
+        fused.append(a * (1 + b))
+    return {p: sum(f for f, q in zip(fused, paths, strict=True) if q == p) / paths.count(p) for p in paths}
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["a/p", "a/b/p", "c", "c/li"]), st.text(alphabet="ab ,.", min_size=1, max_size=30)), min_size=1, max_size=20))
+def test_path_scores_equal_a_restatement(rows):
+    paths, texts = [p for p, _ in rows], [t for _, t in rows]
+    got, want = path_scores(paths, texts), plain_scores(paths, texts)
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 * (1 + want[p]) for p in got)
+
+
 def test_markup():
     html = page(
         "<article><p>a&amp;b &lt;i&gt;&nbsp; x<br>y <b>bo</b>ld<!-- no --><p>one\n\n two<ul><li>l1<li>l2</ul><table><tr><td>c1<td>c2<tr><td>c3</table>"
