@@ -9,9 +9,10 @@ run of equal suffixes is the set of locations. Locations on one diagonal
 (document position minus item position) are joined to longest verbatim
 matches. Documents are not shuffled, and nothing of them reaches the driver.
 
-The benchmark is shipped in blocks of at most ``BLOCK_WORDS`` words; a larger
-one is searched block by block, each pass adding to the hits of the ones
-before, so no broadcast grows with it.
+The benchmark goes out in blocks of about ``BLOCK_WORDS`` words, one file each,
+prepared one at a time while the benchmark streams through the driver. Tasks
+map the files into memory and search a shard block by block in one pass over
+the documents, so neither the driver nor a task holds more than a block.
 
 A window is ``width`` consecutive words of an item; an item of fewer words,
 but not none, is one window. Words are compared by 64-bit hash and length.
@@ -25,11 +26,15 @@ added names get a trailing underscore on a clash.
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,7 +56,7 @@ class Block:
     """Windows of one block of the benchmark, prepared for searching."""
 
     vocabulary: np.ndarray  # sorted word keys; rank = index + 1
-    items: list[str]
+    items: Sequence
     windows: np.ndarray  # distinct windows as sorted byte keys
     lengths: np.ndarray  # words of each window
     owner_begins: np.ndarray  # per window, its range in the two arrays below
@@ -161,20 +166,58 @@ def longest(block: Block, at: np.ndarray, window: np.ndarray) -> np.ndarray:
     return np.stack([item[start], doc[start], word[start], doc[last] + size[last] - doc[start]], axis=1) if len(doc) else np.zeros((0, 4), np.int64)
 
 
-def _searcher(block: Block, width: int) -> Callable[[pa.Array], Sequence[pa.Array]]:
+_ARRAYS = ("vocabulary", "lengths", "owner_begins", "owner_item", "owner_word")
+
+
+def save(block: Block, path: str, width: int) -> None:
+    """Write a block so that :func:`opened` can map it: one row, a list per
+    array."""
+
+    def one(values: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+    columns = {c: one(pa.array(getattr(block, c))) for c in _ARRAYS}
+    columns["items"] = one(pa.array(block.items, pa.string()))
+    data = np.ascontiguousarray(block.windows)
+    columns["windows"] = one(pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * width), len(data), [None, pa.py_buffer(data)]))
+    columns["lead_words"] = one(pa.array([n for n, _ in block.leads], pa.int64()))
+    columns["lead_sizes"] = one(pa.array([len(h) for _, h in block.leads], pa.int64()))
+    columns["leads"] = one(pa.array(np.concatenate([h for _, h in block.leads]) if block.leads else np.zeros(0, np.uint64)))
+    batch = pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+    with pa.OSFile(path, "wb") as out, pa.ipc.new_file(out, batch.schema) as writer:
+        writer.write(batch)
+
+
+def opened(path: str, width: int) -> Block:
+    """A block whose arrays lie in the mapped file."""
+    batch = pa.ipc.open_file(pa.memory_map(path)).get_batch(0)
+    values = {c: batch.column(c)[0].values for c in batch.schema.names}
+    windows = values["windows"]
+    keys = np.frombuffer(windows.buffers()[1], f"S{4 * width}")[windows.offset : windows.offset + len(windows)] if len(windows) else np.zeros(0, f"S{4 * width}")
+    cuts = np.cumsum(values["lead_sizes"].to_numpy())[:-1]
+    leads = list(zip(values["lead_words"].to_pylist(), np.split(values["leads"].to_numpy(), cuts), strict=True)) if len(values["lead_words"]) else []
+    arrays = {c: values[c].to_numpy() for c in _ARRAYS}
+    return Block(items=values["items"], windows=keys, leads=leads, **arrays)
+
+
+def _searcher(files: Sequence[str], width: int) -> Callable[[pa.Array], Sequence[pa.Array]]:
     kind = pa.list_(pa.struct([("item_id", pa.string()), ("doc_word", pa.int32()), ("item_word", pa.int32()), ("n_words", pa.int32())]))
+    only = opened(SparkFiles.get(files[0]), width) if len(files) == 1 else None
 
     def search(texts: pa.Array) -> Sequence[pa.Array]:
         keys, first = word_keys(texts)
-        at, window = locations(block, keys, first, width)
-        text = np.searchsorted(first, at, "right") - 1
-        order = np.argsort(text, kind="stable")
-        at, window, text = at[order], window[order], text[order]
-        bounds = np.searchsorted(text, np.arange(len(texts) + 1))
-        matches = [[] for _ in range(len(texts))]
-        for i in np.unique(text):
-            some = slice(bounds[i], bounds[i + 1])
-            matches[i] = [{"item_id": block.items[a], "doc_word": int(b), "item_word": int(c), "n_words": int(d)} for a, b, c, d in longest(block, at[some] - first[i], window[some])]
+        matches: list[list[dict]] = [[] for _ in range(len(texts))]
+        for name in files:
+            block = only or opened(SparkFiles.get(name), width)
+            at, window = locations(block, keys, first, width)
+            text = np.searchsorted(first, at, "right") - 1
+            order = np.argsort(text, kind="stable")
+            at, window, text = at[order], window[order], text[order]
+            bounds = np.searchsorted(text, np.arange(len(texts) + 1))
+            for i in np.unique(text):
+                some = slice(bounds[i], bounds[i + 1])
+                for a, b, c, d in longest(block, at[some] - first[i], window[some]).tolist():
+                    matches[i].append({"item_id": block.items[a].as_py(), "doc_word": b, "item_word": c, "n_words": d})
         return [pa.array(np.diff(first).astype(np.int64)), pa.array(matches, kind)]
 
     return search
@@ -198,16 +241,13 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     at least ``width`` words (or a whole shorter item); also the names of the
     two added columns."""
     n_words, matches = free_name(docs, "n_words"), free_name(docs, "matches")
-    out, keep = docs, docs.columns
-    for i, block in enumerate(blocks(benchmark, item_col, item_text_col, width, block_words)):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-        if i == 0:
-            out = map_texts(out, text_col, lambda b=shared: _searcher(b.value, width), T.StructType([T.StructField(n_words, T.LongType()), T.StructField(matches, T._parse_datatype_string(MATCHES))]))
-            continue
-        again, more = free_name(out, "_again"), free_name(out, "_more")
-        out = map_texts(out, text_col, lambda b=shared: _searcher(b.value, width), T.StructType([T.StructField(again, T.LongType()), T.StructField(more, T._parse_datatype_string(MATCHES))]))
-        out = out.select(*[ref(out, c) for c in keep], n_words, F.concat(matches, more).alias(matches))
-    return out, n_words, matches
+    files, folder = [], tempfile.mkdtemp(prefix="rinkspark-benchmark-")
+    for block in blocks(benchmark, item_col, item_text_col, width, block_words):
+        files.append(f"benchmark-{uuid.uuid4().hex}.arrow")
+        save(block, os.path.join(folder, files[-1]), width)
+        docs.sparkSession.sparkContext.addFile(os.path.join(folder, files[-1]))
+    added = T.StructType([T.StructField(n_words, T.LongType()), T.StructField(matches, T._parse_datatype_string(MATCHES))])
+    return map_texts(docs, text_col, lambda: _searcher(files, width), added), n_words, matches
 
 
 def matched_items(matches: Column) -> Column:

@@ -8,8 +8,8 @@ Unlike set overlap this falls when text is moved, as edit similarity does.
 
 1. Documents of the same words are one node, the least id among them.
 2. Order MinHash: for each of 32 hash functions the 6 labels of least hash, in
-   text order, are one key. A pair at 0.8 shares a given key with 0.8^6 and
-   misses all 32 with less than 0.0001. Short documents (at most 24 shingles)
+   text order, are one key. A pair at exactly 0.8 shares a given key with about
+   0.8^6 and misses all 32 with 0.0004 at 25 labels, 0.0001 at 60 and more. Short documents (at most 24 shingles)
    get exact keys instead: at 0.8 they differ in 5 shingles at most, which
    touch 5 groups of shingles at most if these are dealt by hash; the sequences
    of the groups left are equal and are compared by digest.
@@ -51,7 +51,8 @@ from pyspark.sql import types as T
 
 from rinkspark.llm.common import free_name, map_texts, ref, ship_package, staged
 from rinkspark.llm.components import components
-from rinkspark.llm.leaders import compare_with_leaders
+from rinkspark.llm.leaders import compare_with_leaders, join_salted, large_groups
+from rinkspark.operators.joins import join_small
 from rinkspark.llm.text_arrays import mixed, ragged, span_hashes, utf8, words
 
 SHINGLE = 5
@@ -257,9 +258,10 @@ def across_components(pairs: DataFrame, inside: DataFrame, payload: DataFrame, l
     members = pairs.select("a", "b").union(pairs.select("a", F.col("a").alias("b"))).distinct()
     placed = members.join(inside.withColumnRenamed("node", "b"), "b", "left").select("a", "b", F.coalesce("component", "b").alias("component"))
     main = placed.filter("a = b").select("a", F.col("component").alias("main"))
-    placed = staged(placed.join(main, "a"), "placed")
+    large = staged(large_groups(members, "a"), "large-leaders")
+    placed = staged(join_salted(placed, main, large, "a", "b"), "placed")
     mixed = placed.groupBy("a").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"), F.max((F.col("component") != F.col("main")).cast("int")).alias("strays")).filter("strays = 1").drop("strays")
-    open_rows = placed.join(mixed, "a")
+    open_rows = join_salted(placed, mixed, large, "a", "b")
     held = open_rows.select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("role"), "b", "component")
     stray = open_rows.filter("component <> main").select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "b", "component")
     rows = held.union(stray).join(payload.withColumnRenamed("id", "b"), "b")
@@ -316,8 +318,18 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each class, the one with the least id; columns as they
-    came. Rows without an id are kept."""
+    came. Of rows that repeat an id the one of the greatest text stays (by
+    which the class was judged), of equal ones the greatest as JSON. Rows
+    without an id are kept."""
     own = free_name(docs, "_kept")
     classes = near_classes(docs, id_col, text_col).filter("doc_id = class_id").select(F.col("doc_id").alias(own))
-    kept = docs.join(classes, ref(docs, id_col).cast("long") == F.col(own), "left_semi").dropDuplicates([id_col])
-    return kept.union(docs.filter(ref(docs, id_col).isNull()))
+    kept = docs.join(classes, ref(docs, id_col).cast("long") == F.col(own), "left_semi")
+    # Only ids that repeat are compared by their rows.
+    twice, key = free_name(docs, "_twice"), free_name(docs, "_id")
+    repeated = docs.groupBy(ref(docs, id_col).alias(key)).agg(F.count("*").alias(twice)).filter(F.col(twice) > 1).select(key)
+    repeated = staged(repeated.filter(F.col(key).isNotNull()), "repeated-ids")
+    single = join_small(kept, repeated, ref(kept, id_col) == F.col(key), "left_anti")
+    many = join_small(kept, repeated, ref(kept, id_col) == F.col(key), "left_semi")
+    row = F.struct(*[ref(many, c) for c in docs.columns])
+    best = many.groupBy(ref(many, id_col)).agg(F.max_by(row, F.struct(ref(many, text_col), F.to_json(row))).alias("_row")).select("_row.*")
+    return single.union(best).union(docs.filter(ref(docs, id_col).isNull()))

@@ -103,3 +103,12 @@ def test_empty_tables(docs, benchmark):
     out, n, m = with_matches(docs, none)
     assert out.filter(F.size(m) > 0).count() == 0
     assert decontaminated(docs.filter("false"), benchmark).count() == 0
+
+
+def test_blocks_are_searched_in_one_pass(spark):
+    """However many blocks the benchmark has, the plan holds one Python stage."""
+    items = [(f"i{k}", " ".join(f"w{k}x{j}" for j in range(12))) for k in range(30)]
+    docs = spark.createDataFrame([(k, f"a b {t} c") for k, (_, t) in enumerate(items)], "doc_id long, text string")
+    out, _, m = with_matches(docs, spark.createDataFrame(items, "item_id string, text string"), block_words=40)
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert {(r["doc_id"], r[m][0]["item_id"], len(r[m])) for r in out.collect()} == {(k, f"i{k}", 1) for k in range(30)}

@@ -168,6 +168,36 @@ def test_components_of_chains_and_stars(spark):
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 140)}, 198: 198, 199: 198, 200: 198}
 
 
+def test_very_long_texts_and_repeated_ids(spark):
+    long = prose(20_000)
+    near = edited(long, 20)
+    rows = [(1, long, "x"), (2, near, "x"), (3, prose(15_000), "x"), (1, "a shorter text of the same id", "y"), (1, long, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, note string")
+    classes = {r.doc_id: r.class_id for r in near_classes(docs).collect()}
+    assert classes == {1: 1, 2: 1, 3: 3}
+    kept = sorted((r.doc_id, r.text, r.note) for r in one_of_each(docs).collect())
+    assert kept == [(1, max(long, "a shorter text of the same id"), "z" if long > "a shorter text of the same id" else "y"), (3, rows[2][1], "x")]
+
+
+def test_recall_against_all_pairs(spark):
+    """Classes of edited copies equal those of all pairs at 0.8."""
+    originals = [prose(n) for n in (12, 30, 45, 80, 150, 300)]
+    rows = [t for t in originals for _ in range(1)] + [edited(t, k) for t in originals for k in (1, 1, 2, 4, 8)]
+    got = {r.doc_id: r.class_id for r in near_classes(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    parent, own = list(range(len(rows))), [labels(words(t)) for t in rows]
+
+    def find(i):
+        return i if parent[i] == i else find(parent[i])
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if ordered(own[i], own[j]) >= 0.8:
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    want = {i: find(i) for i in range(len(rows))}
+    assert sum(got[i] == want[i] for i in want) >= 0.97 * len(rows) and len(set(want.values())) < len(rows)
+
+
 # Substring dedup.
 
 
