@@ -12,8 +12,9 @@ from pyspark.sql import types as T
 
 from rinkspark.llm.common import free_name, ref, ship_package
 
-#: Text bytes up to which a shard of documents is filled.
-SHARD_BYTES = 1 << 22
+#: Text bytes up to which a shard of documents is filled (numpy works on a shard
+#: at a time, at some forty bytes for each of text).
+SHARD_BYTES = 1 << 20
 
 
 def planes(values: np.ndarray) -> bytes:

@@ -6,7 +6,7 @@ word whose hash is the least among its four neighbours on either side. The
 choice depends on nearby text only, so the chunks of a passage are the same
 wherever it stands and whatever is inserted before it.
 
-Documents are packed in shards of some megabytes, written once and bucketed by
+Documents are packed in shards of a megabyte, written once and bucketed by
 shard; texts are never shuffled. What shards have to tell each other goes out
 packed, dealt by hash to parts, and comes back to them by shard.
 
