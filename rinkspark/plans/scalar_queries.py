@@ -122,30 +122,36 @@ def _key_sql(name, pos):
     )
 
 
+# The players once more in another spelling, and what that spelling means: SQL
+# keys the plain name.
+_SPELLED = ("'Ǆon ' || translate(c_name, 'aeou', 'áèöû') || 'ﬁ한'", "'DZon ' || c_name || 'fi_han_'")
+
+
 @register(
     "name_key",
     f"""
 WITH src AS (
-  SELECT c_custkey AS id, 'customer' AS src, c_name AS name, {_POSITION_WORDS.format(c='c_mktsegment')} AS position FROM customer
+  SELECT c_custkey AS id, 'customer' AS src, c_name AS name, c_name AS plain, {_POSITION_WORDS.format(c='c_mktsegment')} AS position FROM customer
   UNION ALL
-  SELECT p_partkey AS id, 'part' AS src, p_brand || ' ' || p_name AS name, p_type AS position FROM part
+  SELECT c_custkey AS id, 'spelled' AS src, {_SPELLED[0]} AS name, {_SPELLED[1]} AS plain, {_POSITION_WORDS.format(c='c_mktsegment')} AS position FROM customer
+  UNION ALL
+  SELECT p_partkey AS id, 'part' AS src, p_brand || ' ' || p_name AS name, p_brand || ' ' || p_name AS plain, p_type AS position FROM part
 )
-SELECT id, src, name, position, {_key_sql('name', 'position')} AS player_key FROM src""",
+SELECT id, src, name, position,
+       replace({_key_sql('plain', 'position')}, '_han_', chr(4370) || chr(4449) || chr(4523)) AS player_key FROM src""",
 )
 def name_key(spark, d):
-    c = S.table(spark, d, "customer").select(
-        F.col("c_custkey").alias("id"),
-        F.lit("customer").alias("src"),
-        F.col("c_name").alias("name"),
-        F.expr(_POSITION_WORDS.format(c="c_mktsegment")).alias("position"),
-    )
+    position = F.expr(_POSITION_WORDS.format(c="c_mktsegment")).alias("position")
+    customer = S.table(spark, d, "customer")
+    c = customer.select(F.col("c_custkey").alias("id"), F.lit("customer").alias("src"), F.col("c_name").alias("name"), position)
+    v = customer.select(F.col("c_custkey").alias("id"), F.lit("spelled").alias("src"), F.expr(_SPELLED[0]).alias("name"), position)
     p = S.table(spark, d, "part").select(
         F.col("p_partkey").alias("id"),
         F.lit("part").alias("src"),
         F.concat_ws(" ", "p_brand", "p_name").alias("name"),
         F.col("p_type").alias("position"),
     )
-    src = c.unionByName(p)
+    src = c.unionByName(v).unionByName(p)
     return src.select("id", "src", "name", "position", RF.player_key("name", "position").alias("player_key"))
 
 

@@ -1,7 +1,11 @@
 """The 15 player-key cases, as a DataFrame test, plus accent handling."""
 
+import sys
+import unicodedata
+
 from rinkspark import functions as RF
 
+# Name, position and the key they must give.
 CASES = [
     ("A. Lee", "Left Wing", "alee-L"),
     ("Connor McDavid", "Center", "cmcdavid-C"),
@@ -39,6 +43,22 @@ def test_strip_accents(spark):
     assert got == ["Sebastien", "Jiri Hrdina", "Ærø fin", "e", ""]
 
 
+def test_strip_accents_equals_the_unicode_database(spark):
+    """All assigned code points, alone and in strings of 40."""
+    chars = [chr(cp) for cp in range(1, sys.maxunicode + 1) if unicodedata.category(chr(cp)) not in ("Cn", "Cs")]
+    rows = [*chars, *("".join(chars[i : i + 40]) for i in range(0, len(chars), 40))]
+    df = spark.createDataFrame([(r,) for r in rows], "s string")
+    for r in df.select("s", RF.strip_accents("s").alias("got")).toLocalIterator():
+        assert r.got == "".join(x for x in unicodedata.normalize("NFKD", r.s) if not unicodedata.combining(x)), ascii(r.s)
+
+
+def test_name_form_of_multi_letter_forms(spark):
+    rows = [("Ǆon Múller", "dmuller"), ("김 연아", "ᄀ연아"), ("ﬁn", "fin"), ("\u0301\u0301 Lee", "lee")]
+    df = spark.createDataFrame(rows, "s string, expected string")
+    for r in df.select("expected", RF.name_form("s").alias("got")).collect():
+        assert r.got == unicodedata.normalize("NFKD", r.expected)
+
+
 def test_clean_name(spark):
     df = spark.createDataFrame([("  J.T.  Miller-Smith ",), ("P.K. Subban",)], "s string")
     assert [r[0] for r in df.select(RF.clean_name("s")).collect()] == ["j t miller smith", "p k subban"]
