@@ -81,7 +81,7 @@ def _spelled(ch: Column) -> Column:
     )
     place = F.translate(ch, t.multi, "".join(chr(_PLACES + i) for i in range(len(t.multi))))
     form = F.get(F.split(F.lit("\n".join(t.forms)), "\n"), F.ascii(place) - F.lit(_PLACES))
-    return F.when(n.between(0, len(_SYLLABLES) - 1), syllable).when(place != ch, form).otherwise(ch)
+    return F.when(ch < F.lit("\x80"), ch).when(n.between(0, len(_SYLLABLES) - 1), syllable).when(place != ch, form).otherwise(ch)
 
 
 def strip_accents(name: ColumnLike) -> Column:

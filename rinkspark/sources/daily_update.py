@@ -32,12 +32,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rinkspark import schemas
+from rinkspark.constants import GOALIE_POSITION
 from rinkspark.functions.calendar import league_date
 from rinkspark.operators.calendar import past_games, yesterday_games
 from rinkspark.operators.dimension import prior_season_averages, rebuild_dimension
 from rinkspark.operators.joins import has_at_most
 from rinkspark.sources import landed as L
-from rinkspark.sources.ingest import build_facts
+from rinkspark.sources.ingest import enriched_lines, goalie_fact, skater_fact
 from rinkspark.sources.manifest import PartitionedTable
 from rinkspark.sources.store import (
     conform,
@@ -87,11 +88,12 @@ def read_fact(spark: SparkSession, store: str, name: str) -> DataFrame | None:
     return table.read() if table.exists() else None
 
 
-def _stage(df: DataFrame, store: str, name: str) -> DataFrame:
-    """Write rows once below the store and read them back: they are used
-    several times, and a path cannot be overwritten while a job reads it."""
+def _stage(df: DataFrame, store: str, name: str, by: str | None = None) -> DataFrame:
+    """Write rows once below the store, partitioned by a column if one is
+    named, and read them back: they are used several times, and a path cannot
+    be overwritten while a job reads it."""
     path = f"{store}/_staging/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -127,16 +129,20 @@ def apply_box_scores(
     refreshed (A6/A7, S9) and the games enter the register with the
     schedule's state (S10). Shared by the daily job and the stream. The season
     totals cover ``season``, else the latest season of the batch's games."""
+    box = _stage(box, store, "box-scores")  # the landed files are read once
     batch_ids = box.select(F.col("id").alias("game_id")).where(F.col("game_id").isNotNull()).distinct()
     log = L.restrict_to_batch(logs, batch_ids, L.batch_players(L.box_lines(box)))
     seasons = games.select("game_id", F.col("season").cast("string").alias("season"))
     if season is None:
         season = seasons.join(batch_ids, "game_id", "left_semi").agg(F.max("season")).first()[0]
-    skaters, goalies = build_facts(spark, log, box, seasons=seasons)
+    # Enriched once, and each fact reads the lines of its kind.
+    kind = F.when(F.col("raw_position") == GOALIE_POSITION, F.lit("goalie")).otherwise(F.lit("skater"))
+    lines = _stage(enriched_lines(spark, log, box, seasons=seasons).withColumn("kind", kind), store, "lines", by="kind")
+    skaters, goalies = skater_fact(lines.where(F.col("kind") == "skater")), goalie_fact(lines.where(F.col("kind") == "goalie"))
     if "landed_at" in box.columns:
         landed = box.select(F.col("id").alias("game_id"), "landed_at")  # one row per game
         skaters, goalies = skaters.join(landed, "game_id", "left"), goalies.join(landed, "game_id", "left")
-    # Enriched once, used by the merge, the touched players and the dimension.
+    # Used by the merge, the touched players and the dimension.
     skaters, goalies = _stage(skaters, store, "skater-batch"), _stage(goalies, store, "goalie-batch")
 
     out: dict[str, str] = {}

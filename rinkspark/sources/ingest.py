@@ -165,6 +165,13 @@ def goalie_fact(enriched: DataFrame) -> DataFrame:
     return conform(out, schemas.GOALIE_GAME_STATS)
 
 
+def enriched_lines(spark: SparkSession, log: DataFrame, box: DataFrame, *, seasons: DataFrame | None = None) -> DataFrame:
+    """Landed logs + box scores -> enriched lines of both kinds."""
+    from rinkspark.sources.landed import box_headers, box_lines
+
+    return enrich(log, box_lines(box), box_headers(box), team_map(spark), seasons=seasons)
+
+
 def build_facts(
     spark: SparkSession,
     log: DataFrame,
@@ -173,9 +180,7 @@ def build_facts(
     seasons: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Landed logs + box scores -> (skater fact, goalie fact)."""
-    from rinkspark.sources.landed import box_headers, box_lines
-
-    enriched = enrich(log, box_lines(box), box_headers(box), team_map(spark), seasons=seasons)
+    enriched = enriched_lines(spark, log, box, seasons=seasons)
     return skater_fact(enriched), goalie_fact(enriched)
 
 

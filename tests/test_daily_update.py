@@ -59,6 +59,27 @@ def test_daily_update_and_rerun(spark, tmp_dir):
     assert {k: v.season_games_played for k, v in dim1.items()} == full
 
 
+def test_landed_files_are_read_once_and_lines_enriched_once(spark, tmp_dir, monkeypatch):
+    from rinkspark.sources import daily_update as U
+
+    write_lines(f"{tmp_dir}/sched/all.json", [{"games": [game(100, 2, "2025-11-01T23:00:00Z", "BOS", "TOR", "OFF")]}])
+    write_lines(f"{tmp_dir}/box/b.json", [_box(100, "BOS", "TOR")])
+    write_lines(f"{tmp_dir}/logs/l.json", [_log(1, "TOR", [(100, "2025-11-01")]), _log(3, "TOR", [(100, "2025-11-01")])])
+    paths = Paths(f"{tmp_dir}/sched", f"{tmp_dir}/box", f"{tmp_dir}/logs", f"{tmp_dir}/store")
+    reads, stage = {}, U._stage
+
+    def watched(df, store, name, *args, **kw):
+        reads[name] = {part for f in df.inputFiles() for part in ("/box/", "/logs/", "/_staging/box-scores", "/_staging/lines") if part in f}
+        return stage(df, store, name, *args, **kw)
+
+    monkeypatch.setattr(U, "_stage", watched)
+    run_daily_update(spark, paths, "2025-11-02", season="20252026")
+    assert [n for n, r in reads.items() if "/box/" in r] == ["box-scores"]
+    assert [n for n, r in reads.items() if "/logs/" in r] == ["lines"]
+    assert reads["skater-batch"] >= {"/_staging/lines"} and reads["goalie-batch"] >= {"/_staging/lines"}
+    assert read_fact(spark, paths.store, "player_game_stats").count() == read_fact(spark, paths.store, "goalie_game_stats").count() == 1
+
+
 def test_streamed_box_scores_equal_batch(spark, tmp_dir):
     from rinkspark.sources.daily_update import stream_box_scores
 
