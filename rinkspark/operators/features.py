@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rinkspark.session import cut_lineage
@@ -177,13 +177,72 @@ def train_forest(train: DataFrame, *, label: str = "total_fpts", trees: int = 20
     from pyspark.ml.regression import RandomForestRegressor
 
     idx = StringIndexer(inputCol="f_kind", outputCol="f_kind_ix", handleInvalid="keep")
-    vec = VectorAssembler(
-        inputCols=["f_prev3", "f_prev5", "f_rest", "f_b2b", "f_opp", "f_kind_ix"], outputCol="features"
-    )
+    vec = VectorAssembler(inputCols=list(FOREST_FEATURES), outputCol="features")
     rf = RandomForestRegressor(featuresCol="features", labelCol=label, numTrees=trees, maxDepth=6, seed=seed)
     return Pipeline(stages=[idx, vec, rf]).fit(train)
 
 
+FOREST_FEATURES = ("f_prev3", "f_prev5", "f_rest", "f_b2b", "f_opp", "f_kind_ix")
+
+
+def forest_nodes(model, path: str) -> DataFrame:
+    """M5 as a table: one row per node of the fitted forest, in a fresh folder
+    ``path`` of the shared store (the model is saved there).
+
+    Columns: tree, node, prediction, rows (training rows that reached it),
+    left, right (-1 at a leaf), feature (name; null at a leaf), threshold (goes
+    left at or below it; null for a split by kind), kinds (index values that go
+    left; null for a threshold)."""
+    forest = model.stages[-1]
+    forest.write().overwrite().save(path)
+    spark = SparkSession.active()
+    n, split = "nodeData", F.col("nodeData.split")
+    inner = F.col(f"{n}.leftChild") >= 0
+    by_kind = split["numCategories"] >= 0
+    names = F.array(*[F.lit(f) for f in FOREST_FEATURES])
+    return spark.read.parquet(f"{path}/data").select(
+        F.col("treeID").alias("tree"),
+        F.col(f"{n}.id").alias("node"),
+        F.col(f"{n}.prediction").alias("prediction"),
+        F.col(f"{n}.rawCount").alias("rows"),
+        F.col(f"{n}.leftChild").alias("left"),
+        F.col(f"{n}.rightChild").alias("right"),
+        F.when(inner, F.get(names, split["featureIndex"])).alias("feature"),
+        F.when(inner & ~by_kind, F.get(split["leftCategoriesOrThreshold"], F.lit(0))).alias("threshold"),
+        F.when(inner & by_kind, split["leftCategoriesOrThreshold"]).alias("kinds"),
+    )
+
+
+def forest_column(model, nodes: DataFrame) -> Column:
+    """M5 as one column expression over the columns of :func:`model_frame`:
+    nested conditions per tree, averaged over the trees in order, so that
+    scoring is an ordinary projection without a model object or vectors.
+
+    The nodes come to the driver: trees x 2^(depth + 1) rows at most (2,540 for
+    20 trees of depth 6), whatever the data. A kind that the indexer has not
+    seen, or null, takes the index after the last one, as in the model."""
+    trees: dict[int, dict[int, Row]] = {}
+    for r in nodes.collect():
+        trees.setdefault(r.tree, {})[r.node] = r
+    labels = model.stages[0].labels
+    kind = F.lit(float(len(labels)))
+    for i, label in enumerate(labels):
+        kind = F.when(F.col("f_kind") == F.lit(label), F.lit(float(i))).otherwise(kind)
+
+    def walk(tree: dict[int, Row], node: int) -> Column:
+        r = tree[node]
+        if r.left < 0:
+            return F.lit(r.prediction)
+        value = kind if r.feature == "f_kind_ix" else F.col(r.feature)
+        goes_left = value.isin(list(r.kinds)) if r.kinds is not None else value <= F.lit(r.threshold)
+        return F.when(goes_left, walk(tree, r.left)).otherwise(walk(tree, r.right))
+
+    total = F.lit(0.0)
+    for t in sorted(trees):
+        total = total + walk(trees[t], 0)
+    return total / F.lit(float(len(trees)))
+
+
 def split_by_date(df: DataFrame, cutoff, *, date_col: str = "game_date") -> tuple[DataFrame, DataFrame]:
     """Train on games before ``cutoff``, test on the rest (no look-ahead)."""
     c = F.lit(str(cutoff)).cast("date")

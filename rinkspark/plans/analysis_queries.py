@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rinkspark.functions.scoring import display_round
 from rinkspark.operators import analysis as A
 from rinkspark.plans import standins as S
 from rinkspark.plans.registry import register
+from rinkspark.session import cut_lineage
 
 # Fixed report parameters of the registered queries.
 EVENTS_AS_OF = "2024-01-31"
@@ -15,7 +20,7 @@ ORDERS_SEASON = "1998"
 ORDERS_AS_OF = "2001-08-02"
 
 
-from rinkspark.plans.rounding import r4, rnd4  # noqa: E402,F401
+from rinkspark.plans.rounding import TIE_BIAS, r4, rnd4  # noqa: E402,F401
 
 
 # --------------------------------------------------------------- hot list
@@ -485,6 +490,72 @@ def lookups(spark, d):
     return out
 
 
+def with_position(df):
+    """Adds ``position``, the 1-based place of each row in the frame's order:
+    the place within its partition plus the rows of the partitions before (a
+    window over one row per partition), so no task holds the whole result. The
+    partitions are fixed by a reliable checkpoint."""
+    low = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    rows = cut_lineage(df.withColumn("_id", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_id", 33))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    out = rows.join(offsets, "_part").withColumn("position", (F.col("_off") + low + 1).cast("bigint"))
+    return out.drop("_id", "_part", "_off")
+
+
+@register(
+    "lookup_order",
+    S.with_ctes(S.PLAYERS_SQL, S.FANTASY_TEAMS_SQL, S.SKATER_LINES_SQL, S.GOALIE_LINES_SQL)
+    + f"""
+SELECT 'roster' AS kind, row_number() OVER (ORDER BY player_name, player_id) AS position, player_id AS id FROM players WHERE fantasy_team_id = {LOOKUP_TEAM}
+UNION ALL SELECT 'skater_log', row_number() OVER (ORDER BY game_date DESC, game_id DESC), game_id FROM skater_lines WHERE player_id = {LOOKUP_PLAYER}
+UNION ALL SELECT 'goalie_log', row_number() OVER (ORDER BY game_date DESC, game_id DESC), game_id FROM goalie_lines WHERE player_id = {LOOKUP_PLAYER}
+UNION ALL SELECT 'teams_by_name', row_number() OVER (ORDER BY team_name, team_id), team_id FROM fantasy_teams""",
+)
+def lookup_order(spark, d):
+    """The order of the rows, as their place in it."""
+    parts = {
+        "roster": (A.roster_of(S.players(spark, d), LOOKUP_TEAM), "player_id"),
+        "skater_log": (A.game_log(S.skater_lines(spark, d), LOOKUP_PLAYER), "game_id"),
+        "goalie_log": (A.game_log(S.goalie_lines(spark, d), LOOKUP_PLAYER), "game_id"),
+        "teams_by_name": (A.teams_by_name(S.fantasy_teams(spark, d)), "team_id"),
+    }
+    rows = [with_position(df.select(F.lit(kind).alias("kind"), F.col(key).cast("bigint").alias("id"))) for kind, (df, key) in parts.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+@register(
+    "team_week",
+    _OUTLOOK_CTES + f"SELECT team, week, game_count, opponents FROM sched WHERE week = '{OUTLOOK_WEEK}'",
+)
+def team_week(spark, d):
+    """Q-5 for every team of a week."""
+    from rinkspark.operators.calendar import weekly_schedule
+    from rinkspark.plans.calendar_queries import regular_games
+
+    sched = weekly_schedule(regular_games(spark, d))
+    return A.team_week(sched, F.col("team"), OUTLOOK_WEEK).select("team", "week", "game_count", "opponents")
+
+
+@register(
+    "baseline_display",
+    S.with_ctes(S.SKATER_LINES_SQL, S.PLAYERS_SQL)
+    + f"""
+SELECT f.player_id, round(avg(f.total_fpts) + {TIE_BIAS}, 2) AS avg_fpts, round(avg(f.goals) + {TIE_BIAS}, 2) AS avg_g,
+       round(avg(f.toi_seconds) / 60.0 + {TIE_BIAS}, 1) AS avg_toi_min
+FROM skater_lines f JOIN players p ON f.player_id = p.player_id
+WHERE f.season = '{ORDERS_SEASON}' AND NOT p.is_goalie
+GROUP BY f.player_id""",
+)
+def baseline_display(spark, d):
+    """the baseline rounded for display, at the edge only."""
+    skaters = S.players(spark, d).where(~F.col("is_goalie"))
+    out = A.skater_baseline(S.skater_lines(spark, d), skaters, ORDERS_SEASON)
+    shown = lambda c, n=2: display_round(F.col(c) + F.lit(TIE_BIAS), n).alias(c)
+    return out.select("player_id", shown("avg_fpts"), shown("avg_g"), shown("avg_toi_min", 1))
+
+
 # ------------------------------------------------------------ name search
 SEARCH_TERM = "Red"
 
@@ -517,6 +588,22 @@ def name_search_batch(spark, d):
     return A.search_many(parts, terms, name_col="p_name").select("term", "p_partkey")
 
 
+@register(
+    "name_search_grams",
+    """
+WITH words AS (SELECT DISTINCT string_split(p_name, ' ')[-1] AS w FROM part),
+terms AS (SELECT w AS term FROM words UNION SELECT substring(w, 1, 2) FROM words)
+SELECT t.term, p.p_partkey FROM part p JOIN terms t ON contains(lower(p.p_name), lower(t.term))""",
+)
+def name_search_grams(spark, d):
+    """L8 for a term list too long to broadcast: equi-joins on pieces, with
+    terms of two letters among them."""
+    parts = S.table(spark, d, "part")
+    words = parts.select(F.element_at(F.split("p_name", " "), -1).alias("w")).distinct()
+    terms = words.select(F.explode(F.array("w", F.substring("w", 1, 2))).alias("term")).distinct()
+    return A.search_many(parts, terms, name_col="p_name", max_broadcast_terms=0).select("term", "p_partkey")
+
+
 # ------------------------------------------------------- S5: SQL with args
 @register(
     "hot_list_sql",

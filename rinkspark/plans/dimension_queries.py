@@ -12,6 +12,7 @@ from rinkspark.plans.registry import register
 SEASON = "1998"
 PRIOR_SEASON = "1997"
 SPLIT_DATE = "1998-07-01"
+ROSTER_TEAM = 3
 
 
 from rinkspark.plans.rounding import r4, rnd4  # noqa: E402,F401
@@ -188,6 +189,11 @@ def roster_counts(spark, d):
     return D.roster_counts(S.fantasy_teams(spark, d), S.players(spark, d))
 
 
+@register("roster_count", S.with_ctes(S.PLAYERS_SQL) + f"SELECT count(*) AS n_players FROM players WHERE fantasy_team_id = {ROSTER_TEAM}")
+def roster_count(spark, d):
+    return D.roster_count(S.players(spark, d), ROSTER_TEAM)
+
+
 # ------------------------------------------------------------------ A6
 @register(
     "dimension_rebuild",

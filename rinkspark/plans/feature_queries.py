@@ -8,6 +8,7 @@ from rinkspark.operators import features as M
 from rinkspark.plans import standins as S
 from rinkspark.plans.ingest_queries import _lines
 from rinkspark.plans.registry import ORACLES, register
+from rinkspark.streaming.totals import work_root
 
 FOREST_CUTOFF = "2024-01-23"
 
@@ -76,9 +77,10 @@ GROUP BY l.player_id""",
 )
 def home_away_split(spark, d):
     nat = S.table(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("team_abbrev"))
-    lines = S.join_small(_lines(spark, d), nat, "s_nationkey", "inner", S.NATION_ROWS_MAX)
-    o = S.table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    fact = lines.join(o, lines.l_orderkey == o.o_orderkey).select(
+    # The line's order brings the player too: orders are read once for the
+    # lines and once for the games' home side.
+    lines = S.join_small(_lines(spark, d, "o_custkey"), nat, "s_nationkey", "inner", S.NATION_ROWS_MAX)
+    fact = lines.select(
         F.col("l_orderkey").alias("game_id"),
         F.col("o_custkey").alias("player_id"),
         "team_abbrev",
@@ -139,10 +141,9 @@ def forecast_dimension(spark, d):
     return out.select("player_id", "player_name", r4("predicted_fpts"))
 
 
-@register("forest_predict")
-def forest_predict(spark, d):
-    """M5-M7 (rows-only check): forest trained on event lines before the
-    cutoff date, predictions for every line from the cutoff on."""
+def _fitted(spark, d):
+    """The forest trained on event lines before the cutoff date, and the lines
+    from the cutoff on."""
     ev = S.event_lines(spark, d).select("game_id", "player_id", "game_date", "opponent_abbrev", "total_fpts")
     frame = M.model_frame(ev)
     train, test = M.split_by_date(frame, FOREST_CUTOFF)
@@ -151,10 +152,36 @@ def forest_predict(spark, d):
     train = train.persist()
     model = M.train_forest(train)
     train.unpersist()
+    return model, test
+
+
+@register("forest_predict")
+def forest_predict(spark, d):
+    """M5-M7 (rows-only check): predictions of the forest for every line from
+    the cutoff on."""
+    model, test = _fitted(spark, d)
     pred = model.transform(test)
     return pred.select("game_id", "player_id", "game_date", "total_fpts", F.round("prediction", 4).alias("prediction"))
 
 
+@register(
+    "forest_expression",
+    f"""
+SELECT CAST(ts AS DATE) AS game_date, count(*) AS n_lines, CAST(0 AS BIGINT) AS n_different
+FROM events WHERE CAST(ts AS DATE) >= DATE '{FOREST_CUTOFF}' GROUP BY 1""",
+)
+def forest_expression(spark, d):
+    """M5: the forest as a node table and a column expression, against the
+    model itself on every line from the cutoff on: lines per day, and those
+    with another prediction (none)."""
+    model, test = _fitted(spark, d)
+    same = M.forest_column(model, M.forest_nodes(model, work_root(spark, "forest")))
+    both = model.transform(test.withColumn("_expression", same))
+    return both.groupBy("game_date").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.count_if(~F.col("_expression").eqNullSafe(F.col("prediction"))).alias("n_different")
+    )
+
+
 @register("forest_metrics")
 def forest_metrics(spark, d):
     """M6 (rows-only check): MAE and R2 of the forecast on the test days."""

@@ -31,9 +31,9 @@ _POSITION = (
 )
 
 
-def _lines(spark, d):
+def _lines(spark, d, *order_cols):
     li = S.table(spark, d, "lineitem")
-    o = S.table(spark, d, "orders").select("o_orderkey", "o_orderdate")
+    o = S.table(spark, d, "orders").select("o_orderkey", "o_orderdate", *order_cols)
     s = S.table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
     return li.join(o, li.l_orderkey == o.o_orderkey).join(s, li.l_suppkey == s.s_suppkey)
 

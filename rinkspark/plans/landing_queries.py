@@ -12,6 +12,7 @@ from rinkspark.plans.registry import register
 from rinkspark.sources import daily_update as U
 from rinkspark.sources import ingest as I
 from rinkspark.sources import landed as L
+from rinkspark.sources import store as ST
 from rinkspark.streaming.totals import work_root
 
 EARLY, LATE = "2024-01-01T00:00:00Z", "2024-01-02T00:00:00Z"
@@ -186,3 +187,64 @@ def daily_merge(spark, d):
     again = facts.where(F.col("game_id") % 3 == 0)
     land(again.withColumn("game_date", F.date_add("game_date", 1)).withColumn("goals", F.col("goals") + 1), "2024-01-03 00:00:00")
     return U.read_fact(spark, store, "player_game_stats").select("game_id", "player_id", "season", "game_date", "goals")
+
+
+# ------------------------------------------------------------ S6, S7, T13
+APPEND_FROM = "1996-01-01"
+RELANDED_SEASON = "1997"
+
+
+@register(
+    "append_lines",
+    "SELECT l_orderkey, l_linenumber, l_quantity, l_linestatus FROM lineitem",
+)
+def append_lines(spark, d):
+    """Lines up to a date, then the rest appended to the same partitioned
+    table, which then holds every line once."""
+    path = f"{work_root(spark, 'append')}/lines"
+    li = S.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_linestatus", "l_shipdate")
+    late = F.coalesce(F.col("l_shipdate") >= F.lit(APPEND_FROM).cast("timestamp_ntz"), F.lit(True))
+    for rows in (li.where(~late), li.where(late)):
+        ST.append(rows.drop("l_shipdate"), path, partition_by=["l_linestatus"])
+    return spark.read.schema("l_orderkey bigint, l_linenumber int, l_quantity double, l_linestatus string").parquet(path)
+
+
+@register(
+    "truncate_reload",
+    """SELECT p_partkey, p_name, p_size + 1 AS p_size, (SELECT count(*) FROM part WHERE p_size > 10) AS rows_cleared FROM part""",
+)
+def truncate_reload(spark, d):
+    """Part of the table, then a full reload over it; with the number of
+    rows that the reload cleared."""
+    path = f"{work_root(spark, 'reload')}/parts"
+    parts = S.table(spark, d, "part").select("p_partkey", "p_name", "p_size")
+    ST.overwrite(parts.where(F.col("p_size") > 10), path)
+    cleared = ST.overwrite(parts.withColumn("p_size", F.col("p_size") + 1), path)
+    return spark.read.schema(parts.schema).parquet(path).withColumn("rows_cleared", F.lit(cleared).cast("bigint"))
+
+
+@register(
+    "season_seed",
+    Q.ENRICH_SQL
+    + f"""
+SELECT 'skater' AS kind, game_id, player_id, season, CASE WHEN season = '{RELANDED_SEASON}' THEN goals + 1 ELSE goals END AS n
+FROM e WHERE raw_position <> 'G'
+UNION ALL
+SELECT 'goalie', game_id, player_id, season, CASE WHEN season = '{RELANDED_SEASON}' THEN coalesce(saves, 0) + 1 ELSE coalesce(saves, 0) END
+FROM e WHERE raw_position = 'G'""",
+)
+def season_seed(spark, d):
+    """Both facts of every season landed, then one season landed again
+    with other values; the other seasons stay."""
+    root = work_root(spark, "season-seed")
+    enriched = U._stage(I.enrich(Q.log_lines(spark, d), Q.box_lines(spark, d), Q.headers(spark, d), Q.team_names(spark, d)), root, "enriched")
+    sk, gk = I.skater_fact(enriched), I.goalie_fact(enriched)
+    paths = I.land_facts(sk, gk, root)
+    again = F.col("season") == RELANDED_SEASON
+    I.land_facts(sk.where(again).withColumn("goals", F.col("goals") + 1), gk.where(again).withColumn("saves", F.col("saves") + 1), root)
+
+    def rows(kind, name, fact, value):
+        table = spark.read.schema(fact.schema).parquet(paths[name])
+        return table.select(F.lit(kind).alias("kind"), "game_id", "player_id", "season", F.col(value).alias("n"))
+
+    return rows("skater", "player_game_stats", sk, "goals").unionByName(rows("goalie", "goalie_game_stats", gk, "saves"))

@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from rinkspark.operators import calendar as C
 from rinkspark.operators import features as M
 
@@ -49,3 +51,22 @@ def test_league_teams_zero_fill(spark):
         teams,
     )
     assert out.where("n_games = 0").count() == 32
+
+
+def test_forest_as_nodes_and_expression(spark, tmp_dir):
+    """Predictions of the column expression equal the model's, bit for bit,
+    with kinds the training rows do not hold and a null kind."""
+    rows = [(i, i % 9, D(2025, 1, 1) + dt.timedelta(days=i % 40), "ABCDE"[i % 5], float((i * 37) % 23) + i % 5) for i in range(600)]
+    schema = "game_id long, player_id long, game_date date, opponent_abbrev string, total_fpts double"
+    frame = M.model_frame(spark.createDataFrame(rows, schema)).persist()
+    model = M.train_forest(frame, trees=5)
+    nodes = M.forest_nodes(model, f"{tmp_dir}/forest")
+    leaf = nodes.where("left < 0")
+    assert nodes.select("tree").distinct().count() == 5
+    assert leaf.where("feature is not null or threshold is not null or kinds is not null").count() == 0
+    assert nodes.where("left >= 0 and (threshold is null) = (kinds is null)").count() == 0
+    new = frame.withColumn("f_kind", F.when(F.col("game_id") % 7 == 0, F.lit("Z")).when(F.col("game_id") % 11 == 0, F.lit(None)).otherwise(F.col("f_kind")))
+    out = model.transform(new.withColumn("e", M.forest_column(model, nodes)))
+    assert out.where("not e <=> prediction").count() == 0
+    assert out.select("e").distinct().count() > 5
+    frame.unpersist()
