@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rinkspark.session import cut_lineage
@@ -215,32 +215,45 @@ def forest_nodes(model, path: str) -> DataFrame:
 
 def forest_column(model, nodes: DataFrame) -> Column:
     """M5 as one column expression over the columns of :func:`model_frame`:
-    nested conditions per tree, averaged over the trees in order, so that
-    scoring is an ordinary projection without a model object or vectors.
+    every tree is walked from its root through the node table, held as literal
+    arrays, and the leaves are averaged over the trees in order. Scoring is an
+    ordinary projection, without a model object or vectors; its size does not
+    grow into conditions that generated code could not hold.
 
     The nodes come to the driver: trees x 2^(depth + 1) rows at most (2,540 for
     20 trees of depth 6), whatever the data. A kind that the indexer has not
     seen, or null, takes the index after the last one, as in the model."""
-    trees: dict[int, dict[int, Row]] = {}
-    for r in nodes.collect():
-        trees.setdefault(r.tree, {})[r.node] = r
+    rows = sorted(nodes.collect(), key=lambda r: (r.tree, r.node))
+    at = {(r.tree, r.node): i for i, r in enumerate(rows)}
+    roots = [i for i, r in enumerate(rows) if r.node == 0]
+
+    def array(values) -> Column:
+        return F.expr(f"array({', '.join(values)})")
+
+    def doubles(values) -> str:
+        return f"cast(array({', '.join(f'{v!r}D' for v in values)}) AS array<double>)"
+
+    left = array(str(at.get((r.tree, r.left), -1)) for r in rows)
+    right = array(str(at.get((r.tree, r.right), -1)) for r in rows)
+    feature = array(str(FOREST_FEATURES.index(r.feature) if r.feature else -1) for r in rows)
+    threshold = F.expr(doubles(0.0 if r.threshold is None else r.threshold for r in rows))
+    by_kind = array(str(r.kinds is not None).lower() for r in rows)
+    kinds = array(doubles(r.kinds or ()) for r in rows)
+    leaf = F.expr(doubles(r.prediction for r in rows))
+
     labels = model.stages[0].labels
-    kind = F.lit(float(len(labels)))
-    for i, label in enumerate(labels):
-        kind = F.when(F.col("f_kind") == F.lit(label), F.lit(float(i))).otherwise(kind)
-
-    def walk(tree: dict[int, Row], node: int) -> Column:
-        r = tree[node]
-        if r.left < 0:
-            return F.lit(r.prediction)
-        value = kind if r.feature == "f_kind_ix" else F.col(r.feature)
-        goes_left = value.isin(list(r.kinds)) if r.kinds is not None else value <= F.lit(r.threshold)
-        return F.when(goes_left, walk(tree, r.left)).otherwise(walk(tree, r.right))
-
-    total = F.lit(0.0)
-    for t in sorted(trees):
-        total = total + walk(trees[t], 0)
-    return total / F.lit(float(len(trees)))
+    place = F.array_position(F.array(*[F.lit(label) for label in labels]), F.col("f_kind"))
+    kind = F.when(place > 0, (place - 1).cast("double")).otherwise(F.lit(float(len(labels))))
+    row = F.array(*[F.col(c) for c in FOREST_FEATURES[:-1]], kind)
+
+    def step(i: Column, _: Column) -> Column:
+        value = F.get(row, F.get(feature, i))
+        goes_left = F.when(F.get(by_kind, i), F.array_contains(F.get(kinds, i), value)).otherwise(value <= F.get(threshold, i))
+        return F.when(F.get(left, i) < 0, i).when(goes_left, F.get(left, i)).otherwise(F.get(right, i))
+
+    levels = F.sequence(F.lit(1), F.lit(model.stages[-1].getMaxDepth()))
+    total = F.aggregate(array(map(str, roots)), F.lit(0.0), lambda s, root: s + F.get(leaf, F.aggregate(levels, root, step)))
+    return total / F.lit(float(len(roots)))
 
 
 def split_by_date(df: DataFrame, cutoff, *, date_col: str = "game_date") -> tuple[DataFrame, DataFrame]:
