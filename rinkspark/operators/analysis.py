@@ -511,7 +511,12 @@ def _grams(text: Column, n: int) -> Column:
 
 def _search_by_grams(players: DataFrame, t: DataFrame, *, name_col: str, term_col: str, gram: int) -> DataFrame:
     """Exact substring search as equi-joins, for term lists too long to
-    broadcast.
+    broadcast in a nested loop.
+
+    The names' pieces are many times the names, which Spark's size estimate of
+    an ``explode`` does not see: it would send them to the driver. So the terms
+    are the broadcast side when their number is proven small, and no piece
+    table is broadcast beyond.
 
     * A term of length m < ``gram`` matches exactly when it equals one of the
       name's substrings of length m: join on (substring) equality.
@@ -520,6 +525,9 @@ def _search_by_grams(players: DataFrame, t: DataFrame, *, name_col: str, term_co
       pick that piece per term, the join on it yields candidates, and
       ``contains`` keeps the true matches.
     """
+    from rinkspark.operators.joins import DEFAULT_MAX_BROADCAST_ROWS, has_at_most
+
+    how = "broadcast" if has_at_most(t, DEFAULT_MAX_BROADCAST_ROWS) else "merge"
     name = F.lower(F.col(name_col))
     cols = players.columns
     short = t.where(F.length("_lt") < gram)
@@ -528,19 +536,19 @@ def _search_by_grams(players: DataFrame, t: DataFrame, *, name_col: str, term_co
     # short terms: names exploded into their substrings of length 1..gram-1
     subs = F.array_distinct(F.flatten(F.array(*[_grams(name, k) for k in range(1, gram)])))
     name_subs = players.select(*cols, F.explode(subs).alias("_lt"))
-    short_hits = name_subs.join(short, "_lt", "inner")
+    short_hits = name_subs.join(short.hint(how), "_lt", "inner")
 
     # long terms: rarest piece, then candidates, then verification
     name_grams = players.select(*cols, F.explode(_grams(name, gram)).alias("_g"))
     freq = name_grams.groupBy("_g").agg(F.count(F.lit(1)).alias("_f"))
     term_grams = long_.select(term_col, "_lt", F.explode(_grams(F.col("_lt"), gram)).alias("_g"))
     rarest = (
-        term_grams.join(freq, "_g", "left")
+        term_grams.join(freq.hint("merge"), "_g", "left")
         .groupBy(term_col, "_lt")
         .agg(F.min(F.struct(F.coalesce("_f", F.lit(0)).alias("f"), F.col("_g").alias("g"))).alias("_r"))
         .select(term_col, "_lt", F.col("_r.g").alias("_g"))
     )
-    long_hits = name_grams.join(rarest, "_g", "inner").where(F.lower(F.col(name_col)).contains(F.col("_lt")))
+    long_hits = name_grams.join(rarest.hint(how), "_g", "inner").where(F.lower(F.col(name_col)).contains(F.col("_lt")))
     keep = [*cols, term_col]
     return short_hits.select(*keep).unionByName(long_hits.select(*keep))
 

@@ -124,6 +124,16 @@ def test_search_many_gram_path_equals_broadcast_path(spark):
     assert ("bolton red", 5) in exact and ("a", 2) in exact
 
 
+def test_gram_search_never_broadcasts_the_pieces_of_the_names(spark):
+    # Spark takes an explode to be as small as its input, so with fewer names than terms it picked the names' pieces.
+    players = spark.createDataFrame([(1, "Red Bolt"), (2, "blue bolt")], "player_id long, player_name string")
+    terms = spark.createDataFrame([(f"t{i}",) for i in range(300)] + [("bolt",), ("ed",)], "term string")
+    found = A.search_many(players, terms, max_broadcast_terms=0)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan
+    assert sorted((r.term, r.player_id) for r in found.collect()) == [("bolt", 1), ("bolt", 2), ("ed", 1)]
+
+
 def test_team_week(spark):
     sched = spark.createDataFrame(
         [("BOS", "2025-W46", 2, "@ DAL, vs WPG"), ("BOS", "2025-W47", 1, "vs TOR"), ("TOR", "2025-W46", 1, "@ BOS")],
