@@ -36,6 +36,18 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS)
     return F.broadcast(df) if has_at_most(df, max_rows) else df
 
 
+# Rows that one task sorts and aggregates: some 100 bytes each, several times.
+ROWS_PER_TASK = 200_000
+
+
+def partitions_for(df: DataFrame) -> int:
+    """Into how many partitions to deal ``df`` (a table read from storage,
+    whose files hold their row counts) for ``ROWS_PER_TASK`` rows each. A
+    ``repartition`` by number is not merged by AQE, whose target counts
+    compressed bytes: a task's memory then stays the same at any size."""
+    return max(1, -(-df.count() // ROWS_PER_TASK))
+
+
 def join_small(
     big: DataFrame,
     small: DataFrame,

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rinkspark.operators.joins import partitions_for
 from rinkspark.plans import standins as S
 from rinkspark.plans.registry import register
 from rinkspark.sources import ingest as I
@@ -33,7 +34,9 @@ _POSITION = (
 
 def _lines(spark, d, *order_cols):
     li = S.table(spark, d, "lineitem")
-    o = S.table(spark, d, "orders").select("o_orderkey", "o_orderdate", *order_cols)
+    n = partitions_for(li)  # the aggregations on the order follow in the same tasks
+    li = li.repartition(n, "l_orderkey")
+    o = S.table(spark, d, "orders").select("o_orderkey", "o_orderdate", *order_cols).repartition(n, "o_orderkey")
     s = S.table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
     return li.join(o, li.l_orderkey == o.o_orderkey).join(s, li.l_suppkey == s.s_suppkey)
 

@@ -91,11 +91,13 @@ def enrich(
         "goals_against",
         "decision",
     )
-    j = log.join(box, ["game_id", "player_id"], "left").join(headers, "game_id", "inner")
+    # The game joins come first: lines dealt by game are not moved for them.
+    j = log.join(headers, "game_id", "inner")
     if seasons is not None:
         j = j.join(seasons.select("game_id", "season"), "game_id", "left")
     elif "season" not in headers.columns:
         j = j.withColumn("season", F.lit(None).cast("string"))
+    j = j.join(box, ["game_id", "player_id"], "left")
     j = j.withColumn("opponent_abbrev", opponent())
     team_names = names.select(F.col("abbrev").alias("team_abbrev"), F.col("name").alias("team_name"))
     opp_names = names.select(F.col("abbrev").alias("opponent_abbrev"), F.col("name").alias("opponent_name"))
