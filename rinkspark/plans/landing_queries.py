@@ -16,13 +16,15 @@ from rinkspark.sources import store as ST
 from rinkspark.streaming.totals import work_root
 
 EARLY, LATE = "2024-01-01T00:00:00Z", "2024-01-02T00:00:00Z"
+DOCS_PER_FILE = 200_000
 
 
 def _land(spark, name, *landings):
-    """Write DataFrames of documents as JSON lines, one folder per landing."""
+    """Write DataFrames of documents as gzipped JSON lines, one folder per
+    landing. Such a file is read by one task, so its documents are bounded."""
     root = work_root(spark, name)
     for i, docs in enumerate(landings):
-        docs.write.json(f"{root}/landing-{i}")
+        docs.write.option("maxRecordsPerFile", DOCS_PER_FILE).json(f"{root}/landing-{i}", compression="gzip")
     return f"{root}/landing-*"
 
 
@@ -60,7 +62,7 @@ def schedule_games(spark, d):
     return games.select("game_id", "season", F.col("start_time_utc").cast("timestamp_ntz").alias("start_time_utc"), "game_state", "home_abbrev", "away_abbrev")
 
 
-def _box_docs(rows, landed_at):
+def _box_docs(rows):
     """Box-score documents of lines: players of even ids are the away side's;
     arrays are in the order of the player ids."""
     line = F.struct(
@@ -85,8 +87,23 @@ def _box_docs(rows, landed_at):
         mine = F.col("player_id") % 2 == rest
         return F.struct(*[F.array_sort(F.collect_list(F.when(mine & cond, line))).alias(g) for g, cond in groups.items()])  # seven lines at most
 
-    out = rows.groupBy(F.col("game_id").alias("id")).agg(F.struct(side(0).alias("awayTeam"), side(1).alias("homeTeam")).alias("playerByGameStats"))
-    return out.withColumn("landed_at", F.lit(landed_at))
+    return rows.groupBy(F.col("game_id").alias("id")).agg(F.struct(side(0).alias("awayTeam"), side(1).alias("homeTeam")).alias("playerByGameStats"))
+
+
+def _box_landings(spark, rows, root):
+    """The documents of two landings, the earlier without goals, from one
+    grouping of the lines: by landing time."""
+    docs = U._stage(_box_docs(rows), root, "docs")
+
+    def group(side, name):
+        lines = F.col(f"playerByGameStats.{side}.{name}")
+        return F.array_sort(F.transform(lines, lambda x: x.withField("goals", F.lit(0)))).alias(name)
+
+    def no_goals(side):
+        return F.struct(*[group(side, name) for name in ("forwards", "defense", "goalies")]).alias(side)
+
+    early = docs.withColumn("playerByGameStats", F.struct(no_goals("awayTeam"), no_goals("homeTeam")))
+    return {at: x.withColumn("landed_at", F.lit(at)) for at, x in ((EARLY, early), (LATE, docs))}
 
 
 @register(
@@ -106,8 +123,7 @@ FROM sided""",
 def boxscore_lines(spark, d):
     """One box score per order with the player arrays of both sides,
     landed twice (a first landing without goals loses)."""
-    lines = Q.box_lines(spark, d)
-    path = _land(spark, "boxscores", _box_docs(lines.withColumn("goals", F.lit(0)), EARLY), _box_docs(lines, LATE))
+    path = _land(spark, "boxscores", *_box_landings(spark, Q.box_lines(spark, d), work_root(spark, "boxscores-docs")).values())
     out = L.box_lines(L.read_boxscores(spark, path))
     return out.select("game_id", "player_id", "side", "group", "slot", "box_name", "box_position", "goals", "assists", "shots", "hits", "saves", "goals_against", "decision")
 
@@ -125,8 +141,8 @@ def register_replay(spark, d):
     rebuilt from the register alone."""
     root = work_root(spark, "register")
     log = Q.log_lines(spark, d)
-    for lines, at in ((Q.box_lines(spark, d).withColumn("goals", F.lit(0)), EARLY), (Q.box_lines(spark, d), LATE)):
-        path = _land(spark, f"register-{at[:10]}", _box_docs(lines, at))
+    for at, docs in _box_landings(spark, Q.box_lines(spark, d), root).items():
+        path = _land(spark, f"register-{at[:10]}", docs)
         L.register_payload(L.read_boxscores(spark, path), log).write.mode("append").parquet(f"{root}/register")
     box, again = L.replay_payload(spark.read.parquet(f"{root}/register"), log.schema)
     facts = I.skater_fact(I.enrich(again, L.box_lines(box), Q.headers(spark, d), Q.team_names(spark, d)))
@@ -142,23 +158,22 @@ def player_logs(spark, d):
     """S3: logs per player and month, with an earlier landing of every entry
     that counted no shifts."""
     rows = Q.log_lines(spark, d)
+    entry = F.struct(
+        F.col("game_id").alias("gameId"),
+        F.col("team_abbrev").alias("teamAbbrev"),
+        F.col("log_game_date").alias("gameDate"),
+        F.col("pp_points").alias("powerPlayPoints"),
+        F.col("sh_points").alias("shorthandedPoints"),
+        "toi",
+        "shifts",
+    )
+    # A player's month of one team, in parts of the game id: small arrays.
+    part = [F.col("player_id"), F.substring("log_game_date", 1, 7), F.col("game_id") % 64]
+    docs = rows.groupBy(*[c.alias(f"k{i}") for i, c in enumerate(part)]).agg(F.collect_list(entry).alias("gameLog"))
+    docs = U._stage(docs.select(F.col("k0").alias("player_id"), "gameLog"), work_root(spark, "logs-docs"), "docs")  # grouped once
+    early = docs.withColumn("gameLog", F.transform("gameLog", lambda e: e.withField("shifts", F.lit(0))))
 
-    def docs(rows, landed_at):
-        entry = F.struct(
-            F.col("game_id").alias("gameId"),
-            F.col("team_abbrev").alias("teamAbbrev"),
-            F.col("log_game_date").alias("gameDate"),
-            F.col("pp_points").alias("powerPlayPoints"),
-            F.col("sh_points").alias("shorthandedPoints"),
-            "toi",
-            "shifts",
-        )
-        # A player's month of one team, in parts of the game id: small arrays.
-        part = [F.col("player_id"), F.substring("log_game_date", 1, 7), F.col("game_id") % 64]
-        out = rows.groupBy(*[c.alias(f"k{i}") for i, c in enumerate(part)]).agg(F.collect_list(entry).alias("gameLog"))
-        return out.select(F.col("k0").alias("player_id"), "gameLog", F.lit(landed_at).alias("landed_at"))
-
-    path = _land(spark, "logs", docs(rows.withColumn("shifts", F.lit(0)), EARLY), docs(rows, LATE))
+    path = _land(spark, "logs", early.withColumn("landed_at", F.lit(EARLY)), docs.withColumn("landed_at", F.lit(LATE)))
     out = L.read_player_logs(spark, path)
     return out.select("game_id", "player_id", "team_abbrev", "log_game_date", "pp_points", "sh_points", "toi", "shifts")
 
