@@ -54,7 +54,8 @@ def latest_landing(docs: DataFrame, key: str) -> DataFrame:
     last = docs.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(
         F.max_by(doc, F.struct(F.col("landed_at"), F.to_json(doc))).alias("_doc")
     )
-    return last.select("_doc.*")
+    # The group's key, not the document's: it tells Spark how the rows are dealt.
+    return last.select(*[F.col("_key").alias(c) if c == key else F.col(f"_doc.{c}").alias(c) for c in docs.columns])
 
 
 def split_corrupt(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -274,8 +275,9 @@ def replay_payload(register: DataFrame, log_schema: T.StructType) -> tuple[DataF
     the last landing per game."""
     doc = T.StructType([f for f in schemas.BOXSCORE.fields if f.name != "landed_at"])
     line = T.StructType([f for f in log_schema.fields if f.name != "game_id"])
-    last = register.groupBy("game_id").agg(F.max("landed_at").alias("last"))
-    kept = register.join(last, "game_id").where(F.col("landed_at").eqNullSafe(F.col("last"))).dropDuplicates(["game_id"])
+    # One shuffle of the payloads; as a struct a null landing time is the oldest.
+    last = F.max_by(F.struct("landed_at", "payload"), F.struct("landed_at")).alias("_last")
+    kept = register.where(F.col("game_id").isNotNull()).groupBy("game_id").agg(last).select("game_id", "_last.*")
     part = lambda path, kind: F.from_json(F.to_json(F.variant_get("payload", path, "variant")), kind)
     box = kept.select(part("$.box", doc).alias("b"), "landed_at").select("b.*", "landed_at")
     lines = kept.select("game_id", F.explode(part("$.lines", T.ArrayType(line))).alias("l")).select("game_id", "l.*")

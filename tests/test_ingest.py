@@ -160,3 +160,50 @@ def test_register_payload_replays_what_was_landed(spark, tmp_dir):
     assert sorted(L.box_lines(box).collect(), key=str) == sorted(L.box_lines(want).collect(), key=str)
     assert sorted(L.box_headers(box).collect()) == sorted(L.box_headers(want).collect())
     assert sorted(tuple(r) for r in lines.collect()) == [(1, 1, "10:00", None), (1, 3, "é", 4)]
+
+
+def test_line_tables_are_dealt_by_row_count(spark, tmp_dir, monkeypatch):
+    # AQE merges default partitions up to a size in compressed bytes; a number of partitions from the row count stays.
+    from rinkspark.operators import joins
+    from rinkspark.plans import ingest_queries as Q
+
+    spark.createDataFrame([(0, "N")], "n_nationkey int, n_name string").write.parquet(f"{tmp_dir}/nation.parquet")
+    spark.createDataFrame([(1, "s", 0, 5000.0)], "s_suppkey long, s_name string, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_dir}/supplier.parquet")
+    orders = spark.range(45).selectExpr("id o_orderkey", "timestamp_ntz'1997-01-02 00:00:00' o_orderdate")
+    orders.write.parquet(f"{tmp_dir}/orders.parquet")
+    lines = "o_orderkey l_orderkey, 1L l_suppkey, 1 l_linenumber, 2D l_quantity, 0.1D l_discount, 0.2D l_tax, 'R' l_returnflag, 'F' l_linestatus"
+    orders.selectExpr(*lines.split(", ")).write.parquet(f"{tmp_dir}/lineitem.parquet")
+    monkeypatch.setattr(joins, "ROWS_PER_TASK", 10)
+    for rows in (Q.log_lines(spark, tmp_dir), Q.box_lines(spark, tmp_dir)):
+        assert rows.rdd.getNumPartitions() == 5
+        assert rows.count() == 45
+
+
+def test_replay_moves_each_payload_once(spark):
+    register = spark.sql(
+        "SELECT * FROM VALUES (1L, NULL, 'a'), (1L, timestamp'2024-01-01 00:00:00', 'b'), (1L, timestamp'2024-01-02 00:00:00', 'c'), (2L, NULL, 'd'), (NULL, NULL, 'e')"
+        " AS t(game_id, landed_at, v)"
+    )
+    doc = "concat('{\"box\":{\"id\":', game_id, ',\"gameDate\":\"', v, '\"},\"lines\":[{\"player_id\":7}]}')"
+    register = register.selectExpr("game_id", "landed_at", f"parse_json({doc}) payload")
+    log_schema = spark.sql("SELECT 1L game_id, 1L player_id").schema
+    box, lines = L.replay_payload(register, log_schema)
+    # The payloads were joined to the last landing times, then dealt again for one row per game.
+    plan = box._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert sorted((r.id, r.gameDate, r.landed_at is None) for r in box.collect()) == [(1, "c", False), (2, "d", True)]
+    assert sorted(tuple(r) for r in lines.collect()) == [(1, 7), (2, 7)]
+
+
+def test_landed_documents_are_compressed(spark, tmp_dir, monkeypatch):
+    import glob
+
+    from rinkspark.plans import landing_queries as P
+
+    monkeypatch.setattr(P, "work_root", lambda spark, name: f"{tmp_dir}/{name}")
+    monkeypatch.setattr(P, "DOCS_PER_FILE", 2)
+    docs = spark.range(6).coalesce(1)
+    path = P._land(spark, "docs", docs, docs)
+    files = glob.glob(f"{path}/*.json*")
+    assert len(files) == 6 and all(f.endswith(".json.gz") for f in files)
+    assert spark.read.json(path).count() == 12
