@@ -162,8 +162,9 @@ class PartitionedTable:
         touched = self._staged(self._in(old_index, values).unionByName(fresh.select(*self.parts)).distinct(), "touched")
 
         both = self._all(live, touched).withColumn(_FRESH, F.lit(0)).unionByName(fresh.withColumn(_FRESH, F.lit(1)))
-        merged = latest_per_key(both, self.key, [*order, _FRESH]).drop(_FRESH)
         current = _current_pointer(self.spark, self.root)
+        # Into a new table: the batch is one row per key already.
+        merged = fresh if current is None else latest_per_key(both, self.key, [*order, _FRESH]).drop(_FRESH)
         n = 0 if current is None else current[0] + 1
         commit = f"{n:09d}-{uuid.uuid4().hex[:12]}"
         data = f"{self.root}/data/commit={commit}"

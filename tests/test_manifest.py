@@ -81,3 +81,15 @@ def test_versions(spark, tmp_dir):
     t.merge(rows(spark, [(1, 1, "s", D[0], 1, at[2]), (2, 1, "s", D[0], 1, None), (3, 1, "s", D[0], 1, at[1])], True))
     t.merge(rows(spark, [(1, 1, "s", D[1], 9, at[1]), (2, 1, "s", D[1], 9, at[0]), (3, 1, "s", D[1], 9, at[1]), (3, 1, "s", D[2], 8, at[0])], True))
     assert held(t) == sorted([(1, 1, "s", D[0], 1), (2, 1, "s", D[1], 9), (3, 1, "s", D[1], 9)], key=str)
+
+
+def test_merge_into_a_new_table_reduces_the_batch_once(spark, tmp_dir, monkeypatch):
+    calls = []
+    latest = M.latest_per_key
+    monkeypatch.setattr(M, "latest_per_key", lambda df, *a: calls.append(1) or latest(df, *a))
+    t = table(spark, f"{tmp_dir}/t")
+    t.merge(rows(spark, [(1, 1, "2025", D[0], 1), (1, 1, "2025", D[0], 2), (None, 1, "2025", D[1], 3)]))
+    assert len(calls) == 1  # the second pass shuffled every row again, with nothing to meet
+    assert held(t) == sorted([(1, 1, "2025", D[0], 2), (None, 1, "2025", D[1], 3)], key=str)
+    t.merge(rows(spark, [(1, 1, "2025", D[2], 4)]))
+    assert len(calls) == 3 and len(held(t)) == 2
