@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rinkspark.llm.bpe_codec import decoded, encoded
+from rinkspark.llm.bpe_codec import encoded_and_decoded
 from rinkspark.llm.bpe_queries import tokenizer_file
 from rinkspark.llm.common import read_table, staged
 from rinkspark.llm.decontamination import decontaminated
@@ -48,7 +48,7 @@ def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids (little-endian 32-bit), and the text
     that the ids decode to."""
     tok = tokenizer_file(TOKENIZER)
-    back = decoded(encoded(docs, tok).select("doc_id", "lang", "source", "ids"), tok)
+    back = encoded_and_decoded(docs, tok, ["doc_id", "lang", "source"])
     return back.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decoded")
 
 

@@ -7,6 +7,9 @@ executors with ``addFile`` and is mapped into memory there. Words that it does
 not hold are merged by the tokenizer itself, so the ids are always those of the
 library; the lexicon changes the speed only. No text is shuffled by encoding.
 
+``decoded(encoded(...))`` holds two Python workers a task at a time, and hands
+the texts back from the first; ``encoded_and_decoded`` does both in one.
+
 Defined results: a null text is the empty text and has no ids; a text that
 holds the string of an added token gets that token's id, as by default in the
 library; repeated rows are encoded alike. Added columns that clash with those of
@@ -108,23 +111,42 @@ def lexicon_encoder(tok, lexicon: Lexicon) -> Callable[[list[str]], tuple[np.nda
     return encode
 
 
-def encoded(docs: DataFrame, tokenizer_json: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``ids``: the ids as little-endian 32-bit integers."""
+def _coded(docs: DataFrame, tokenizer_json: str, text_col: str, keep: Sequence[str] | None, back: bool) -> DataFrame:
+    """``docs``, or its columns ``keep``, with ``ids`` and, if ``back``, the
+    text ``decoded`` from the ids."""
     name = build_lexicon(docs, text_col, tokenizer_json)
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
+    kept = docs if keep is None else docs.select(*[ref(docs, c) for c in keep])
+    added = [T.StructField(free_name(kept, "ids"), T.BinaryType()), T.StructField(free_name(kept, "decoded"), T.StringType())]
 
     def make() -> Callable[[pa.Array], Sequence[pa.Array]]:
         tok = load(shared.value)
         memo = Memo(tok, cutter(tok, WORD_PATTERN, lower=True), lexicon_encoder(tok, Lexicon(SparkFiles.get(name))))
+        decode = decoder(tok if tok.decoder else token_table(tok)) if back else None
 
         def run(texts: pa.Array) -> Sequence[pa.Array]:
             ids, begins = memo.encode(texts.to_pylist())
             raw, at = ids.astype("<u4").tobytes(), begins * 4
-            return [pa.array([raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())]
+            cuts = [raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            out = [pa.array(cuts, pa.binary())]
+            if decode:
+                out.append(pa.array([decode(np.frombuffer(b, "<u4").tolist()) for b in cuts], pa.string()))
+            return out
 
         return run
 
-    return map_texts(docs, text_col, make, T.StructType([T.StructField(free_name(docs, "ids"), T.BinaryType())]))
+    return map_texts(docs, text_col, make, T.StructType(added if back else added[:1]), keep)
+
+
+def encoded(docs: DataFrame, tokenizer_json: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``ids``: the ids as little-endian 32-bit integers."""
+    return _coded(docs, tokenizer_json, text_col, None, back=False)
+
+
+def encoded_and_decoded(docs: DataFrame, tokenizer_json: str, keep: Sequence[str], text_col: str = "text") -> DataFrame:
+    """The columns ``keep`` with ``ids`` as ``encoded`` and ``decoded`` as
+    ``decoded`` give them."""
+    return _coded(docs, tokenizer_json, text_col, keep, back=True)
 
 
 def decoded(rows: DataFrame, tokenizer_json: str, ids_col: str = "ids") -> DataFrame:
@@ -140,7 +162,8 @@ def decoded(rows: DataFrame, tokenizer_json: str, ids_col: str = "ids") -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute  # noqa: F401
 
-        decode = decoder(shared.value)
+        source = shared.value
+        decode = decoder(load(source) if isinstance(source, str) else source)
         for whole in batches:
             for batch in pieces(whole, at):
                 texts = [decode(np.frombuffer(b or b"", "<u4").tolist()) for b in batch.column(at).to_pylist()]
@@ -155,11 +178,10 @@ def token_table(tok) -> list[str]:
     return [tok.id_to_token(i) or "" for i in range(size)]
 
 
-def decoder(source: str | list[str]) -> Callable[[list[int]], str]:
-    """Ids -> text, from a tokenizer file or, for one that names no decoder
-    (its tokens are joined by spaces), from its token table."""
-    if isinstance(source, str):
-        tok = load(source)
-        return lambda ids: tok.decode(ids, skip_special_tokens=False)
+def decoder(source) -> Callable[[list[int]], str]:
+    """Ids -> text, from a tokenizer or, for one that names no decoder (its
+    tokens are joined by spaces), from its token table."""
+    if not isinstance(source, list):
+        return lambda ids: source.decode(ids, skip_special_tokens=False)
     token = source.__getitem__
     return lambda ids: " ".join(map(token, ids))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rinkspark.llm.bpe_codec import decoded, encoded
+from rinkspark.llm.bpe_codec import encoded_and_decoded
 from rinkspark.llm.common import read_table
 
 
@@ -20,7 +20,7 @@ def tokenizer_file(name: str) -> str:
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     tok = tokenizer_file("word_bpe_49k.json")
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    back = decoded(encoded(docs, tok).select("doc_id", "ids"), tok)
+    back = encoded_and_decoded(docs, tok, ["doc_id"])
     return back.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

@@ -59,6 +59,21 @@ def test_op7_equals_the_library(spark, tables):
         assert got[i] == (len(ids), hashlib.sha256(u32(ids)).hexdigest(), hashlib.sha256(text.encode()).hexdigest()), t[:50]
 
 
+def test_encoding_and_decoding_share_a_worker(spark, tables):
+    import corpus_pipeline
+
+    path, texts = tables
+    tok = library("word_bpe_49k.json")
+    docs = spark.read.parquet(path + "/documents.parquet").selectExpr("doc_id", "'en' as lang", "'s' as source", "text", "ids")
+    out = corpus_pipeline.bpe(spark, docs, path)
+    assert out.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "decoded"]
+    for df in (out, op7_bpe_codec(spark, path)):
+        assert df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    want = {i: tok.encode(t, add_special_tokens=False).ids for i, t in texts.items()}
+    got = {r.doc_id: (r.lang, r.source, r.n_tokens, bytes(r.ids), r.decoded) for r in out.collect()}
+    assert got == {i: ("en", "s", len(ids), u32(ids), tok.decode(ids, skip_special_tokens=False)) for i, ids in want.items()}
+
+
 def test_op5_equals_the_library(spark, tables):
     path, texts = tables
     tok, start = library("word_bpe_49k.json"), 0
