@@ -32,10 +32,14 @@ _POSITION = (
 )
 
 
+def line_partitions(spark, d):
+    """Into how many partitions the lines are dealt by game."""
+    return partitions_for(S.table(spark, d, "lineitem"))
+
+
 def _lines(spark, d, *order_cols):
-    li = S.table(spark, d, "lineitem")
-    n = partitions_for(li)  # the aggregations on the order follow in the same tasks
-    li = li.repartition(n, "l_orderkey")
+    n = line_partitions(spark, d)  # the aggregations on the order follow in the same tasks
+    li = S.table(spark, d, "lineitem").repartition(n, "l_orderkey")
     o = S.table(spark, d, "orders").select("o_orderkey", "o_orderdate", *order_cols).repartition(n, "o_orderkey")
     s = S.table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
     return li.join(o, li.l_orderkey == o.o_orderkey).join(s, li.l_suppkey == s.s_suppkey)

@@ -140,11 +140,13 @@ def register_replay(spark, d):
     VARIANT, an earlier landing without goals first; the skater facts are then
     rebuilt from the register alone."""
     root = work_root(spark, "register")
-    log = Q.log_lines(spark, d)
-    for at, docs in _box_landings(spark, Q.box_lines(spark, d), root).items():
-        path = _land(spark, f"register-{at[:10]}", docs)
-        L.register_payload(L.read_boxscores(spark, path), log).write.mode("append").parquet(f"{root}/register")
-    box, again = L.replay_payload(spark.read.parquet(f"{root}/register"), log.schema)
+    # Logs and register are dealt by game once: a game's rows meet where they lie.
+    with ST.bucketed(spark, "game_id", Q.line_partitions(spark, d)) as tables:
+        log = tables.append(Q.log_lines(spark, d), f"{root}/log")
+        for at, docs in _box_landings(spark, Q.box_lines(spark, d), root).items():
+            path = _land(spark, f"register-{at[:10]}", docs)
+            kept = tables.append(L.register_payload(L.read_boxscores(spark, path, tables.n), log), f"{root}/register")
+        box, again = L.replay_payload(kept, log.schema)
     facts = I.skater_fact(I.enrich(again, L.box_lines(box), Q.headers(spark, d), Q.team_names(spark, d)))
     facts = facts.where(F.col("position") != "N/A")  # the register holds games with a box score
     return facts.select("game_id", "player_id", "game_date", "season", "team_abbrev", "opponent_abbrev", "player_name", "position", "goals", "assists", "shots", "hits")

@@ -47,15 +47,20 @@ def with_landing_time(df: DataFrame) -> DataFrame:
     return df.withColumn("landed_at", F.coalesce(F.try_to_timestamp("landed_at"), F.col("_metadata.file_modification_time")))
 
 
-def latest_landing(docs: DataFrame, key: str) -> DataFrame:
+def latest_landing(docs: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
     """The last landed document per key (of equal landing times the greatest
-    as JSON text); one aggregation, combined map-side."""
-    doc = F.struct(*[F.col(c) for c in docs.columns])
-    last = docs.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(
-        F.max_by(doc, F.struct(F.col("landed_at"), F.to_json(doc))).alias("_doc")
-    )
+    as JSON text); one aggregation. The documents, which were read from JSON,
+    move as that text. ``partitions``: into how many the keys are dealt."""
+    text = F.to_json(F.struct(*[F.col(c) for c in docs.columns])).alias("text")
+    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.struct("landed_at", text).alias("_last"))
+    if partitions is not None:
+        rows = rows.repartition(partitions, "_key")
+    body = T.StructType([f for f in docs.schema.fields if f.name not in (key, "landed_at")])
+    last = rows.groupBy("_key").agg(F.max("_last").alias("_last"))
+    last = last.select("_key", F.col("_last.landed_at").alias("_at"), F.from_json("_last.text", body).alias("_doc"))
     # The group's key, not the document's: it tells Spark how the rows are dealt.
-    return last.select(*[F.col("_key").alias(c) if c == key else F.col(f"_doc.{c}").alias(c) for c in docs.columns])
+    own = {key: F.col("_key"), "landed_at": F.col("_at")}
+    return last.select(*[own.get(c, F.col(f"_doc.{c}")).alias(c) for c in docs.columns])
 
 
 def split_corrupt(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -124,10 +129,11 @@ def unique_games(games: DataFrame, *, version_col: str | None = "landed_at") ->
 
 
 # ------------------------------------------------------------------- S2
-def read_boxscores(spark: SparkSession, path: str) -> DataFrame:
-    """The last landed box score of each game."""
+def read_boxscores(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+    """The last landed box score of each game, dealt by game (into
+    ``partitions`` if given)."""
     docs, _ = split_corrupt(read_json(spark, path, schemas.BOXSCORE))
-    return latest_landing(docs, "id")
+    return latest_landing(docs, "id", partitions)
 
 
 def box_headers(box: DataFrame) -> DataFrame:
@@ -261,25 +267,32 @@ def register_entries(games: DataFrame, landed_at=None) -> DataFrame:
 def register_payload(box: DataFrame, log: DataFrame) -> DataFrame:
     """S10 with payload: rows (game_id, landed_at, payload) of box scores, one
     per game, with the raw box score and the game's log lines as one VARIANT
-    (``$.box``, ``$.lines``). A game's lines are a roster's worth."""
+    (``$.box``, ``$.lines``). A game's lines are a roster's worth. Box scores
+    and a log that are dealt by game likewise are not shuffled again."""
     body = [c for c in box.columns if c not in ("landed_at", CORRUPT)]
     lines = log.groupBy(F.col("game_id").alias("id")).agg(F.collect_list(F.struct(*[F.col(c) for c in log.columns if c != "game_id"])).alias("lines"))
     landed = F.col("landed_at") if "landed_at" in box.columns else F.lit(None).cast("timestamp")
-    rows = box.select("id", landed.alias("landed_at"), F.struct(*body).alias("box")).join(lines, "id", "left")
+    rows = box.select("id", landed.alias("landed_at"), F.struct(*body).alias("box")).join(lines.hint("merge"), "id", "left")
     return rows.select(F.col("id").alias("game_id"), "landed_at", F.parse_json(F.to_json(F.struct("box", "lines"))).alias("payload"))
 
 
 def replay_payload(register: DataFrame, log_schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """Box scores and log lines from the register alone: what
     :func:`register_payload` was given (``log_schema``: its log columns), of
-    the last landing per game."""
+    the last landing per game. A register that is bucketed by game
+    (``store.bucketed``) is not shuffled."""
     doc = T.StructType([f for f in schemas.BOXSCORE.fields if f.name != "landed_at"])
     line = T.StructType([f for f in log_schema.fields if f.name != "game_id"])
     # One shuffle of the payloads; as a struct a null landing time is the oldest.
     last = F.max_by(F.struct("landed_at", "payload"), F.struct("landed_at")).alias("_last")
     kept = register.where(F.col("game_id").isNotNull()).groupBy("game_id").agg(last).select("game_id", "_last.*")
+    kept = kept.hint("merge")  # the files' bytes, by which Spark would broadcast them, are packed
     part = lambda path, kind: F.from_json(F.to_json(F.variant_get("payload", path, "variant")), kind)
-    box = kept.select(part("$.box", doc).alias("b"), "landed_at").select("b.*", "landed_at")
+    # The game is the box score's id; the group's key tells Spark how the rows are dealt.
+    own = {"id": F.col("game_id")}
+    box = kept.select("game_id", part("$.box", doc).alias("b"), "landed_at").select(
+        *[own.get(c, F.col(f"b.{c}")).alias(c) for c in doc.names], "landed_at"
+    )
     lines = kept.select("game_id", F.explode(part("$.lines", T.ArrayType(line))).alias("l")).select("game_id", "l.*")
     return box, lines.select(*log_schema.names)
 

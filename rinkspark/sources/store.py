@@ -10,7 +10,9 @@ partitions (``spark.sql.sources.partitionOverwriteMode=dynamic``).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -65,6 +67,40 @@ def overwrite_partitions(df: DataFrame, path: str, partition_by: Sequence[str])
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
 
 
+# Spark's own limit on the buckets of a table.
+MAX_BUCKETS = 100_000
+
+
+class Buckets:
+    """Tables dealt by one key into the same number of buckets: groupings on
+    the key and joins among them do not shuffle their rows."""
+
+    def __init__(self, spark: SparkSession, key: str, n: int):
+        self.spark, self.key, self.n = spark, key, min(n, MAX_BUCKETS)
+        self.names: dict[str, str] = {}
+
+    def append(self, df: DataFrame, path: str) -> DataFrame:
+        """S6 on a bucketed table at ``path``; returns the table. A task of
+        rows that are dealt likewise writes one file."""
+        name = self.names.setdefault(path, f"rinkspark_{uuid.uuid4().hex}")
+        w = df.write.mode("append").bucketBy(self.n, self.key).option("path", path).option("compression", "zstd")
+        w.saveAsTable(name, format="parquet")
+        return self.spark.table(name)
+
+
+@contextmanager
+def bucketed(spark: SparkSession, key: str, n: int) -> Iterator[Buckets]:
+    """Bucketed tables for the time of a ``with`` block: their names leave the
+    catalogue at its end, the files stay, and what was read from them is still
+    good."""
+    tables = Buckets(spark, key, n)
+    try:
+        yield tables
+    finally:
+        for name in tables.names.values():
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 # ---------------------------------------------------------------- S8, S9
 def latest_per_key(df: DataFrame, key: str | Sequence[str], order_by: Sequence[str]) -> DataFrame:
     """One row per key: the greatest by ``order_by`` (then by every other

@@ -207,3 +207,89 @@ def test_landed_documents_are_compressed(spark, tmp_dir, monkeypatch):
     files = glob.glob(f"{path}/*.json*")
     assert len(files) == 6 and all(f.endswith(".json.gz") for f in files)
     assert spark.read.json(path).count() == 12
+
+
+def test_last_landing_comes_back_from_its_text(spark, tmp_dir):
+    from rinkspark import schemas
+
+    late, same = "2025-11-03T01:00:00.123456Z", "2025-11-03T01:00:00.123457Z"
+    odd = box_doc()
+    odd.update(landed_at=same, awayTeam={}, homeTeam=None)
+    odd["playerByGameStats"]["awayTeam"] = {"forwards": [], "defense": [None], "goalies": [{**goalie(3, 'é"\\\n', 1, 0, "W"), "savePctg": "NaN"}]}
+    odd["playerByGameStats"]["homeTeam"]["forwards"][0]["name"] = {"default": "x", "fr": None}
+    docs = [{**box_doc(), "landed_at": late}, odd, {**odd, "gameDate": "2025-10-31"}]
+    docs += [{"id": 2, "landed_at": late}, {"id": 2, "landed_at": late, "playerByGameStats": {}}, {**box_doc(), "id": None}]
+    path = write_lines(f"{tmp_dir}/box/b.json", docs)
+    read, _ = L.split_corrupt(L.read_json(spark, path, schemas.BOXSCORE))
+    for parts in (None, 3):
+        last = L.latest_landing(read, "id", parts)
+        assert last.columns == read.columns
+        # The documents themselves were shuffled, beside their text.
+        plan = last._jdf.queryExecution().executedPlan().toString()
+        assert "max_by" not in plan and plan.count("Exchange hashpartitioning") == 1
+        got = {r.id: r for r in last.collect()}
+        want = {(r.id, r.gameDate, r.playerByGameStats is None): r for r in read.collect()}
+        assert set(got) == {100, 2} and got[100].landed_at.microsecond == 123457
+        assert str(got[100]) == str(want[100, "2025-11-01", False])  # of equal landings the greater text
+        assert got[2] == want[2, None, False]
+
+
+def test_bucketed_register_is_not_shuffled(spark, tmp_dir):
+    from rinkspark.sources import store as ST
+
+    docs = [{**box_doc(), "id": gid, "landed_at": "2025-11-02T01:00:00Z"} for gid in range(40)]
+    docs[7].pop("playerByGameStats")
+    log = spark.createDataFrame([(g % 50, p, f"{p}:00", None) for g in range(100) for p in (1, 3)], "game_id long, player_id long, toi string, shifts int")
+    box = L.read_boxscores(spark, write_lines(f"{tmp_dir}/box-0/b.json", docs), 5)
+    corrected = [{**d, "landed_at": "2025-11-03T01:00:00Z", "gameDate": "2025-11-05"} for d in docs[::2]]
+    again = L.read_boxscores(spark, write_lines(f"{tmp_dir}/box-1/b.json", corrected), 5)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for rows in (box, again):
+        L.register_payload(rows, log).write.mode("append").parquet(f"{tmp_dir}/plain")
+    with ST.bucketed(spark, "game_id", 5) as tables:
+        kept = tables.append(log.repartition(5, "game_id"), f"{tmp_dir}/log")
+        for rows in (box, again):
+            payload = L.register_payload(rows, kept)
+            assert plan(payload).count("Exchange") == 1  # the documents, by game
+            register = tables.append(payload, f"{tmp_dir}/register")
+    names = {t.name for t in spark.catalog.listTables()}
+    assert not any(n in names for n in tables.names.values())
+    got, want = L.replay_payload(register, log.schema), L.replay_payload(spark.read.parquet(f"{tmp_dir}/plain"), log.schema)
+    for x, y in zip(got, want, strict=True):
+        assert "Exchange" not in plan(x) and "Exchange" in plan(y)
+        assert sorted(map(str, x.collect())) == sorted(map(str, y.collect()))
+    box, lines = got
+    assert lines.count() == 160 and sorted((r.id, r.gameDate) for r in box.collect())[:2] == [(0, "2025-11-05"), (1, "2025-11-01")]
+    header = spark.range(50).selectExpr("id game_id", "'BOS' home_abbrev", "'TOR' away_abbrev")
+    # Neither side is broadcast by the size of its packed files.
+    assert "Broadcast" not in plan(lines.join(header, "game_id").join(L.box_lines(box), ["game_id", "player_id"], "left"))
+
+
+def test_register_replay_shuffles_no_payload(spark, tmp_dir, monkeypatch):
+    from rinkspark.operators import joins
+    from rinkspark.plans import landing_queries as P
+
+    monkeypatch.setattr(joins, "ROWS_PER_TASK", 10)
+    monkeypatch.setattr(P, "work_root", lambda spark, name: f"{tmp_dir}/work/{name}")
+
+    def table(name, df):
+        df.write.parquet(f"{tmp_dir}/{name}.parquet")
+
+    table("region", spark.sql("SELECT 0 r_regionkey, 'EUROPE' r_name"))
+    table("nation", spark.range(25).selectExpr("cast(id AS int) n_nationkey", "concat('N', id) n_name", "0 n_regionkey"))
+    table("customer", spark.sql("SELECT 1L c_custkey, 'c' c_name, 0 c_nationkey, 1D c_acctbal, 'BUILDING' c_mktsegment"))
+    table("supplier", spark.range(3).selectExpr("id s_suppkey", "concat('s', id) s_name", "cast(id AS int) s_nationkey", "500D + 2000 * id s_acctbal"))
+    orders = spark.range(12)
+    status = "CASE WHEN id = 3 THEN 'P' ELSE 'F' END o_orderstatus"
+    table("orders", orders.selectExpr("id o_orderkey", "1L o_custkey", status, "1D o_totalprice", "timestamp_ntz'1997-01-02 00:00:00' o_orderdate", "'5-LOW' o_orderpriority"))
+    # Each order has two lines of a goalie, two of a skater and one that was not returned.
+    lines = spark.range(60).selectExpr("id % 12 l_orderkey", "1L l_partkey", "(id DIV 12) % 3 l_suppkey", "cast(id DIV 12 AS int) + 1 l_linenumber", "4D l_quantity")
+    more = "5D l_extendedprice, 0.1D l_discount, 0.2D l_tax, CASE WHEN l_suppkey = 2 THEN 'N' ELSE 'R' END l_returnflag, 'F' l_linestatus, timestamp_ntz'1997-02-01 00:00:00' l_shipdate"
+    table("lineitem", lines.selectExpr("*", *more.split(", ")))
+    out = P.register_replay(spark, tmp_dir)
+    # Payloads were shuffled between the two steps of their grouping.
+    plan = out._jdf.queryExecution().executedPlan().toString().splitlines()
+    below = [after for line, after in zip(plan, plan[1:]) if "functions=[max_by" in line]
+    assert len(below) == 2 and all("partial_max_by" in line for line in below)
+    got = sorted((r.game_id, r.player_id, r.player_name, r.position, r.goals, r.assists, r.shots) for r in out.collect())
+    assert got == [(g, 1, "s1", "C", 2, 2, 8) for g in range(12) if g != 3]
